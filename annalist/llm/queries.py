@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from annalist.llm.bpe import encode_and_decode
 from annalist.llm.common import documents
+from annalist.llm.quality import ORACLE as QUALITY_SQL
+from annalist.llm.quality import quality_digest
 from annalist.llm.sharding import shard_by_bytes
 from annalist.llm.token_files import tokenise_to_orc
 
 
+def op1_quality_rules(spark, sf_dir):
+    return quality_digest(documents(spark, sf_dir))
+
+
 def op5_token_files(spark, sf_dir):
     return tokenise_to_orc(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -17,9 +24,15 @@ def op8_sharding(spark, sf_dir):
     return shard_by_bytes(documents(spark, sf_dir), n_shards=8)
 
 
+def op10_byte_bpe(spark, sf_dir):
+    return encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op5_token_files": op5_token_files,
     "op8_sharding": op8_sharding,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL}
