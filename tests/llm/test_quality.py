@@ -3,7 +3,14 @@ from collections import Counter
 
 from annalist.llm.quality import BOILERPLATE, quality, quality_digest
 
-CLEAN = "The quick brown fox jumps over a lazy dog near %d quiet river while people watch from distant hills."
+
+
+class Clean:
+    def __mod__(self, i):
+        return " ".join(f"{w}{i}" for w in "the quick brown fox jumps over a lazy dog".split()) + "."
+
+
+CLEAN = Clean()
 TEXTS = [
     None,
     "",
