@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.common import written
-from annalist.llm.pieces import cut, slices
+from annalist.llm.pieces import cut, matcher, slices
 
 #: Words that are encoded once and broadcast, at most.
 MOST_FREQUENT = 1 << 18
@@ -99,17 +99,11 @@ def encode_words(word: Column, ranks: Column) -> Column:
     return F.when(F.length(word) > 0, _let(as_bytes, fold)).otherwise(F.array().cast("array<int>"))
 
 
-def _finder(pattern: str):
-    import regex
-
-    return regex.compile(pattern).findall
-
-
 def count_words(docs: DataFrame, pattern: str) -> DataFrame:
     """word, n: all distinct words of the texts with their numbers of places."""
 
     def run(batches):
-        find, first, rest = _finder(pattern), Counter(), Counter()
+        find, first, rest = matcher(pattern), Counter(), Counter()
 
         def flush():
             words: Counter = Counter()
@@ -157,7 +151,7 @@ def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, most_freque
     token = spark.sparkContext.broadcast({rank: x for x, rank in ranks.items()})  # the vocabulary
 
     def rare(batches):
-        find, frequent, seen = _finder(pattern), known.value, {}
+        find, frequent, seen = matcher(pattern), known.value, {}
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in slices([len(x or "") for x in texts]):
@@ -176,7 +170,7 @@ def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, most_freque
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text", "words"])
 
     def whole(batches):
-        find, frequent, pieces_of, cached = _finder(pattern), known.value, token.value, {}
+        find, frequent, pieces_of, cached = matcher(pattern), known.value, token.value, {}
 
         def made(text, own):
             ids = [i for w in find(text) for i in (frequent.get(w) or own[w])]

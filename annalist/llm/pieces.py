@@ -34,3 +34,50 @@ def slices(sizes, most: int = 1 << 20):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+#: The pattern of the byte-level vocabularies.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def matcher(pattern: str = BYTE_LEVEL):
+    """A function that gives the pattern's matches of a piece; most pieces are letters and maybe marks after them."""
+    import regex
+
+    find = regex.compile(pattern).findall
+    if pattern != BYTE_LEVEL:
+        return find
+
+    def matches(piece: str) -> list[str]:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha():
+            return [piece]
+        bare = word.rstrip(".,;:!?")
+        if bare.isalpha():
+            n = len(word) - len(bare)
+            return [piece[:-n], piece[-n:]]
+        return find(piece)
+
+    return matches
+
+
+class Recent(dict):
+    """A cache of bounded size: what wasn't used since it was half full last goes first."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.old = most // 2, {}
+
+    def absent(self, keys) -> list:
+        """The keys that must be computed; older ones are taken over."""
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+        out, old = [], self.old
+        for k in keys:
+            if k not in self:
+                if k in old:
+                    self[k] = old[k]
+                else:
+                    out.append(k)
+        return out
