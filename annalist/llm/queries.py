@@ -6,33 +6,58 @@ import public_tokenizers
 
 from annalist.llm.bpe import encode_and_decode
 from annalist.llm.common import documents
+from annalist.llm.decontaminate import contaminated
+from annalist.llm.licenses import scan_licenses
+from annalist.llm.minhash import near_duplicates
 from annalist.llm.quality import ORACLE as QUALITY_SQL
 from annalist.llm.quality import quality_digest
 from annalist.llm.sharding import shard_by_bytes
 from annalist.llm.token_files import tokenise_to_orc
+from annalist.llm.warc import ORACLE as WARC_SQL
+from annalist.llm.warc import archived
 
 
 def op1_quality_rules(spark, sf_dir):
     return quality_digest(documents(spark, sf_dir))
 
 
+def op2_minhash(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir), words=2)
+
+
+def op4_decontamination(spark, sf_dir):
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_token_files(spark, sf_dir):
     return tokenise_to_orc(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_warc(spark, sf_dir):
+    return archived(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_sharding(spark, sf_dir):
     return shard_by_bytes(documents(spark, sf_dir), n_shards=8)
 
 
+def op9_licenses(spark, sf_dir):
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark, sf_dir):
     return encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_minhash": op2_minhash,
+    "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
+    "op6_warc": op6_warc,
     "op8_sharding": op8_sharding,
+    "op9_licenses": op9_licenses,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op6_warc": WARC_SQL}

@@ -61,3 +61,15 @@ def test_empty_and_repeated(spark, docs):
     twice = docs.union(docs)
     assert shard_by_bytes(twice).count() == 2 * len(TEXTS)
     assert tokenise_to_orc(twice, PATH).count() == 2 * len(TEXTS)
+
+
+def test_matches_equal_the_pattern():
+    import regex
+
+    from annalist.llm.pieces import BYTE_LEVEL, matcher
+
+    assert BYTE_LEVEL == public_tokenizers.PATTERN
+    find = regex.compile(BYTE_LEVEL).findall
+    for t in [*TEXTS, "don't stop, we'll!! go... ok?", "a1 b2, c3.", "x's y've", "ǅ ª º ⅷ ²", " 'tis", "é, ñ."]:
+        first, *rest = cut(t or "")
+        assert [m for x in [first, *(" " + y for y in rest)] for m in matcher()(x)] == find(t or "")
