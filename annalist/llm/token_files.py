@@ -15,37 +15,42 @@ their text; a null doc_id comes first; an empty table gives no rows; other colum
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import work_path
-from annalist.llm.pieces import cut, slices
+from annalist.llm.common import work_path, written
+from annalist.llm.pieces import Recent, cut, matcher, slices
 
 ROW_INDEX_STRIDE = 2_000
 STRIPE_BYTES = 16 << 20
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers; most: pieces kept in the cache."""
+    """Ids of texts as little-endian unsigned 32-bit integers; most: pieces kept in the cache.
 
-    def __init__(self, path: str, most: int = 300_000):
+    A piece's matches are given to the library's model one by one, each in the alphabet that stands for bytes; the
+    library's whole encoder would do the same work for them at several times the cost.
+    """
+
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most, self.rest, self.first = most, {}, {}
+        tokenizer = Tokenizer.from_file(path)
+        self.model, self.words = tokenizer.model, matcher()
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.rest, self.first = Recent(most), Recent(20_000)
 
-    def _learn(self, cache: dict, prefix: str, pieces: set) -> None:
-        if len(cache) > self.most:
-            cache.clear()
-        pieces = [x for x in pieces if x not in cache]
-        for i in range(0, len(pieces), 1000):
-            part = pieces[i : i + 1000]
-            for piece, e in zip(part, self.tokenizer.encode_batch([prefix + x for x in part], add_special_tokens=False), strict=True):
-                cache[piece] = np.array(e.ids, dtype="<u4").tobytes()
+    def _learn(self, cache: Recent, prefix: str, pieces: set) -> None:
+        tokenize, words, alphabet = self.model.tokenize, self.words, self.alphabet
+        for piece in cache.absent(pieces):
+            found = [tokenize(w.encode().decode("latin-1").translate(alphabet)) for w in words(prefix + piece)]
+            cache[piece] = array("I", [t.id for x in found for t in x]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [cut(x) for x in texts]
@@ -118,8 +123,6 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     read = read_token_files(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids")
     rows = read.mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long")
-    from annalist.llm.common import written
-
     rows = written(rows, "token-digests")
     files = rows.groupBy("file").agg(F.min("doc_id").alias("least"), F.sum("n_tokens").alias("tokens"))  # a row a file
     files = files.select("file", F.coalesce(F.sum("tokens").over(Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
