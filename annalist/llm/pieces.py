@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 
 #: White space beside a space, or a space at the end: there, only places between two other characters are cut.
-_AMBIGUOUS = re.compile(r" \s|\s | \Z")
+_BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+_RARE = re.compile(r"[^\S \n\t\r]")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -18,7 +19,7 @@ def cut(text: str) -> list[str]:
 
     Later pieces all start with one space in the text: the text is pieces[0] + ' ' + pieces[1] + ' ' + ...
     """
-    if _AMBIGUOUS.search(text) is None:
+    if not (text.endswith(" ") or any(x in text for x in _BESIDE) or _RARE.search(text)):
         return text.split(" ")
     first, *rest = _SAFE.split(text)
     return [first, *(x[1:] for x in rest)]

@@ -12,7 +12,10 @@ from annalist.llm.minhash import near_duplicates
 from annalist.llm.quality import ORACLE as QUALITY_SQL
 from annalist.llm.quality import quality_digest
 from annalist.llm.sharding import shard_by_bytes
+from annalist.llm.templates import ORACLE as TEMPLATES_SQL
+from annalist.llm.templates import dropped_lines
 from annalist.llm.token_files import tokenise_to_orc
+from annalist.llm.toxicity import toxicity
 from annalist.llm.warc import ORACLE as WARC_SQL
 from annalist.llm.warc import archived
 
@@ -25,6 +28,10 @@ def op2_minhash(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir), words=2)
 
 
+def op3_line_templates(spark, sf_dir):
+    return dropped_lines(documents(spark, sf_dir))
+
+
 def op4_decontamination(spark, sf_dir):
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -37,6 +44,10 @@ def op6_warc(spark, sf_dir):
     return archived(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_sharding(spark, sf_dir):
     return shard_by_bytes(documents(spark, sf_dir), n_shards=8)
 
@@ -52,12 +63,14 @@ def op10_byte_bpe(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash": op2_minhash,
+    "op3_line_templates": op3_line_templates,
     "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
     "op6_warc": op6_warc,
+    "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op6_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op3_line_templates": TEMPLATES_SQL, "op6_warc": WARC_SQL}
