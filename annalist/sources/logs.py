@@ -250,7 +250,7 @@ def trajectories(spark: SparkSession, path: str, roll_ups: bool = True) -> DataF
     return rows.select(
         _text(v, "$.id").alias("id"), F.when(F.startswith(_kind_of(_get(v, "version")), F.lit("BIGINT")), F.try_variant_get(v, "$.version", "long")).alias("version"), _text(v, "$.personaId").alias("persona_id"),
         _text(v, "$.projectId").alias("project_id"), _text(v, "$.task.title").alias("task_title"), _text(v, "$.task.description").alias("task_description"), _text(v, "$.status").alias("status"),
-        _text(v, "$.startedAt").alias("started_at"), _text(v, "$.completedAt").alias("completed_at"), F.concat(F.lit("["), F.array_join(F.transform(chosen, F.to_json), ","), F.lit("]")).alias("decisions_json"),
+        _text(v, "$.startedAt").alias("started_at"), _text(v, "$.completedAt").alias("completed_at"), F.concat(F.lit("["), F.array_join(F.transform(chosen, lambda x: F.to_json(x)), ","), F.lit("]")).alias("decisions_json"),
         F.when(rolled, F.to_json(v)).otherwise(F.coalesce(F.when(F.startswith(_kind_of(_get(v, "retrospective")), F.lit("OBJECT")), F.to_json(_get(v, "retrospective"))), F.lit("{}"))).alias("retrospective_json"),
         trajectory_text(v).alias("search_text"), "path", "updated_ms", F.coalesce(*times, "updated_ms").alias("timestamp_ms"), F.struct("path").alias("seq"),
     )

@@ -1,0 +1,96 @@
+"""Incremental ingestion: Structured Streaming over files as they come, folded into the store's snapshots.
+
+A file source sees a file once, so files that grow are read by offset: a manifest keeps how many lines of each file
+are in the store, and a run takes the complete lines after them. Manifests move forward only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from annalist.operators import store as folds
+from annalist.operators.store import Store
+from annalist.schemas import HISTORY, KEYS
+
+MANIFEST = "source string, path string, lines long, stamp string"
+
+
+def stamp(modified, size):
+    return F.concat(F.unix_micros(modified).cast("string"), F.lit(":"), size.cast("string"))
+
+
+def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files (path, stamp) that the manifest doesn't have as they are: an anti join."""
+    return files.join(manifest.select("path", "stamp"), ["path", "stamp"], "left_anti")
+
+
+def needing_repair(sessions: DataFrame, events: DataFrame) -> DataFrame:
+    """Sessions whose transcript was read but that have no events: they are read again."""
+    return sessions.join(events.select("source", "session_id"), ["source", "session_id"], "left_anti")
+
+
+def new_lines(lines: DataFrame, manifest: DataFrame, source: str) -> DataFrame:
+    """Lines (path, line, ...) beyond those that the manifest counts."""
+    seen = manifest.where(F.col("source") == source).select("path", F.col("lines").alias("_seen"))
+    return lines.join(seen, "path", "left").where(F.col("line") >= F.coalesce("_seen", F.lit(0))).drop("_seen")
+
+
+def advanced(manifest: DataFrame, seen: DataFrame) -> DataFrame:
+    """The manifest with what was seen now (source, path, lines, stamp); counts never go back."""
+    both = manifest.withColumn("_n", F.lit(0)).unionByName(seen.withColumn("_n", F.lit(1)))
+    return both.groupBy("source", "path").agg(F.max("lines").alias("lines"), F.max_by("stamp", "_n").alias("stamp"))
+
+
+def add_history(store: Store, rows: DataFrame) -> int:
+    """Inserts prompts that the store doesn't have; the first of a key wins. Returns their number."""
+    stored = store.read("history", HISTORY)
+    last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = folds.numbered(folds.new_rows(rows, stored, KEYS["history"]), last)
+    n = fresh.count()
+    if n:
+        store.replace("history", stored.unionByName(fresh.select(*stored.columns)))
+    return n
+
+
+def sync_lines(store: Store, source: str, lines: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> int:
+    """One run over the lines of a source's growing files: parse what is new, insert it, then move the manifest."""
+    manifest = store.read("manifest", MANIFEST)
+    n = add_history(store, parse(new_lines(lines, manifest, source)))
+    seen = lines.groupBy("path").agg((F.max("line") + 1).alias("lines"), F.max("modified").alias("m"))
+    seen = seen.select(F.lit(source).alias("source"), "path", "lines", F.unix_micros("m").cast("string").alias("stamp"))
+    store.replace("manifest", advanced(manifest, seen))
+    return n
+
+
+def sync(steps: Iterable[tuple[str, Callable[[], int]]]) -> dict[str, int | Exception]:
+    """Runs each source's step; one that fails doesn't stop the others, all failing is an error."""
+    done: dict[str, int | Exception] = {}
+    for name, step in steps:
+        try:
+            done[name] = step()
+        except Exception as e:  # noqa: BLE001  the source is reported with its error
+            done[name] = e
+    if done and all(isinstance(x, Exception) for x in done.values()):
+        raise RuntimeError("all sources failed: " + "; ".join(f"{k}: {v}" for k, v in done.items()))
+    return done
+
+
+def watch_folder(spark: SparkSession, folder: str, store: Store, parse: Callable[[DataFrame], DataFrame], checkpoint: str, every: str | None = None):
+    """A stream over new files of a folder: each micro-batch is parsed and folded into the history once.
+
+    every: a trigger like '60 seconds'; None takes what is there and ends.
+    """
+    raw = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(folder)
+    lines = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    lines = lines.where("value <> ''").withColumn("v", F.try_parse_json("value"))
+    writer = lines.writeStream.foreachBatch(lambda batch, _: add_history(store, parse(batch)) and None).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def beats(spark: SparkSession, folder: str, schema: str, watermark: str = "1 day"):
+    """Last record and number of records of each machine over a stream of event files (ts, machine_id)."""
+    rows = spark.readStream.schema(schema).parquet(folder)
+    return rows.groupBy("machine_id").agg(F.max("ts").alias("last"), F.count("*").alias("records"))
