@@ -4,11 +4,13 @@ encode_words folds the ranked merges of one word: its bytes, one character each,
 over the array joins the leftmost pair of least rank until no pair has a rank. Ranks are a literal: an array of
 small maps, chosen by the checksum of a pair, since a look-up in a Spark map walks along its keys.
 
-Whole documents hold few distinct words, so the fold runs over distinct words only:
-1. the words of all documents are counted (summed in each task before the shuffle);
-2. the most frequent ones, at most MOST_FREQUENT, are encoded once and broadcast: a bounded table;
-3. each document's distinct words outside that table are encoded by the same fold in the document's own row,
-   so texts are never shuffled and nothing unbounded is broadcast.
+Whole documents hold few distinct words, so each distinct word of all documents is folded once:
+1. every partition of the documents gives its distinct words;
+2. words are brought together, with the numbers of the partitions that have them, and folded;
+3. the encoded words go back to their partitions, as a table of the shared folder with a folder for each;
+4. every partition is read again and its texts are put together from its own words. No text is shuffled, nothing is
+   broadcast but the vocabulary, and a task holds the distinct words of its own input. Should a partition
+   hold other rows the second time, the words that it lacks are looked up in the whole table.
 Decoding concatenates the binary pieces of the ids.
 
 Defined cases: a null text counts as empty (no ids; the digests of empty strings); rows with the same id are
@@ -21,18 +23,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import zlib
-from collections import Counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import written
-from annalist.llm.pieces import cut, matcher, slices
+from annalist.llm.common import work_path
+from annalist.llm.pieces import Recent, cut, matcher, slices
 
-#: Words that are encoded once and broadcast, at most.
-MOST_FREQUENT = 1 << 18
 #: Up to so many bytes a word's ranks are kept from merge to merge; longer words merge all places of a pair at once.
 SHORT = 64
 _BUCKETS = 1 << 14
@@ -60,7 +61,10 @@ def _let(value: Column, body) -> Column:
 
 def encode_words(word: Column, ranks: Column) -> Column:
     """array<int>: ids of one word; a null or empty word has none."""
+    return _let(ranks, lambda r: _encoded(word, r))
 
+
+def _encoded(word: Column, ranks: Column) -> Column:
     def rank(piece):
         return _let(piece, lambda x: F.coalesce(F.try_element_at(F.try_element_at(ranks, (F.crc32(x) % _BUCKETS).cast("int") + 1), x), F.lit(_NONE)))
 
@@ -99,111 +103,123 @@ def encode_words(word: Column, ranks: Column) -> Column:
     return F.when(F.length(word) > 0, _let(as_bytes, fold)).otherwise(F.array().cast("array<int>"))
 
 
-def count_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """word, n: all distinct words of the texts with their numbers of places."""
+def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
+    """block (number of the partition), word: the distinct words of each partition."""
 
     def run(batches):
-        find, first, rest = matcher(pattern), Counter(), Counter()
-
-        def flush():
-            words: Counter = Counter()
-            for prefix, pieces in (("", first), (" ", rest)):
-                for piece, n in pieces.items():
-                    for word in find(prefix + piece) if piece or prefix else ():
-                        words[word] += n
-                pieces.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+        words_of, first, rest, told, known = matcher(pattern), set(), set(), set(), set()
+        block = TaskContext.get().partitionId()
+
+        def new():
+            words, other = {w for x in first for w in words_of(x)}, []
+            for x in rest:
+                if x in known:
+                    continue
+                if x.isalpha():
+                    words.add(" " + x)
+                else:
+                    other.append(x)
+            for x in other:
+                words.update(words_of(" " + x))
+            if len(known) < 400_000:
+                known.update(other)
+            first.clear()
+            rest.clear()
+            out = list(words - told)
+            if len(told) < 1_000_000:
+                told.update(out)
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int32()), pa.array(out, pa.string())], ["block", "word"])
 
         for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            for x in texts:
-                pieces = cut(x)
-                first[pieces[0]] += 1
+            for cell in batch.column(0):
+                pieces = cut(cell.as_py() or "")
+                first.add(pieces[0])
                 rest.update(pieces[1:])
-                if len(rest) + len(first) > 400_000:
-                    yield flush()
-        yield flush()
+                if len(rest) + len(first) > 200_000:
+                    yield new()
+        yield new()
+
+    return docs.select("text").mapInArrow(run, "block int, word string")
+
+
+def write_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> str:
+    """Encodes each distinct word once; returns the folder of the table (word, ids as a line of numbers) by block."""
+    path = work_path(docs.sparkSession, "bpe-words")
+    words = distinct_words(docs, pattern).groupBy("word").agg(F.collect_set("block").alias("blocks"))
+    encoded = words.select("blocks", "word", F.array_join(encode_words(F.col("word"), rank_literal(ranks)).cast("array<string>"), ",").alias("ids"))
+    encoded.select(F.explode("blocks").alias("block"), "word", "ids").repartition("block").write.partitionBy("block").parquet(path)
+    return path
+
+
+class BlockWords:
+    """The encoded words of one partition; others are looked up in the whole table."""
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def __init__(self, path: str, block: int):
+        from pyarrow import fs
 
+        self.system, self.base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        self.ids = self._read(f"{self.base}/block={block}")
 
-def frequent_words(counts: DataFrame, most: int = MOST_FREQUENT) -> DataFrame:
-    """The words of the largest counts: as many whole counts as leave `most` words at most."""
-    least, total = None, 0
-    # a row for each power of a slowly growing scale of counts: some hundred at any size
-    level = F.when(F.col("n") <= 64, F.col("n")).otherwise((F.log2(F.col("n").cast("double")) * 8).cast("long") + 64)
-    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():
-        if total + r.words > most:
-            break
-        total, least = total + r.words, r.least
-    return counts.where(F.lit(False) if least is None else F.col("n") >= least)
+    def _read(self, place: str, words=None) -> dict[str, bytes]:
+        import pyarrow.dataset as ds
 
+        if self.system.get_file_info(place).type.name != "Directory":
+            return {}
+        data = ds.dataset(place, filesystem=self.system, format="parquet", schema=pa.schema([("word", pa.string()), ("ids", pa.string())]))
+        table = data.to_table(filter=None if words is None else ds.field("word").isin(words))
+        return dict(zip(table.column("word").to_pylist(), table.column("ids").cast(pa.binary()).to_pylist(), strict=True))
 
-def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, most_frequent: int = MOST_FREQUENT, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    def lack(self, words: list[str]) -> None:
+        """Fetches words that the partition didn't have."""
+        if missing := [w for w in words if w not in self.ids]:
+            self.ids |= self._read(self.base, missing)
+
+
+def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Per document: id, n_tokens, ids_sha256, decoded_sha256 (and the ids themselves if keep_ids)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ranks = read_ranks(rank_path)
-    literal = rank_literal(ranks)
-    counts = written(count_words(docs, pattern), "bpe-words")
-    table = frequent_words(counts, most_frequent).select("word", encode_words(F.col("word"), literal).alias("ids"))
-    known = spark.sparkContext.broadcast({r.word: tuple(r.ids) for r in table.collect()})  # most_frequent rows at most
-    token = spark.sparkContext.broadcast({rank: x for x, rank in ranks.items()})  # the vocabulary
-
-    def rare(batches):
-        find, frequent, seen = matcher(pattern), known.value, {}
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in slices([len(x or "") for x in texts]):
-                found = []
-                for x in texts[i:j]:
-                    pieces = cut(x or "")
-                    own = {w for w in find(pieces[0]) if w not in frequent}
-                    for piece in set(pieces[1:]):
-                        if (words := seen.get(piece)) is None:
-                            words = seen[piece] = tuple(w for w in find(" " + piece) if w not in frequent)
-                        if words:
-                            own.update(words)
-                    found.append(list(own))
-                if len(seen) > 400_000:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text", "words"])
+    path = write_words(docs, pattern, ranks)
+    token = docs.sparkSession.sparkContext.broadcast({b"%d" % rank: x for x, rank in ranks.items()})  # the vocabulary
 
     def whole(batches):
-        find, frequent, pieces_of, cached = matcher(pattern), known.value, token.value, {}
+        words_of, piece_of, table = matcher(pattern), token.value, None
+        numbers, binary, token_of = Recent(300_000), Recent(300_000), piece_of.__getitem__
 
-        def made(text, own):
-            ids = [i for w in find(text) for i in (frequent.get(w) or own[w])]
-            return b",".join(b"%d" % i for i in ids), b"".join([pieces_of[i] for i in ids])
+        def encoded(text: str) -> bytes:
+            if (ids := table.ids.get(text)) is not None:  # the whole piece is one word
+                return ids
+            words = words_of(text)
+            table.lack(words)
+            return b",".join(map(table.ids.__getitem__, words))
+
+        def decoded(ids: bytes) -> bytes:
+            return b"".join(map(token_of, ids.split(b","))) if ids else b""
 
         for batch in batches:
-            doc_ids, texts, words, ids = (batch.column(k).to_pylist() for k in range(4))
-            out = []
-            for x, own in zip(texts, (dict(zip(w, e, strict=True)) for w, e in zip(words, ids, strict=True)), strict=True):
-                first, *rest = cut(x or "")
-                here = {}
-                for piece in set(rest):
-                    if piece not in cached:
-                        text = " " + piece
-                        got = made(text, own)
-                        if own and any(w in own for w in find(text)):
-                            here[piece] = got
-                        else:
-                            cached[piece] = got
-                get = cached.get
-                got = [made(first, own)] + [get(p) or here[p] for p in rest]
-                decimal = b",".join([a for a, _ in got if a])
-                binary = b"".join([b for _, b in got])
-                out.append((decimal.count(b",") + 1 if decimal else 0, hashlib.sha256(decimal).hexdigest(), hashlib.sha256(binary).hexdigest(), decimal))
-                if len(cached) > 300_000:
-                    cached.clear()
-            columns = [pa.array(doc_ids, pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns.append(pa.array([[int(i) for i in x[3].split(b",")] if x[3] else [] for x in out], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    encoded = docs.mapInArrow(rare, "doc_id long, text string, words array<string>").select("doc_id", "text", "words", F.transform("words", lambda w: encode_words(w, literal)).alias("ids"))
+            table = table or BlockWords(path, TaskContext.get().partitionId())
+            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for i, j in slices([len(x or "") for x in texts]):
+                parts = [cut(x or "") for x in texts[i:j]]
+                rest = set()
+                for x in parts:
+                    rest.update(x[1:])
+                for piece in numbers.absent(rest):
+                    numbers[piece] = encoded(" " + piece)
+                for piece in binary.absent(rest):
+                    binary[piece] = decoded(numbers[piece])
+                out = []
+                for first, *others in parts:
+                    ids = encoded(first) if first else b""
+                    data = decoded(ids) + b"".join(map(binary.__getitem__, others))
+                    ids = b",".join([ids, *map(numbers.__getitem__, others)] if ids else map(numbers.__getitem__, others))
+                    out.append((ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest(), ids if keep_ids else None))
+                columns = [doc_ids.slice(i, j - i), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out]), pa.array([x[2] for x in out])]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if keep_ids:
+                    columns.append(pa.array([[int(n) for n in x[3].split(b",")] if x[3] else [] for x in out], pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return encoded.mapInArrow(whole, schema).withColumnRenamed("doc_id", id_col)
+    return docs.mapInArrow(whole, schema).withColumnRenamed("doc_id", id_col)

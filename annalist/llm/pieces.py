@@ -11,6 +11,11 @@ import re
 #: White space beside a space, or a space at the end: there, only places between two other characters are cut.
 _BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 _RARE = re.compile(r"[^\S \n\t\r]")
+_RARE_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def _rare(text: str) -> bool:
+    return any(x in text for x in _RARE_ASCII) if text.isascii() else _RARE.search(text) is not None
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -19,7 +24,7 @@ def cut(text: str) -> list[str]:
 
     Later pieces all start with one space in the text: the text is pieces[0] + ' ' + pieces[1] + ' ' + ...
     """
-    if not (text.endswith(" ") or any(x in text for x in _BESIDE) or _RARE.search(text)):
+    if not (text.endswith(" ") or any(x in text for x in _BESIDE) or _rare(text)):
         return text.split(" ")
     first, *rest = _SAFE.split(text)
     return [first, *(x[1:] for x in rest)]

@@ -25,8 +25,8 @@ def test_fold_equals_the_library(spark):
 def test_documents_equal_the_library(spark):
     e = encoding()
     docs = spark.createDataFrame([(i, t, "en", 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, word int").repartition(3)
-    for most in (0, 5, 1000):
-        rows = encode_and_decode(docs, PATH, public_tokenizers.PATTERN, most_frequent=most, keep_ids=True).collect()
+    for parts in (1, 3):
+        rows = encode_and_decode(docs.coalesce(parts), PATH, public_tokenizers.PATTERN, keep_ids=True).collect()
         assert len(rows) == len(TEXTS)
         for r in rows:
             text = TEXTS[r.doc_id] or ""
@@ -40,3 +40,14 @@ def test_documents_equal_the_library(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert encode_and_decode(docs, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_words_of_another_partition_are_found(spark, monkeypatch):
+    from annalist.llm import bpe
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").coalesce(1)
+    path = bpe.write_words(docs, public_tokenizers.PATTERN, read_ranks(PATH))
+    empty, own = bpe.BlockWords(path, 77), bpe.BlockWords(path, 0)
+    assert not empty.ids and own.ids["The"]
+    empty.lack(["The", " cat"])
+    assert empty.ids == {w: own.ids[w] for w in ("The", " cat")}
