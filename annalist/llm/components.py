@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbours and itself."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -23,23 +23,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one root, and no root has another."""
+    several = edges.groupBy("u").count().where("count > 1")
+    chained = edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi")
+    return several.isEmpty() and chained.isEmpty()
+
+
 def connected(links: DataFrame) -> DataFrame:
     """node, component: for each node of links (u, v) the least node that it reaches.
 
     Every round is a written table, so a lost executor costs one round; a node with many links takes part in
     sums and joins only and is never gathered in one place.
     """
-    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-
-    def state(e):
-        return e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-
-    before = state(edges)
-    while before[0]:
+    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    while True:
         edges = written(_small_star(_large_star(edges)), "links")
-        after = state(edges)
-        if after == before:
+        if _are_stars(edges):
             break
-        before = after
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -5,14 +5,14 @@
    Documents of one digest have the same set: they are one class, known by its smallest id.
 2. Classes that share a band key are candidates. Within a key all members are first held against one of them,
    the member that shares keys with the most others; those that are found linked to it, directly or through
-   others, need no further look. A second member is chosen among the rest. Only classes of a key that are still
-   in different components are then compared with each other, whatever their number: no candidate is dropped.
+   others, need no further look. Only classes of a key that are still in different components are then compared
+   with each other, whatever their number, and each pair once: no candidate is dropped.
 3. A candidate pair's similarity is estimated from the bits that agree, corrected for those that agree by
    chance (1 in 4); pairs far below the threshold go. The others are confirmed on their full sets.
 4. Confirmed links make components; the smallest id of each is kept.
 
 A pair at the threshold shares a key with probability 1 - (1 - 0.8^8)^56 = 0.99997, more above it; the estimate's
-margin is six standard deviations.
+margin is four standard deviations.
 
 Defined cases: a text without words, or a null text, has an empty set and is linked with nothing; with fewer
 words than a shingle takes, the whole sequence is the one shingle; rows with the same id are each their own row
@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 
 from annalist.llm.common import written
 from annalist.llm.components import connected
+from annalist.llm.pieces import Recent
 
 BANDS, ROWS = 56, 8
 LONGS = BANDS * ROWS // 64
 #: Below the threshold by so much, an estimate rules a pair out.
-MARGIN = 0.15
+MARGIN = 0.09
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _random = np.random.default_rng(20)
 _A = _random.integers(0, 1 << 31, (BANDS * ROWS, 1)).astype(np.uint32) * 2 + 1
@@ -130,44 +131,56 @@ def estimate(a: Column, b: Column) -> Column:
     return (F.lit(1.0) - differ / F.lit(BANDS * ROWS) - 0.25) / 0.75
 
 
-def _confirmed(pairs: DataFrame, bits: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _likely(a: str, b: str, percent: int) -> Column:
+    """Whether two classes' sizes allow the similarity, and their bits make it likely."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (estimate(F.col(f"{a}.bits"), F.col(f"{b}.bits")) >= percent / 100 - MARGIN)
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (u, v) whose full sets have percent * union <= 100 * intersection."""
-    near = (
-        pairs.join(bits.select(F.col("node").alias("u"), F.col("bits").alias("a")), "u")
-        .join(bits.select(F.col("node").alias("v"), F.col("bits").alias("b")), "v")
-        .where(estimate(F.col("a"), F.col("b")) >= percent / 100 - MARGIN)
-        .select("u", "v")
-    )
-    both = near.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    own = nodes.select("node", F.struct("n", "bits", "text").alias("x"))
+    both = pairs.join(own.select(F.col("node").alias("u"), F.col("x").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("x").alias("b")), "v").where(_likely("a", "b", percent))
 
     def run(batches):
-        shingles = Shingles(words)
+        shingles, sets = Shingles(words), Recent(2_000)
+
+        def of(text):
+            if sets.absent([text]):
+                sets[text] = shingles(text)
+            return sets[text]
+
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = shingles(a), shingles(b)
+                x, y = of(a), of(b)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "near-links")
+    return written(both.select("u", "v", F.col("a.text").alias("a"), F.col("b.text").alias("b")).mapInArrow(run, "u long, v long"), "near-links")
 
 
-def _placed(postings: DataFrame, found: DataFrame) -> DataFrame:
-    """postings with the component that each node is in so far."""
-    return postings.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _star(postings: DataFrame) -> DataFrame:
+    """Pairs of each key's best-connected node with the key's other nodes."""
+    best = postings.groupBy("key").agg(F.max(F.struct("score", "node")).alias("best")).select("key", F.col("best.node").alias("v"))
+    return postings.join(best, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def _mixed_keys(placed: DataFrame) -> DataFrame:
-    """The postings of keys that hold more than one component."""
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return placed.join(open_keys, "key")
+def _open(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings of keys that hold more than one component, with their components."""
+    placed = postings.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return written(placed.join(keys, "key"), "open-keys")
 
 
-def _star(placed: DataFrame) -> DataFrame:
-    """Pairs of each key's best-connected node with the key's nodes of other components."""
-    best = placed.groupBy("key").agg(F.max(F.struct("score", "node", "component")).alias("best")).select("key", F.col("best.node").alias("v"), F.col("best.component").alias("c"))
-    return placed.join(best, "key").where("component <> c").select(F.col("node").alias("u"), "v").distinct()
+def _rest(opened: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs of different components that share an open key, each at the first of its shared keys only."""
+    rows = opened.join(nodes.select("node", F.struct("n", "bits", "keys").alias("x")), "node").where(F.array_contains("x.keys", F.col("key")))
+    left = rows.select("key", F.col("node").alias("u"), F.col("component").alias("c"), F.col("x").alias("a"))
+    right = rows.select("key", F.col("node").alias("v"), F.col("component").alias("d"), F.col("x").alias("b"))
+    first = F.get(F.filter(F.zip_with("a.keys", "b.keys", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
+    return left.join(right, (left.key == right.key) & (F.col("c") < F.col("d")) & _likely("a", "b", percent) & (first == left.key)).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,47 +188,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketch = written(sketches(docs, words), "sketches")
     classes = written(sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
-    # one row of sketch for each class: rows with a repeated id differ in their digest
-    nodes = sketch.select("doc_id", "digest", "keys", "bits").join(classes.where("node is not null").select(F.col("node").alias("doc_id"), F.col("digest").alias("d")), "doc_id").where("digest = d")
-    nodes = nodes.groupBy("doc_id", "digest").agg(F.first("keys").alias("keys"), F.first("bits").alias("bits")) if _repeated(classes) else nodes
-    postings = nodes.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    postings = written(postings.join(shared, "key"), "postings")
+    # Rows of one id and different texts are one node with several sets; their component is their id anyway.
+    first = classes.where("node is not null").select(F.col("node").alias("doc_id"), F.col("digest").alias("d"))
+    members = sketch.join(first, "doc_id").where("digest = d").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys", "bits")
+    postings = members.select("node", F.explode("keys").alias("key"))
+    shared = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    postings = written(postings.join(shared, "key").distinct(), "postings")
     scores = postings.groupBy("node").agg(F.sum("size").alias("score"))
-    postings = postings.select("key", "node").join(scores, "node")
+    postings = written(postings.select("key", "node").join(scores, "node"), "scored-postings")
     active = scores.select("node")
-    bits = written(nodes.select(F.col("doc_id").alias("node"), "bits").join(active, "node"), "near-bits")
-    wanted = active.join(classes.where("node is not null").select("node", "digest"), "node")
-    texts = written(_class_texts(docs, wanted, words, _repeated(classes)), "near-texts")
-
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "u long, v long")
-    found = spark.createDataFrame([], "node long, component long")
-    placed = _placed(postings, found)
-    for turn in ("star", "star", "rest"):
-        if turn == "star":
-            pairs = _star(placed)
-        else:
-            x, y = placed.select("key", F.col("node").alias("u"), F.col("component").alias("c")), placed.select("key", F.col("node").alias("v"), F.col("component").alias("d"))
-            pairs = x.join(y, "key").where("c < d").select("u", "v").distinct()
-        more = _confirmed(pairs, bits, texts, words, percent)
-        links = links.union(more)
-        if more.isEmpty() and turn == "rest":
-            break
-        found = written(connected(links), "near-components")
-        if turn != "rest":
-            placed = written(_mixed_keys(_placed(postings, found)), "open-keys")
+    texts = docs.join(active.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
+    nodes = written(members.join(active, "node").join(texts, "node"), "near-nodes")
+
+    links = _confirmed(_star(postings), nodes, words, percent)
+    found = written(connected(links), "near-components")
+    more = _confirmed(_rest(_open(postings, found), nodes, percent), nodes, words, percent)
+    if not more.isEmpty():
+        found = written(connected(links.union(more)), "near-components")
 
     many = classes.where("n > 1").select("digest", F.col("node").alias("first"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(many, "digest", "left").withColumn("class_id", F.coalesce("first", "doc_id"))
     out = out.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
-
-
-def _repeated(classes: DataFrame) -> bool:
-    """Whether two classes have the same id, which only rows of a repeated id can have."""
-    return not classes.where("node is not null").groupBy("node").count().where("count > 1").isEmpty()
-
-
-def _class_texts(docs: DataFrame, wanted: DataFrame, words: int, repeated: bool) -> DataFrame:
-    return docs.join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "text")
