@@ -3,8 +3,8 @@
 Words are runs of a-z, 0-9 and characters beyond ASCII, after A-Z are lower-cased; a text is looked through as its
 words with a space between. Base: the places where a phrase's words stand one after another. Short notices are
 found with edits: a notice of m characters may differ by k = m * percent // 100; it is cut into k + 1 seeds of which
-one stands unchanged, an automaton finds all seeds in one pass, and the regex library's bounded-error matching
-verifies the window around a seed and gives the span and its edits.
+one stands unchanged, an automaton finds all seeds in one pass, a bit-parallel distance drops the windows that
+can't match, and the regex library's bounded-error matching verifies the others and gives the span and its edits.
 
 score: 1 for a base phrase; else for the best notice one minus its edits over its length; 0 without any.
 
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.decontaminate import Masks
+
 PERCENT = 12
 #: Phrase and label, as the contract gives them.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -47,7 +49,6 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 class Notices:
     def __init__(self, notices=NOTICES, percent: int = PERCENT):
         import ahocorasick
-        import regex
 
         self.notices, seeds = [], {}
         for n, (text, label) in enumerate(notices):
@@ -55,12 +56,22 @@ class Notices:
             cuts = [i * len(text) // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 seeds.setdefault(text[a:b], []).append((n, a, b - a))
-            self.notices.append((label, len(text), k, regex.compile(rf"(?be)\b(?:{regex.escape(text, special_only=True)}){{e<={k}}}\b" if k else rf"\b{regex.escape(text)}\b")))
+            self.notices.append((label, Masks(text), k))
+        self.patterns: dict = {}
         self.seeds = ahocorasick.Automaton()
         for seed, owners in seeds.items():
             self.seeds.add_word(seed, owners)
         self.seeds.make_automaton()
 
+    def _found(self, n: int, edits: int, text: str, low: int, high: int):
+        """The first match of a notice with so many edits, by the regex library."""
+        import regex
+
+        if (n, edits) not in self.patterns:
+            notice = regex.escape(self.notices[n][1].text, special_only=True)
+            self.patterns[n, edits] = regex.compile(rf"\b(?:{notice}){{e<={edits}}}\b" if edits else rf"\b{notice}\b")
+        return self.patterns[n, edits].search(text, low, high)
+
     def spans(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """(label, start, end, edits, length) of the notices in a text of words, the best of overlapping places."""
         starts: dict[int, set] = {}
@@ -69,15 +80,18 @@ class Notices:
                 starts.setdefault(n, set()).add(end + 1 - size - offset)
         found = []
         for n, places in starts.items():
-            label, m, k, pattern = self.notices[n]
+            label, masks, k = self.notices[n]
             past = -1
             for s in sorted(places):
-                if s + m + k <= past:
+                if s + masks.m + k <= past:
                     continue
-                a = max(0, s - k - 1)
-                if (hit := pattern.search(text, a, s + m + k + 1)) is not None:
-                    found.append((label, hit.start(), hit.end(), sum(hit.fuzzy_counts), m))
-                    past = hit.end()
+                low, high = max(0, s - k - 1), s + masks.m + k + 1
+                # the fewest edits without regard to word ends; the pattern is tried from there on
+                for edits in range(masks.search(text[low:high])[0], k + 1):
+                    if (hit := self._found(n, edits, text, low, high)) is not None:
+                        found.append((label, hit.start(), hit.end(), sum(hit.fuzzy_counts), masks.m))
+                        past = hit.end()
+                        break
         best: list = []
         for x in sorted(found, key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])):
             if all(x[2] <= y[1] or y[2] <= x[1] for y in best):
