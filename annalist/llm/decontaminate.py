@@ -2,8 +2,11 @@
 
 Texts are compared in lower case with runs of ASCII marks and white space as one space. An item of m characters
 may differ by k = m * percent // 100 edits; it is cut into k + 1 pieces, and by the pigeonhole principle one of
-them stands unchanged wherever the item does. One pass of an automaton over a text finds all pieces of all items;
-around each place Myers' bit-parallel algorithm gives the least number of edits.
+them stands unchanged wherever the item does. One pass of an automaton over a text finds all pieces of all items.
+The same principle holds for groups of pieces: of p pieces with p - 1 edits or fewer, one half has fewer edits than
+pieces. So a piece's place counts only if the piece beside it stands there with one edit at most, and the four
+pieces around it with three; of one edit, half the piece is free, which a substring test settles mostly. Around
+the places that are left, Myers' bit-parallel algorithm gives the least number of edits of the whole item.
 
 The items are broadcast in blocks of BLOCK_CHARS characters; a larger benchmark takes more passes over the
 documents. Documents are never shuffled.
@@ -31,22 +34,15 @@ def plain(text: str | None) -> str:
     return b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()).decode("utf-8", "surrogatepass")
 
 
-class Pattern:
-    """One item; search gives the fewest edits at which it ends somewhere in a text, and that end."""
+class Masks:
+    """A string's bit masks; search gives the fewest edits at which it ends somewhere in a text, and that end."""
 
-    def __init__(self, item: str, percent: int):
+    def __init__(self, item: str):
         self.text, self.m = item, len(item)
-        self.k = self.m * percent // 100 if self.m >= LEAST_CHARS else 0
         self.places: dict[str, int] = {}
         for i, c in enumerate(item):
             self.places[c] = self.places.get(c, 0) | 1 << i
 
-    def pieces(self):
-        """(offset, piece) of k + 1 pieces."""
-        n = self.k + 1
-        cuts = [i * self.m // n for i in range(n + 1)]
-        return [(a, self.text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-
     def search(self, text: str) -> tuple[int, int]:
         ones, top = (1 << self.m) - 1, 1 << (self.m - 1)
         up, down, edits, best, end = ones, 0, self.m, self.m, 0
@@ -69,29 +65,65 @@ class Pattern:
         return best, end
 
 
+class Pattern(Masks):
+    """One item, its pieces, and the groups of four pieces."""
+
+    def __init__(self, item: str, percent: int):
+        super().__init__(item)
+        self.k = self.m * percent // 100 if self.m >= LEAST_CHARS else 0
+        n = self.k + 1
+        self.cuts = [i * self.m // n for i in range(n + 1)]
+        self.fours = [(self.cuts[i], min(4, n - i) - 1, Masks(item[self.cuts[i] : self.cuts[min(i + 4, n)]])) for i in range(0, n, 4)]
+
+    def pieces(self) -> list[tuple[int, str]]:
+        """(offset, piece) of k + 1 pieces."""
+        return [(a, self.text[a:b]) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+
+    def beside(self, i: int) -> tuple[int, int, str | None, str | None]:
+        """Where the piece beside piece i lies from i's start, with an edit, and its halves; no halves without such a piece."""
+        j = i ^ 1
+        if j > self.k:
+            return 0, 0, None, None
+        own, other = self.cuts[i + 1] - self.cuts[i], self.text[self.cuts[j] : self.cuts[j + 1]]
+        n, half = len(other), len(other) // 2
+        return (own - 1, own + n + 2, other[:half], other[half:]) if j > i else (-n - 2, 1, other[:half], other[half:])
+
+    def four_stand(self, i: int, text: str, start: int) -> bool:
+        """Whether the group of four of piece i is at its place in a text where the item would start at `start`."""
+        offset, edits, masks = self.fours[i // 4]
+        a = max(0, start + offset - edits - 3)
+        return masks.search(text[a : start + offset + masks.m + edits + 3])[0] <= edits
+
+
 def found_in(text: str, automaton, patterns: dict) -> dict:
     """item -> (edits, end) of its best place in a plain text."""
     at: dict = {}
     for end, owners in automaton.iter(text):
-        for item, offset, n in owners:
-            at.setdefault(item, set()).add(end + 1 - n - offset)
+        for item, i, offset, n, lo, hi, left, right in owners:
+            start = end + 1 - n
+            if left is not None:
+                beside = text[max(0, start + lo) : start + hi]
+                if left not in beside and right not in beside:
+                    continue
+            at.setdefault(item, set()).add((start - offset, i))
     out = {}
-    for item, starts in at.items():
+    for item, found in at.items():
         p = patterns[item]
+        starts = sorted({s for s, i in found if not p.k or p.four_stand(i, text, s)})
+        if not starts:
+            continue
         exact = text.find(p.text)
         if exact >= 0 and (p.k or f" {p.text} " in f" {text} "):
             out[item] = (0, exact + p.m)
             continue
         if not p.k:
             continue
-        low = None
-        for s in sorted(starts):
-            if low is not None and s <= high:
-                high = max(high, s + 1)
-                continue
-            if low is not None:
+        low = high = starts[0]
+        for s in starts[1:]:
+            if s > high + 1:
                 _look(p, text, low, high, item, out)
-            low, high = s, s + 1
+                low = s
+            high = s
         _look(p, text, low, high, item, out)
     return out
 
@@ -131,8 +163,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
             patterns = {key: Pattern(text, percent) for key, (_, text) in shared.value.items()}
             pieces: dict[str, list] = {}
             for key, p in patterns.items():
-                for offset, piece in p.pieces():
-                    pieces.setdefault(piece, []).append((key, offset, len(piece)))
+                for i, (offset, piece) in enumerate(p.pieces()):
+                    pieces.setdefault(piece, []).append((key, i, offset, len(piece), *p.beside(i)))
             automaton = ahocorasick.Automaton()
             for piece, owners in pieces.items():
                 automaton.add_word(piece, owners)

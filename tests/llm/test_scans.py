@@ -119,3 +119,28 @@ def test_licenses(spark):
     assert rows[4].labels == "gpl-3" and rows[4].base_labels == "" and 0.8 < rows[4].score < 1 and rows[4].spans[0].edits >= 3
     assert rows[6].labels == "mit" and rows[5].labels == "" and rows[5].score == 0
     assert scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_filters_lose_no_match():
+    import ahocorasick
+
+    from annalist.llm.decontaminate import found_in
+
+    r = random.Random(9)
+    words = ["the", "of", "and", "then", "thing", "river", "stone", "at", "in", "other", "another"]
+    for seed in range(300):
+        item = plain(" ".join(r.choices(words, k=r.randint(9, 40))))
+        p = Pattern(item, 10)
+        automaton = ahocorasick.Automaton()
+        owners: dict = {}
+        for i, (offset, piece) in enumerate(p.pieces()):
+            owners.setdefault(piece, []).append((0, i, offset, len(piece), *p.beside(i)))
+        for piece, o in owners.items():
+            automaton.add_word(piece, o)
+        automaton.make_automaton()
+        text = plain(" ".join(r.choices(words, k=30)) + " " + edited(item, r.randint(0, p.k + 3), seed) + " " + " ".join(r.choices(words, k=30)))
+        best = p.search(text)[0]
+        got = found_in(text, automaton, {0: p})
+        assert (best <= p.k) == bool(got), (seed, best, p.k)
+        if got:
+            assert got[0][0] == best
