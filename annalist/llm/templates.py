@@ -4,8 +4,8 @@ A line's tokens that hold a digit or an @ are variable fields and become <*>, un
 number of tokens, then the leading DEPTH tokens; a line lands in one leaf. In a leaf of several different lines,
 the line of most documents is a template; lines that agree with it in SIMILAR per cent of their positions belong to
 it, the other positions being variable too. The leaf's remaining lines get a second template, and what is left
-after ROUNDS templates stands for itself. Only lines of SHORTEST to LONGEST tokens are generalised; longer ones
-are paragraphs, whose template is the line with its variable fields.
+after ROUNDS templates stands for itself. Lines of SHORTEST tokens or more are generalised; dropped_lines, which its
+SQL describes, leaves those over LONGEST tokens to the line with its variable fields.
 
 A template of MIN_DOCS documents or more is recurring: its lines are dropped from all documents but the first (the
 smallest doc_id). Lines under LEAST_TOKENS tokens stay.
@@ -45,9 +45,12 @@ def masked_tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9@]"), _let(tokens, masked)).otherwise(tokens)
 
 
-def line_forms(docs: DataFrame) -> DataFrame:
+def line_forms(docs: DataFrame, longest: int | None = LONGEST) -> DataFrame:
     """doc_id, at (line numbers from 0), leaf, form, n, masked (for lines that can be generalised): a row per form of a document."""
 
+    def generalised(n: Column) -> Column:
+        return n >= SHORTEST if longest is None else n.between(SHORTEST, longest)
+
     def form(line, at):
         return _let(
             masked_tokens(line),
@@ -56,7 +59,7 @@ def line_forms(docs: DataFrame) -> DataFrame:
                 F.size(t).alias("n"),
                 F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"),
                 F.xxhash64(t).alias("form"),
-                F.when(F.size(t).between(SHORTEST, LONGEST), F.array_join(t, " ")).alias("masked"),
+                F.when(generalised(F.size(t)), F.array_join(t, " ")).alias("masked"),
             ),
         )
 
@@ -79,9 +82,9 @@ def templates(lines: DataFrame) -> DataFrame:
     return out.where("form <> template")
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, at: the lines to drop; docs has doc_id and text."""
-    lines = written(line_forms(docs), "lines")
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, longest: int | None = LONGEST) -> DataFrame:
+    """doc_id, at: the lines to drop; docs has doc_id and text. longest: None generalises lines of every length."""
+    lines = written(line_forms(docs, longest), "lines")
     mapped = lines.select("doc_id", "at", "leaf", "form").join(templates(lines), ["leaf", "form"], "left").withColumn("template", F.coalesce("template", "form")).select("doc_id", "at", "leaf", "template")
     counts = mapped.select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
     return mapped.join(counts.select("leaf", "template", "first"), ["leaf", "template"]).where("doc_id > first").select("doc_id", "at")
@@ -96,7 +99,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs without the recurring lines; documents that have no other line with a token go. n_chars follows the text."""
-    drop = recurring_lines(docs.select("doc_id", "text"), min_docs).groupBy("doc_id").agg(F.collect_set("at").alias("_dropped"))
+    drop = recurring_lines(docs.select("doc_id", "text"), min_docs, longest=None).groupBy("doc_id").agg(F.collect_set("at").alias("_dropped"))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("_dropped", i), x))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     out = docs.join(drop, "doc_id", "left").withColumn("text", text).where(F.col("_dropped").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

@@ -162,3 +162,12 @@ def test_templates_equal_plain_loops(spark):
     assert sum(PASSAGE in (t or "") for t in kept.values()) == 1
     assert all(any(x in (kept[d] or "") for d in kept) for x in ("short one here", "exactly four words here"))
     assert dropped_lines(docs.limit(0)).count() == 0
+
+
+def test_long_lines_that_differ_in_a_word_recur(spark):
+    own = "A line of its own in document number"
+    words = PASSAGE.split()
+    texts = [f"{own} x{'abcdefg'[i] * 3}y\n" + " ".join([*words[:30], "name" + "abcdefg"[i], *words[31:]]) for i in range(7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {x.doc_id: x.text for x in without_recurring_lines(docs).collect()}
+    assert [i for i in kept if words[0] in kept[i]] == [0]
