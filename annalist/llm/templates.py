@@ -3,8 +3,8 @@
 A line's tokens that hold a digit or an @ are variable fields and become <*>, unless most of its tokens do. The tree has three levels: the
 number of tokens, then the leading DEPTH tokens; a line lands in one leaf. In a leaf of several different lines,
 the line of most documents is a template; lines that agree with it in SIMILAR per cent of their positions belong to
-it, the other positions being variable too. The leaf's remaining lines get a second template, and what is left
-after ROUNDS templates stands for itself. Lines of SHORTEST tokens or more are generalised; dropped_lines, which its
+it, the other positions being variable too. The leaf's remaining lines get the next template, until none is left:
+ROUNDS templates by joins over all leaves, the others leaf by leaf in tasks. Lines of SHORTEST tokens or more are generalised; dropped_lines, which its
 SQL describes, leaves those over LONGEST tokens to the line with its variable fields.
 
 A template of MIN_DOCS documents or more is recurring: its lines are dropped from all documents but the first (the
@@ -79,7 +79,22 @@ def templates(lines: DataFrame) -> DataFrame:
         found = judged.where("in").select("leaf", "form", "template")
         out = found if out is None else out.union(found)
         rest = judged.where("not in").select("leaf", "form", "n", "docs", "masked")
-    return out.where("form <> template")
+    return out.union(rest.groupBy("leaf").applyInPandas(_further, "leaf long, form long, template long")).where("form <> template")
+
+
+def _further(forms):
+    """The same for the forms of a leaf that the joined rounds left: the first in order takes those that agree with it."""
+    import numpy as np
+
+    forms = forms.sort_values(["docs", "masked", "form"], ascending=False, key=lambda c: c.str.encode("utf-8") if c.name == "masked" else c)
+    form, number = forms["form"].to_numpy(), {}
+    words = np.array([[number.setdefault(w, len(number)) for w in x.split(" ")] for x in forms["masked"]], dtype=np.int32)
+    template, left = form.copy(), np.arange(len(form))
+    while len(left):
+        agree = (words[left] == words[left[0]]).sum(axis=1) * 100 >= words.shape[1] * SIMILAR
+        template[left[agree]] = form[left[0]]
+        left = left[~agree]
+    return forms[["leaf", "form"]].assign(template=template)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, longest: int | None = LONGEST) -> DataFrame:

@@ -171,3 +171,14 @@ def test_long_lines_that_differ_in_a_word_recur(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     kept = {x.doc_id: x.text for x in without_recurring_lines(docs).collect()}
     assert [i for i in kept if words[0] in kept[i]] == [0]
+
+
+def test_third_template_of_a_leaf(spark):
+    """Two repeated lines take the joined rounds; a template whose variable word gives each document its own form remains."""
+    same = ["We all think apples are red fruit", "We all think the sky was blue"]
+    other = "We all think {} must go home"
+    texts = ["\n".join([*same, other.format("name" + "abcdefg"[i])]) for i in range(7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert plain_templates(texts, rounds=99) != plain_templates(texts)
+    rows = {x.doc_id: list(x.dropped) for x in dropped_lines(docs).collect() if x.n_dropped}
+    assert rows == plain_templates(texts, rounds=99) == {i: [0, 1, 2] for i in range(1, 7)}
