@@ -33,14 +33,16 @@ class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers; most: pieces kept in the cache.
 
     A piece's matches are given to the library's model one by one, each in the alphabet that stands for bytes; the
-    library's whole encoder would do the same work for them at several times the cost.
+    library's whole encoder would do the same work for them at several times the cost. With added_tokens, texts that
+    hold one of the tokenizer's added tokens go to the library whole, as it takes those out of a text first.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.model, self.words = tokenizer.model, matcher()
+        self.tokenizer, self.model, self.words = tokenizer, tokenizer.model, matcher()
+        self.added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -52,7 +54,15 @@ class PieceEncoder:
             found = [tokenize(w.encode().decode("latin-1").translate(alphabet)) for w in words(prefix + piece)]
             cache[piece] = array("I", [t.id for x in found for t in x]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[str], added_tokens: bool = False) -> list[bytes]:
+        whole = {i: self._whole(x) for i, x in enumerate(texts) if any(a in x for a in self.added)} if added_tokens else {}
+        found = iter(self._pieces([x for i, x in enumerate(texts) if i not in whole] if whole else texts))
+        return [whole[i] if i in whole else next(found) for i in range(len(texts))]
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
         parts = [cut(x) for x in texts]
         rest, first = set(), set()
         for x in parts:
@@ -74,8 +84,11 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array<int>), each with end_id after it; row by row, in the order of docs."""
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+    """doc_id and ids (array<int>), each with end_id after it; row by row, in the order of docs.
+
+    added_tokens: text that spells one of the tokenizer's added tokens is that token, as in the library by default.
+    """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
@@ -83,7 +96,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_c
         for batch in batches:
             ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             for i, j in slices([len(x) for x in texts]):
-                found = [x + end for x in own.encode(texts[i:j])]
+                found = [x + end for x in own.encode(texts[i:j], added_tokens)]
                 offsets = np.zeros(len(found) + 1, dtype=np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
@@ -92,10 +105,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_c
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> None:
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
-        encode_documents(ordered, tokenizer_path, end_id)
+        encode_documents(ordered, tokenizer_path, end_id, added_tokens=added_tokens)
         .write.option("compression", "zstd")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
@@ -134,8 +147,8 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def tokenise_to_orc(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def tokenise_to_orc(docs: DataFrame, tokenizer_path: str, end_id: int = 0, added_tokens: bool = False) -> DataFrame:
     """Writes the files below the shared folder and returns their digests."""
     path = work_path(docs.sparkSession, "tokens")
-    write_token_files(docs, path, tokenizer_path, end_id)
+    write_token_files(docs, path, tokenizer_path, end_id, added_tokens=added_tokens)
     return token_digests(docs.sparkSession, path)

@@ -73,3 +73,20 @@ def test_matches_equal_the_pattern():
     for t in [*TEXTS, "don't stop, we'll!! go... ok?", "a1 b2, c3.", "x's y've", "ǅ ª º ⅷ ²", " 'tis", "é, ñ."]:
         first, *rest = cut(t or "")
         assert [m for x in [first, *(" " + y for y in rest)] for m in matcher()(x)] == find(t or "")
+
+
+def test_added_tokens_equal_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from annalist.llm.queries import QUERIES
+
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "plain text", None, "a<|endoftext|><|endoftext|> b ", "<|endoftext", "last one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    t, want, start = Tokenizer.from_file(PATH), {}, 0
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        want[i] = (start, len(ids), zlib.crc32(array("I", ids).tobytes()))
+        start += len(ids)
+    assert t.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op5_token_files"](spark, str(tmp_path)).collect()}
+    assert got == want
