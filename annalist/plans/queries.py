@@ -339,7 +339,7 @@ select r as source_row, cast(o as integer) as ord, kind, kind || ':t' || cast(r
 
 
 def _runs(spark, sf_dir) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 400")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n, none = F.col("doc_id").cast("string"), F.lit(None).cast("string")
     challenge = F.when(F.col("doc_id") % 2 == 0, '{"text":"c"}').otherwise("")
     retro = F.concat(F.lit('{"summary":"s'), n, F.lit('","learnings":["a","","b"],"challenges":['), challenge, F.lit('],"confidence":0.5}'))
@@ -351,7 +351,7 @@ def _runs(spark, sf_dir) -> DataFrame:
 
 @query(_RUN_SQL)
 def convergence_trajectory(spark, sf_dir):
-    return convergence.trajectory_events(_runs(spark, sf_dir)).select("source_row", "ord", "kind", "event_id", "ts", "content", "confidence")
+    return convergence.trajectory_events(_runs(spark, sf_dir).where("rowid < 400")).select("source_row", "ord", "kind", "event_id", "ts", "content", "confidence")
 
 
 @query(None)
@@ -361,6 +361,6 @@ def outbox_batch(spark, sf_dir):
 
 @query("select doc_id as rowid, 't' || cast(doc_id as varchar) as id, 1704067200000 + doc_id as timestamp_ms from documents where doc_id < 400 and contains('s' || cast(doc_id as varchar), 's39') order by timestamp_ms desc, id limit 20")
 def search_trajectories(spark, sf_dir):
-    runs = _runs(spark, sf_dir).withColumn("search_text", F.get_json_object("retrospective_json", "$.summary"))
+    runs = _runs(spark, sf_dir).where("rowid < 400").withColumn("search_text", F.get_json_object("retrospective_json", "$.summary"))
     return search.search_trajectories(runs.withColumns({"persona_id": F.lit(""), "project_id": F.lit("")}), "S39").select("rowid", "id", "timestamp_ms")
 
