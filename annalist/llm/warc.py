@@ -1,15 +1,17 @@
 """WARC archives: a gzip member per record, written once per payload, and a sequential reader.
 
 Writing: the smallest page of a payload of LEAST_REVISIT bytes or more is found by sums over digests (no text is
-gathered) and the pages are written where they lie, in archives of about ARCHIVE_BYTES. An archive's name is
-new for each attempt of a task; the table of archives is written when their tasks have ended, and readers take
-names from it alone, so that files of lost or repeated tasks are never read.
+gathered). One join by page_id tells every page what it refers to; it moves each page once, and its tasks write
+archives of up to ARCHIVE_BYTES. An archive's name is new for each attempt of a task; the table of archives is written
+when their tasks have ended, and readers take names from it alone, so that files of lost or repeated tasks are never
+read.
 
-Reading: archives are dealt to tasks by name. A task inflates a file in small blocks, takes each member's header
+Reading: archives are dealt to as many tasks as there are archives, whatever their size. A task inflates a file in small blocks, takes each member's header
 lines, then exactly as many bytes as its content length says, holds the payload against its digest, and goes on.
 
 Defined cases: a null payload counts as empty; a null url has no target line; of rows with the same page_id and
-payload, one is the response and its repetitions are responses too; an empty table gives no records.
+payload, one is the response and its repetitions are responses too; a page without an id is a response and nothing
+refers to it; an empty table gives no records; other columns are ignored. page_id is an integer (long).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from annalist.llm.common import work_path
 
 LEAST_REVISIT = 100
-ARCHIVE_BYTES = 32 << 20
+ARCHIVE_BYTES = 256 << 20
 BLOCK = 1 << 16
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,7 +38,7 @@ def _file_system(path: str):
     """The file system of a folder that Spark wrote to, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", path)))
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
@@ -64,8 +66,8 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> b
     return pack.compress("\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + content + b"\r\n\r\n") + pack.flush()
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Writes below folder; returns the table of archives (path, records, bytes), which is stored there too."""
+def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes below folder; returns the table of archives (path as Spark knows it, records, bytes), which is stored there too."""
     html = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     slim = pages.where(F.octet_length("html") >= least).select("page_id", "digest")
@@ -76,22 +78,22 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, da
     def run(batches):
         system, base = _file_system(folder)
         system.create_dir(base, recursive=True)
-        out, path, n, size, closed = None, "", 0, 0, []
+        out, name, n, size, closed = None, "", 0, 0, []
         for batch in batches:
             for page_id, url, text, digest, refers_to in zip(*(batch.column(k) for k in range(5)), strict=True):
                 if out is None:
-                    path, n, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = system.open_output_stream(path, compression=None)
+                    name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = system.open_output_stream(f"{base}/{name}", compression=None)
                 member = record(page_id.as_py(), url.as_py(), text.as_py().encode(), digest.as_py(), refers_to.as_py(), date)
                 out.write(member)
                 n, size = n + 1, size + len(member)
-                if size >= ARCHIVE_BYTES:
+                if size >= archive_bytes:
                     out.close()
-                    closed.append((path, n, size))
+                    closed.append((f"{folder}/{name}", n, size))
                     out = None
         if out is not None:
             out.close()
-            closed.append((path, n, size))
+            closed.append((f"{folder}/{name}", n, size))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in closed], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
     records.mapInArrow(run, "path string, records long, bytes long").write.parquet(f"{folder}/archives")
@@ -173,7 +175,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                             rows, held = [], 0
                 yield _batch(rows)
 
-    return archives.select("path").repartition(F.col("path")).mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in FIELDS))
+    n = max(1, archives.count())  # a number that is given: adaptive execution would merge these few small rows into one task
+    return archives.select("path").repartitionByRange(n, "path").mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in FIELDS))
 
 
 FIELDS = (("page_id", "long", pa.int64()), ("url", "string", pa.string()), ("payload_bytes", "long", pa.int64()), ("payload_digest", "string", pa.string()), ("record_type", "string", pa.string()), ("refers_to", "long", pa.int64()), ("payload", "string", pa.string()))
