@@ -37,7 +37,7 @@ def op4_decontamination(spark, sf_dir):
 
 
 def op5_token_files(spark, sf_dir):
-    return tokenise_to_orc(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+    return tokenise_to_orc(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("row")
 
 
 def op6_warc(spark, sf_dir):

@@ -1,19 +1,21 @@
 """Token ids in ORC files: written in document order, read back stripe by stripe.
 
-Writing: a range exchange by doc_id and a sort inside partitions give files in ascending order of ids; the
-texts are encoded in Arrow batches by the tokenizers library, each distinct piece of text once per worker
+Writing: a range exchange by doc_id and a sort inside partitions give files in ascending order of ids; every row
+carries its number in that order; the texts are encoded in Arrow batches by the tokenizers library, each distinct piece of text once per worker
 while it stays in a bounded cache. ORC keeps integers in run-length encoding, a row index every few thousand
 rows, and a Bloom filter on doc_id, so that readers split files at stripes and skip row groups by metadata.
 
 Reading: per document the count and checksum of the ids come from the files; the ids before a document are
-the totals of earlier files (one row a file) plus a running sum inside its file.
+the totals of earlier files (one row a file) plus a running sum inside its file, in the order of the rows' numbers.
 
-Defined cases: a null text counts as empty and holds the end id only; rows with the same doc_id are ordered by
-their text; a null doc_id comes first; an empty table gives no rows; other columns are ignored.
+Defined cases: a null or empty text holds the end id only; text that spells an added token of the tokenizer is that
+token, as in the library; rows with the same doc_id are ordered by their text's checksum; a null doc_id comes first; an
+empty table gives no rows; other columns are ignored. doc_id is an integer (long).
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 
@@ -27,14 +29,16 @@ from annalist.llm.pieces import Recent, cut, matcher, slices
 
 ROW_INDEX_STRIDE = 2_000
 STRIPE_BYTES = 16 << 20
+SCHEMA = "doc_id long, row long, ids array<int>"
 
 
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers; most: pieces kept in the cache.
 
     A piece's matches are given to the library's model one by one, each in the alphabet that stands for bytes; the
-    library's whole encoder would do the same work for them at several times the cost. With added_tokens, texts that
-    hold one of the tokenizer's added tokens go to the library whole, as it takes those out of a text first.
+    library's whole encoder would do the same work for them at several times the cost. Texts that hold one of the
+    tokenizer's added tokens go to the library whole, as it takes those out of a text first; so do all texts where
+    the file asks for anything but plain byte-level BPE.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -43,22 +47,41 @@ class PieceEncoder:
         tokenizer = Tokenizer.from_file(path)
         self.tokenizer, self.model, self.words = tokenizer, tokenizer.model, matcher()
         self.added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+        self.plain = byte_level(json.loads(tokenizer.to_str()))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.rest, self.first = Recent(most), Recent(20_000)
+        self.rest, self.first, self.marks = Recent(most), Recent(20_000), Recent(20_000)
+
+    def _ids(self, match: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(match.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+
+    def _mark(self, marks: str) -> bytes:
+        if self.marks.absent((marks,)):
+            self.marks[marks] = self._ids(marks)
+        return self.marks[marks]
 
     def _learn(self, cache: Recent, prefix: str, pieces: set) -> None:
-        tokenize, words, alphabet = self.model.tokenize, self.words, self.alphabet
+        """Most pieces are letters, or letters and marks after them: two matches, of which the first is often known."""
+        ids, words = self._ids, self.words
         for piece in cache.absent(pieces):
-            found = [tokenize(w.encode().decode("latin-1").translate(alphabet)) for w in words(prefix + piece)]
-            cache[piece] = array("I", [t.id for x in found for t in x]).tobytes()
+            if piece.isalpha():
+                if piece not in cache:
+                    cache[piece] = ids(prefix + piece)
+                continue
+            word = piece.rstrip(".,;:!?")
+            if word.isalpha():
+                if word not in cache:
+                    cache[word] = cache.old.get(word) or ids(prefix + word)
+                cache[piece] = cache[word] + self._mark(piece[len(word) :])
+            else:
+                cache[piece] = b"".join(map(ids, words(prefix + piece)))
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[str], added_tokens: bool = False) -> list[bytes]:
-        whole = {i: self._whole(x) for i, x in enumerate(texts) if any(a in x for a in self.added)} if added_tokens else {}
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {i: self._whole(x) for i, x in enumerate(texts) if not self.plain or any(a in x for a in self.added)}
         found = iter(self._pieces([x for i, x in enumerate(texts) if i not in whole] if whole else texts))
         return [whole[i] if i in whole else next(found) for i in range(len(texts))]
 
@@ -74,6 +97,14 @@ class PieceEncoder:
         return [self.first[x[0]] + b"".join(map(get, x[1:])) for x in parts]
 
 
+def byte_level(file: dict) -> bool:
+    """Whether a tokenizer's file asks for byte-level BPE and nothing else: pieces may then be encoded one by one."""
+    before, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return bool(plain and model.get("type") == "BPE" and not any(model.get(k) for k in odd) and not any(file.get(k) for k in ("normalizer", "truncation", "padding")))
+
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -84,31 +115,34 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
-    """doc_id and ids (array<int>), each with end_id after it; row by row, in the order of docs.
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row and ids (array<int>), each with end_id after it; row by row, in the order of docs.
 
-    added_tokens: text that spells one of the tokenizer's added tokens is that token, as in the library by default.
+    row: the column row_col, or the number of the row in its partition's range of numbers.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         own = encoder(tokenizer_path)
         for batch in batches:
-            ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
+            ids, rows, texts = batch.column(0), batch.column(1), [x or "" for x in batch.column(2).to_pylist()]
             for i, j in slices([len(x) for x in texts]):
-                found = [x + end for x in own.encode(texts[i:j], added_tokens)]
+                found = [x + end for x in own.encode(texts[i:j])]
                 offsets = np.zeros(len(found) + 1, dtype=np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), rows.slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "row", "ids"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    return docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> None:
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Ranges are cut by doc_id and the text's checksum, so that many rows of one id are shared out."""
+    order = ["doc_id", "h"]
+    ranged = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     (
-        encode_documents(ordered, tokenizer_path, end_id, added_tokens=added_tokens)
+        encode_documents(ranged, tokenizer_path, end_id)
         .write.option("compression", "zstd")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
@@ -120,35 +154,34 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and ids; a filter on doc_id skips files, stripes and row groups by their statistics and Bloom filters."""
-    return spark.read.schema("doc_id long, ids array<int>").orc(path)
+    """doc_id, row (its order) and ids; a filter on doc_id skips files, stripes and row groups by their statistics and Bloom filters."""
+    return spark.read.schema(SCHEMA).orc(path)
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32, row."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
             crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "ids_crc32"])
-
-    read = read_token_files(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids")
-    rows = read.mapInArrow(run, "file string, doc_id long, n_tokens long, ids_crc32 long")
-    rows = written(rows, "token-digests")
-    files = rows.groupBy("file").agg(F.min("doc_id").alias("least"), F.sum("n_tokens").alias("tokens"))  # a row a file
-    files = files.select("file", F.coalesce(F.sum("tokens").over(Window.orderBy(F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "row", "n_tokens", "ids_crc32"])
+
+    read = read_token_files(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "row", "ids")
+    rows = written(read.mapInArrow(run, "file string, doc_id long, row long, n_tokens long, ids_crc32 long"), "token-digests")
+    files = rows.groupBy("file").agg(F.min("row").alias("least"), F.sum("n_tokens").alias("tokens"))  # a row a file
+    files = files.select("file", F.coalesce(F.sum("tokens").over(Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.withColumn("upto", F.sum("n_tokens").over(inside))
         .join(F.broadcast(files), "file")
-        .select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).cast("long").alias("start"), "n_tokens", "ids_crc32")
+        .select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).cast("long").alias("start"), "n_tokens", "ids_crc32", "row")
     )
 
 
-def tokenise_to_orc(docs: DataFrame, tokenizer_path: str, end_id: int = 0, added_tokens: bool = False) -> DataFrame:
+def tokenise_to_orc(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Writes the files below the shared folder and returns their digests."""
     path = work_path(docs.sparkSession, "tokens")
-    write_token_files(docs, path, tokenizer_path, end_id, added_tokens=added_tokens)
+    write_token_files(docs, path, tokenizer_path, end_id)
     return token_digests(docs.sparkSession, path)

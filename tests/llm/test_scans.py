@@ -83,6 +83,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert read_archives(write_archives(pages.limit(0), str(tmp_path / "e"))).count() == 0
 
 
+def test_archives_are_read_in_parallel(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 200) for i in range(60)], "page_id long, url string, html string").repartition(3)
+    tasks = {}
+    for size in (1, 10_000):
+        archives = write_archives(pages, str(tmp_path / f"w{size}"), archive_bytes=size).cache()
+        read = read_archives(archives).withColumn("task", F.spark_partition_id())
+        tasks[size] = (archives.count(), read.select("task").distinct().count(), read.select("page_id").distinct().count())
+    assert tasks[1][0] == 60 and tasks[1][1] > 40 and tasks[1][2] == tasks[10_000][2] == 60 and tasks[10_000][1] == tasks[10_000][0] < 10
+
+
+def test_warc_odd_pages(spark, tmp_path):
+    long, other = "a" * 150, "b" * 99
+    rows = [(None, "u", long), (None, None, None), (4, "u", long), (4, "u", long), (9, "v", long), (9, "v", other), (11, "w", other), (12, "", "c" * 100), (13, "", "c" * 100), (13, "", "c" * 100)]
+    pages = spark.createDataFrame([(*r, "x", 0) for r in rows], "page_id long, url string, html string, digest string, refers_to int")
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in read_archives(write_archives(pages, str(tmp_path / "w"))).collect()))
+    assert got == sorted([(0, 150, "response", 0), (0, 0, "response", 0), (4, 150, "response", 0), (4, 150, "response", 0), (9, 150, "revisit", 4), (9, 99, "response", 0), (11, 99, "response", 0), (12, 100, "response", 0), (13, 100, "revisit", 12), (13, 100, "revisit", 12)])
+
+
 def test_reader_rejects_damage():
     import io
 

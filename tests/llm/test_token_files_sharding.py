@@ -6,7 +6,7 @@ import pytest
 
 from annalist.llm.pieces import cut
 from annalist.llm.sharding import shard_by_bytes
-from annalist.llm.token_files import read_token_files, tokenise_to_orc, write_token_files
+from annalist.llm.token_files import read_token_files, token_digests, tokenise_to_orc, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", None, "a", " a  b \n c\n\nd ", "The cat's  hat.\nNext line\twith tab", "  lead", "trail  ", "日本語 テスト é ñ", "x" * 3000, "a b " * 900, "same text", "same text", "\x1c odd \x1f space", "nb sp  wide", "<|endoftext|> here"]
@@ -26,7 +26,6 @@ def test_token_files_equal_the_library(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want, start = {}, 0
     for i, x in enumerate(TEXTS):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
@@ -36,6 +35,38 @@ def test_token_files_equal_the_library(spark, docs):
     assert got == want
 
 
+def test_starts_point_into_the_files(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, "one"), (3, "two two"), (3, None), (3, "three three three"), (None, "no id"), (None, "none"), (9, TEXTS[9]), (9, TEXTS[9])] + [(7, f"hot {i} " * (i % 5)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    write_token_files(docs, str(tmp_path / "t"), PATH)
+    stream = [r for r in read_token_files(spark, str(tmp_path / "t")).orderBy("row").collect()]
+    assert [r.doc_id for r in stream] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+    told = token_digests(spark, str(tmp_path / "t")).orderBy("row").collect()
+    start = 0
+    for r, x in zip(told, stream, strict=True):
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (x.doc_id, start, len(x.ids), zlib.crc32(array("I", x.ids).tobytes()))
+        start += len(x.ids)
+    encoded = sorted((x or 0, t or "") for x, t in rows)
+    assert len(stream) == len(encoded)
+
+
+def test_another_kind_of_file_goes_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from annalist.llm.token_files import PieceEncoder
+
+    assert PieceEncoder(PATH).plain
+    file = json.loads(open(PATH).read())
+    file["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    other, t = PieceEncoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not other.plain
+    texts = [x or "" for x in TEXTS]
+    assert other.encode(texts) == [array("I", t.encode(x, add_special_tokens=False).ids).tobytes() for x in texts]
+
+
 def test_token_files_prune_by_id(spark, docs, tmp_path):
     write_token_files(docs, str(tmp_path / "t"), PATH)
     df = read_token_files(spark, str(tmp_path / "t")).where("doc_id = 2")
@@ -63,6 +94,18 @@ def test_empty_and_repeated(spark, docs):
     assert tokenise_to_orc(twice, PATH).count() == 2 * len(TEXTS)
 
 
+def test_shards_of_null_and_tied_ids(spark):
+    rows = [(None, "a"), (None, "bb"), (1, "x"), (1, "x"), (1, None), (2, "y" * 5000), (3, "")]
+    docs = spark.createDataFrame([(*r, "t", 5) for r in rows], "doc_id long, text string, law string, size int").repartition(3)
+    got = shard_by_bytes(docs, 3).collect()
+    assert sorted((r.doc_id or 0, r.size) for r in got) == sorted((i or 0, len(t or "") + 1) for i, t in rows)
+    slots: dict = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert {r.shard for r in got if r.doc_id is None} == {0} and all(r.law == "bytes" and r.grown_shard is None for r in got)
+
+
 def test_matches_equal_the_pattern():
     import regex
 
