@@ -17,8 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset (tests, one machine), a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="annalist-")
-        spark.conf.set("annalist.work.dir", folder)
     return folder.rstrip("/")
 
 
@@ -34,6 +35,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_key_row(rows: DataFrame, keyed: DataFrame, key: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has one row a key; `size` is its count of the key's rows, `total` counts all rows.
+
+    Rows of a common key stay where they are: keys with more than 1,000 rows and a thousandth of all rows, of which there
+    are fewer than a thousand, are broadcast. The other keys' rows meet by key. Rows without a key have no match.
+    how: inner or left. keyed is read several times and so should be a table.
+    """
+    keys = [key] if isinstance(key, str) else key
+    common = F.col(size) > max(1_000, total // 1_000)
+    hot, rest = keyed.where(common), keyed.where(~common)
+    there = rows.dropna(subset=keys)
+    out = there.join(F.broadcast(hot), keys).unionByName(there.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how))
+    if how == "left":
+        out = out.unionByName(rows.where(" or ".join(f"{k} is null" for k in keys)), allowMissingColumns=True)
+    return out
+
+
 def lower_ascii(column):
     """A-Z in lower case; other letters stay."""
     return F.translate(column, A_Z, a_z)

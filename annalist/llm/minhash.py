@@ -5,8 +5,10 @@
    Documents of one digest have the same set: they are one class, known by its smallest id.
 2. Classes that share a band key are candidates. Within a key all members are first held against one of them,
    the member that shares keys with the most others; those that are found linked to it, directly or through
-   others, need no further look. Only classes of a key that are still in different components are then compared
-   with each other, whatever their number, and each pair once: no candidate is dropped.
+   others, need no further look. Keys that still hold several components are open. Of the classes in open keys the
+   shingles are counted that no other has: a class shares none of those with any, which settles most classes, and most
+   pairs, by two numbers. The others are compared with all of their open keys' classes that are in other components,
+   each pair once and in parts of a large key: no candidate is dropped.
 3. A candidate pair's similarity is estimated from the bits that agree, corrected for those that agree by
    chance (1 in 4); pairs far below the threshold go. The others are confirmed on their full sets.
 4. Confirmed links make components; the smallest id of each is kept.
@@ -17,7 +19,7 @@ margin is four standard deviations.
 Defined cases: a text without words, or a null text, has an empty set and is linked with nothing; with fewer
 words than a shingle takes, the whole sequence is the one shingle; rows with the same id are each their own row
 of the result; a null id makes a row of its own class unless others have its set; an empty table gives no rows.
-Sets are compared by 64-bit hashes of shingles.
+Sets are compared by 64-bit hashes of shingles. doc_id is an integer (long); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import written
+from annalist.llm.common import with_key_row, written
 from annalist.llm.components import connected
-from annalist.llm.pieces import Recent
+from annalist.llm.pieces import Recent, slices
 
 BANDS, ROWS = 56, 8
 LONGS = BANDS * ROWS // 64
 #: Below the threshold by so much, an estimate rules a pair out.
 MARGIN = 0.09
+#: A key's members are compared in parts of about so many.
+PART = 2_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _random = np.random.default_rng(20)
 _A = _random.integers(0, 1 << 31, (BANDS * ROWS, 1)).astype(np.uint32) * 2 + 1
@@ -161,26 +165,61 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) ->
     return written(both.select("u", "v", F.col("a.text").alias("a"), F.col("b.text").alias("b")).mapInArrow(run, "u long, v long"), "near-links")
 
 
-def _star(postings: DataFrame) -> DataFrame:
+def _star(postings: DataFrame, total: int) -> DataFrame:
     """Pairs of each key's best-connected node with the key's other nodes."""
-    best = postings.groupBy("key").agg(F.max(F.struct("score", "node")).alias("best")).select("key", F.col("best.node").alias("v"))
-    return postings.join(best, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    best = postings.groupBy("key").agg(F.max(F.struct("score", "node")).alias("best"), F.count("*").alias("size"))
+    best = written(best.select("key", F.col("best.node").alias("v"), "size"), "best")
+    return with_key_row(postings, best, "key", "size", total).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def _open(postings: DataFrame, found: DataFrame) -> DataFrame:
-    """The postings of keys that hold more than one component, with their components."""
-    placed = postings.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return written(placed.join(keys, "key"), "open-keys")
+def _open(postings: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """key, node, component, main, size: the postings of keys that hold more than one component; main is the largest of them."""
+    placed = written(postings.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
+    keys = written(keys.select("key", "size", F.col("most.component").alias("main")), "open-keys")
+    return written(with_key_row(placed, keys, "key", "size", total), "open-postings")
 
 
-def _rest(opened: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components that share an open key, each at the first of its shared keys only."""
-    rows = opened.join(nodes.select("node", F.struct("n", "bits", "keys").alias("x")), "node").where(F.array_contains("x.keys", F.col("key")))
-    left = rows.select("key", F.col("node").alias("u"), F.col("component").alias("c"), F.col("x").alias("a"))
-    right = rows.select("key", F.col("node").alias("v"), F.col("component").alias("d"), F.col("x").alias("b"))
+def _spare(nodes: DataFrame, words: int) -> DataFrame:
+    """node, n, bits, keys, spare: how many of a node's shingles may be in another node's set, too.
+
+    Shingles that only one node has are counted; tasks sum the shingles of their own nodes first.
+    """
+
+    def run(batches):
+        shingles = Shingles(words)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for i, j in slices([len(x or "") for x in texts]):
+                sets = [shingles(x) for x in texts[i:j]]
+                own = np.repeat(batch.column(0).to_numpy()[i:j], [len(x) for x in sets])
+                h, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(own[first]), pa.array(n)], ["h", "node", "n"])
+
+    seen = nodes.select("node", "text").mapInArrow(run, "h long, node long, n long")
+    alone = seen.groupBy("h").agg(F.sum("n").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    rows = nodes.groupBy("node").agg(F.count("*").alias("rows"))  # an id that stands for several sets keeps all it has
+    out = nodes.select("node", "n", "bits", "keys").join(rows, "node").join(alone, "node", "left")
+    return out.select("node", "n", "bits", "keys", (F.col("n") - F.when(F.col("rows") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("spare"))
+
+
+def _rest(opened: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Likely pairs of different components that share an open key, each at the first of its shared keys only.
+
+    Two sets share no more than either's spare shingles, which rules out most members of a large group that aren't like it.
+    Members of a key's main component aren't held against each other, and a large key's members are dealt out in parts.
+    """
+    able = _spare(nodes.join(opened.select("node").distinct(), "node", "left_semi"), words).where(F.col("spare") * 100 >= F.col("n") * percent)
+    rows = opened.join(able.select("node", F.struct("n", "bits", "keys", "spare").alias("x")), "node").where(F.array_contains("x.keys", F.col("key")))
+    rows = rows.withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
+    left = rows.where("component <> main").select("key", F.col("node").alias("u"), F.col("component").alias("c"), F.col("x").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = rows.select("key", F.col("node").alias("v"), F.col("component").alias("d"), (F.col("component") == F.col("main")).alias("in_main"), F.col("x").alias("b"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
     first = F.get(F.filter(F.zip_with("a.keys", "b.keys", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
-    return left.join(right, (left.key == right.key) & (F.col("c") < F.col("d")) & _likely("a", "b", percent) & (first == left.key)).select("u", "v")
+    common = F.least("a.spare", "b.spare")
+    able = common * 100 >= (F.col("a.n") + F.col("b.n") - common) * percent
+    other = F.col("in_main") | (F.col("c") < F.col("d"))
+    return left.join(right, (left.key == right.key) & (left.part == right.part) & other & able & _likely("a", "b", percent) & (first == left.key)).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,25 +227,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketch = written(sketches(docs, words), "sketches")
     classes = written(sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
+    total = classes.count() * BANDS
     # Rows of one id and different texts are one node with several sets; their component is their id anyway.
     first = classes.where("node is not null").select(F.col("node").alias("doc_id"), F.col("digest").alias("d"))
     members = sketch.join(first, "doc_id").where("digest = d").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys", "bits")
     postings = members.select("node", F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    postings = written(postings.join(shared, "key").distinct(), "postings")
+    shared = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    postings = written(with_key_row(postings, written(shared.select("key", "size"), "shared-keys"), "key", "size", total), "postings")
     scores = postings.groupBy("node").agg(F.sum("size").alias("score"))
     postings = written(postings.select("key", "node").join(scores, "node"), "scored-postings")
     active = scores.select("node")
     texts = docs.join(active.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
     nodes = written(members.join(active, "node").join(texts, "node"), "near-nodes")
 
-    links = _confirmed(_star(postings), nodes, words, percent)
+    links = _confirmed(_star(postings, total), nodes, words, percent)
     found = written(connected(links), "near-components")
-    more = _confirmed(_rest(_open(postings, found), nodes, percent), nodes, words, percent)
+    more = _confirmed(_rest(_open(postings, found, total), nodes, words, percent), nodes, words, percent)
     if not more.isEmpty():
         found = written(connected(links.union(more)), "near-components")
 
-    many = classes.where("n > 1").select("digest", F.col("node").alias("first"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(many, "digest", "left").withColumn("class_id", F.coalesce("first", "doc_id"))
-    out = out.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
+    known = classes.join(found, "node", "left").where("n > 1 or component is not null")
+    known = written(known.select("digest", F.col("node").alias("first"), F.coalesce("component", "node").alias("component"), "n"), "near-classes")
+    out = with_key_row(sketch.select("doc_id", "n_shingles", "digest"), known, "digest", "n", total // BANDS, "left")
+    component = F.coalesce("component", "doc_id")
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("first", "doc_id").alias("class_id"))
