@@ -1,18 +1,24 @@
-"""Recurring lines across documents, by a template tree of fixed depth.
+r"""Recurring lines across documents, by a template tree of fixed depth.
 
-A line's tokens that hold a digit or an @ are variable fields and become <*>, unless most of its tokens do. The tree has three levels: the
-number of tokens, then the leading DEPTH tokens; a line lands in one leaf. In a leaf of several different lines,
-the line of most documents is a template; lines that agree with it in SIMILAR per cent of their positions belong to
-it, the other positions being variable too. The leaf's remaining lines get the next template, until none is left:
-ROUNDS templates by joins over all leaves, the others leaf by leaf in tasks. Lines of SHORTEST tokens or more are generalised; dropped_lines, which its
-SQL describes, leaves those over LONGEST tokens to the line with its variable fields.
+Units are lines of LEAST_TOKENS tokens or more, and the sentences of LEAST_SENTENCE tokens or more of lines over
+LONG_LINE tokens, so that a passage inside a long line is found too. A unit's tokens that hold a digit or an @ are
+variable fields and become <*>, unless most of its tokens do; that is the unit's form. The tree has three levels: the
+number of tokens, the leading DEPTH tokens, and the leaf's forms.
+
+In a leaf, forms of SHORTEST tokens or more are generalised. A form belongs to another one that agrees with it in SIMILAR
+per cent of their positions, so the rest of its tokens, cut into one segment more than positions may differ, has a
+segment in common with it. Under each segment of a leaf stands the form of most documents (of equals, the one that comes
+first); a form's candidates are those of its segments. A template is a form that has no better candidate; another form
+belongs to the best template among its candidates, and stands for itself without one. All forms of a leaf are looked at,
+whatever their number or length.
 
 A template of MIN_DOCS documents or more is recurring: its lines are dropped from all documents but the first (the
-smallest doc_id). Lines under LEAST_TOKENS tokens stay.
+smallest doc_id), and so are its sentences from the lines that stay.
 
-All steps are sums and joins on leaf, template or document; a template of a third of all lines is summed inside
-tasks first. Defined cases: null and empty texts have no lines; a line that a document repeats counts once for
-it; rows with the same doc_id are the same document; a null doc_id loses no lines; an empty table gives no rows.
+All steps are sums and joins on segment, form, template or document. Rows of a common key are summed in tasks first and
+stay where they are in joins; those of a common candidate are split by adaptive execution.
+Defined cases: null and empty texts have no lines; a line that a document repeats counts once for it; rows with the same
+doc_id are the same document; a null doc_id loses no lines; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -20,15 +26,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import written
+from annalist.llm.common import with_key_row, written
 
 LEAST_TOKENS = 4
+LEAST_SENTENCE = 8
+LONG_LINE = 50
 DEPTH = 3
-SHORTEST, LONGEST = 6, 40
+SHORTEST = 6
 SIMILAR = 70
-ROUNDS = 2
 MIN_DOCS = 3
 BLANKS = r"[\x20\x09-\x0D]+"
+SENTENCE = r"(?s).+?(?:[.!?]+[ \t]+|\z)"
+NO_WORD = r"[^\x20\x09-\x0D]"
+FORM = ["leaf", "form"]
 
 
 def _let(value: Column, body) -> Column:
@@ -45,101 +55,131 @@ def masked_tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9@]"), _let(tokens, masked)).otherwise(tokens)
 
 
-def line_forms(docs: DataFrame, longest: int | None = LONGEST) -> DataFrame:
-    """doc_id, at (line numbers from 0), leaf, form, n, masked (for lines that can be generalised): a row per form of a document."""
+def sentences(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0))
+
+
+def line_forms(docs: DataFrame) -> DataFrame:
+    """doc_id, at (line number from 0), part (sentence from 0, or -1), n, leaf, form, masked (if it can be generalised)."""
+
+    def unit(t, at, part):
+        return F.struct(
+            at.alias("at"), part.alias("part"), F.size(t).alias("n"), F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"), F.xxhash64(t).alias("form"),
+            F.when(F.size(t) >= SHORTEST, F.array_join(t, " ")).alias("masked"),
+        )
+
+    def units(line, at):
+        def of(t):
+            inside = F.transform(sentences(line), lambda s, k: _let(masked_tokens(s), lambda u: unit(u, at, k)))
+            own = F.array(unit(t, at, F.lit(-1)))
+            return F.when(F.size(t) > LONG_LINE, F.concat(own, inside)).otherwise(own)
 
-    def generalised(n: Column) -> Column:
-        return n >= SHORTEST if longest is None else n.between(SHORTEST, longest)
+        return _let(masked_tokens(line), of)
 
-    def form(line, at):
-        return _let(
-            masked_tokens(line),
-            lambda t: F.struct(
-                at.alias("at"),
-                F.size(t).alias("n"),
-                F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"),
-                F.xxhash64(t).alias("form"),
-                F.when(generalised(F.size(t)), F.array_join(t, " ")).alias("masked"),
-            ),
-        )
+    lines = docs.select("doc_id", F.explode(F.flatten(F.transform(F.split("text", "\n"), units))).alias("l")).select("doc_id", "l.*")
+    return lines.where(F.col("n") >= F.when(F.col("part") < 0, LEAST_TOKENS).otherwise(LEAST_SENTENCE))
 
-    lines = F.transform(F.split("text", "\n"), form)
-    return docs.select("doc_id", F.explode(lines).alias("l")).select("doc_id", "l.*").where(F.col("n") >= LEAST_TOKENS)
+
+def _segments(masked: Column, n: Column, leaf: Column) -> Column:
+    """A key for each segment of a form's tokens after the leading ones."""
+    parts = F.floor(n * (100 - SIMILAR) / 100).cast("int") + 1
+
+    def cut(i):
+        return (F.lit(DEPTH) + F.floor(i * (n - DEPTH) / parts)).cast("int")
+
+    return _let(F.split(masked, " "), lambda t: F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64(leaf, i, F.slice(t, cut(i) + 1, cut(i + 1) - cut(i)))))
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """leaf, form, template: the forms that belong to a template of another form."""
-    forms = written(lines.where("masked is not null").groupBy("leaf", "form", "n").agg(F.countDistinct("doc_id").alias("docs"), F.max("masked").alias("masked")), "line-forms")
-    several = forms.groupBy("leaf").agg(F.count("*").alias("forms")).where("forms > 1").select("leaf")
-    rest, out = written(forms.join(several, "leaf"), "line-leaves"), None
-    for _ in range(ROUNDS):
-        most = rest.groupBy("leaf").agg(F.max(F.struct("docs", "masked", "form")).alias("top")).select("leaf", F.col("top.form").alias("template"), F.col("top.masked").alias("pattern"))
-        agree = F.size(F.filter(F.zip_with(F.split("masked", " "), F.split("pattern", " "), lambda a, b: a == b), lambda x: x))
-        judged = written(rest.join(most, "leaf").withColumn("in", agree * 100 >= F.col("n") * SIMILAR), "line-rounds")
-        found = judged.where("in").select("leaf", "form", "template")
-        out = found if out is None else out.union(found)
-        rest = judged.where("not in").select("leaf", "form", "n", "docs", "masked")
-    return out.union(rest.groupBy("leaf").applyInPandas(_further, "leaf long, form long, template long")).where("form <> template")
-
-
-def _further(forms):
-    """The same for the forms of a leaf that the joined rounds left: the first in order takes those that agree with it."""
-    import numpy as np
-
-    forms = forms.sort_values(["docs", "masked", "form"], ascending=False, key=lambda c: c.str.encode("utf-8") if c.name == "masked" else c)
-    form, number = forms["form"].to_numpy(), {}
-    words = np.array([[number.setdefault(w, len(number)) for w in x.split(" ")] for x in forms["masked"]], dtype=np.int32)
-    template, left = form.copy(), np.arange(len(form))
-    while len(left):
-        agree = (words[left] == words[left[0]]).sum(axis=1) * 100 >= words.shape[1] * SIMILAR
-        template[left[agree]] = form[left[0]]
-        left = left[~agree]
-    return forms[["leaf", "form"]].assign(template=template)
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, longest: int | None = LONGEST) -> DataFrame:
-    """doc_id, at: the lines to drop; docs has doc_id and text. longest: None generalises lines of every length."""
-    lines = written(line_forms(docs, longest), "lines")
-    mapped = lines.select("doc_id", "at", "leaf", "form").join(templates(lines), ["leaf", "form"], "left").withColumn("template", F.coalesce("template", "form")).select("doc_id", "at", "leaf", "template")
-    counts = mapped.select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    return mapped.join(counts.select("leaf", "template", "first"), ["leaf", "template"]).where("doc_id > first").select("doc_id", "at")
+    """leaf, form, template, size (units of the form): the forms that belong to a template of another form."""
+    born = F.struct("doc_id", "at", "part")
+    forms = lines.where("masked is not null").groupBy(*FORM, "n").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("size"), F.min(born).alias("born"), F.max("masked").alias("masked"))
+    rank = F.struct("docs", (-F.col("born.doc_id")).alias("doc"), (-F.col("born.at")).alias("at"), (-F.col("born.part")).alias("part"), "form")
+    forms = written(forms.select(*FORM, "n", "size", "masked", rank.alias("rank")), "line-forms")
+    several = forms.groupBy("leaf").agg(F.count("*").alias("forms")).where("forms > 1")
+    shared = written(with_key_row(forms, written(several, "line-leaves"), "leaf", "forms", forms.count()), "line-shared")
+
+    keys = written(shared.select(*FORM, "rank", F.explode(_segments(F.col("masked"), F.col("n"), F.col("leaf"))).alias("key")), "line-segments")
+    tops = keys.groupBy("key").agg(F.max("rank").alias("top"), F.count("*").alias("count")).where("count > 1")
+    found = with_key_row(keys.select(*FORM, "key"), written(tops, "line-tops"), "key", "count", keys.count())
+    pairs = found.where("form <> top.form").select(*FORM, "top").distinct()
+
+    mine = pairs.join(shared.select(*FORM, "n", "size", F.col("masked").alias("mine")), FORM).withColumn("template", F.col("top.form"))
+    both = mine.join(shared.select("leaf", F.col("form").alias("template"), F.col("masked").alias("other")), ["leaf", "template"])
+    agree = F.size(F.filter(F.zip_with(F.split("mine", " "), F.split("other", " "), lambda a, b: a == b), lambda x: x))
+    alike = written(both.where(agree * 100 >= F.col("n") * SIMILAR).select(*FORM, "size", "template", "top"), "line-pairs")
+    members = alike.select("leaf", F.col("form").alias("template")).distinct()
+    return alike.join(members, ["leaf", "template"], "left_anti").groupBy(*FORM).agg(F.max("top").alias("top"), F.max("size").alias("size")).select(*FORM, F.col("top.form").alias("template"), "size")
+
+
+def recurring_units(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, at, part: lines (part -1) to drop, and sentences to drop from other lines; docs has doc_id and text."""
+    lines = written(line_forms(docs), "lines")
+    total = lines.count()
+    mapped = with_key_row(lines.select("doc_id", "at", "part", *FORM), written(templates(lines), "templates"), FORM, "size", total, "left")
+    mapped = written(mapped.select("doc_id", "at", "part", "leaf", F.coalesce("template", "form").alias("template")), "line-templates")
+    of = ["leaf", "template"]
+    counts = mapped.groupBy(*of, "doc_id").agg(F.count("*").alias("n")).groupBy(*of).agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first"), F.sum("n").alias("units"))
+    counts = written(counts.where(F.col("docs") >= min_docs).select(*of, "first", "units"), "line-counts")
+    return with_key_row(mapped, counts, of, "units", total).where("doc_id > first").select("doc_id", "at", "part")
+
+
+def _to_drop(docs: DataFrame, min_docs: int) -> DataFrame:
+    """id, lines (numbers), cuts (line, sentence) of documents that lose some; a sentence of a dropped line isn't told."""
+    rows = recurring_units(docs.select("doc_id", "text"), min_docs).groupBy("doc_id").agg(F.collect_set(F.struct("at", "part")).alias("all"))
+    lines = F.transform(F.filter("all", lambda x: x["part"] < 0), lambda x: x["at"])
+    rows = rows.select(F.col("doc_id").alias("id"), F.sort_array(lines).alias("lines"), "all")
+    cuts = F.filter("all", lambda x: (x["part"] >= 0) & ~F.array_contains("lines", x["at"]))
+    return rows.select("id", "lines", F.transform(F.sort_array(cuts), lambda x: F.concat(x["at"].cast("string"), F.lit(":"), x["part"].cast("string"))).alias("cuts"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Per document: doc_id, n_lines (with a token), n_dropped, dropped (line numbers from 0, ascending)."""
-    text = docs.select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("n_lines"))
-    drop = recurring_lines(docs.select("doc_id", "text"), min_docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
-    return text.join(drop, "doc_id", "left").select("doc_id", "n_lines", F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    """Per document: doc_id, n_lines (with a token), n_dropped, dropped (line numbers from 0, ascending), n_cut, cut (line:sentence, sorted as text)."""
+    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(NO_WORD)))
+    out = docs.select("doc_id", n_lines.alias("n_lines")).join(_to_drop(docs, min_docs).withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    lines, cuts = F.coalesce("lines", F.array().cast("array<int>")), F.sort_array(F.coalesce("cuts", F.array().cast("array<string>")))
+    return out.select("doc_id", "n_lines", F.size(lines).alias("n_dropped"), lines.alias("dropped"), F.size(cuts).alias("n_cut"), cuts.alias("cut"))
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs without the recurring lines; documents that have no other line with a token go. n_chars follows the text."""
-    drop = recurring_lines(docs.select("doc_id", "text"), min_docs, longest=None).groupBy("doc_id").agg(F.collect_set("at").alias("_dropped"))
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("_dropped", i), x))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = docs.join(drop, "doc_id", "left").withColumn("text", text).where(F.col("_dropped").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    """docs without the recurring lines and sentences; documents that have no other line with a token go. n_chars follows the text."""
+
+    def kept(line, at):
+        at_text = at.cast("string")
+        rest = F.array_join(F.filter(sentences(line), lambda s, k: ~F.array_contains("cuts", F.concat(at_text, F.lit(":"), k.cast("string")))), "")
+        cut = F.exists("cuts", lambda c: F.startswith(c, F.concat(at_text, F.lit(":"))))
+        return F.when(~F.array_contains("lines", at), F.when(cut, F.nullif(rest, F.lit(""))).otherwise(line))
+
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row")).join(_to_drop(docs, min_docs), "id", "left")
+    text = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(F.split("row.text", "\n"), kept), "\n"))
+    out = rows.select("row", "lines", text.alias("text")).where(F.col("lines").isNull() | F.col("text").rlike(NO_WORD))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("lines").isNull(), F.col("row").getField("n_chars") if "n_chars" in docs.columns else F.lit(0)).otherwise(F.length("text").cast("long"))}
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 ORACLE = rf"""
 with lines as (
-  select doc_id, idx, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as raw
+  select doc_id, cast(idx as integer) as idx, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as raw
   from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as idx from documents where text is not null)),
-tok as (select doc_id, cast(idx as integer) as idx, case when len(list_filter(raw, lambda x: regexp_matches(x, '[0-9@]'))) * 2 <= len(raw)
-    then list_transform(raw, lambda x: case when regexp_matches(x, '[0-9@]') then '<*>' else x end) else raw end as t from lines where len(raw) >= {LEAST_TOKENS}),
-form as (select doc_id, idx, t, len(t) as n, t[1:{DEPTH}] as head from tok),
-f as (select n, head, t, array_to_string(t, ' ') as masked, count(distinct doc_id) as docs from form where n between {SHORTEST} and {LONGEST} group by all),
-lead1 as (select n, head, max({{'d': docs, 'm': masked}}) as top from f group by all having count(*) > 1),
-r1 as (select f.*, top.m as pattern, len(list_filter(list_zip(t, string_split(top.m, ' ')), lambda z: z[1] = z[2])) * 100 >= f.n * {SIMILAR} as ok from f join lead1 using (n, head)),
-lead2 as (select n, head, max({{'d': docs, 'm': masked}}) as top from r1 where not ok group by all),
-r2 as (select r1.n, r1.head, r1.t, r1.masked, top.m as pattern, len(list_filter(list_zip(t, string_split(top.m, ' ')), lambda z: z[1] = z[2])) * 100 >= r1.n * {SIMILAR} as ok from r1 join lead2 using (n, head) where not r1.ok),
-member as (select n, head, masked, pattern from r1 where ok union all select n, head, masked, pattern from r2 where ok),
-mapped as (select form.doc_id, idx, form.n, form.head, coalesce(pattern, array_to_string(t, ' ')) as template from form left join member on form.n = member.n and form.head = member.head and array_to_string(t, ' ') = masked),
-counts as (select n, head, template, count(distinct doc_id) as docs, min(doc_id) as first from mapped group by all having count(distinct doc_id) >= {MIN_DOCS}),
-dropped as (select doc_id, list_sort(list_distinct(list(idx))) as dropped from mapped join counts using (n, head, template) where doc_id > first group by doc_id)
+inside as (select doc_id, idx, unnest(s) as line, unnest(range(len(s))) as part from (select doc_id, idx, regexp_extract_all(line, '{SENTENCE}') as s from lines where len(raw) > {LONG_LINE})),
+units as (select doc_id, idx, -1 as part, raw from lines where len(raw) >= {LEAST_TOKENS}
+  union all select * from (select doc_id, idx, cast(part as integer) as part, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as raw from inside) where len(raw) >= {LEAST_SENTENCE}),
+tok as (select doc_id, idx, part, case when len(list_filter(raw, lambda x: regexp_matches(x, '[0-9@]'))) * 2 <= len(raw)
+    then list_transform(raw, lambda x: case when regexp_matches(x, '[0-9@]') then '<*>' else x end) else raw end as t from units),
+form as (select doc_id, idx, part, t, len(t) as n, t[1:{DEPTH}] as head, array_to_string(t, ' ') as masked from tok),
+f as (select n, head, t, masked, count(distinct doc_id) as docs, min({{'d': doc_id, 'a': idx, 'p': part}}) as born, n * {100 - SIMILAR} // 100 + 1 as parts from form where n >= {SHORTEST} group by all),
+r as (select *, {{'docs': docs, 'd': -born.d, 'a': -born.a, 'p': -born.p, 'm': masked}} as rank from f),
+seg as (select n, head, t, masked, rank, i, t[{DEPTH} + i * (n - {DEPTH}) // parts + 1 : {DEPTH} + (i + 1) * (n - {DEPTH}) // parts] as s from (select *, unnest(range(parts)) as i from r)),
+tops as (select n, head, i, s, max(rank) as top from seg group by all having count(*) > 1),
+pairs as (select distinct seg.n, seg.head, seg.t, seg.masked, top from seg join tops using (n, head, i, s) where top.m <> seg.masked),
+alike as (select * from pairs where len(list_filter(list_zip(t, string_split(top.m, ' ')), lambda z: z[1] = z[2])) * 100 >= n * {SIMILAR}),
+member as (select n, head, masked, max(top) as top from alike a where not exists (select 1 from alike b where b.n = a.n and b.head = a.head and b.masked = a.top.m) group by all),
+mapped as (select form.doc_id, form.idx, form.part, form.n, form.head, coalesce(member.top.m, form.masked) as template from form left join member using (n, head, masked)),
+counts as (select n, head, template, min(doc_id) as first from mapped group by all having count(distinct doc_id) >= {MIN_DOCS}),
+gone as (select distinct doc_id, idx, part from mapped join counts using (n, head, template) where doc_id > first),
+dropped as (select doc_id, list_sort(list(idx)) as dropped from gone where part < 0 group by doc_id),
+cut as (select doc_id, list_sort(list(cast(idx as varchar) || ':' || cast(part as varchar))) as cut from gone g where part >= 0 and not exists (select 1 from gone h where h.part < 0 and h.doc_id = g.doc_id and h.idx = g.idx) group by doc_id)
 select d.doc_id, cast(coalesce(len(list_filter(string_split(d.text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))), 0) as integer) as n_lines,
-  cast(coalesce(len(dropped), 0) as integer) as n_dropped, coalesce(dropped, []) as dropped
-from documents d left join dropped using (doc_id)
+  cast(coalesce(len(dropped), 0) as integer) as n_dropped, coalesce(dropped, []) as dropped, cast(coalesce(len(cut), 0) as integer) as n_cut, coalesce(cut, []) as cut
+from documents d left join dropped using (doc_id) left join cut using (doc_id)
 """

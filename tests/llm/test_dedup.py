@@ -99,71 +99,115 @@ def test_components_of_chains_and_stars(spark):
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def plain_templates(texts, least=4, depth=3, shortest=6, longest=40, similar=70, rounds=2, min_docs=3):
-    """{doc: dropped line numbers} by plain loops."""
-    lines = []
+def plain_templates(texts, min_docs=3):
+    """({doc: dropped line numbers}, {doc: cut sentences}) by plain loops."""
+    units = []
     for d, t in enumerate(texts):
         for at, line in enumerate((t or "").split("\n")):
-            tok = tuple(x for x in re.split(r"[\x20\x09-\x0D]+", line) if x)
-            if 2 * sum(bool(re.search("[0-9@]", x)) for x in tok) <= len(tok):
-                tok = tuple("<*>" if re.search("[0-9@]", x) else x for x in tok)
-            if len(tok) >= least:
-                lines.append((d, at, tok))
-    docs_of = defaultdict(set)
-    for d, _, tok in lines:
+            own = [x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
+            told = [(-1, own)] if len(own) >= 4 else []
+            if len(own) > 50:
+                for k, s in enumerate(re.findall(r"(?s).+?(?:[.!?]+[ \t]+|\Z)", line)):
+                    words = [x for x in re.split(r"[\x20\x09-\x0D]+", s) if x]
+                    told += [(k, words)] * (len(words) >= 8)
+            for part, words in told:
+                few = 2 * sum(bool(re.search("[0-9@]", x)) for x in words) <= len(words)
+                units.append((d, at, part, tuple("<*>" if few and re.search("[0-9@]", x) else x for x in words)))
+    docs_of, born = defaultdict(set), {}
+    for d, at, part, tok in units:
         docs_of[tok].add(d)
-    leaves, member = defaultdict(list), {}
-    for tok in docs_of:
-        if shortest <= len(tok) <= longest:
-            leaves[len(tok), tok[:depth]].append(tok)
-    for forms in leaves.values():
-        rest = forms
-        for _ in range(rounds if len(forms) > 1 else 0):
-            if rest:
-                top = max(rest, key=lambda x: (len(docs_of[x]), " ".join(x)))
-                inside = [x for x in rest if 100 * sum(a == b for a, b in zip(x, top, strict=True)) >= similar * len(x)]
-                member |= dict.fromkeys(inside, top)
-                rest = [x for x in rest if x not in inside]
+        born[tok] = min(born.get(tok, (d, at, part)), (d, at, part))
+    rank = {t: (len(docs_of[t]), *(-x for x in born[t])) for t in docs_of}
+    keys, own_keys = defaultdict(set), {}
+    for t in docs_of:
+        if len(t) >= 6:
+            n = len(t)
+            parts = n * 30 // 100 + 1
+            own_keys[t] = [(n, t[:3], i, t[3 + i * (n - 3) // parts : 3 + (i + 1) * (n - 3) // parts]) for i in range(parts)]
+            for k in own_keys[t]:
+                keys[k].add(t)
+    tops = {k: max(v, key=rank.get) for k, v in keys.items()}
+    better = {t: {tops[k] for k in ks if tops[k] != t and 100 * sum(a == b for a, b in zip(tops[k], t, strict=True)) >= 70 * len(t)} for t, ks in own_keys.items()}
+    member = {t: max(roots, key=rank.get) for t, c in better.items() if (roots := [x for x in c if not better[x]])}
     found = defaultdict(set)
-    for d, _, tok in lines:
+    for d, _, _, tok in units:
         found[member.get(tok, tok)].add(d)
-    out = defaultdict(set)
-    for d, at, tok in lines:
-        own = found[member.get(tok, tok)]
-        if len(own) >= min_docs and d > min(own):
-            out[d].add(at)
-    return {d: sorted(x) for d, x in out.items()}
+    gone = {(d, at, part) for d, at, part, tok in units if len(found[member.get(tok, tok)]) >= min_docs and d > min(found[member.get(tok, tok)])}
+    lines, cuts = defaultdict(list), defaultdict(list)
+    for d, at, part in sorted(gone):
+        if part < 0:
+            lines[d].append(at)
+        elif (d, at, -1) not in gone:
+            cuts[d].append(f"{at}:{part}")
+    return dict(lines), {d: sorted(x) for d, x in cuts.items()}
 
 
 PASSAGE = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
 
 
-def test_templates_equal_plain_loops(spark):
+def varied_corpus():
     r = random.Random(5)
     texts = [None, "", "\n \n"]
-    for i in range(30):
+    words = PASSAGE.split()
+    for i in range(40):
         own = [" ".join(f"u{r.choice('abcdefgh')}{r.choice('abcdefgh')}{r.choice('abcdefgh')}" for _ in range(r.randint(4, 14))) for _ in range(4)]
         own.append(f"Posted by user{i} on day {i} of the month at noon")
         own.append(f"The server host {r.choice(['alpha', 'beta', 'gamma'])} has answered with code {i}")
         own.append(f"The server host is down for {r.choice(['good', 'now', 'ever'])} and ever again today")
+        own.append(" ".join(["We", "all", "think", *r.choices(["ab", "cd", "ef"], k=r.choice([3, 4, 7]))]))
+        own.append(" ".join(["at", "the", "end", *(w if r.random() < 0.85 else r.choice("xyz") for w in "of this day we went down to the old sea side".split())]))
         if i % 3 == 0:
             own.append(PASSAGE)
+        if i % 4 == 1:
+            own.append(" ".join(f"v{i}k{k}".replace("0", "o").translate(str.maketrans("123456789", "abcdefghi")) for k in range(25)) + ". " + " ".join([*words[:20], "name" + "abcdefg"[i % 7], *words[21:40]]) + "! " + " ".join(words[40:]) + ".")
         if i % 2:
             own += ["short one here", "exactly four words here"]
         texts.append("\n".join(own))
-    texts += [texts[5], texts[5]]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, at int").repartition(3)
-    want = plain_templates(texts)
+    return texts + [texts[5], texts[5]]
+
+
+def test_templates_equal_plain_loops(spark):
+    texts = varied_corpus()
+    docs = spark.createDataFrame([(i, t, 1, "x", "y", i) for i, t in enumerate(texts)], "doc_id long, text string, at int, lines string, row string, n_chars long").repartition(3)
+    lines, cuts = plain_templates(texts)
     rows = {x.doc_id: x for x in dropped_lines(docs).collect()}
-    assert {d: list(x.dropped) for d, x in rows.items() if x.n_dropped} == want
-    assert sum(len(x) for x in want.values()) > 60 and len(rows) == len(texts)
-    kept = {x.doc_id: x.text for x in without_recurring_lines(docs).collect()}
-    assert set(kept) == {*range(len(texts))} - {d for d, x in want.items() if rows[d].n_dropped == rows[d].n_lines > 0}
-    assert sum(PASSAGE in (t or "") for t in kept.values()) == 1
-    assert all(any(x in (kept[d] or "") for d in kept) for x in ("short one here", "exactly four words here"))
+    assert {d: list(x.dropped) for d, x in rows.items() if x.n_dropped} == lines
+    assert {d: list(x.cut) for d, x in rows.items() if x.n_cut} == cuts
+    assert sum(map(len, lines.values())) > 60 and sum(map(len, cuts.values())) > 8 and len(rows) == len(texts)
+    kept = {x.doc_id: x for x in without_recurring_lines(docs).collect()}
+    for d, text in enumerate(texts):
+        if d not in lines and d not in cuts:
+            assert kept[d].text == text and kept[d].n_chars == d
+            continue
+        out = []
+        for at, line in enumerate(text.split("\n")):
+            if at in lines.get(d, ()):
+                continue
+            parts = re.findall(r"(?s).+?(?:[.!?]+[ \t]+|\Z)", line)
+            left = "".join(x for k, x in enumerate(parts) if f"{at}:{k}" not in cuts.get(d, ()))
+            out += [left] if left or not parts else []
+        want = "\n".join(out)
+        assert (d in kept) == bool(want.split()), d
+        if d in kept:
+            assert kept[d].text == want and kept[d].n_chars == len(want) and kept[d].lines == "x"
+    assert sum(PASSAGE in (x.text or "") for x in kept.values()) == 1
     assert dropped_lines(docs.limit(0)).count() == 0
 
 
+def test_templates_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from annalist.llm.templates import ORACLE
+
+    texts = varied_corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    want = sorted((r[0], r[2], r[3], r[5]) for r in db.execute(ORACLE).fetchall())
+    assert sorted((r.doc_id, r.n_dropped, list(r.dropped), list(r.cut)) for r in dropped_lines(docs).collect()) == want
+
+
 def test_long_lines_that_differ_in_a_word_recur(spark):
     own = "A line of its own in document number"
     words = PASSAGE.split()
@@ -173,12 +217,11 @@ def test_long_lines_that_differ_in_a_word_recur(spark):
     assert [i for i in kept if words[0] in kept[i]] == [0]
 
 
-def test_third_template_of_a_leaf(spark):
-    """Two repeated lines take the joined rounds; a template whose variable word gives each document its own form remains."""
-    same = ["We all think apples are red fruit", "We all think the sky was blue"]
-    other = "We all think {} must go home"
-    texts = ["\n".join([*same, other.format("name" + "abcdefg"[i])]) for i in range(7)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert plain_templates(texts, rounds=99) != plain_templates(texts)
-    rows = {x.doc_id: list(x.dropped) for x in dropped_lines(docs).collect() if x.n_dropped}
-    assert rows == plain_templates(texts, rounds=99) == {i: [0, 1, 2] for i in range(1, 7)}
+def test_all_templates_of_a_leaf(spark):
+    """A leaf of many templates, some of whose variable words give each document its own form; none is left out."""
+    names = "abcdefg"
+    kinds = ["We all think apples are red {}", "We all think the sky was {}", "We all think {} must go home", "We all think that {} is gone", "We all think of {} every day"]
+    texts = ["\n".join(k.format("name" + x) for k in kinds) for x in names]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string").repartition(3)
+    rows = {x.doc_id: list(x.dropped) for x in dropped_lines(docs).collect()}
+    assert rows == {0: [], None: []} | {i: [0, 1, 2, 3, 4] for i in range(1, 7)}
