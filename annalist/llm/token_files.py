@@ -16,6 +16,7 @@ empty table gives no rows; other columns are ignored. doc_id is an integer (long
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 
@@ -29,6 +30,7 @@ from annalist.llm.pieces import Recent, cut, matcher, slices
 
 ROW_INDEX_STRIDE = 2_000
 STRIPE_BYTES = 16 << 20
+_BLANK = re.compile(r"\s").search
 SCHEMA = "doc_id long, row long, ids array<int>"
 
 
@@ -41,7 +43,7 @@ class PieceEncoder:
     the file asks for anything but plain byte-level BPE.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -51,31 +53,43 @@ class PieceEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.rest, self.first, self.marks = Recent(most), Recent(20_000), Recent(20_000)
+        self.rest, self.first, self.marks = Recent(most), Recent(most // 4), {}
 
     def _ids(self, match: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(match.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def _mark(self, marks: str) -> bytes:
-        if self.marks.absent((marks,)):
-            self.marks[marks] = self._ids(marks)
-        return self.marks[marks]
+        found = self.marks.get(marks)
+        if found is None:
+            if len(self.marks) > 20_000:
+                self.marks.clear()
+            self.marks[marks] = found = self._ids(marks)
+        return found
+
+    def _piece(self, cache: Recent, prefix: str, piece: str) -> bytes:
+        """The ids of a piece that is kept, or new and kept then."""
+        found = cache.get(piece)
+        if found is None:
+            found = cache.old.get(piece)
+            cache[piece] = found = self._new(cache, prefix, piece) if found is None else found
+        return found
+
+    def _new(self, cache: Recent, prefix: str, piece: str) -> bytes:
+        """Most pieces are letters, or letters and marks after them; lines inside a piece are pieces of their own."""
+        if piece.isalpha():
+            return self._ids(prefix + piece)
+        word = piece.rstrip(".,;:!?")
+        if word.isalpha():
+            return self._piece(cache, prefix, word) + self._mark(piece[len(word) :])
+        lines = piece.split("\n")
+        if len(lines) > 1 and all(lines) and not any(map(_BLANK, lines)):
+            return self._mark("\n").join([self._piece(cache, prefix, lines[0]), *(self._piece(self.first, "", x) for x in lines[1:])])
+        return b"".join(map(self._ids, self.words(prefix + piece)))
 
     def _learn(self, cache: Recent, prefix: str, pieces: set) -> None:
-        """Most pieces are letters, or letters and marks after them: two matches, of which the first is often known."""
-        ids, words = self._ids, self.words
+        new = self._new
         for piece in cache.absent(pieces):
-            if piece.isalpha():
-                if piece not in cache:
-                    cache[piece] = ids(prefix + piece)
-                continue
-            word = piece.rstrip(".,;:!?")
-            if word.isalpha():
-                if word not in cache:
-                    cache[word] = cache.old.get(word) or ids(prefix + word)
-                cache[piece] = cache[word] + self._mark(piece[len(word) :])
-            else:
-                cache[piece] = b"".join(map(ids, words(prefix + piece)))
+            cache[piece] = new(cache, prefix, piece)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -126,7 +140,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_c
         own = encoder(tokenizer_path)
         for batch in batches:
             ids, rows, texts = batch.column(0), batch.column(1), [x or "" for x in batch.column(2).to_pylist()]
-            for i, j in slices([len(x) for x in texts]):
+            for i, j in slices([len(x) for x in texts], 4 << 20):
                 found = [x + end for x in own.encode(texts[i:j])]
                 offsets = np.zeros(len(found) + 1, dtype=np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
