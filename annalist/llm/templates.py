@@ -5,7 +5,7 @@ LONG_LINE tokens, so that a passage inside a long line is found too. A unit's to
 variable fields and become <*>, unless most of its tokens do; that is the unit's form. The tree has three levels: the
 number of tokens, the leading DEPTH tokens, and the leaf's forms.
 
-In a leaf, forms of SHORTEST tokens or more are generalised. A form belongs to another one that agrees with it in SIMILAR
+In a leaf of MIN_DOCS documents or more, forms of SHORTEST tokens or more are generalised. A form belongs to another one that agrees with it in SIMILAR
 per cent of their positions, so the rest of its tokens, cut into one segment more than positions may differ, has a
 segment in common with it. Under each segment of a leaf stands the form of most documents (of equals, the one that comes
 first); a form's candidates are those of its segments. A template is a form that has no better candidate; another form
@@ -36,7 +36,7 @@ SHORTEST = 6
 SIMILAR = 70
 MIN_DOCS = 3
 BLANKS = r"[\x20\x09-\x0D]+"
-SENTENCE = r"(?s).+?(?:[.!?]+[ \t]+|\z)"
+SENTENCE = r"(?s).*?[.!?][\x20\x09-\x0D]+|.+"
 NO_WORD = r"[^\x20\x09-\x0D]"
 FORM = ["leaf", "form"]
 
@@ -45,20 +45,30 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def masked_tokens(line: Column) -> Column:
-    tokens = F.filter(F.split(line, BLANKS), lambda x: x != "")
+def tokens(line: Column) -> Column:
+    return F.filter(F.split(line, BLANKS), lambda x: x != "")
 
-    def masked(t):
-        fields = F.transform(t, lambda x: F.when(x.rlike("[0-9@]"), "<*>").otherwise(x))
-        return F.when(F.size(F.filter(t, lambda x: x.rlike("[0-9@]"))) * 2 <= F.size(t), fields).otherwise(t)
 
-    return F.when(line.rlike("[0-9@]"), _let(tokens, masked)).otherwise(tokens)
+def masked(t: Column) -> Column:
+    """Tokens that hold a digit or an @ become <*>, unless most do."""
+    fields = F.transform(t, lambda x: F.when(x.rlike("[0-9@]"), "<*>").otherwise(x))
+    return F.when(F.size(F.filter(t, lambda x: x.rlike("[0-9@]"))) * 2 <= F.size(t), fields).otherwise(t)
 
 
 def sentences(line: Column) -> Column:
+    """The texts of a line's sentences: a token that ends in . ! or ? ends one."""
     return F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0))
 
 
+def _token_sentences(t: Column) -> Column:
+    """The same as arrays of tokens."""
+
+    def cut(ends):
+        return F.transform(ends, lambda e, k: F.slice(t, F.when(k > 0, F.get(ends, k - 1)).otherwise(0) + 1, e - F.when(k > 0, F.get(ends, k - 1)).otherwise(0)))
+
+    return _let(F.concat(F.filter(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.right(F.element_at(t, i), F.lit(1)).isin(".", "!", "?")), F.array(F.size(t))), cut)
+
+
 def line_forms(docs: DataFrame) -> DataFrame:
     """doc_id, at (line number from 0), part (sentence from 0, or -1), n, leaf, form, masked (if it can be generalised)."""
 
@@ -69,15 +79,20 @@ def line_forms(docs: DataFrame) -> DataFrame:
         )
 
     def units(line, at):
+        fields = line.rlike("[0-9@]")
+
+        def told(t, part):
+            return F.when(fields, _let(masked(t), lambda m: unit(m, at, part))).otherwise(unit(t, at, part))
+
         def of(t):
-            inside = F.transform(sentences(line), lambda s, k: _let(masked_tokens(s), lambda u: unit(u, at, k)))
-            own = F.array(unit(t, at, F.lit(-1)))
-            return F.when(F.size(t) > LONG_LINE, F.concat(own, inside)).otherwise(own)
+            own = F.array(told(t, F.lit(-1)))
+            inside = F.filter(F.transform(_token_sentences(t), lambda u, k: F.when(F.size(u) >= LEAST_SENTENCE, told(u, k))), lambda u: u.isNotNull())
+            return F.when(F.size(t) > LONG_LINE, F.concat(own, inside)).when(F.size(t) >= LEAST_TOKENS, own)
 
-        return _let(masked_tokens(line), of)
+        return _let(tokens(line), of)
 
-    lines = docs.select("doc_id", F.explode(F.flatten(F.transform(F.split("text", "\n"), units))).alias("l")).select("doc_id", "l.*")
-    return lines.where(F.col("n") >= F.when(F.col("part") < 0, LEAST_TOKENS).otherwise(LEAST_SENTENCE))
+    lines = F.flatten(F.filter(F.transform(F.split("text", "\n"), units), lambda x: x.isNotNull()))
+    return docs.select("doc_id", F.explode(lines).alias("l")).select("doc_id", "l.*")
 
 
 def _segments(masked: Column, n: Column, leaf: Column) -> Column:
@@ -90,18 +105,27 @@ def _segments(masked: Column, n: Column, leaf: Column) -> Column:
     return _let(F.split(masked, " "), lambda t: F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64(leaf, i, F.slice(t, cut(i) + 1, cut(i + 1) - cut(i)))))
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """leaf, form, template, size (units of the form): the forms that belong to a template of another form."""
-    born = F.struct("doc_id", "at", "part")
-    forms = lines.where("masked is not null").groupBy(*FORM, "n").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("size"), F.min(born).alias("born"), F.max("masked").alias("masked"))
-    rank = F.struct("docs", (-F.col("born.doc_id")).alias("doc"), (-F.col("born.at")).alias("at"), (-F.col("born.part")).alias("part"), "form")
-    forms = written(forms.select(*FORM, "n", "size", "masked", rank.alias("rank")), "line-forms")
-    several = forms.groupBy("leaf").agg(F.count("*").alias("forms")).where("forms > 1")
+def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """leaf, form, template, size (units of the form): the forms that belong to a template of another form.
+
+    Leaves of fewer than min_docs documents hold nothing that recurs and are left out.
+    """
+    first = F.struct("at", "part")
+    of_docs = lines.where("masked is not null").groupBy(*FORM, "n", "doc_id").agg(F.count("*").alias("units"), F.min(first).alias("first"))
+    born = F.min(F.struct("doc_id", "first.at", "first.part"))
+    forms = of_docs.groupBy(*FORM, "n").agg(F.count("doc_id").alias("docs"), F.sum("units").alias("size"), born.alias("born"))
+    forms = written(forms, "line-forms")
+    several = forms.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("docs").alias("all")).where((F.col("forms") > 1) & (F.col("all") >= min_docs)).select("leaf", "forms")
     shared = written(with_key_row(forms, written(several, "line-leaves"), "leaf", "forms", forms.count()), "line-shared")
+    at = [lines[c].eqNullSafe(shared["born"][c]) for c in ("doc_id", "at", "part")]
+    texts = lines.join(shared, (lines.leaf == shared.leaf) & (lines.form == shared.form) & at[0] & at[1] & at[2])
+    rank = F.struct("docs", (-F.col("born.doc_id")).alias("doc"), (-F.col("born.at")).alias("at"), (-F.col("born.part")).alias("part"), shared.form)
+    shared = written(texts.select(shared.leaf, shared.form, shared.n, "size", "masked", rank.alias("rank")).dropDuplicates(FORM), "line-texts")
 
-    keys = written(shared.select(*FORM, "rank", F.explode(_segments(F.col("masked"), F.col("n"), F.col("leaf"))).alias("key")), "line-segments")
+    keys = shared.select(*FORM, "rank", F.explode(_segments(F.col("masked"), F.col("n"), F.col("leaf"))).alias("key"))
+    total = shared.agg(F.sum(F.floor(F.col("n") * (100 - SIMILAR) / 100) + 1)).first()[0] or 0
     tops = keys.groupBy("key").agg(F.max("rank").alias("top"), F.count("*").alias("count")).where("count > 1")
-    found = with_key_row(keys.select(*FORM, "key"), written(tops, "line-tops"), "key", "count", keys.count())
+    found = with_key_row(keys.select(*FORM, "key"), written(tops, "line-tops"), "key", "count", total)
     pairs = found.where("form <> top.form").select(*FORM, "top").distinct()
 
     mine = pairs.join(shared.select(*FORM, "n", "size", F.col("masked").alias("mine")), FORM).withColumn("template", F.col("top.form"))
@@ -116,7 +140,7 @@ def recurring_units(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, at, part: lines (part -1) to drop, and sentences to drop from other lines; docs has doc_id and text."""
     lines = written(line_forms(docs), "lines")
     total = lines.count()
-    mapped = with_key_row(lines.select("doc_id", "at", "part", *FORM), written(templates(lines), "templates"), FORM, "size", total, "left")
+    mapped = with_key_row(lines.select("doc_id", "at", "part", *FORM), written(templates(lines, min_docs), "templates"), FORM, "size", total, "left")
     mapped = written(mapped.select("doc_id", "at", "part", "leaf", F.coalesce("template", "form").alias("template")), "line-templates")
     of = ["leaf", "template"]
     counts = mapped.groupBy(*of, "doc_id").agg(F.count("*").alias("n")).groupBy(*of).agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first"), F.sum("n").alias("units"))

@@ -107,7 +107,7 @@ def plain_templates(texts, min_docs=3):
             own = [x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
             told = [(-1, own)] if len(own) >= 4 else []
             if len(own) > 50:
-                for k, s in enumerate(re.findall(r"(?s).+?(?:[.!?]+[ \t]+|\Z)", line)):
+                for k, s in enumerate(re.findall(r"(?s).*?[.!?][\x20\x09-\x0D]+|.+", line)):
                     words = [x for x in re.split(r"[\x20\x09-\x0D]+", s) if x]
                     told += [(k, words)] * (len(words) >= 8)
             for part, words in told:
@@ -183,7 +183,7 @@ def test_templates_equal_plain_loops(spark):
         for at, line in enumerate(text.split("\n")):
             if at in lines.get(d, ()):
                 continue
-            parts = re.findall(r"(?s).+?(?:[.!?]+[ \t]+|\Z)", line)
+            parts = re.findall(r"(?s).*?[.!?][\x20\x09-\x0D]+|.+", line)
             left = "".join(x for k, x in enumerate(parts) if f"{at}:{k}" not in cuts.get(d, ()))
             out += [left] if left or not parts else []
         want = "\n".join(out)
