@@ -64,7 +64,7 @@ class Shingles:
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(words):
             if w not in known:
@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     continue
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 if digest not in seen:
-                    if len(seen) > 20_000:
+                    if len(seen) > 5_000:
                         seen.clear()
                     least = minima(s)
                     seen[digest] = (band_keys(least), packed(least))
