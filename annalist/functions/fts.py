@@ -1,46 +1,26 @@
-"""Full-text queries as Spark columns.
+"""Full-text conditions as Spark columns.
 
-A query is parsed into a tree whose leaves are phrases; a column of text is searched through its tokens, one space
-between and around them, so that a phrase is a substring and no UDF is needed. Tokens are runs of letters and
-digits in lower case without diacritics. Supported: terms, "phrases", prefix*, ^first, a + b, column filters
-(prompt: x, {a b}: x, - project: x), NEAR(a b, n), NOT over AND over OR, and implicit AND, which is tightest.
+Tokens are runs of letters and digits in lower case without diacritics. A phrase is found in a column in one of two ways:
+- in a token column that the store's writer keeps (token_text: one space between and around tokens) as a substring;
+- else in the text itself, by a pattern that takes every letter with its cases and accents and needs whole tokens.
+Both are built-in expressions; nothing is tokenised at search time. Conditions are combined with &, | and ~ as any
+columns; a list of terms as a user types them is taken by Fields.all_of.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-class InvalidQuery(ValueError):
-    """A raw query that isn't well formed."""
-
-
-#: What a query of exclusions alone becomes: a term that no text has.
-NOTHING = '"\x01"'
-
-
-def build_query(terms: list[str], raw: bool = False) -> str:
-    """Terms as a query: each is quoted, -x excludes x; operators, a trailing * or quotes make the whole query raw."""
-
-    def is_raw(t):
-        return t in ("AND", "OR", "NOT") or t.endswith("*") or (t.startswith('"') and t.endswith('"'))
-
-    if raw or any(is_raw(t) for t in terms):
-        return " ".join(terms)
-
-    def quoted(t):
-        return '"' + t.replace('"', '""') + '"'
-
-    without = [t[1:] for t in terms if t.startswith("-") and len(t) > 1]
-    wanted = [t for t in terms if not (t.startswith("-") and len(t) > 1)]
-    if without and not wanted:
-        return NOTHING
-    return " NOT ".join([" ".join(map(quoted, wanted)), *map(quoted, without)])
+#: The store keeps the tokens of a text column beside it under this ending.
+TOKENS = "_tokens"
+TOKEN = r"([\p{L}\p{N}\p{Co}]+)"
+_IN = r"[\p{L}\p{N}\p{Co}]"
 
 
 def _folds() -> tuple[str, str]:
@@ -54,7 +34,21 @@ def _folds() -> tuple[str, str]:
 
 
 ACCENTS, PLAIN = _folds()
-TOKEN = r"([\p{L}\p{N}\p{Co}]+)"
+
+
+def _folded(text: str) -> str:
+    table = str.maketrans(ACCENTS, PLAIN)
+    return text.translate(table).lower().translate(table)
+
+
+@functools.cache
+def _variants() -> dict[str, str]:
+    """A folded letter and all characters of the first plane that fold to it."""
+    out: dict[str, str] = {}
+    for n in range(0x80, 0x10000):
+        if not 0xD800 <= n < 0xE000 and (f := _folded(chr(n))) != chr(n) and len(f) == 1:
+            out[f] = out.get(f, "") + chr(n)
+    return out
 
 
 def token_text(c: Column) -> Column:
@@ -63,173 +57,92 @@ def token_text(c: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(1)), " "), F.lit(" "))
 
 
+def with_tokens(df: DataFrame, *columns: str) -> DataFrame:
+    """df with a token column beside each text column, as the store's writer keeps it."""
+    return df.withColumns({c + TOKENS: token_text(F.col(c)) for c in columns})
+
+
 def query_tokens(text: str) -> list[str]:
-    folded = text.translate(str.maketrans(ACCENTS, PLAIN)).lower().translate(str.maketrans(ACCENTS, PLAIN))
-    return re.findall(r"[^\W_]+", folded)
-
-
-@dataclass
-class Phrase:
-    tokens: list[str]
-    prefix: bool = False
-    first: bool = False
-
-
-@dataclass
-class Near:
-    phrases: list[Phrase]
-    distance: int = 10
-
-
-@dataclass
-class Node:
-    kind: str  # and, or, not, in
-    parts: list = field(default_factory=list)
-    columns: list[str] = field(default_factory=list)
-    excluded: bool = False
-
-
-_LEX = re.compile(r'\s*(?:("(?:[^"]|"")*")|([^\s"(){}:^*+,-]+)|(.))', re.S)
-
-
-class _Parser:
-    def __init__(self, text: str, columns: tuple[str, ...]):
-        self.columns, self.at = columns, 0
-        if text.count('"') % 2:
-            raise InvalidQuery("unterminated string")
-        self.items = [(("quoted", m[1]) if m[1] else ("word", m[2]) if m[2] else ("mark", m[3])) for m in _LEX.finditer(text) if m[1] or m[2] or (m[3] and not m[3].isspace())]
-
-    def peek(self, k: int = 0):
-        return self.items[self.at + k] if self.at + k < len(self.items) else ("end", "")
-
-    def take(self, *wanted):
-        if self.peek() in wanted:
-            self.at += 1
-            return True
-        return False
-
-    def whole(self):
-        node = self.either()
-        if self.peek()[0] != "end":
-            raise InvalidQuery(f'syntax error near "{self.peek()[1]}"')
-        return node
-
-    def either(self):
-        parts = [self.both()]
-        while self.take(("word", "OR")):
-            parts.append(self.both())
-        return parts[0] if len(parts) == 1 else Node("or", parts)
-
-    def both(self):
-        parts = [self.differ()]
-        while self.take(("word", "AND")):
-            parts.append(self.differ())
-        return parts[0] if len(parts) == 1 else Node("and", parts)
-
-    def differ(self):
-        node = self.row()
-        while self.take(("word", "NOT")):
-            node = Node("not", [node, self.row()])
-        return node
-
-    def row(self):
-        parts = [self.item()]
-        while self.peek()[0] in ("word", "quoted") and self.peek()[1] not in ("AND", "OR", "NOT") or self.peek() in (("mark", "("), ("mark", "{"), ("mark", "^"), ("mark", "-")):
-            parts.append(self.item())
-        return parts[0] if len(parts) == 1 else Node("and", parts)
-
-    def item(self):
-        if self.take(("mark", "(")):
-            node = self.either()
-            if not self.take(("mark", ")")):
-                raise InvalidQuery("syntax error: missing )")
-            return node
-        excluded = self.take(("mark", "-"))
-        names = self.filter_names()
-        if names is not None:
-            inner = self.item()
-            return Node("in", [inner], names, excluded)
-        if excluded:
-            raise InvalidQuery('syntax error near "-"')
-        if self.peek() == ("word", "NEAR") and self.peek(1) == ("mark", "("):
-            return self.near()
-        return self.phrase()
-
-    def filter_names(self):
-        if self.peek()[0] == "word" and self.peek(1) == ("mark", ":"):
-            names = [self.peek()[1]]
-            self.at += 2
-        elif self.peek() == ("mark", "{"):
-            self.at += 1
-            names = []
-            while self.peek()[0] == "word":
-                names.append(self.peek()[1])
-                self.at += 1
-            if not (self.take(("mark", "}")) and self.take(("mark", ":"))):
-                raise InvalidQuery('syntax error near "{"')
-        elif self.peek()[0] == "word" and self.peek(1) == ("mark", "-") and self.peek(2)[0] in ("word", "quoted"):
-            raise InvalidQuery(f"no such column: {self.peek(2)[1]}")
-        else:
-            return None
-        for n in names:
-            if n.lower() not in self.columns:
-                raise InvalidQuery(f"no such column: {n}")
-        return [n.lower() for n in names]
-
-    def near(self):
-        self.at += 2
-        phrases, distance = [], 10
-        while self.peek()[0] in ("word", "quoted"):
-            phrases.append(self.phrase())
-        if self.take(("mark", ",")):
-            if not self.peek()[1].isdigit():
-                raise InvalidQuery("expected integer after comma")
-            distance = int(self.peek()[1])
-            self.at += 1
-        if not phrases or not self.take(("mark", ")")):
-            raise InvalidQuery("syntax error: NEAR")
-        return Near(phrases, distance)
-
-    def phrase(self):
-        first = self.take(("mark", "^"))
-        tokens, prefix = [], False
-        while True:
-            kind, text = self.peek()
-            if kind not in ("word", "quoted") or (kind == "word" and text in ("AND", "OR", "NOT")):
-                raise InvalidQuery(f'syntax error near "{text}"')
-            self.at += 1
-            tokens += query_tokens(text[1:-1].replace('""', '"') if kind == "quoted" else text)
-            if self.take(("mark", "*")):
-                prefix = True
-                break
-            if not self.take(("mark", "+")):
-                break
-        return Phrase(tokens, prefix, first)
-
-
-def parse(query: str, columns: tuple[str, ...]):
-    if not query.strip():
-        raise InvalidQuery("empty query")
-    return _Parser(query, tuple(c.lower() for c in columns)).whole()
-
-
-def _phrase_in(p: Phrase, tokens: Column) -> Column:
-    text = " " + " ".join(p.tokens) + ("" if p.prefix else " ")
-    return F.startswith(tokens, F.lit(text)) if p.first else F.contains(tokens, F.lit(text))
-
-
-def _starts(p: Phrase, words: Column) -> Column:
-    """Positions of a phrase among the words of a text."""
-    last = len(p.tokens) - 1
+    return re.findall(r"[^\W_]+", _folded(text))
+
+
+def _pattern(tokens: list[str], prefix: bool, first: bool) -> str:
+    """A pattern of whole tokens with anything but letters and digits between them."""
+
+    def letter(c):
+        others = _variants().get(c, "")
+        both = c + (c.upper() if len(c.upper()) == 1 and c.upper() != c and c.upper() not in others else "") + others
+        return re.escape(c) if len(both) == 1 else "[" + both + "]"
+
+    body = rf"(?:(?!{_IN})[\s\S])+".join("".join(map(letter, t)) for t in tokens)
+    before = rf"\A(?:(?!{_IN})[\s\S])*" if first else rf"(?<!{_IN})"
+    return before + body + ("" if prefix else rf"(?!{_IN})")
+
+
+@dataclass(frozen=True)
+class Fields:
+    """The text columns that a search looks at: name -> text column, or its token column where `kept` says so."""
+
+    columns: dict[str, Column]
+    kept: frozenset[str] = frozenset()
+
+    def only(self, *names: str) -> Fields:
+        if unknown := [n for n in names if n not in self.columns]:
+            raise ValueError(f"no such column: {', '.join(unknown)}; known: {', '.join(self.columns)}")
+        return Fields({n: self.columns[n] for n in names}, self.kept)
+
+    def but(self, *names: str) -> Fields:
+        self.only(*names)
+        return self.only(*(n for n in self.columns if n not in names))
+
+    def has(self, phrase: str, prefix: bool = False, first: bool = False) -> Column:
+        """Whether a column has the phrase's tokens one after another; prefix: the last one may go on; first: at the start.
+
+        A phrase without a token is no condition: it is met.
+        """
+        tokens = query_tokens(phrase)
+        if not tokens:
+            return F.lit(True)
+        text, pattern = " " + " ".join(tokens) + ("" if prefix else " "), _pattern(tokens, prefix, first)
+        out = F.lit(False)
+        for n, c in self.columns.items():
+            if n in self.kept:
+                found = F.startswith(c, F.lit(text)) if first else F.contains(c, F.lit(text))
+            else:
+                found = F.coalesce(c.rlike(pattern), F.lit(False))
+            out = out | found
+        return out
 
-    def here(i):
-        ok = F.lit(True)
-        for k, t in enumerate(p.tokens):
-            word = F.get(words, i + k)
-            ok = ok & (F.startswith(word, F.lit(t)) if p.prefix and k == last else word == t)
-        return F.coalesce(ok, F.lit(False))
+    def near(self, phrases: list[str], distance: int = 10) -> Column:
+        """Whether one column has all phrases with at most `distance` tokens between the first's end and the last's start."""
+        wanted = [t for p in phrases if (t := query_tokens(p))]
+        out = F.lit(not wanted)
+        for n, c in self.columns.items():
+            if wanted:
+                one = Fields({n: c}, self.kept)
+                have = F.lit(True)
+                for t in wanted:  # rows without all of them are settled by this alone
+                    have = have & one.has(" ".join(t))
+                tokens = c if n in self.kept else token_text(c)
+                out = out | F.when(have, _let(F.split(F.trim(tokens), " "), lambda w: _near(w, wanted, distance))).otherwise(False)
+        return out
 
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), here)
+    def all_of(self, terms: list[str]) -> Column:
+        """All of a user's terms: x, "a phrase", x* as a prefix, -x to exclude. Exclusions alone find nothing."""
+        wanted = [t for t in terms if not (t.startswith("-") and len(t) > 1)]
+        out = F.lit(bool(wanted) and any(query_tokens(t) for t in wanted))
+        for t in wanted:
+            out = out & self.has(t.removesuffix("*"), prefix=t.endswith("*"))
+        for t in terms:
+            if t.startswith("-") and query_tokens(t):
+                out = out & ~self.has(t[1:].removesuffix("*"), prefix=t.endswith("*"))
+        return out
+
+
+def fields(df: DataFrame, *names: str) -> Fields:
+    """The text columns of df by name, or the token columns that are kept beside them."""
+    kept = frozenset(n for n in names if n + TOKENS in df.columns)
+    return Fields({n: F.col(n + TOKENS if n in kept else n) for n in names}, kept)
 
 
 def _let(value: Column, body) -> Column:
@@ -237,61 +150,29 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _near_in(n: Near, tokens: Column) -> Column:
-    """Whether places of all phrases lie with at most `distance` tokens between the first's end and the last's start."""
-    most = n.distance + sum(len(p.tokens) for p in n.phrases)
+def _starts(tokens: list[str], words: Column) -> Column:
+    """Positions of a phrase among the words of a text."""
 
-    def found(words):
-        first, *others = [(_starts(p, words), len(p.tokens)) for p in n.phrases]
-        spans = F.transform(first[0], lambda s: F.struct(s.alias("lo"), (s + first[1]).alias("hi")))
-        for starts, size in others:
-            spans = _joined(spans, starts, size)
-        return F.exists(spans, lambda a: a["hi"] - a["lo"] <= most)
+    def here(i):
+        ok = F.lit(True)
+        for k, t in enumerate(tokens):
+            ok = ok & (F.get(words, i + k) == t)
+        return F.coalesce(ok, F.lit(False))
 
-    # rows without all the phrases are settled by the substring tests alone
-    have = F.lit(True)
-    for p in n.phrases:
-        have = have & _phrase_in(p, tokens)
-    return F.when(have, _let(F.split(F.trim(tokens), " "), found)).otherwise(False)
+    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), here)
+
+
+def _near(words: Column, phrases: list[list[str]], distance: int) -> Column:
+    most = distance + sum(map(len, phrases))
+    first, *others = [(_starts(t, words), len(t)) for t in phrases]
+    spans = F.transform(first[0], lambda s: F.struct(s.alias("lo"), (s + first[1]).alias("hi")))
+    for starts, size in others:
+        spans = _joined(spans, starts, size)
+    return F.exists(spans, lambda a: a["hi"] - a["lo"] <= most)
 
 
 def _joined(spans: Column, starts: Column, size: int) -> Column:
     def with_start(a):
         return F.transform(starts, lambda s: F.struct(F.least(a["lo"], s).alias("lo"), F.greatest(a["hi"], s + size).alias("hi")))
 
-    return F.flatten(F.transform(spans, with_start))  # places of a phrase times places of the next
-
-
-def matches(query: str, tokens: dict[str, Column]) -> Column:
-    """The condition of a query over token texts by column name."""
-
-    def condition(node, names):
-        if isinstance(node, Phrase):
-            if not node.tokens:
-                return None
-            found = F.lit(False)
-            for n in names:
-                found = found | _phrase_in(node, tokens[n])
-            return found
-        if isinstance(node, Near):
-            phrases = Near([p for p in node.phrases if p.tokens], node.distance)
-            if not phrases.phrases:
-                return None
-            found = F.lit(False)
-            for n in names:
-                found = found | _near_in(phrases, tokens[n])
-            return found
-        if node.kind == "in":
-            return condition(node.parts[0], [n for n in names if (n in node.columns) != node.excluded])
-        parts = [condition(x, names) for x in node.parts]
-        if node.kind == "not":
-            keep, drop = parts
-            return keep if keep is None or drop is None else keep & ~drop
-        parts = [x for x in parts if x is not None]
-        out = None
-        for x in parts:
-            out = x if out is None else (out & x if node.kind == "and" else out | x)
-        return out
-
-    found = condition(parse(query, tuple(tokens)), list(tokens))
-    return F.lit(False) if found is None else found
+    return F.flatten(F.transform(spans, with_start))  # places of a phrase times places of the next, within one text

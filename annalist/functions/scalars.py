@@ -12,6 +12,10 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _A_Z, _a_z)
 
 
+def lower_a_z(text: str) -> str:
+    return text.translate(str.maketrans(_A_Z, _a_z))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends (Spark's trim takes spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -84,8 +88,11 @@ def cursor_project(c: Column) -> Column:
 
 
 def percent_decoded(c: Column) -> Column:
-    """%XX decoded; the text itself if it isn't well formed; null if empty."""
-    return F.nullif(F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c), F.lit(""))
+    """%XX decoded byte by byte; what isn't well formed stays; null if the bytes aren't UTF-8, or if empty."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)((?:%[0-9A-Fa-f]{2})+|[^%]+|%)"), F.lit(1))
+    decoded = F.transform(parts, lambda x: F.when(x.rlike("^%[0-9A-Fa-f]{2}"), F.unhex(F.replace(x, F.lit("%"), F.lit("")))).otherwise(F.encode(x, "UTF-8")))
+    whole = F.aggregate(decoded, F.lit("").cast("binary"), lambda a, x: F.concat(a, x))
+    return F.nullif(F.try_validate_utf8(whole.cast("string")), F.lit(""))
 
 
 def without_query_tag(c: Column) -> Column:
@@ -115,7 +122,7 @@ def tool_target(name: Column, args: Column) -> Column:
     def first(*keys):
         return F.coalesce(*(F.get_json_object(args, f"$.{k}") for k in keys))
 
-    return (
+    return (  # fixed values: the tools' names and their arguments, in this order
         F.when(name.isin("Read", "Edit", "Write", "NotebookEdit"), first("file_path", "path", "notebook_path"))
         .when(name == "Bash", first("command"))
         .when(name.isin("Grep", "Glob"), first("pattern"))
@@ -147,12 +154,13 @@ def joined_fields(*labelled: tuple[str, Column]) -> Column:
 
 
 def paths_overlap(a: Column, b: Column) -> Column:
-    x, y = (F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"^\./", "") for c in (a, b))
-    return (x == y) | F.endswith(x, F.concat(F.lit("/"), y)) | F.endswith(y, F.concat(F.lit("/"), x))
+    """Equal, or one ends with the other after a slash; slashes at the ends don't count, an empty path overlaps with none."""
+    x, y = (F.trim(F.replace(c, F.lit("\\"), F.lit("/")), F.lit("/")) for c in (a, b))
+    return (x != "") & (y != "") & ((x == y) | F.endswith(x, F.concat(F.lit("/"), y)) | F.endswith(y, F.concat(F.lit("/"), x)))
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
+    return F.element_at(F.split(F.trim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/")), "/"), -1)
 
 
 def within(path: Column, scope: Column | str) -> Column:
@@ -166,7 +174,7 @@ def within(path: Column, scope: Column | str) -> Column:
 
 def like_pattern(text: str) -> str:
     """A LIKE pattern around the user's text whose % and _ stay wildcards, for columns in ASCII lower case."""
-    return "%" + text.translate(str.maketrans(_A_Z, _a_z)).replace("\\", "\\\\") + "%"
+    return "%" + lower_a_z(text).replace("\\", "\\\\") + "%"
 
 
 def like_ascii(c: Column, text: str) -> Column:
@@ -175,7 +183,7 @@ def like_ascii(c: Column, text: str) -> Column:
 
 def contains_ascii(c: Column, text: str) -> Column:
     """Substring in ASCII-insensitive case; % and _ are ordinary."""
-    return F.contains(ascii_lower(c), F.lit(text.translate(str.maketrans(_A_Z, _a_z))))
+    return F.contains(ascii_lower(c), F.lit(lower_a_z(text)))
 
 
 #: What is taken for a secret.
@@ -231,6 +239,7 @@ def is_boilerplate(prompt: Column) -> Column:
 
 def file_paths(text: Column, most: int = 20) -> Column:
     """The first distinct file paths that a text mentions."""
+    # fixed value: how a path looks
     path = rf"(?m)(?:^|[\s,`'\"(])([~./][\w./-]*\.(?:{FILE_ENDINGS})|-?[\w/-]+\.(?:{FILE_ENDINGS}))\b"
     found = F.regexp_extract_all(text, F.lit(path), F.lit(1))
     return F.slice(F.array_distinct(F.filter(found, lambda x: (F.length(x) > 2) & (F.length(x) < 200))), 1, most)
@@ -240,6 +249,58 @@ def first_keys(m: Column, k: int) -> Column:
     return F.slice(F.array_sort(F.map_keys(m)), 1, k)
 
 
+def cursor_text(m: Column, known: tuple[str, ...] = ("history_id", "trajectory_rowid"), most: int = 6) -> Column:
+    """'key=value ...' of a map: known keys first, the others by name, `most` at most, then '(+n more)'; - if empty."""
+    keys = F.map_keys(m)
+    own = F.filter(F.array(*map(F.lit, known)), lambda x: F.array_contains(keys, x))
+    ordered = F.concat(own, F.array_sort(F.array_except(keys, own)))
+    parts = F.transform(F.slice(ordered, 1, most), lambda k: F.concat(safe_cell(k), F.lit("="), safe_cell(F.element_at(m, k).cast("string"))))
+    more = F.when(F.size(ordered) > most, F.array(F.concat(F.lit("(+"), (F.size(ordered) - most).cast("string"), F.lit(" more)")))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.coalesce(F.size(m), F.lit(0)) < 1, "-").otherwise(F.array_join(F.concat(parts, more), " "))
+
+
+def display_name(*names: Column) -> Column:
+    """The first name that isn't empty: a machine's host name, its label, its id."""
+    return F.coalesce(*(F.nullif(n, F.lit("")) for n in names))
+
+
+def status_cell(status: Column) -> Column:
+    return F.when(status.isin("stale", "missing"), F.upper(status)).otherwise(safe_cell(status))
+
+
+def _cut_line(text: Column, most: int) -> Column:
+    line = F.replace(text, F.lit("\n"), F.lit(" "))
+    return F.when(F.length(text) > most, F.concat(F.substring(line, 1, most), F.lit("..."))).otherwise(line)
+
+
+def entry_text(entry_id: Column, ms: Column, source: Column, project: Column, session_id: Column, prompt: Column, most: int = 300) -> Column:
+    """An entry as three lines: number, minute, source and project; session; prompt cut to `most`."""
+    place = F.when(F.coalesce(project, F.lit("")) != "", F.concat(F.lit("  ["), project, F.lit("]"))).otherwise("")
+    head = F.concat(F.lit("#"), entry_id.cast("string"), F.lit("  "), minute(ms), F.lit("  ("), source, F.lit(")"), place)
+    return F.concat_ws("\n", head, F.concat(F.lit("  session_id: "), F.coalesce(session_id, F.lit("(none)"))), F.concat(F.lit("  "), _cut_line(prompt, most)))
+
+
+def trajectory_text_row(tid: Column, ms: Column, project: Column, persona: Column, title: Column, description: Column, decisions: Column, summary: Column, approach: Column, learnings: Column, confidence: Column, most: int = 500) -> Column:
+    """A trajectory's lines, in one line and cut if longer than `most`; decisions: array of (question, chosen, reasoning, alternatives)."""
+
+    def labelled(label, c):
+        return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c))
+
+    def told(d, i):
+        others = F.when(F.size(d["alternatives"]) > 0, F.concat(F.lit(" alternatives: "), F.array_join(d["alternatives"], ", "))).otherwise("")
+        return F.concat((i + 1).cast("string"), F.lit(". "), d["question"], F.lit("\n   chosen: "), d["chosen"], F.lit("\n   reasoning: "), d["reasoning"], others)
+
+    listed = F.array_join(F.transform(decisions, told), "\n")
+    retro = F.concat_ws("\n", labelled("summary", summary), labelled("approach", approach), labelled("learnings", F.array_join(learnings, "; ")), labelled("confidence", confidence.cast("string")))
+    where = F.when(F.coalesce(project, F.lit("")) != "", F.concat(F.lit("  ["), project, F.lit("]"))).otherwise("")
+    who = F.when(F.coalesce(persona, F.lit("")) != "", F.concat(F.lit("  persona: "), persona)).otherwise("")
+    body = F.concat_ws(
+        "\n", F.concat(F.lit("trajectory_id: "), tid), F.concat(minute(ms), where, who), F.concat(F.lit("task: "), F.coalesce(title, F.lit("(untitled task)"))), labelled("description", description),
+        F.when(listed != "", F.concat(F.lit("decisions:\n"), listed)), F.when(retro != "", F.concat(F.lit("retrospective:\n"), retro)),
+    )
+    return F.when(F.length(body) > most, _cut_line(body, most)).otherwise(body)
+
+
 def unfenced_json(c: Column) -> Column:
     """The JSON text inside a fenced block, or the text."""
     return strip(F.regexp_replace(strip(c), r"(?s)^```(?:json)?\s*|\s*```$", ""))

@@ -1,12 +1,13 @@
-"""Commits linked to the sessions that may have made them: a band join on time, then scores.
+"""Commits linked to the sessions that may have made them: equi-joins on folder or branch and time, then scores.
 
-Bands are joined by time buckets as wide as the whole window, each commit looking at its bucket and both beside
-it, and the exact bounds are checked after; a join on an inequality alone would compare every pair.
+A session counts only if it was active around the commit and shares its folder or its branch. So sessions are joined
+by (branch, time bucket), and by (each folder above and including their own, time bucket); a commit looks at the buckets
+that its window touches, and exact bounds are checked after. Pairs made are close to pairs kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import scalars as S
@@ -14,12 +15,24 @@ from annalist.functions import scalars as S
 BEFORE_MS, AFTER_MS = 36 * 3_600_000, 6 * 3_600_000
 
 
+BUCKET_MS = 6 * 3_600_000
+
+
+def folders(cwd: Column) -> Column:
+    """A folder and all above it, without the slash at the end."""
+    parts = F.split(cwd, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def near_sessions(sessions: DataFrame, commits: DataFrame, before_ms: int = BEFORE_MS, after_ms: int = AFTER_MS) -> DataFrame:
-    """Pairs of a commit (commit_sha, commit_ms, ...) and a session whose last activity lies around it."""
-    width = before_ms + after_ms
-    own = sessions.withColumn("at_ms", F.coalesce("last_activity_ms", "first_activity_ms", F.lit(0))).withColumn("bucket", F.floor(F.col("at_ms") / width))
-    wide = commits.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("commit_ms") / width) + d)))
-    return wide.join(own, "bucket").where(F.col("at_ms").between(F.col("commit_ms") - before_ms, F.col("commit_ms") + after_ms)).drop("bucket")
+    """Pairs of a commit (commit_sha, commit_ms, repo, branch, ...) and a session of its folder or branch whose last activity lies around it."""
+    own = sessions.withColumn("at_ms", F.coalesce("last_activity_ms", "first_activity_ms", F.lit(0))).withColumn("bucket", F.floor(F.col("at_ms") / BUCKET_MS))
+    touched = F.sequence(F.floor((F.col("commit_ms") - before_ms) / BUCKET_MS), F.floor((F.col("commit_ms") + after_ms) / BUCKET_MS))
+    wide = commits.withColumn("bucket", F.explode(touched))
+    around = F.col("at_ms").between(F.col("commit_ms") - before_ms, F.col("commit_ms") + after_ms)
+    same = wide.join(own.withColumn("branch", F.col("git_branch")), ["branch", "bucket"]).where(around)
+    inside = wide.join(own.withColumn("repo", F.explode(F.array_distinct(folders(F.col("cwd"))))), ["repo", "bucket"]).where(around & ~F.coalesce(F.col("git_branch") == F.col("branch"), F.lit(False)))
+    return same.unionByName(inside).drop("bucket")
 
 
 def overlaps(commit_files: DataFrame, session_files: DataFrame) -> DataFrame:
@@ -45,11 +58,46 @@ def scored(pairs: DataFrame, overlap: DataFrame | None = None) -> DataFrame:
     return out.withColumn("confidence", F.round(F.least(F.lit(0.98), sure), 6))
 
 
-def best_links(candidates: DataFrame) -> DataFrame:
-    """A row per commit: the surest session, of equals the one that was active last."""
+_EVIDENCE = ("cwd", "git_branch", "first_activity_ms", "last_activity_ms", "cwd_match", "branch_match", "time_distance_ms")
+
+
+def best_candidates(candidates: DataFrame) -> DataFrame:
+    """A row per commit: the surest session, of equals the one that was active last, with what speaks for it."""
     keys = ["confidence", "at_ms", "source", "session_id"]
-    out = candidates.groupBy("commit_sha").agg(F.max(F.struct(*keys, "overlap", "time_distance_ms")).alias("b"))
-    return out.select("commit_sha", *(F.col(f"b.{c}").alias(c) for c in ("source", "session_id", "confidence", "overlap", "time_distance_ms")))
+    evidence = F.struct(*_EVIDENCE, F.col("overlap").alias("file_overlap"))
+    out = candidates.groupBy("commit_sha").agg(F.max(F.struct(*keys, evidence.alias("evidence"))).alias("b"))
+    return out.select("commit_sha", *(F.col(f"b.{c}").alias(c) for c in ("source", "session_id", "confidence", "evidence")))
+
+
+def best_links(candidates: DataFrame) -> DataFrame:
+    e = F.col("evidence")
+    return best_candidates(candidates).select("commit_sha", "source", "session_id", "confidence", e["file_overlap"].alias("overlap"), e["time_distance_ms"].alias("time_distance_ms"))
+
+
+def link_rows(best: DataFrame, commits: DataFrame, changes: DataFrame, method: str, now_ms: int) -> DataFrame:
+    """Rows of session_commit_links of the best candidates; changes: commit_sha, file_path, lines_added, lines_removed."""
+    stat = F.struct("file_path", "lines_added", "lines_removed")
+    files = changes.groupBy("commit_sha").agg(F.array_sort(F.collect_set(stat)).alias("all"))  # a commit's own files
+    numstat = F.transform("all", lambda x: F.struct(x["file_path"].alias("path"), x["lines_added"].alias("additions"), x["lines_removed"].alias("deletions")))
+    names = F.transform("all", lambda x: x["file_path"])
+    remote = F.col("repo_remote") if "repo_remote" in commits.columns else F.lit(None).cast("string")
+    rows = best.join(commits.select("commit_sha", "repo", "branch", "commit_ms", remote.alias("repo_remote")), "commit_sha").join(files, "commit_sha", "left").withColumn("all", F.coalesce("all", F.expr("cast(array() as array<struct<file_path:string,lines_added:bigint,lines_removed:bigint>>)")))
+    keep = {"ignoreNullFields": "false"}
+    evidence = F.struct(F.col("repo").alias("repo_path"), "repo_remote", "branch", F.col("commit_ms").alias("commit_time_ms"), F.col("evidence").alias("candidate"), names.alias("files"), numstat.alias("numstat"))
+    return rows.select(
+        "source", "session_id", "repo", "branch", "commit_sha", F.lit(None).cast("string").alias("note_ref"), F.lit(method).alias("match_method"), "confidence",
+        F.to_json(names).alias("files_json"), F.to_json(numstat, keep).alias("numstat_json"), F.to_json(evidence, keep).alias("evidence_json"), F.lit(now_ms).cast("long").alias("created_at_ms"),
+    )
+
+
+def exported_links(links: DataFrame, source: str | None = None, repo: str | None = None, since: str | None = None) -> DataFrame:
+    """Links as lines of JSON in order of creation, their JSON texts as nested values (null if they aren't JSON)."""
+    rows = links if source is None else links.where(F.col("source") == source)
+    rows = rows if repo is None else rows.where(S.like_ascii(F.col("repo"), repo))
+    rows = rows if since is None else rows.where(F.col("created_at_ms") >= S.millis_of_date(F.lit(since)))
+    nested = [F.try_parse_json(c).alias(c) for c in ("files_json", "numstat_json", "evidence_json")]
+    value = F.to_json(F.struct("source", "session_id", "repo", "branch", "commit_sha", "note_ref", "match_method", "confidence", *nested, "created_at_ms"), {"ignoreNullFields": "false"})
+    return rows.select("created_at_ms", *(["id"] if "id" in links.columns else []), "commit_sha", value.alias("value")).orderBy("created_at_ms", *(["id"] if "id" in links.columns else []), "commit_sha").select("value")
 
 
 def numstat(lines: DataFrame) -> DataFrame:

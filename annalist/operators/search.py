@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,49 +41,62 @@ def entry(history: DataFrame, entry_id: int) -> DataFrame:
     return history.where(F.col("id") == entry_id)
 
 
+def known_entry(history: DataFrame, entry_id: int) -> DataFrame:
+    """The entry, or an error if there is none."""
+    found = entry(history, entry_id).limit(1)
+    if found.isEmpty():
+        raise KeyError(f"No entry with id {entry_id}")
+    return found
+
+
 def show(history: DataFrame, entry_id: int, tagged: DataFrame | None = None) -> DataFrame:
-    """An entry with the size of its session, the command that resumes it, and its session's tags."""
-    size = history.where(F.coalesce("session_id", F.lit("")) != "").groupBy("source", "session_id").agg(F.count("*").alias("session_size"))
-    out = entry(history, entry_id).select(*ENTRY).join(size, ["source", "session_id"], "left").withColumn("resume", S.resume_command(F.col("source"), F.col("session_id"), F.col("project")))
+    """An entry with the size of its session, the command that resumes it, and its session's tags.
+
+    The entry is one row: only its own session's rows are counted.
+    """
+    one = entry(history, entry_id).select(*ENTRY)
+    session = one.where(F.coalesce("session_id", F.lit("")) != "").select("source", "session_id").distinct()
+    size = history.join(F.broadcast(session), ["source", "session_id"], "left_semi").groupBy("source", "session_id").agg(F.count("*").alias("session_size"))
+    out = one.join(size, ["source", "session_id"], "left").withColumn("resume", S.resume_command(F.col("source"), F.col("session_id"), F.col("project")))
     if tagged is not None:
-        names = tagged.groupBy("source", "session_id").agg(F.sort_array(F.collect_set("name")).alias("tags"))
+        names = tagged.join(F.broadcast(session), ["source", "session_id"], "left_semi").groupBy("source", "session_id").agg(F.sort_array(F.collect_set("name")).alias("tags"))
         out = out.join(names, ["source", "session_id"], "left")
     return out.select(*ENTRY, "session_size", "resume", *(["tags"] if tagged is not None else []))
 
 
-def _terms(query: str | list[str], raw: bool) -> str:
-    terms = query.split() if isinstance(query, str) else list(query)
-    return fts.build_query(terms, raw) if any(t.strip() for t in terms) else ""
+Query = str | list[str] | Callable[[fts.Fields], Column]
 
 
-def _matching(df: DataFrame, query: str, columns: dict[str, str]) -> DataFrame:
-    return df.where(fts.matches(query, {name: fts.token_text(F.col(c)) for name, c in columns.items()}))
+def _matching(df: DataFrame, query: Query, *columns: str) -> DataFrame:
+    """Rows that match: all of a list of terms (or of a text's words), or a condition built from the columns; no terms match all."""
+    found = fts.fields(df, *columns)
+    if callable(query):
+        return df.where(query(found))
+    terms = query.split() if isinstance(query, str) else list(query)
+    return df.where(found.all_of(terms)) if any(t.strip() for t in terms) else df
 
 
-def search(history: DataFrame, query: str | list[str], limit: int = 20, raw: bool = False, **filters) -> DataFrame:
+def search(history: DataFrame, query: Query, limit: int = 20, **filters) -> DataFrame:
     """Prompts that match a full-text query, the newest first; without terms the newest of all."""
-    text = _terms(query, raw)
-    rows = scoped(history, **filters)
-    return recent(_matching(rows, text, {"prompt": "prompt", "project": "project"}) if text else rows, limit)
+    return recent(_matching(scoped(history, **filters), query, "prompt", "project"), limit)
 
 
 UNIFIED = ("id", "source", "session_id", "project", "text", "timestamp_ms", "role", "kind", "match_source")
 
 
-def search_all(history: DataFrame, events: DataFrame, query: str | list[str], limit: int = 20, role: str = "all", raw: bool = False, **filters) -> DataFrame:
+def search_all(history: DataFrame, events: DataFrame, query: Query, limit: int = 20, role: str = "all", **filters) -> DataFrame:
     """Prompts and session events in one list; role is all, user or assistant (which leaves prompts out)."""
     if role not in ("all", "user", "assistant"):
         raise ValueError(f"unknown role {role!r}")
-    text, k = _terms(query, raw), max(1, limit)
+    k = max(1, limit)
     found = scoped(events.withColumnRenamed("ts_ms", "timestamp_ms"), **filters)
     if role != "all":
         found = found.where(F.col("role") == role)
-    if text:
-        found = _matching(found, text, {"text": "text", "role": "role", "project": "project"})
+    found = _matching(found, query, "text", "role", "project")
     newest = [F.desc("timestamp_ms"), F.desc("id")]
     found = found.select("id", "source", "session_id", "project", F.coalesce("text", F.lit("")).alias("text"), "timestamp_ms", "role", "kind", F.lit("session_event").alias("match_source")).orderBy(*newest).limit(k)
     if role != "assistant":
-        prompts = search(history, query, k, raw, **filters)
+        prompts = search(history, query, k, **filters)
         prompts = prompts.select("id", "source", "session_id", "project", F.col("prompt").alias("text"), "timestamp_ms", F.lit("user").alias("role"), F.lit("prompt").alias("kind"), F.lit("history").alias("match_source"))
         found = prompts.unionByName(found)
     return found.select(*UNIFIED).orderBy(*newest, "match_source").limit(k)
@@ -117,13 +132,18 @@ def in_time_window(history: DataFrame, centre_ms: int, minutes: int, **filters)
 def context(history: DataFrame, entry_id: int, minutes: int = 30) -> DataFrame:
     """Around an entry: its session's prompts, and other sessions' prompts within the minutes (relation says which).
 
-    The entry is one row, so its side of the join is broadcast.
+    The entry is read first, so that both parts are plain filters, which reach the scan.
     """
-    centre = F.broadcast(entry(history, entry_id).select(F.col("session_id").alias("_session"), F.col("timestamp_ms").alias("_ms")).limit(1))
-    span = minutes * 60_000
-    near = history.join(centre, F.col("timestamp_ms").between(F.col("_ms") - span, F.col("_ms") + span) | (F.col("session_id") == F.col("_session")))
-    same = F.coalesce(F.col("session_id") == F.col("_session"), F.lit(False))
-    return near.select(*ENTRY, F.when(same, "session").otherwise("nearby").alias("relation")).orderBy("relation", "timestamp_ms", "id")
+    centre = entry(history, entry_id).select("session_id", "timestamp_ms").first()
+    if centre is None:
+        raise KeyError(f"No entry with id {entry_id}")
+    span, at = minutes * 60_000, F.col("timestamp_ms")
+    same = F.lit(False) if centre.session_id is None else F.coalesce(F.col("session_id") == centre.session_id, F.lit(False))
+    near = at.between(centre.timestamp_ms - span, centre.timestamp_ms + span)
+    out = history.where(near & ~same).select(*ENTRY, F.lit("nearby").alias("relation"))
+    if centre.session_id is not None:
+        out = out.unionByName(history.where(F.col("session_id") == centre.session_id).select(*ENTRY, F.lit("session").alias("relation")))
+    return out.orderBy("relation", "timestamp_ms", "id")
 
 
 def context_pairs(history: DataFrame, minutes: int = 5) -> DataFrame:
@@ -135,13 +155,13 @@ def context_pairs(history: DataFrame, minutes: int = 5) -> DataFrame:
     return left.join(right, "bucket").where((F.col("a") != F.col("b")) & other & (F.abs(F.col("ta") - F.col("tb")) <= span)).select("a", "b", (F.col("tb") - F.col("ta")).alias("gap_ms"))
 
 
-def resume(history: DataFrame, query: str) -> DataFrame:
+def resume(history: DataFrame, query: Query) -> DataFrame:
     """The newest match, if it has a session, with the command that resumes it."""
     top = search(history, query, 1)
     return top.where(F.coalesce("session_id", F.lit("")) != "").withColumn("command", S.resume_command(F.col("source"), F.col("session_id"), F.col("project")))
 
 
-def pack(history: DataFrame, query: str, limit: int = 10, tokens: int = 300, **filters) -> DataFrame:
+def pack(history: DataFrame, query: Query, limit: int = 10, tokens: int = 300, **filters) -> DataFrame:
     """Numbered evidence: the newest matches cut to a budget of tokens, with their resume commands."""
     from pyspark.sql import Window
 

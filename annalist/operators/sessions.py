@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import scalars as S
 from annalist.operators.search import scoped
+from annalist.operators.tags import with_tag
 
 
 def list_sessions(history: DataFrame, limit: int | None = 50, **filters) -> DataFrame:
@@ -48,12 +49,17 @@ def stats_range(history: DataFrame) -> DataFrame:
     return history.agg(F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"))
 
 
-def stats(history: DataFrame) -> DataFrame:
-    """Total, range, counts by source and top projects in one row, from one scan summed by source and project."""
-    parts = history.groupBy("source", "project").agg(F.count("*").alias("n"), F.min("timestamp_ms").alias("lo"), F.max("timestamp_ms").alias("hi"))
+def stats(history: DataFrame, session_tags: DataFrame | None = None, tags: DataFrame | None = None, tag: str | None = None, scope: str | None = None) -> DataFrame:
+    """Total, range, counts by source and top projects in one row, from one scan summed by source and project.
+
+    tag: of sessions with the tag only; scope: of projects equal to a folder or below it only.
+    """
+    rows = history if tag is None else with_tag(history, session_tags, tags, tag)
+    rows = rows if scope is None else rows.where(S.within(F.col("project"), scope))
+    parts = rows.groupBy("source", "project").agg(F.count("*").alias("n"), F.min("timestamp_ms").alias("lo"), F.max("timestamp_ms").alias("hi"))
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.min("lo").alias("first_ms"), F.max("hi").alias("last_ms"))
     sources = parts.groupBy("source").agg(F.sum("n").alias("n")).agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("by_source"))
-    top = parts.where("project is not null").groupBy("project").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "project").limit(10)
+    top = parts.where("project <> ''").groupBy("project").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "project").limit(10)
     top = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "project"))), lambda x: F.struct(x["project"].alias("project"), (-x["k"]).alias("n"))).alias("by_project"))
     one = [x.withColumn("_one", F.lit(1)) for x in (total, sources, top)]
     return one[0].join(one[1], "_one").join(one[2], "_one").drop("_one")
@@ -76,7 +82,7 @@ def handoff(sessions: DataFrame, history: DataFrame, limit: int = 3, source: str
     """
     rows = scoped(sessions, source)
     if scope:
-        rows = rows.where(F.startswith(S.ascii_lower(F.col("cwd")), F.lit(scope.lower())))
+        rows = rows.where(F.startswith(S.ascii_lower(F.col("cwd")), F.lit(S.lower_a_z(scope))))
     if repo:
         rows = rows.where(S.contains_ascii(F.col("cwd"), repo))
     if branch:

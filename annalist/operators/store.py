@@ -1,16 +1,22 @@
-"""Writes to the store as folds over keys: plain Parquet has no upsert, so a new snapshot is the fold of the old rows
-and the new ones. Rows carry seq, their order of arrival, since first and last would mean nothing after a shuffle.
+"""Writes to the store as folds over keys, and the store itself: a folder of plain Parquet tables that only grow.
+
+Rows carry seq, their order of arrival, since first and last would mean nothing after a shuffle. A table is appended to
+by ordinary Spark writes; rows that a key has already aren't added (history), or all are added and folded when
+read (sessions, manifest, cursors). Nothing is rewritten or pointed to, so a run that breaks off loses nothing and
+may be run again. One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import scalars as S
-from annalist.schemas import KEYS
+from annalist.functions.fts import with_tokens
+from annalist.schemas import HISTORY, KEYS, SESSIONS
+
+STORED_HISTORY = f"{HISTORY}, prompt_tokens string, project_tokens string, day string"
 
 
 def last_value(c: str) -> Column:
@@ -67,9 +73,10 @@ def fold_events(rows: DataFrame) -> DataFrame:
 
 def fold_tool_calls(rows: DataFrame) -> DataFrame:
     """Last row wins, but is_error stays unless a new one is given."""
-    out = last_wins(rows.drop("is_error"), KEYS["tool_calls"])
-    errors = rows.groupBy(*KEYS["tool_calls"]).agg(last_value("is_error").alias("is_error"))
-    return out.join(errors, list(KEYS["tool_calls"])).select(*rows.columns)
+    keys = KEYS["tool_calls"]
+    others = [c for c in rows.columns if c not in (*keys, "seq", "is_error")]
+    out = rows.groupBy(*keys).agg(F.max(F.struct("seq", *others)).alias("last"), last_value("is_error").alias("is_error"))
+    return out.select(*(F.col(f"last.{c}").alias(c) if c in ("seq", *others) else F.col(c) for c in rows.columns))
 
 
 def with_results(calls: DataFrame, results: DataFrame) -> DataFrame:
@@ -115,6 +122,11 @@ def mirrored_trajectories(history: DataFrame, trajectories: DataFrame, last_id:
     return kept.select(*history.columns).unionByName(numbered(rows, last_id).drop("seq").select(*history.columns))
 
 
+def with_trajectories(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Trajectories with new rows over old ones of the same id (rowid stays with the id)."""
+    return stored.join(fresh.select("id"), "id", "left_anti").select(*stored.columns).unionByName(last_wins(fresh, ("id",)).join(stored.select("id", "rowid"), "id", "left").select(*stored.columns))
+
+
 def with_codex_map(history: DataFrame, rollouts: DataFrame) -> DataFrame:
     """Codex prompts whose project or branch is null, filled from the rollout map."""
     known = rollouts.select(F.lit("codex").alias("source"), "session_id", F.col("cwd").alias("_cwd"), F.col("git_branch").alias("_branch"))
@@ -123,32 +135,55 @@ def with_codex_map(history: DataFrame, rollouts: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Snapshots of tables below a folder; a pointer names the current one, and is written last."""
+    """Parquet tables below a folder. History is laid out by day and keeps the tokens of its texts beside them."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.folder}/{table}/current"
-
-    def _path(self, text: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(text)
-
-    def path(self, table: str) -> str | None:
-        pointer = self._path(self._pointer(table))
-        system = pointer.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.exists(pointer):
-            return None
-        names = sorted(x.value for x in self.spark.read.text(self._pointer(table)).collect())
-        return f"{self.folder}/{table}/{names[-1]}"
+    def path(self, table: str) -> str:
+        return f"{self.folder}/{table}"
 
     def read(self, table: str, schema: str) -> DataFrame:
-        path = self.path(table)
-        return self.spark.createDataFrame([], schema) if path is None else self.spark.read.schema(schema).parquet(path)
-
-    def replace(self, table: str, rows: DataFrame, partition_by: str | None = None) -> None:
-        """A new snapshot beside the one that may be read just now, then the pointer to it."""
-        name = f"snapshot-{uuid.uuid4().hex}"
-        writer = rows.write
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.folder}/{table}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
+        """The table's rows as they were added; no rows before the first were."""
+        try:
+            return self.spark.read.schema(schema).parquet(self.path(table))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def append(self, table: str, rows: DataFrame, *partition_by: str) -> None:
+        rows.write.mode("append").partitionBy(*partition_by).parquet(self.path(table))
+
+    def history(self) -> DataFrame:
+        return self.read("history", STORED_HISTORY)
+
+    def add_history(self, rows: DataFrame) -> int:
+        """Adds prompts whose key the store doesn't have; the first of a key wins. Returns their number.
+
+        Only the days that the rows touch are read, and only the new rows are written.
+        """
+        rows = rows.withColumn("day", S.day(F.col("timestamp_ms")))
+        stored = self.history()
+        touched = stored.join(F.broadcast(rows.select("day").distinct()), "day", "left_semi")  # days: few
+        last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        fresh = numbered(new_rows(rows, touched, KEYS["history"]), last)
+        columns = [c.split()[0] for c in HISTORY.split(", ")]
+        self.append("history", with_tokens(fresh.select(*columns, "day"), "prompt", "project"), "day")
+        return self.history().where(F.col("id") > last).count()
+
+    def sessions(self) -> DataFrame:
+        """Every session's summary, folded from all that was added."""
+        return fold_sessions(self.read("sessions", f"{SESSIONS}, seq struct<at:long,path:string>")).select(*(c.split()[0] for c in SESSIONS.split(", ")))
+
+    def add_sessions(self, rows: DataFrame, now_ms: int) -> None:
+        self.append("sessions", rows.select(*(c.split()[0] for c in SESSIONS.split(", ")), F.struct(F.lit(now_ms).cast("long").alias("at"), F.col("raw_path").alias("path")).alias("seq")))
+
+    def cursors(self) -> dict[str, int]:
+        """The greatest value of each cursor that was ever saved."""
+        return {r.name: r.value for r in self.read("cursors", "name string, value long").groupBy("name").agg(F.max("value").alias("value")).collect()}
+
+    def save_cursors(self, cursors: dict[str, int]) -> None:
+        """Cursors never go back: a smaller value is kept, but isn't read."""
+        if cursors != {k: v for k, v in self.cursors().items() if k in cursors}:
+            self.append("cursors", self.spark.createDataFrame(list(cursors.items()), "name string, value long").coalesce(1))

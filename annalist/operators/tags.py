@@ -30,7 +30,8 @@ def tagged_sessions(session_tags: DataFrame, tags: DataFrame, history: DataFrame
     """Tagged sessions with project, number of prompts and last time; how='inner' leaves out those without prompts."""
     links = tagged(session_tags, tags)
     links = links if tag is None else links.where(F.col("name") == S.tag_name(F.lit(tag)))
-    sums = history.groupBy("source", "session_id").agg(F.min("project").alias("project"), F.count("*").alias("n"), F.max("timestamp_ms").alias("last_ms"))
+    wanted = links.select("source", "session_id").distinct()
+    sums = history.join(wanted, ["source", "session_id"], "left_semi").groupBy("source", "session_id").agg(F.min("project").alias("project"), F.count("*").alias("n"), F.max("timestamp_ms").alias("last_ms"))
     out = links.join(sums, ["source", "session_id"], how)
     return out.select("name", "source", "session_id", "project", F.coalesce("n", F.lit(0)).alias("n"), "last_ms").orderBy(F.desc("last_ms"), "name", "source", "session_id")
 

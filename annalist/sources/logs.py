@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import scalars as S
-from annalist.operators.convergence import _array, _get, _kind_of, _string, _strings
+from annalist.operators.convergence import _array, _get, _kind_of, _string
+from annalist.operators.search import scoped
 
 MOST_ANSWER = 4096
 
@@ -52,7 +53,8 @@ def claude_prompts(lines: DataFrame) -> DataFrame:
 
 def codex_rollouts(spark: SparkSession, path: str) -> DataFrame:
     """session_id, cwd, git_branch from the first line of each rollout file; both id and folder are needed."""
-    first = json_lines(spark, path, "rollout-*.jsonl").where("line = 0")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="rollout-*.jsonl")
+    first = files.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json(F.substring_index("value", "\n", 1)).alias("v"))
     v = F.col("v")
     rows = first.where(_text(v, "$.type") == "session_meta").select("path", _text(v, "$.payload.id").alias("session_id"), _text(v, "$.payload.cwd").alias("cwd"), _text(v, "$.payload.git.branch").alias("git_branch"))
     rows = rows.where("session_id is not null and cwd is not null")
@@ -141,15 +143,21 @@ def claude_tool_calls(blocks: DataFrame) -> DataFrame:
     return rows.select(F.lit("claude").alias("source"), "session_id", "message_id", tool.alias("tool_use_id"), name.alias("name"), target.alias("target"), args.alias("args_json"), F.lit(None).cast("int").alias("is_error"), "ts_ms", "git_branch", "cwd", "seq")
 
 
+PATCH_DEPTH = 6
+
+
 def _lines_changed(patch: Column) -> Column:
-    """Counts of a patch: text, or the first of its usual fields, two levels deep."""
-    def text(v):
-        return F.when(_kind_of(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    """Counts of a patch's lines: of a text itself, or of all texts inside arrays and objects, PATCH_DEPTH levels deep."""
+
+    def texts(v, depth):
+        kind, none = _kind_of(v), F.array().cast("array<string>")
+        own = F.when(kind == "STRING", F.array(F.try_variant_get(v, "$", "string")))
+        if depth == 0:
+            return F.coalesce(own, none)
+        inside = F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>")).when(F.startswith(kind, F.lit("OBJECT")), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")))
+        return F.coalesce(own, F.flatten(F.transform(inside, lambda x: texts(x, depth - 1))), none)
 
-    keys = ("patch", "diff", "text", "content", "structuredPatch")
-    inner = [text(_get(patch, k)) for k in keys]
-    several = F.when(F.startswith(_kind_of(patch), F.lit("ARRAY")), F.array_join(F.transform(F.try_variant_get(patch, "$", "array<variant>"), lambda x: F.coalesce(text(x), *(text(_get(x, k)) for k in keys), F.lit(""))), "\n"))
-    return S.patch_counts(F.coalesce(text(patch), *inner, several, F.lit("")))
+    return S.patch_counts(F.array_join(texts(patch, PATCH_DEPTH), "\n"))
 
 
 def claude_results(blocks: DataFrame) -> DataFrame:
@@ -269,14 +277,19 @@ def opencode_prompts(session: DataFrame, message: DataFrame, part: DataFrame) ->
     return rows.select(*_history("opencode", F.col("session_id"), F.col("directory"), F.col("said"), F.coalesce("pt", "mt", "st"), ["pt", "part_id"]))
 
 
-def relay_messages(pages: DataFrame) -> DataFrame:
-    """Messages of chat pages (channel, value: a page's JSON): `[sender] text`, in their thread or channel."""
+def relay_messages(pages: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """Messages of chat pages (channel, value: a page's JSON): `[sender] text`, in their thread or channel.
+
+    after: channel, after: the greatest message id that was read before; only later ones are taken.
+    """
     v = F.try_parse_json("value")
     rows = pages.withColumn("v", v).select("channel", F.posexplode(_array(F.col("v"), "data")).alias("n", "m"))
     m = F.col("m")
     said = _string(m, "text")
     sender = F.coalesce(_string(m, "from_name"), _string(m, "from_id"), F.lit(""))
     rows = rows.where(said.isNotNull()).withColumn("mid", _text(m, "$.id"))
+    if after is not None:
+        rows = rows.join(after.select("channel", "after"), "channel", "left").where(F.col("after").isNull() | (F.col("mid") > F.col("after")))
     return rows.select(*_history("relay", F.coalesce(_string(m, "thread_id"), F.col("channel")), F.lit(None).cast("string"), F.concat(F.lit("["), sender, F.lit("] "), said), S.millis_of_iso(_text(m, "$.created_at")), ["channel", "mid"]))
 
 
@@ -289,12 +302,34 @@ def relay_cursors(pages: DataFrame) -> DataFrame:
 EXPORT = ("source", "session_id", "project", "prompt", "prompt_hash", "timestamp_ms")
 
 
-def exported(history: DataFrame) -> DataFrame:
-    """Lines of JSON in order of time; the hash is computed anew."""
-    rows = history.withColumn("prompt_hash", S.prompt_hash(F.col("prompt"))).orderBy("timestamp_ms", "id")
+def exported(history: DataFrame, **filters) -> DataFrame:
+    """Lines of JSON in order of time; the hash is computed anew. filters: source, project, since, before_ms."""
+    rows = scoped(history, **filters).withColumn("prompt_hash", S.prompt_hash(F.col("prompt"))).orderBy("timestamp_ms", "id")
     return rows.select(F.to_json(F.struct(*EXPORT), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def write_export(history: DataFrame, folder: str, gz: bool = False, **filters) -> None:
+    """Exported lines as text files in order (part numbers follow the time); no match is an error."""
+    lines = exported(history, **filters)
+    if lines.isEmpty():
+        raise ValueError("No entries matched the export filters.")
+    lines.write.option("compression", "gzip" if gz else "none").text(folder)
+
+
+def import_preview(rows: DataFrame, k: int = 5) -> tuple[int, DataFrame]:
+    """A dry run: the number of rows, and the first k as minute, source, project and the prompt cut to 80 characters."""
+    order = [c for c in ("timestamp_ms", "source", "prompt") if c in rows.columns]
+    return rows.count(), rows.orderBy(*order).limit(k).select(S.minute(F.col("timestamp_ms")).alias("at"), "source", "project", F.replace(F.substring("prompt", 1, 80), F.lit("\n"), F.lit(" ")).alias("prompt"))
+
+
+def import_into(store, rows: DataFrame) -> dict[str, int]:
+    """Adds imported rows; tells how many were new and how many the store had already."""
+    ordered = rows.withColumns({"git_branch": F.lit(None).cast("string"), "seq": F.struct("timestamp_ms", "source", "prompt")})
+    total = rows.count()
+    added = store.add_history(ordered)
+    return {"inserted": added, "skipped": total - added}
+
+
 def imported(lines: DataFrame) -> DataFrame:
     """Rows of exported lines (value). Blank lines, bad JSON and empty prompts are skipped; a missing source or time is an error."""
     row = F.from_json("value", "source string, session_id string, project string, prompt string, prompt_hash string, timestamp_ms long")

@@ -1,7 +1,8 @@
-"""Incremental ingestion: Structured Streaming over files as they come, folded into the store's snapshots.
+"""Incremental ingestion: Structured Streaming over files as they come, and runs over files that grow.
 
-A file source sees a file once, so files that grow are read by offset: a manifest keeps how many lines of each file
-are in the store, and a run takes the complete lines after them. Manifests move forward only.
+A file source sees a file once, so files that grow are read by byte ranges: the store's manifest keeps how many bytes of
+each file were read, and moves forward only. Files that are read whole have a stamp of time and size instead. Rows are
+added before the manifest is, and added rows are known by their keys: a run that breaks off is simply run again.
 """
 
 from __future__ import annotations
@@ -11,20 +12,25 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.operators import store as folds
 from annalist.operators.store import Store
-from annalist.schemas import HISTORY, KEYS
+from annalist.sources import growing, logs
 
-MANIFEST = "source string, path string, lines long, stamp string"
+MANIFEST = "source string, path string, bytes long, stamp string"
 
 
 def stamp(modified, size):
     return F.concat(F.unix_micros(modified).cast("string"), F.lit(":"), size.cast("string"))
 
 
-def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
+def manifest(store: Store, source: str) -> DataFrame:
+    """path, bytes, stamp: how far each file of a source was read, and how it was when it was read whole."""
+    rows = store.read("manifest", MANIFEST).where(F.col("source") == source)
+    return rows.groupBy("path").agg(F.max("bytes").alias("bytes"), F.max("stamp").alias("stamp"))
+
+
+def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files (path, stamp) that the manifest doesn't have as they are: an anti join."""
-    return files.join(manifest.select("path", "stamp"), ["path", "stamp"], "left_anti")
+    return files.join(known.select("path", "stamp"), ["path", "stamp"], "left_anti")
 
 
 def needing_repair(sessions: DataFrame, events: DataFrame) -> DataFrame:
@@ -32,42 +38,43 @@ def needing_repair(sessions: DataFrame, events: DataFrame) -> DataFrame:
     return sessions.join(events.select("source", "session_id"), ["source", "session_id"], "left_anti")
 
 
-def new_lines(lines: DataFrame, manifest: DataFrame, source: str) -> DataFrame:
-    """Lines (path, line, ...) beyond those that the manifest counts."""
-    seen = manifest.where(F.col("source") == source).select("path", F.col("lines").alias("_seen"))
-    return lines.join(seen, "path", "left").where(F.col("line") >= F.coalesce("_seen", F.lit(0))).drop("_seen")
-
-
-def advanced(manifest: DataFrame, seen: DataFrame) -> DataFrame:
-    """The manifest with what was seen now (source, path, lines, stamp); counts never go back."""
-    both = manifest.withColumn("_n", F.lit(0)).unionByName(seen.withColumn("_n", F.lit(1)))
-    return both.groupBy("source", "path").agg(F.max("lines").alias("lines"), F.max_by("stamp", "_n").alias("stamp"))
+def sync_lines(store: Store, source: str, folder: str, parse: Callable[[DataFrame], DataFrame], glob: str = "*.jsonl", chunk_bytes: int = 256 << 20) -> dict[str, int]:
+    """Reads what is new in a source's growing files and adds its prompts, `chunk_bytes` of each file at a time.
 
-
-def add_history(store: Store, rows: DataFrame) -> int:
-    """Inserts prompts that the store doesn't have; the first of a key wins. Returns their number."""
-    stored = store.read("history", HISTORY)
-    last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = folds.numbered(folds.new_rows(rows, stored, KEYS["history"]), last)
-    n = fresh.count()
+    Returns the numbers of prompts added, lines read and lines that aren't JSON.
+    """
+    told = {"added": 0, "lines": 0, "bad": 0}
+    while True:
+        lines = growing.new_lines(store.spark, folder, manifest(store, source), glob, chunk_bytes).persist()
+        seen = growing.progress(lines).select(F.lit(source).alias("source"), "path", "bytes", F.lit(None).cast("string").alias("stamp"))
+        count = lines.where("value <> ''").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("bad")).first()
+        if seen.isEmpty():
+            lines.unpersist()
+            return told
+        told["added"] += store.add_history(parse(lines.where("value <> ''")))
+        told["lines"], told["bad"] = told["lines"] + count.n, told["bad"] + count.bad
+        store.append("manifest", seen)
+        lines.unpersist()
+
+
+def sync_sessions(store: Store, folder: str, events: DataFrame, now_ms: int, source: str = "claude") -> int:
+    """Summaries of the transcripts that are new, have changed, or have no events yet. Returns how many files were read."""
+    files = growing.files(store.spark, folder).withColumn("stamp", stamp(F.col("modified"), F.col("length"))).select("path", "stamp")
+    known = manifest(store, f"{source}-sessions")
+    lacking = needing_repair(store.sessions().where(F.col("source") == source), events).select(F.col("raw_path").alias("path"))
+    todo = changed_files(files, known).unionByName(files.join(lacking, "path", "left_semi")).distinct().persist()
+    n = todo.count()
     if n:
-        store.replace("history", stored.unionByName(fresh.select(*stored.columns)))
+        lines = logs.json_lines(store.spark, folder).join(F.broadcast(todo.select("path")) if n < 10_000 else todo.select("path"), "path", "left_semi")
+        store.add_sessions(logs.claude_sessions(lines), now_ms)
+        store.append("manifest", todo.select(F.lit(f"{source}-sessions").alias("source"), "path", F.lit(None).cast("long").alias("bytes"), "stamp"))
+    todo.unpersist()
     return n
 
 
-def sync_lines(store: Store, source: str, lines: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> int:
-    """One run over the lines of a source's growing files: parse what is new, insert it, then move the manifest."""
-    manifest = store.read("manifest", MANIFEST)
-    n = add_history(store, parse(new_lines(lines, manifest, source)))
-    seen = lines.groupBy("path").agg((F.max("line") + 1).alias("lines"), F.max("modified").alias("m"))
-    seen = seen.select(F.lit(source).alias("source"), "path", "lines", F.unix_micros("m").cast("string").alias("stamp"))
-    store.replace("manifest", advanced(manifest, seen))
-    return n
-
-
-def sync(steps: Iterable[tuple[str, Callable[[], int]]]) -> dict[str, int | Exception]:
+def sync(steps: Iterable[tuple[str, Callable[[], object]]]) -> dict[str, object]:
     """Runs each source's step; one that fails doesn't stop the others, all failing is an error."""
-    done: dict[str, int | Exception] = {}
+    done: dict[str, object] = {}
     for name, step in steps:
         try:
             done[name] = step()
@@ -78,19 +85,28 @@ def sync(steps: Iterable[tuple[str, Callable[[], int]]]) -> dict[str, int | Exce
     return done
 
 
-def watch_folder(spark: SparkSession, folder: str, store: Store, parse: Callable[[DataFrame], DataFrame], checkpoint: str, every: str | None = None):
-    """A stream over new files of a folder: each micro-batch is parsed and folded into the history once.
+def watch_folder(spark: SparkSession, folder: str, add: Callable[[DataFrame], object], checkpoint: str, every: str | None = None):
+    """A stream over new files of a folder: add gets each micro-batch's lines (path, modified, line, value, v) once.
 
+    add is a store's: lambda lines: store.add_history(logs.claude_prompts(lines)), or sessions folded by add_sessions.
     every: a trigger like '60 seconds'; None takes what is there and ends.
     """
     raw = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(folder)
     lines = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     lines = lines.where("value <> ''").withColumn("v", F.try_parse_json("value"))
-    writer = lines.writeStream.foreachBatch(lambda batch, _: add_history(store, parse(batch)) and None).option("checkpointLocation", checkpoint)
+
+    def each(batch, _):
+        add(batch)
+
+    writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def beats(spark: SparkSession, folder: str, schema: str, watermark: str = "1 day"):
-    """Last record and number of records of each machine over a stream of event files (ts, machine_id)."""
-    rows = spark.readStream.schema(schema).parquet(folder)
-    return rows.groupBy("machine_id").agg(F.max("ts").alias("last"), F.count("*").alias("records"))
+def beats(spark: SparkSession, folder: str, schema: str, watermark: str = "1 day", window: str = "1 hour"):
+    """Last record and number of records of each machine and window over a stream of event files (ts timestamp, machine_id).
+
+    Windows that lie before the watermark are closed and leave the state, so it doesn't grow with time.
+    """
+    rows = spark.readStream.schema(schema).parquet(folder).withWatermark("ts", watermark)
+    out = rows.groupBy("machine_id", F.window("ts", window).alias("w")).agg(F.max("ts").alias("last"), F.count("*").alias("records"))
+    return out.select("machine_id", F.col("w.start").alias("start"), "last", "records")

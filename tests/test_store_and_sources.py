@@ -3,10 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import convergence, sessions, store
+from annalist.operators import convergence, search, sessions, store
 from annalist.operators.store import Store
 from annalist.schemas import HISTORY
-from annalist.sources import logs
+from annalist.sources import everything, growing, logs
 from annalist.streaming import ingest
 
 
@@ -66,19 +66,29 @@ def test_cursor_grok_trajectories(spark, tmp_path):
 
 
 def test_export_import_and_idempotent_sync(spark, tmp_path):
-    lines(tmp_path / "c/history.jsonl", [{"display": f"p{i % 4}", "timestamp": i % 4, "sessionId": "s"} for i in range(8)])
-    kept = Store(spark, str(tmp_path / "store"))
-    rows = logs.json_lines(spark, str(tmp_path / "c"))
-    assert ingest.sync_lines(kept, "claude", rows, logs.claude_prompts) == 4
-    assert ingest.sync_lines(kept, "claude", rows, logs.claude_prompts) == 0
+    lines(tmp_path / "c/history.jsonl", [{"display": f"p{i % 4}", "timestamp": i % 4, "sessionId": "s"} for i in range(8)] + ["not json"])
+    kept, folder = Store(spark, str(tmp_path / "store")), str(tmp_path / "c")
+    assert ingest.sync_lines(kept, "claude", folder, logs.claude_prompts) == {"added": 4, "lines": 9, "bad": 1}
+    assert ingest.sync_lines(kept, "claude", folder, logs.claude_prompts) == {"added": 0, "lines": 0, "bad": 0}
+    with (tmp_path / "c/history.jsonl").open("a") as f:
+        f.write(json.dumps({"display": "new", "timestamp": 9}) + "\n" + json.dumps({"display": "half", "timestamp": 10}))
+    assert ingest.sync_lines(kept, "claude", folder, logs.claude_prompts) == {"added": 1, "lines": 1, "bad": 0}
     with (tmp_path / "c/history.jsonl").open("a") as f:
-        f.write(json.dumps({"display": "new", "timestamp": 9}) + "\n")
-    assert ingest.sync_lines(kept, "claude", logs.json_lines(spark, str(tmp_path / "c")), logs.claude_prompts) == 1
-    history = kept.read("history", HISTORY)
-    assert sorted(r.id for r in history.collect()) == [1, 2, 3, 4, 5]
+        f.write("\n")
+    assert ingest.sync_lines(kept, "claude", folder, logs.claude_prompts)["added"] == 1
+    history = kept.history()
+    assert sorted(r.id for r in history.collect()) == [1, 2, 3, 4, 5, 6]
+    assert [r.prompt for r in search.search(history, "new").collect()] == ["new"] and history.where("prompt = 'new'").first().prompt_tokens == " new "
     out = logs.exported(history)
     back = logs.imported(out.union(spark.createDataFrame([("",), ("{bad",), ('{"prompt": ""}',)], "value string")))
-    assert back.count() == 5
+    assert back.count() == 6
+    total, first = logs.import_preview(back)
+    assert total == 6 and first.count() == 5 and first.first().at == "1970-01-01 00:00"
+    assert logs.import_into(kept, back) == {"inserted": 0, "skipped": 6} and logs.import_into(Store(spark, str(tmp_path / "other")), back) == {"inserted": 6, "skipped": 0}
+    logs.write_export(history, str(tmp_path / "out"), gz=True, source="claude", since="1970-01-01")
+    assert spark.read.text(str(tmp_path / "out")).count() == 6
+    with pytest.raises(ValueError, match="No entries"):
+        logs.write_export(history, str(tmp_path / "none"), source="grok")
     with pytest.raises(Exception, match="lacks source"):
         logs.imported(spark.createDataFrame([('{"prompt": "x"}',)], "value string")).collect()
     assert ingest.sync([("a", lambda: 1), ("b", lambda: 1 / 0)])["a"] == 1
@@ -86,12 +96,91 @@ def test_export_import_and_idempotent_sync(spark, tmp_path):
         ingest.sync([("b", lambda: 1 / 0)])
 
 
+def test_byte_ranges_give_each_line_once(spark, tmp_path):
+    rows = [f"line {i} " + "é" * (i % 50) for i in range(300)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_bytes(("\n".join(rows) + "\n").encode())
+    (tmp_path / "in/b.jsonl").write_bytes(b"\r\n\nlast without end")
+    none = spark.createDataFrame([], "path string, bytes long")
+    for size in (7, 100, 1 << 20):
+        got = growing.new_lines(spark, str(tmp_path / "in"), none, range_bytes=size).orderBy("path", "line").collect()
+        assert [r.value for r in got] == [*rows, "", ""]
+    part = growing.new_lines(spark, str(tmp_path / "in"), none, most=1000, range_bytes=100)
+    seen = growing.progress(part)
+    rest = growing.new_lines(spark, str(tmp_path / "in"), seen, range_bytes=64)
+    assert sorted(r.value for r in part.unionByName(rest).where("value <> ''").collect()) == sorted(rows)
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
+    kept = Store(spark, str(tmp_path / "store"))
+
+    def batch(rows):
+        df = spark.createDataFrame([("claude", "s", None, p, None, t, None, (t,)) for p, t in rows], "source string, session_id string, project string, prompt string, prompt_hash string, timestamp_ms long, git_branch string, seq struct<t:long>")
+        return kept.add_history(df)
+
+    def files():
+        return {f for f in (tmp_path / "store/history").rglob("*.parquet")}
+
+    day = 86_400_000
+    assert batch([(f"p{i}", i * day) for i in range(5)]) == 5
+    old = files()
+    assert batch([("p1", day), ("q", day), ("q", day)]) == 1
+    assert old < files() and kept.history().count() == 6
+    assert sum(spark.read.parquet(str(f)).count() for f in files() - old) == 1
+    plan = kept.history().where("day = '1970-01-02'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    kept.save_cursors({"a": 5, "b": 1})
+    kept.save_cursors({"a": 3})
+    assert kept.cursors() == {"a": 5, "b": 1}
+
+
 def test_stream_of_new_files(spark, tmp_path):
     kept = Store(spark, str(tmp_path / "store"))
     for n in (1, 2):
         lines(tmp_path / f"in/f{n}.jsonl", [{"display": f"x{n}", "timestamp": n}, {"display": "same", "timestamp": 5}])
-        ingest.watch_folder(spark, str(tmp_path / "in"), kept, logs.claude_prompts, str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r.prompt for r in kept.read("history", HISTORY).collect()) == ["same", "x1", "x2"]
+        ingest.watch_folder(spark, str(tmp_path / "in"), lambda b: kept.add_history(logs.claude_prompts(b)), str(tmp_path / "ck")).awaitTermination()
+    assert sorted(r.prompt for r in kept.history().collect()) == ["same", "x1", "x2"]
+
+
+def test_sessions_fold_over_runs_and_streams(spark, tmp_path):
+    def transcript(name, branch, at, text):
+        lines(tmp_path / f"in/{name}.jsonl", [{"type": "assistant", "sessionId": "S", "cwd": "/w", "gitBranch": branch, "timestamp": at, "message": {"content": text}}])
+
+    kept = Store(spark, str(tmp_path / "store"))
+    none = spark.createDataFrame([], "source string, session_id string")
+    some = spark.createDataFrame([("claude", "S")], "source string, session_id string")
+    transcript("a", "one", "2024-01-01T00:00:00Z", "first")
+    assert ingest.sync_sessions(kept, str(tmp_path / "in"), some, 1) == 1
+    assert ingest.sync_sessions(kept, str(tmp_path / "in"), some, 2) == 0
+    assert ingest.sync_sessions(kept, str(tmp_path / "in"), none, 3) == 1  # it has no events: read again
+    transcript("b", "two", "2024-01-02T00:00:00Z", "second")
+    assert ingest.sync_sessions(kept, str(tmp_path / "in"), some, 4) == 1
+    r = kept.sessions().first()
+    assert kept.sessions().count() == 1 and (r.git_branch, r.last_assistant_text, r.last_activity_ms - r.first_activity_ms) == ("two", "second", 86_400_000)
+    live = Store(spark, str(tmp_path / "live"))
+    ingest.watch_folder(spark, str(tmp_path / "in"), lambda b: live.add_sessions(logs.claude_sessions(b), 5), str(tmp_path / "ck")).awaitTermination()
+    assert live.sessions().first().last_activity_ms == r.last_activity_ms
+
+
+def test_beats_close_old_windows(spark, tmp_path):
+    spark.sql("select timestamp'2024-01-01 00:10:00' + make_interval(0, 0, 0, 0, id) as ts, 'm' as machine_id from range(60)").write.parquet(str(tmp_path / "e"))
+    q = ingest.beats(spark, str(tmp_path / "e"), "ts timestamp, machine_id string").writeStream.format("memory").queryName("beats_test").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination()
+    rows = spark.table("beats_test").collect()
+    assert 30 < len(rows) < 60 and all(r.records == 1 for r in rows)  # the last day's windows are still open
+
+
+def test_all_sources_in_one(spark, tmp_path):
+    lines(tmp_path / "c/history.jsonl", [{"display": "one", "timestamp": 1}, {"display": "one", "timestamp": 1}])
+    lines(tmp_path / "x/history.jsonl", [{"text": "two", "ts": 2, "session_id": "a"}])
+    for root in ("p/.trajectories", "q"):
+        (tmp_path / root).mkdir(parents=True)
+        (tmp_path / root / "r.json").write_text(json.dumps({"id": root[0], "task": {"title": "T"}, "completedAt": "2024-01-02T00:00:00Z"}))
+    places = {"claude": str(tmp_path / "c"), "codex": str(tmp_path / "x"), "trajectory": [str(tmp_path / "p"), str(tmp_path / "q"), str(tmp_path / "p/.trajectories")]}
+    got = sorted((r.source, r.session_id or "") for r in everything.prompts(spark, places).collect())
+    assert got == [("claude", ""), ("codex", "a"), ("trajectory", "p"), ("trajectory", "q")]
+    with pytest.raises(ValueError, match="unknown sources"):
+        everything.prompts(spark, {"vim": "x"})
 
 
 def test_opencode_relay_and_mirror(spark):
@@ -102,12 +191,13 @@ def test_opencode_relay_and_mirror(spark):
     page = spark.createDataFrame([("#c", json.dumps({"ok": True, "data": [{"id": "7", "from_name": "bo", "text": "yo", "created_at": "2024-01-01T00:00:00Z"}, {"id": "8", "text": ""}]}))], "channel string, value string")
     r = logs.relay_messages(page).first()
     assert (r.prompt, r.session_id, r.timestamp_ms) == ("[bo] yo", "#c", 1704067200000) and logs.relay_cursors(page).first().after == "8"
+    assert logs.relay_messages(page, logs.relay_cursors(page)).count() == 0
     history = spark.createDataFrame([(1, "claude", "a", None, "x", None, 1, None), (2, "trajectory", "t1", None, "old", None, 1, None)], HISTORY)
     runs = spark.createDataFrame([("t1", "/p", "new text", 5)], "id string, project_id string, search_text string, timestamp_ms long")
     assert sorted((r.id, r.prompt) for r in store.mirrored_trajectories(history, runs, 2).collect()) == [(1, "x"), (3, "new text")]
 
 
-ROW = {"rowid": 1, "id": "traj_abc", "persona_id": "planner", "project_id": None, "task_title": "Build it", "task_description": None, "status": None, "timestamp_ms": 1_782_036_000_000}
+ROW = {"rowid": 1, "id": "run-7", "persona_id": "gardener", "project_id": None, "task_title": "Plant the north bed", "task_description": None, "status": None, "timestamp_ms": 1_710_498_600_250}
 SCHEMA = "rowid long, id string, persona_id string, project_id string, task_title string, task_description string, status string, timestamp_ms long, decisions_json string, retrospective_json string"
 
 
@@ -116,24 +206,40 @@ def runs(spark, *rows):
 
 
 def test_trajectory_events(spark):
-    decisions = [{"question": "Which DB?", "chosen": "Neon", "reasoning": "pgvector", "alternatives": ["D1", {"option": "Aurora", "reason": "heavier"}], "confidence": 0.9}]
-    retro = {"summary": "Shipped", "approach": "TDD", "learnings": ["kind in PK", " "], "suggestions": ["scrub /Users/bob/x"], "challenges": [{"text": "union"}], "confidence": 0.8}
-    got = convergence.trajectory_events(runs(spark, {"decisions_json": json.dumps(decisions), "retrospective_json": json.dumps(retro)}, {"id": " ", "decisions_json": "[]", "retrospective_json": "{}"}, {"id": "bad", "decisions_json": "{", "retrospective_json": "no"})).orderBy("ord").collect()
-    assert [(e.event_id, e.kind, e.confidence) for e in got] == [
-        ("decision:traj_abc:0", "decision", 0.9), ("reflection:traj_abc:summary", "reflection", 0.8), ("reflection:traj_abc:approach", "reflection", 0.8),
-        ("finding:traj_abc:learning:0", "finding", None), ("reflection:traj_abc:suggestion:0", "reflection", None), ("finding:traj_abc:challenge:0", "finding", None),
-    ]
-    assert got[0].content == "Question: Which DB?\nChose: Neon\nBecause: pgvector\nAlternatives: D1; Aurora (heavier)"
-    assert json.loads(got[0].record) == {"chosen": "Neon", "alternatives": ["D1", "Aurora (heavier)"]} and got[4].content == "scrub /Users/~/x" and got[0].ts == "2026-06-21T10:00:00.000Z"
+    """Each list makes one event an entry, numbered by its place among the entries that hold a text; blank ones make none."""
+    choices = [
+        {"question": "What goes first?", "chosen": "beans", "alternatives": ["kale", {"option": "leeks", "reason": "slow"}, {"reason": "cheap"}, "  ", 4]},
+        {"question": " ", "confidence": 0.25},
+        {"chosen": "path over /home/ines/yard", "reasoning": "dry", "confidence": 0.5},
+    ]
+    look = {"summary": "Bed is full", "confidence": 1, "learnings": [" ", {"description": "water early"}, "mulch"], "challenges": [{"value": "slugs"}, {"other": 1}], "suggestions": []}
+    got = convergence.trajectory_events(runs(spark, {"decisions_json": json.dumps(choices), "retrospective_json": json.dumps(look)}, {"id": "", "retrospective_json": json.dumps(look)}, {"id": "odd", "decisions_json": "[1, 2]", "retrospective_json": "[]"})).orderBy("ord").collect()
+    assert [(e.event_id, e.content, e.confidence) for e in got] == [
+        ("decision:run-7:0", "Question: What goes first?\nChose: beans\nAlternatives: kale; leeks (slow); cheap", None),
+        ("decision:run-7:2", "Chose: path over /home/~/yard\nBecause: dry", 0.5),
+        ("reflection:run-7:summary", "Bed is full", 1.0),
+        ("finding:run-7:learning:0", "water early", None),
+        ("finding:run-7:learning:1", "mulch", None),
+        ("finding:run-7:challenge:0", "slugs", None),
+    ]
+    assert [json.loads(e.record) for e in got[:2]] == [{"chosen": "beans", "alternatives": ["kale", "leeks (slow)", "cheap"]}, {"chosen": "path over /home/~/yard"}]
+    assert {(e.ts, e.actor_name, e.task_title, e.source) for e in got} == {("2024-03-15T10:30:00.250Z", "gardener", "Plant the north bed", "trajectories")}
 
 
 def test_roll_up_events(spark):
-    roll = {"id": "cf", "type": "compacted", "sourceTrajectories": ["a"], "decisions": [{"question": "Q", "chosen": "C", "reasoning": "R", "impact": "I"}, {"chosen": "D"}], "lessons": [{"context": "x", "lesson": "y"}, "skip"], "keyFindings": ["k0", "k1"], "keyLearnings": ["l"], "conventions": [{"pattern": "p", "scope": "s"}], "narrative": "N", "openQuestions": ["o"]}
-    got = convergence.trajectory_events(runs(spark, {"id": "cf", "decisions_json": "[]", "retrospective_json": json.dumps(roll)})).orderBy("ord").collect()
-    assert [e.event_id for e in got] == ["decision:cf:0", "decision:cf:1", "reflection:cf:lesson:0", "finding:cf:keyfinding:0", "finding:cf:keyfinding:1", "finding:cf:learning:0", "reflection:cf:convention:0", "reflection:cf:summary", "finding:cf:openquestion:0"]
-    assert all(e.tags == ["compacted"] and e.confidence is None for e in got) and got[0].content.endswith("Impact: I") and got[6].content == "Pattern: p\nScope: s"
-    learn = convergence.trajectory_events(runs(spark, {"id": "cf", "decisions_json": "[]", "retrospective_json": json.dumps({**roll, "tags": ["learn"], "source": "mine"})})).collect()
-    assert not any(e.event_id.endswith("summary") for e in learn) and all(e.source == "mine" and e.lens == "mine" for e in learn)
+    """A roll-up has lists of its own; its tags replace the usual one, and the tag learn leaves out the narrative."""
+    roll = {"id": "season", "type": "compacted", "sourceTrajectories": ["run-7", "run-8"], "narrative": "A wet spring", "keyLearnings": ["mulch twice", "", "net the peas"], "lessons": [7, {"lesson": "drain first", "recommendation": "dig a trench"}], "conventions": [{"pattern": "rows face south", "rationale": "light"}], "decisions": [{"question": "Which soil?", "impact": "less weeding"}]}
+    rows = [{"id": f"season{i}", "decisions_json": json.dumps([{"chosen": "not read"}]), "retrospective_json": json.dumps({**roll, **more})} for i, more in enumerate([{}, {"tags": ["learn", " "], "source": "almanac", "lens": "yearly"}, {"sourceTrajectories": None}])]
+    got = convergence.trajectory_events(runs(spark, *rows)).orderBy("session_id", "ord").collect()
+    plain = [(e.kind, e.event_id.split(":", 2)[2], e.content) for e in got if e.session_id == "season0"]
+    assert plain == [
+        ("decision", "0", "Question: Which soil?\nImpact: less weeding"), ("reflection", "lesson:0", "Lesson: drain first\nRecommendation: dig a trench"),
+        ("finding", "learning:0", "mulch twice"), ("finding", "learning:1", "net the peas"), ("reflection", "convention:0", "Pattern: rows face south\nRationale: light"), ("reflection", "summary", "A wet spring"),
+    ]
+    tagged = [e for e in got if e.session_id == "season1"]
+    assert len(tagged) == len(plain) - 1 and {(e.source, e.lens, tuple(e.tags)) for e in tagged} == {("almanac", "yearly", ("learn",))}
+    assert {tuple(e.tags) for e in got if e.session_id == "season0"} == {("compacted",)}
+    assert [e.content for e in got if e.session_id == "season2"] == ["Chose: not read"]
 
 
 def test_outbox_cap_and_push(spark):
