@@ -11,11 +11,11 @@ Whole documents hold few distinct words, so each distinct word of all documents
 4. every partition is read again and its texts are put together from its own words. No text is shuffled, nothing is
    broadcast but the vocabulary, and a task holds the distinct words of its own input. Should a partition
    hold other rows the second time, the words that it lacks are looked up in the whole table.
-Decoding concatenates the binary pieces of the ids.
+Decoding concatenates the binary pieces of the ids, in Spark for each distinct word; a text's bytes are its words' bytes.
 
 Defined cases: a null text counts as empty (no ids; the digests of empty strings); rows with the same id are
 encoded each for itself; an empty table gives no rows; other columns are ignored. The pattern's matches are
-found by the regex library as in the public rank-file encoders.
+found by the regex library as in the public rank-file encoders. doc_id is an integer (long).
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from annalist.llm.common import work_path
 from annalist.llm.pieces import Recent, cut, matcher, slices
 
-#: Up to so many bytes a word's ranks are kept from merge to merge; longer words merge all places of a pair at once.
+#: Up to so many bytes a word's pairs are joined one by one; of longer words, all places of a pair together where that gives the same.
 SHORT = 64
+PARTS = 4
 _BUCKETS = 1 << 14
 _NONE = 2**31 - 1
 
@@ -86,12 +87,19 @@ def _encoded(word: Column, ranks: Column) -> Column:
         least = F.array_min(s["r"])
         return F.when(F.coalesce(least, F.lit(_NONE)) == _NONE, s).otherwise(_let(F.array_position(s["r"], least).cast("int"), at))
 
-    def merge_all(s, _):
+    def merge_all(s, k):
+        """Joins all places of the least pair at once if no pair that this makes, or that joining one place after another
+        would make, ranks lower; then the order doesn't matter. Else the first place only."""
         p, r, least = s["p"], s["r"], F.array_min(s["r"])
         # M: joins the next piece; S: is joined to the piece before
         marks = F.regexp_replace(F.concat(F.array_join(F.transform(r, lambda x: F.when(x == least, "1").otherwise("0")), ""), F.lit("0")), "1.", "MS")
-        joined = _let(F.split(marks, ""), lambda m: F.filter(F.transform(p, lambda x, i: F.when(F.element_at(m, i + 1) == "M", F.concat(x, F.element_at(p, i + 2))).when(F.element_at(m, i + 1) != "S", x)), lambda x: x.isNotNull()))
-        return F.when(F.coalesce(least, F.lit(_NONE)) == _NONE, s).otherwise(_let(joined, lambda q: F.struct(q.alias("p"), pair_ranks(q).alias("r"))))
+
+        def joined(m):
+            q = F.filter(F.transform(p, lambda x, i: F.when(F.element_at(m, i + 1) == "M", F.concat(x, F.element_at(p, i + 2))).when(F.element_at(m, i + 1) != "S", x)), lambda x: x.isNotNull())
+            between = F.transform(F.filter(F.sequence(F.lit(1), F.size(r)), lambda i: (F.element_at(m, i) == "M") & (i < F.size(r))), lambda i: rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1), F.element_at(p, i + 2))))
+            return _let(q, lambda x: _let(pair_ranks(x), lambda y: F.when(F.coalesce(F.array_min(F.concat(y, between)), F.lit(_NONE)) >= least, F.struct(x.alias("p"), y.alias("r"))).otherwise(merge_one(s, k))))
+
+        return F.when(F.coalesce(least, F.lit(_NONE)) == _NONE, s).otherwise(_let(F.split(marks, ""), joined))
 
     def fold(p):
         start = F.struct(p.alias("p"), pair_ranks(p).alias("r"))
@@ -142,12 +150,25 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "block int, word string")
 
 
+def decode_words(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """binary: the pieces of the ids, one after another."""
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.decode("latin-1")
+    text = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.element_at(text, i + 1)), ""), "ISO-8859-1")
+
+
 def write_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> str:
-    """Encodes each distinct word once; returns the folder of the table (word, ids as a line of numbers) by block."""
-    path = work_path(docs.sparkSession, "bpe-words")
+    """Encodes each distinct word once and decodes its ids; returns the folder of the table (word, ids as a line of numbers,
+    bytes: what the ids decode to, null where that is the word itself) by block."""
+    spark, path = docs.sparkSession, work_path(docs.sparkSession, "bpe-words")
     words = distinct_words(docs, pattern).groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    encoded = words.select("blocks", "word", F.array_join(encode_words(F.col("word"), rank_literal(ranks)).cast("array<string>"), ",").alias("ids"))
-    encoded.select(F.explode("blocks").alias("block"), "word", "ids").repartition("block").write.partitionBy("block").parquet(path)
+    encoded = words.select("blocks", "word", encode_words(F.col("word"), rank_literal(ranks)).alias("ids"))
+    decoded = encoded.select(F.explode("blocks").alias("block"), "word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.nullif(decode_words(F.col("ids"), ranks), F.encode("word", "UTF-8")).alias("bytes"))
+    # A number of partitions that is given, else adaptive execution merges them; a block's words come from PARTS tasks.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    decoded.repartition(n, "block", F.pmod(F.hash("word"), F.lit(PARTS))).write.partitionBy("block").parquet(path)
     return path
 
 
@@ -158,21 +179,30 @@ class BlockWords:
         from pyarrow import fs
 
         self.system, self.base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-        self.ids = self._read(f"{self.base}/block={block}")
+        self.ids: dict[str, bytes] = {}
+        self.bytes: dict[str, bytes] = {}
+        self._read(f"{self.base}/block={block}")
 
-    def _read(self, place: str, words=None) -> dict[str, bytes]:
+    def _read(self, place: str, words=None) -> None:
         import pyarrow.dataset as ds
 
         if self.system.get_file_info(place).type.name != "Directory":
-            return {}
-        data = ds.dataset(place, filesystem=self.system, format="parquet", schema=pa.schema([("word", pa.string()), ("ids", pa.string())]))
+            return
+        data = ds.dataset(place, filesystem=self.system, format="parquet", schema=pa.schema([("word", pa.string()), ("ids", pa.string()), ("bytes", pa.binary())]))
         table = data.to_table(filter=None if words is None else ds.field("word").isin(words))
-        return dict(zip(table.column("word").to_pylist(), table.column("ids").cast(pa.binary()).to_pylist(), strict=True))
+        found = table.column("word").to_pylist()
+        self.ids.update(zip(found, table.column("ids").cast(pa.binary()).to_pylist(), strict=True))
+        other = table.filter(ds.field("bytes").is_valid())
+        self.bytes.update(zip(other.column("word").to_pylist(), other.column("bytes").to_pylist(), strict=True))
+
+    def decoded(self, word: str) -> bytes:
+        """What Spark decoded from the word's ids."""
+        return self.bytes[word] if word in self.bytes else word.encode()
 
     def lack(self, words: list[str]) -> None:
         """Fetches words that the partition didn't have."""
         if missing := [w for w in words if w not in self.ids]:
-            self.ids |= self._read(self.base, missing)
+            self._read(self.base, missing)
 
 
 def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -180,21 +210,18 @@ def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ranks = read_ranks(rank_path)
     path = write_words(docs, pattern, ranks)
-    token = docs.sparkSession.sparkContext.broadcast({b"%d" % rank: x for x, rank in ranks.items()})  # the vocabulary
 
     def whole(batches):
-        words_of, piece_of, table = matcher(pattern), token.value, None
-        numbers, binary, token_of = Recent(300_000), Recent(300_000), piece_of.__getitem__
+        words_of, table = matcher(pattern), None
+        numbers, binary = Recent(300_000), Recent(300_000)
 
-        def encoded(text: str) -> bytes:
+        def both(text: str) -> tuple[bytes, bytes]:
+            """A piece's ids and the bytes that they decode to."""
             if (ids := table.ids.get(text)) is not None:  # the whole piece is one word
-                return ids
+                return ids, table.decoded(text)
             words = words_of(text)
             table.lack(words)
-            return b",".join(map(table.ids.__getitem__, words))
-
-        def decoded(ids: bytes) -> bytes:
-            return b"".join(map(token_of, ids.split(b","))) if ids else b""
+            return b",".join(map(table.ids.__getitem__, words)), b"".join(map(table.decoded, words))
 
         for batch in batches:
             table = table or BlockWords(path, TaskContext.get().partitionId())
@@ -204,14 +231,13 @@ def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str
                 rest = set()
                 for x in parts:
                     rest.update(x[1:])
+                binary.absent(rest)  # both caches keep the same pieces
                 for piece in numbers.absent(rest):
-                    numbers[piece] = encoded(" " + piece)
-                for piece in binary.absent(rest):
-                    binary[piece] = decoded(numbers[piece])
+                    numbers[piece], binary[piece] = both(" " + piece)
                 out = []
                 for first, *others in parts:
-                    ids = encoded(first) if first else b""
-                    data = decoded(ids) + b"".join(map(binary.__getitem__, others))
+                    ids, data = both(first) if first else (b"", b"")
+                    data += b"".join(map(binary.__getitem__, others))
                     ids = b",".join([ids, *map(numbers.__getitem__, others)] if ids else map(numbers.__getitem__, others))
                     out.append((ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest(), ids if keep_ids else None))
                 columns = [doc_ids.slice(i, j - i), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out]), pa.array([x[2] for x in out])]

@@ -52,6 +52,14 @@ def with_key_row(rows: DataFrame, keyed: DataFrame, key: str | list[str], size:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(column):
     """A-Z in lower case; other letters stay."""
     return F.translate(column, A_Z, a_z)

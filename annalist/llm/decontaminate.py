@@ -8,12 +8,13 @@ pieces. So a piece's place counts only if the piece beside it stands there with
 pieces around it with three; of one edit, half the piece is free, which a substring test settles mostly. Around
 the places that are left, Myers' bit-parallel algorithm gives the least number of edits of the whole item.
 
-The items are broadcast in blocks of BLOCK_CHARS characters; a larger benchmark takes more passes over the
-documents. Documents are never shuffled.
+The items come by the driver and are broadcast in blocks of BLOCK_CHARS characters, however many they are; a larger
+benchmark takes more passes over the documents. Documents are never shuffled.
 
 Defined cases: a null or empty text, or one without letters and digits, holds nothing; items with the same text
-are each reported; items under LEAST_CHARS characters must be found unchanged and as whole words; empty and null
-items are in no document; repeated rows are reported each; empty tables give no rows.
+are each reported; items too short for an edit (under ten characters at ten per cent) must be found unchanged and as whole words; empty and
+null items are in no document; repeated rows are reported each, also those without an id; empty tables give no rows;
+other columns are ignored. doc_id and item_id are integers (long).
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from annalist.llm.common import written
 
 PERCENT = 10
-LEAST_CHARS = 40
 BLOCK_CHARS = 8 << 20
 _PLAIN = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
 
@@ -70,7 +70,7 @@ class Pattern(Masks):
 
     def __init__(self, item: str, percent: int):
         super().__init__(item)
-        self.k = self.m * percent // 100 if self.m >= LEAST_CHARS else 0
+        self.k = self.m * percent // 100
         n = self.k + 1
         self.cuts = [i * self.m // n for i in range(n + 1)]
         self.fours = [(self.cuts[i], min(4, n - i) - 1, Masks(item[self.cuts[i] : self.cuts[min(i + 4, n)]])) for i in range(0, n, 4)]

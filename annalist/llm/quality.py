@@ -10,7 +10,8 @@ windows that occur twice or more), or if the removed lines hold over MOST_LOST p
 outside white space.
 
 Defined cases: a null text counts as empty: no words, so rejected; blank lines are neither kept nor lost;
-repeated rows each get their verdict; an empty table gives no rows; other columns are ignored by the rules.
+repeated rows, and rows without an id, each get their verdict; an empty table gives no rows; other columns are left as
+they are, unless they have the name of one that is added.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import WORD
+from annalist.llm.common import WORD, free_name
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -89,6 +90,7 @@ def quality(docs: DataFrame, most_lost: int = MOST_LOST, text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     judged = _let(lines, lambda x: F.transform(x, lambda y: F.struct(line_rule(y).alias("rule"), F.length(_without(y, SPACES)).alias("chars"))))
+    made, one = free_name(docs, "_made"), free_name(docs, "_one")
     first = docs.select(
         "*",
         F.struct(
@@ -101,11 +103,11 @@ def quality(docs: DataFrame, most_lost: int = MOST_LOST, text_col: str = "text",
                 *(_fails(j, k).alias(k) for k in ("punctuation", "navigation", "boilerplate")),
                 F.aggregate(j, F.lit(0), lambda a, y: a + F.when(y["rule"].isNotNull(), y["chars"]).otherwise(0)).cast("long").alias("lost"),
             )).alias("removed"),
-        ).alias("_q"),
+        ).alias(made),
     )
     # a generator keeps the struct from being computed once for each of its fields
-    first = first.withColumn("_one", F.explode(F.array("_q"))).drop("_q")
-    q = F.col("_one")
+    first = first.withColumn(one, F.explode(F.array(made))).drop(made)
+    q = F.col(one)
     base = (q["words"]["n"] < LEAST_WORDS) | (q["words"]["repeated"] * 100 > q["words"]["n"] * MOST_REPEATED)
     out = {
         "n_words": q["words"]["n"],
@@ -125,7 +127,7 @@ def quality(docs: DataFrame, most_lost: int = MOST_LOST, text_col: str = "text",
         clean = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_rule(x).isNull()), "\n")
         out[clean_col] = F.when(q["removed"]["lost"] > 0, clean).otherwise(F.col(text_col))
     clash = [c for c in docs.columns if c in out and c != clean_col]
-    return first.drop(*clash).withColumns(out).drop("_one")
+    return first.drop(*clash).withColumns(out).drop(one)
 
 
 DIGEST = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_punctuation", "n_navigation", "n_boilerplate", "lost_chars"]

@@ -9,7 +9,7 @@ Reading: per document the count and checksum of the ids come from the files; the
 the totals of earlier files (one row a file) plus a running sum inside its file, in the order of the rows' numbers.
 
 Defined cases: a null or empty text holds the end id only; text that spells an added token of the tokenizer is that
-token, as in the library; rows with the same doc_id are ordered by their text's checksum; a null doc_id comes first; an
+token, as in the library; rows with the same doc_id are in the order of docs; a null doc_id comes first; an
 empty table gives no rows; other columns are ignored. doc_id is an integer (long).
 """
 
@@ -53,10 +53,14 @@ class PieceEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.shown = {"": "", " ": self.alphabet[32]}
         self.rest, self.first, self.marks = Recent(most), Recent(most // 4), {}
 
+    def _shown(self, match: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(match)]).tobytes()
+
     def _ids(self, match: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(match.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        return self._shown(match.encode().decode("latin-1").translate(self.alphabet))
 
     def _mark(self, marks: str) -> bytes:
         found = self.marks.get(marks)
@@ -77,7 +81,7 @@ class PieceEncoder:
     def _new(self, cache: Recent, prefix: str, piece: str) -> bytes:
         """Most pieces are letters, or letters and marks after them; lines inside a piece are pieces of their own."""
         if piece.isalpha():
-            return self._ids(prefix + piece)
+            return self._shown(self.shown[prefix] + piece) if piece.isascii() else self._ids(prefix + piece)
         word = piece.rstrip(".,;:!?")
         if word.isalpha():
             return self._piece(cache, prefix, word) + self._mark(piece[len(word) :])
@@ -152,9 +156,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_c
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Ranges are cut by doc_id and the text's checksum, so that many rows of one id are shared out."""
-    order = ["doc_id", "h"]
-    ranged = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    """Ranges are cut by doc_id and the row's place in docs, so that many rows of one id are shared out."""
+    order = ["doc_id", "nth"]
+    ranged = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("nth"), F.col(text_col).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     (
         encode_documents(ranged, tokenizer_path, end_id)
         .write.option("compression", "zstd")
