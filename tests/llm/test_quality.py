@@ -68,7 +68,7 @@ def test_main_path_is_native(spark):
 
 
 def test_clashing_columns_repeated_rows_and_null_ids(spark):
-    rows = [(None, TEXTS[0]), (1, TEXTS[0]), (1, TEXTS[0]), (2, None), (None, None)]
+    rows = [(None, TEXTS[4]), (1, TEXTS[4]), (1, TEXTS[4]), (2, None), (None, None)]
     docs = spark.createDataFrame([(*x, "a", "b", 7, 8) for x in rows], "doc_id long, text string, _made string, _one string, kept int, _q int")
     out = quality(docs, clean_col="clean").collect()
     assert len(out) == 5 and all((r._made, r._one, r._q) == ("a", "b", 8) for r in out) and len({(r.n_words, r.kept) for r in out if r.text}) == 1

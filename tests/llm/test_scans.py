@@ -48,8 +48,8 @@ def test_search_equals_brute_force():
 def test_contaminated_equals_brute_force(spark):
     texts = [None, "", "...", ITEM, "x " * 500 + ITEM.upper() + " y", OTHER[:50], "a clean text of its own", "short one", "shorts one"]
     texts += ["lead " * 20 + edited(ITEM, n, n + 50) + " tail" * 20 for n in range(1, 16)] + [ITEM + " " + OTHER]
-    docs = spark.createDataFrame([(i, t, "en", 7) for i, t in enumerate(texts)], "doc_id long, text string, lang string, item_id int")
     texts += ["lead in which citi is the capital of it here", "of cheese and vine we ate", "tiny rat", None, ITEM]
+    docs = spark.createDataFrame([(i, t, "en", 7) for i, t in enumerate(texts)], "doc_id long, text string, lang string, item_id int")
     items = {1: ITEM, 2: OTHER, 3: "short one", 4: "", 5: None, 6: ITEM, 7: "which city is the capital of it", 8: "cheese and wine", 9: "a rat"}
     bench = spark.createDataFrame([(i, t) for i, t in items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.edits for r in contaminated(docs, bench).collect()}
@@ -164,13 +164,14 @@ def test_notices_equal_plain_distances(spark):
             k = len(body) * PERCENT // 100
             if distance(body, text) > k:
                 continue
-            for a in starts:  # whole words only: a row of distances from each word's start
+            bounds = {*starts, *ends}
+            for a in bounds:  # from one side of a word to another: a row of distances from each
                 row = list(range(len(body) + 1))
                 for b in range(a, min(len(text), a + len(body) + k + 1)):
                     last, row = row, [b - a + 1]
                     for j, c in enumerate(body, 1):
                         row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != text[b])))
-                    if b + 1 in ends and row[-1] <= k:
+                    if b + 1 in bounds and row[-1] <= k:
                         best[n] = min(best.get(n, 99), row[-1])
         texts.append(text)
         want.append(min(((d / len(NOTICES[n][0]), -len(NOTICES[n][0]), NOTICES[n][1], d) for n, d in best.items()), default=None))
