@@ -40,7 +40,7 @@ def with_key_row(rows: DataFrame, keyed: DataFrame, key: str | list[str], size:
 
     Rows of a common key stay where they are: keys with more than 1,000 rows and a thousandth of all rows, of which there
     are fewer than a thousand, are broadcast. The other keys' rows meet by key. Rows without a key have no match.
-    how: inner or left. keyed is read several times and so should be a table.
+    how: inner or left. keyed is read twice: it should be a table, or a sum whose exchange Spark can use again.
     """
     keys = [key] if isinstance(key, str) else key
     common = F.col(size) > max(1_000, total // 1_000)

@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 from annalist.llm.common import with_key_row, written
 
 
-def _moved(edges: DataFrame, least: DataFrame) -> DataFrame:
+def _moved(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """Each edge's v linked to the least m that was found for its u; a common u's edges stay where they are."""
-    out = with_key_row(edges, least, "u", "size", edges.count())
+    out = with_key_row(edges, least, "u", "size", total)
     return out.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbours and itself."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("size")), "least")
-    return _moved(both.where("v > u"), least)
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("size"))
+    return _moved(both.where("v > u"), least, total)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of them."""
-    down = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    least = written(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")), "least")
-    return _moved(down, least).union(least.select("u", F.col("m").alias("v"))).distinct()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+    return _moved(down, least, total).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -43,7 +43,8 @@ def connected(links: DataFrame) -> DataFrame:
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
-        edges = written(_small_star(_large_star(edges)), "links")
+        total = edges.count()
+        edges = written(_small_star(written(_large_star(edges, total), "links"), total), "links")
         if _are_stars(edges):
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

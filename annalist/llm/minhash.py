@@ -5,16 +5,15 @@
    Documents of one digest have the same set: they are one class, known by its smallest id.
 2. Classes that share a band key are candidates. Within a key all members are first held against one of them,
    the member that shares keys with the most others; those that are found linked to it, directly or through
-   others, need no further look. Keys that still hold several components are open. Of the classes in open keys the
-   shingles are counted that no other has: a class shares none of those with any, which settles most classes, and most
-   pairs, by two numbers. The others are compared with all of their open keys' classes that are in other components,
-   each pair once and in parts of a large key: no candidate is dropped.
+   others, need no further look. Keys that still hold several components are open. Their classes get a finer sketch of
+   FINE minima and are compared with all of their keys' classes that are in other components, each pair once and in
+   parts of a large key. Nearly all pairs that aren't linked are settled by the sketches; no candidate is dropped.
 3. A candidate pair's similarity is estimated from the bits that agree, corrected for those that agree by
    chance (1 in 4); pairs far below the threshold go. The others are confirmed on their full sets.
 4. Confirmed links make components; the smallest id of each is kept.
 
 A pair at the threshold shares a key with probability 1 - (1 - 0.8^8)^56 = 0.99997, more above it; the estimate's
-margin is four standard deviations.
+margin is four standard deviations, the finer one's four and a half.
 
 Defined cases: a text without words, or a null text, has an empty set and is linked with nothing; with fewer
 words than a shingle takes, the whole sequence is the one shingle; rows with the same id are each their own row
@@ -31,12 +30,14 @@ from pyspark.sql import functions as F
 
 from annalist.llm.common import with_key_row, written
 from annalist.llm.components import connected
-from annalist.llm.pieces import Recent, slices
+from annalist.llm.pieces import Recent
 
 BANDS, ROWS = 56, 8
 LONGS = BANDS * ROWS // 64
 #: Below the threshold by so much, an estimate rules a pair out.
 MARGIN = 0.09
+#: Minima of the finer sketch that only classes of open keys get, and its margin, four and a half standard deviations.
+FINE, FINE_MARGIN = 4_096, 0.035
 #: A key's members are compared in parts of about so many.
 PART = 2_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -44,6 +45,8 @@ _random = np.random.default_rng(20)
 _A = _random.integers(0, 1 << 31, (BANDS * ROWS, 1)).astype(np.uint32) * 2 + 1
 _B = _random.integers(0, 1 << 32, (BANDS * ROWS, 1)).astype(np.uint32)
 _KEY = _random.integers(0, 1 << 62, (BANDS, ROWS)).astype(np.uint64) * 2 + 1
+_FINE_A = _random.integers(0, 1 << 31, (FINE, 1)).astype(np.uint32) * 2 + 1
+_FINE_B = _random.integers(0, 1 << 32, (FINE, 1)).astype(np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,6 +97,16 @@ def packed(least: np.ndarray) -> np.ndarray:
     return np.concatenate([np.packbits((m >> np.uint64(k)).astype(np.uint8) & 1).view(np.uint64) for k in (0, 1)]).astype(np.int64)
 
 
+def fine_bits(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low two bits of FINE minima, as integers of first bits and of second bits."""
+    x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
+    least = np.full(FINE, 2**32 - 1, dtype=np.uint32)
+    for i in range(0, len(x), 256):
+        np.minimum(least, (_FINE_A * x[None, i : i + 256] + _FINE_B).min(axis=1), out=least)
+    m = _mixed(least.astype(np.uint64))
+    return tuple(np.packbits((m >> np.uint64(k)).astype(np.uint8) & 1).view(np.uint64).astype(np.int64) for k in (0, 1))
+
+
 def band_keys(least: np.ndarray) -> np.ndarray:
     return _mixed((least.reshape(BANDS, ROWS).astype(np.uint64) * _KEY).sum(axis=1)).astype(np.int64)
 
@@ -168,7 +181,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) ->
 def _star(postings: DataFrame, total: int) -> DataFrame:
     """Pairs of each key's best-connected node with the key's other nodes."""
     best = postings.groupBy("key").agg(F.max(F.struct("score", "node")).alias("best"), F.count("*").alias("size"))
-    best = written(best.select("key", F.col("best.node").alias("v"), "size"), "best")
+    best = best.select("key", F.col("best.node").alias("v"), "size")
     return with_key_row(postings, best, "key", "size", total).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
@@ -177,49 +190,44 @@ def _open(postings: DataFrame, found: DataFrame, total: int) -> DataFrame:
     placed = written(postings.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
-    keys = written(keys.select("key", "size", F.col("most.component").alias("main")), "open-keys")
+    keys = keys.select("key", "size", F.col("most.component").alias("main"))
     return written(with_key_row(placed, keys, "key", "size", total), "open-postings")
 
 
-def _spare(nodes: DataFrame, words: int) -> DataFrame:
-    """node, n, bits, keys, spare: how many of a node's shingles may be in another node's set, too.
-
-    Shingles that only one node has are counted; tasks sum the shingles of their own nodes first.
-    """
+def _finer(nodes: DataFrame, words: int) -> DataFrame:
+    """node, n, bits, keys, and first, second: the low two bits of FINE more minima of the node's set."""
 
     def run(batches):
         shingles = Shingles(words)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in slices([len(x or "") for x in texts]):
-                sets = [shingles(x) for x in texts[i:j]]
-                own = np.repeat(batch.column(0).to_numpy()[i:j], [len(x) for x in sets])
-                h, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(own[first]), pa.array(n)], ["h", "node", "n"])
+            rows = [fine_bits(shingles(x)) for x in batch.column(4).to_pylist()]
+            more = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *more], ["node", "n", "bits", "keys", "first", "second"])
+
+    schema = "node long, n long, bits array<long>, keys array<long>, first array<long>, second array<long>"
+    return nodes.select("node", "n", "bits", "keys", "text").mapInArrow(run, schema)
+
 
-    seen = nodes.select("node", "text").mapInArrow(run, "h long, node long, n long")
-    alone = seen.groupBy("h").agg(F.sum("n").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    rows = nodes.groupBy("node").agg(F.count("*").alias("rows"))  # an id that stands for several sets keeps all it has
-    out = nodes.select("node", "n", "bits", "keys").join(rows, "node").join(alone, "node", "left")
-    return out.select("node", "n", "bits", "keys", (F.col("n") - F.when(F.col("rows") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("spare"))
+def _fine_likely(a: str, b: str, percent: int) -> Column:
+    """The same test by FINE minima, for pairs that passed the first."""
+    x, y = (F.zip_with(f"{a}.{c}", f"{b}.{c}", lambda p, q: p.bitwiseXOR(q)) for c in ("first", "second"))
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseOR(q))), F.lit(0), lambda s, n: s + n)
+    return (F.lit(1.0) - differ / F.lit(FINE) - 0.25) / 0.75 >= percent / 100 - FINE_MARGIN
 
 
 def _rest(opened: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Likely pairs of different components that share an open key, each at the first of its shared keys only.
 
-    Two sets share no more than either's spare shingles, which rules out most members of a large group that aren't like it.
     Members of a key's main component aren't held against each other, and a large key's members are dealt out in parts.
     """
-    able = _spare(nodes.join(opened.select("node").distinct(), "node", "left_semi"), words).where(F.col("spare") * 100 >= F.col("n") * percent)
-    rows = opened.join(able.select("node", F.struct("n", "bits", "keys", "spare").alias("x")), "node").where(F.array_contains("x.keys", F.col("key")))
+    fine = written(_finer(nodes.join(opened.select("node").distinct(), "node", "left_semi"), words), "finer")
+    rows = opened.join(fine.select("node", F.struct("n", "bits", "keys", "first", "second").alias("x")), "node").where(F.array_contains("x.keys", F.col("key")))
     rows = rows.withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
     left = rows.where("component <> main").select("key", F.col("node").alias("u"), F.col("component").alias("c"), F.col("x").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = rows.select("key", F.col("node").alias("v"), F.col("component").alias("d"), (F.col("component") == F.col("main")).alias("in_main"), F.col("x").alias("b"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
     first = F.get(F.filter(F.zip_with("a.keys", "b.keys", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
-    common = F.least("a.spare", "b.spare")
-    able = common * 100 >= (F.col("a.n") + F.col("b.n") - common) * percent
     other = F.col("in_main") | (F.col("c") < F.col("d"))
-    return left.join(right, (left.key == right.key) & (left.part == right.part) & other & able & _likely("a", "b", percent) & (first == left.key)).select("u", "v")
+    return left.join(right, (left.key == right.key) & (left.part == right.part) & other & _likely("a", "b", percent) & (first == left.key) & _fine_likely("a", "b", percent)).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +241,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = sketch.join(first, "doc_id").where("digest = d").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys", "bits")
     postings = members.select("node", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    postings = written(with_key_row(postings, written(shared.select("key", "size"), "shared-keys"), "key", "size", total), "postings")
+    postings = written(with_key_row(postings, shared.select("key", "size"), "key", "size", total), "postings")
     scores = postings.groupBy("node").agg(F.sum("size").alias("score"))
     postings = written(postings.select("key", "node").join(scores, "node"), "scored-postings")
     active = scores.select("node")
@@ -247,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         found = written(connected(links.union(more)), "near-components")
 
     known = classes.join(found, "node", "left").where("n > 1 or component is not null")
-    known = written(known.select("digest", F.col("node").alias("first"), F.coalesce("component", "node").alias("component"), "n"), "near-classes")
+    known = known.select("digest", F.col("node").alias("first"), F.coalesce("component", "node").alias("component"), "n")
     out = with_key_row(sketch.select("doc_id", "n_shingles", "digest"), known, "digest", "n", total // BANDS, "left")
     component = F.coalesce("component", "doc_id")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("first", "doc_id").alias("class_id"))

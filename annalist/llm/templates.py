@@ -116,7 +116,7 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     forms = of_docs.groupBy(*FORM, "n").agg(F.count("doc_id").alias("docs"), F.sum("units").alias("size"), born.alias("born"))
     forms = written(forms, "line-forms")
     several = forms.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("docs").alias("all")).where((F.col("forms") > 1) & (F.col("all") >= min_docs)).select("leaf", "forms")
-    shared = written(with_key_row(forms, written(several, "line-leaves"), "leaf", "forms", forms.count()), "line-shared")
+    shared = with_key_row(forms, several, "leaf", "forms", forms.count())
     at = [lines[c].eqNullSafe(shared["born"][c]) for c in ("doc_id", "at", "part")]
     texts = lines.join(shared, (lines.leaf == shared.leaf) & (lines.form == shared.form) & at[0] & at[1] & at[2])
     rank = F.struct("docs", (-F.col("born.doc_id")).alias("doc"), (-F.col("born.at")).alias("at"), (-F.col("born.part")).alias("part"), shared.form)
@@ -125,7 +125,7 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     keys = shared.select(*FORM, "rank", F.explode(_segments(F.col("masked"), F.col("n"), F.col("leaf"))).alias("key"))
     total = shared.agg(F.sum(F.floor(F.col("n") * (100 - SIMILAR) / 100) + 1)).first()[0] or 0
     tops = keys.groupBy("key").agg(F.max("rank").alias("top"), F.count("*").alias("count")).where("count > 1")
-    found = with_key_row(keys.select(*FORM, "key"), written(tops, "line-tops"), "key", "count", total)
+    found = with_key_row(keys.select(*FORM, "key"), tops, "key", "count", total)
     pairs = found.where("form <> top.form").select(*FORM, "top").distinct()
 
     mine = pairs.join(shared.select(*FORM, "n", "size", F.col("masked").alias("mine")), FORM).withColumn("template", F.col("top.form"))
@@ -144,7 +144,7 @@ def recurring_units(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     mapped = written(mapped.select("doc_id", "at", "part", "leaf", F.coalesce("template", "form").alias("template")), "line-templates")
     of = ["leaf", "template"]
     counts = mapped.groupBy(*of, "doc_id").agg(F.count("*").alias("n")).groupBy(*of).agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first"), F.sum("n").alias("units"))
-    counts = written(counts.where(F.col("docs") >= min_docs).select(*of, "first", "units"), "line-counts")
+    counts = counts.where(F.col("docs") >= min_docs).select(*of, "first", "units")
     return with_key_row(mapped, counts, of, "units", total).where("doc_id > first").select("doc_id", "at", "part")
 
 
