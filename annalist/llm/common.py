@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts: whatever stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tables of up to so many rows of a few numbers may be broadcast, once they are counted.
+FEW = 200_000
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,14 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_key_row(rows: DataFrame, keyed: DataFrame, key: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+def with_key_row(rows: DataFrame, keyed: DataFrame, key: str | list[str], size: str, total: int, how: str = "inner", few: int = 0) -> DataFrame:
     """rows joined with keyed, which has one row a key; `size` is its count of the key's rows, `total` counts all rows.
 
     Rows of a common key stay where they are: keys with more than 1,000 rows and a thousandth of all rows, of which there
     are fewer than a thousand, are broadcast. The other keys' rows meet by key. Rows without a key have no match.
-    how: inner or left. keyed is read twice: it should be a table, or a sum whose exchange Spark can use again.
+    few: up to so many rows, keyed is broadcast whole, after it was counted. how: inner or left. keyed is read twice: it should be a table, or a sum whose exchange Spark can use again.
     """
     keys = [key] if isinstance(key, str) else key
+    if few and keyed.count() <= few:
+        return rows.join(F.broadcast(keyed), keys, how)
     common = F.col(size) > max(1_000, total // 1_000)
     hot, rest = keyed.where(common), keyed.where(~common)
     there = rows.dropna(subset=keys)

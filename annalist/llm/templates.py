@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import with_key_row, written
+from annalist.llm.common import FEW, with_key_row, written
 
 LEAST_TOKENS = 4
 LEAST_SENTENCE = 8
@@ -116,7 +116,8 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     forms = of_docs.groupBy(*FORM, "n").agg(F.count("doc_id").alias("docs"), F.sum("units").alias("size"), born.alias("born"))
     forms = written(forms, "line-forms")
     several = forms.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("docs").alias("all")).where((F.col("forms") > 1) & (F.col("all") >= min_docs)).select("leaf", "forms")
-    shared = with_key_row(forms, several, "leaf", "forms", forms.count())
+    shared = written(with_key_row(forms, several, "leaf", "forms", forms.count()), "line-shared")
+    shared = F.broadcast(shared) if shared.count() <= FEW else shared  # else the texts of all lines would move
     at = [lines[c].eqNullSafe(shared["born"][c]) for c in ("doc_id", "at", "part")]
     texts = lines.join(shared, (lines.leaf == shared.leaf) & (lines.form == shared.form) & at[0] & at[1] & at[2])
     rank = F.struct("docs", (-F.col("born.doc_id")).alias("doc"), (-F.col("born.at")).alias("at"), (-F.col("born.part")).alias("part"), shared.form)
@@ -140,12 +141,12 @@ def recurring_units(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, at, part: lines (part -1) to drop, and sentences to drop from other lines; docs has doc_id and text."""
     lines = written(line_forms(docs), "lines")
     total = lines.count()
-    mapped = with_key_row(lines.select("doc_id", "at", "part", *FORM), written(templates(lines, min_docs), "templates"), FORM, "size", total, "left")
+    mapped = with_key_row(lines.select("doc_id", "at", "part", *FORM), written(templates(lines, min_docs), "templates"), FORM, "size", total, "left", FEW)
     mapped = written(mapped.select("doc_id", "at", "part", "leaf", F.coalesce("template", "form").alias("template")), "line-templates")
     of = ["leaf", "template"]
     counts = mapped.groupBy(*of, "doc_id").agg(F.count("*").alias("n")).groupBy(*of).agg(F.count("doc_id").alias("docs"), F.min("doc_id").alias("first"), F.sum("n").alias("units"))
-    counts = counts.where(F.col("docs") >= min_docs).select(*of, "first", "units")
-    return with_key_row(mapped, counts, of, "units", total).where("doc_id > first").select("doc_id", "at", "part")
+    counts = written(counts.where(F.col("docs") >= min_docs).select(*of, "first", "units"), "line-counts")
+    return with_key_row(mapped, counts, of, "units", total, few=FEW).where("doc_id > first").select("doc_id", "at", "part")
 
 
 def _to_drop(docs: DataFrame, min_docs: int) -> DataFrame:
