@@ -132,11 +132,12 @@ def in_time_window(history: DataFrame, centre_ms: int, minutes: int, **filters)
 def context(history: DataFrame, entry_id: int, minutes: int = 30) -> DataFrame:
     """Around an entry: its session's prompts, and other sessions' prompts within the minutes (relation says which).
 
-    The entry is read first, so that both parts are plain filters, which reach the scan.
+    The entry is read first, so that both parts are plain filters, which reach the scan. An entry that isn't there has
+    nothing around it; known_entry makes that an error.
     """
     centre = entry(history, entry_id).select("session_id", "timestamp_ms").first()
     if centre is None:
-        raise KeyError(f"No entry with id {entry_id}")
+        return history.limit(0).select(*ENTRY, F.lit("nearby").alias("relation"))
     span, at = minutes * 60_000, F.col("timestamp_ms")
     same = F.lit(False) if centre.session_id is None else F.coalesce(F.col("session_id") == centre.session_id, F.lit(False))
     near = at.between(centre.timestamp_ms - span, centre.timestamp_ms + span)

@@ -319,7 +319,7 @@ def commit_link_score(spark, sf_dir):
 
 
 @query(r"""with p as (select page_id, regexp_replace(url, '^https?://[^/]*/|[?#].*$', '', 'g') as f from pages), a as (select distinct f, page_id as commit_sha from p where f <> ''), b as (select distinct case when page_id % 2 = 0 then f else 'src/' || f end as g, cast(page_id % 7 as varchar) as session_id from p where f <> '')
-select commit_sha, session_id, 'claude' as source, count(distinct f) as overlap from a join b on f = g or ends_with(f, '/' || g) or ends_with(g, '/' || f) group by all""")
+select commit_sha, session_id, 'claude' as source, count(distinct f) as overlap from (select *, trim(f, '/') as x from a) join (select *, trim(g, '/') as y from b) on x <> '' and y <> '' and (x = y or ends_with(x, '/' || y) or ends_with(y, '/' || x)) group by all""")
 def path_overlap(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_replace("url", r"^https?://[^/]*/|[?#].*$", "").alias("f")).where("f <> ''")
     mine = pages.select(F.col("page_id").alias("commit_sha"), F.col("f").alias("file_path"))

@@ -132,8 +132,9 @@ def test_context_show_pack_and_search(spark):
     assert search.pack(h, "auth", tokens=1).orderBy("n").first().text == "auth..."
     assert [r.id for r in search.search_substring(h, "PARITY-").collect()] == [3]
     assert sessions.stats(h).first().total == 5 and sessions.stats(h, scope="/q/").first().total == 2
+    assert search.context(h, 99).count() == 0
     with pytest.raises(KeyError, match="No entry"):
-        search.context(h, 99)
+        search.known_entry(h, 99)
 
 
 def test_tag_writes(spark):
