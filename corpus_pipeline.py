@@ -3,14 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's docs:
 - quality_rules: lines that fail a rule go; documents that are rejected go;
-- line_dedup: lines of recurring templates go from all documents but the first; documents left without lines go;
+- line_dedup: lines and sentences of recurring templates go from all documents but the first; documents left without lines go;
 - near_dedup: of each group of near duplicates (five words, similarity 0.8) the smallest doc_id stays;
 - decontamination: documents that hold a benchmark item, up to a tenth of edits, go;
 - byte_bpe: per document the number of tokens and the digests of its ids and of the decoded text.
 
 All stages but the last return the columns of documents. Null and empty texts are rejected by the first stage;
-repeated rows and ties are treated as the operators say; empty tables give empty results; further columns of the
-input that clash with a stage's own names are left alone, since stages select what they add.
+repeated rows, rows without an id and ties are treated as the operators say; empty tables give empty results; further
+columns of the input, whatever their names, are left alone, since stages keep a row together and select what they add.
+doc_id is an integer (long).
 """
 
 from __future__ import annotations
