@@ -37,6 +37,8 @@ SIMILAR = 70
 MIN_DOCS = 3
 BLANKS = r"[\x20\x09-\x0D]+"
 SENTENCE = r"(?s).*?[.!?][\x20\x09-\x0D]+|.+"
+BETWEEN = r"(?<=[.!?])[\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
 NO_WORD = r"[^\x20\x09-\x0D]"
 FORM = ["leaf", "form"]
 
@@ -46,7 +48,8 @@ def _let(value: Column, body) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, BLANKS), lambda x: x != "")
+    """A line's tokens; a line without any has one empty token."""
+    return F.split(F.btrim(line, F.lit(SPACES)), BLANKS)
 
 
 def masked(t: Column) -> Column:
@@ -56,19 +59,10 @@ def masked(t: Column) -> Column:
 
 
 def sentences(line: Column) -> Column:
-    """The texts of a line's sentences: a token that ends in . ! or ? ends one."""
+    """The texts of a line's sentences with the white space after them: a token that ends in . ! or ? ends one."""
     return F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0))
 
 
-def _token_sentences(t: Column) -> Column:
-    """The same as arrays of tokens."""
-
-    def cut(ends):
-        return F.transform(ends, lambda e, k: F.slice(t, F.when(k > 0, F.get(ends, k - 1)).otherwise(0) + 1, e - F.when(k > 0, F.get(ends, k - 1)).otherwise(0)))
-
-    return _let(F.concat(F.filter(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.right(F.element_at(t, i), F.lit(1)).isin(".", "!", "?")), F.array(F.size(t))), cut)
-
-
 def line_forms(docs: DataFrame) -> DataFrame:
     """doc_id, at (line number from 0), part (sentence from 0, or -1), n, leaf, form, masked (if it can be generalised)."""
 
@@ -84,9 +78,13 @@ def line_forms(docs: DataFrame) -> DataFrame:
         def told(t, part):
             return F.when(fields, _let(masked(t), lambda m: unit(m, at, part))).otherwise(unit(t, at, part))
 
+        def part(sentence, k):
+            long = F.length(sentence) >= 2 * LEAST_SENTENCE - 1
+            return F.when(long, _let(tokens(sentence), lambda u: F.when(F.size(u) >= LEAST_SENTENCE, told(u, k))))
+
         def of(t):
             own = F.array(told(t, F.lit(-1)))
-            inside = F.filter(F.transform(_token_sentences(t), lambda u, k: F.when(F.size(u) >= LEAST_SENTENCE, told(u, k))), lambda u: u.isNotNull())
+            inside = F.filter(F.transform(F.split(line, BETWEEN), part), lambda u: u.isNotNull())
             return F.when(F.size(t) > LONG_LINE, F.concat(own, inside)).when(F.size(t) >= LEAST_TOKENS, own)
 
         return _let(tokens(line), of)
