@@ -165,7 +165,9 @@ def write_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> str:
     spark, path = docs.sparkSession, work_path(docs.sparkSession, "bpe-words")
     words = distinct_words(docs, pattern).groupBy("word").agg(F.collect_set("block").alias("blocks"))
     encoded = words.select("blocks", "word", encode_words(F.col("word"), rank_literal(ranks)).alias("ids"))
-    decoded = encoded.select(F.explode("blocks").alias("block"), "word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.nullif(decode_words(F.col("ids"), ranks), F.encode("word", "UTF-8")).alias("bytes"))
+    text, data = F.array_join(F.col("ids").cast("array<string>"), ","), F.nullif(decode_words(F.col("ids"), ranks), F.encode("word", "UTF-8"))
+    told = encoded.select("blocks", "word", text.alias("ids"), data.alias("bytes"))  # once a word, before its blocks are told apart
+    decoded = told.select(F.explode("blocks").alias("block"), "word", "ids", "bytes")
     # A number of partitions that is given, else adaptive execution merges them; a block's words come from PARTS tasks.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     decoded.repartition(n, "block", F.pmod(F.hash("word"), F.lit(PARTS))).write.partitionBy("block").parquet(path)

@@ -10,6 +10,7 @@ import re
 
 #: White space beside a space, or a space at the end: there, only places between two other characters are cut.
 _BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+_BLANK = re.compile(r"\s").search
 _RARE = re.compile(r"[^\S \n\t\r]")
 _RARE_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
 
@@ -62,6 +63,12 @@ def matcher(pattern: str = BYTE_LEVEL):
         if bare.isalpha():
             n = len(word) - len(bare)
             return [piece[:-n], piece[-n:]]
+        first, *lines = word.split("\n")
+        if lines and first and all(lines) and not _BLANK(first) and not any(map(_BLANK, lines)):  # a line end is a match of its own
+            out = matches(piece[: len(piece) - len(word)] + first)
+            for x in lines:
+                out = [*out, "\n", *matches(x)]
+            return out
         return find(piece)
 
     return matches
