@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: A word of the contracts: whatever stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of up to so many rows of a few numbers may be broadcast, once they are counted.
-FEW = 100_000
+FEW = 400_000
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

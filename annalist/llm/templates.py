@@ -115,11 +115,12 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     forms = written(forms, "line-forms")
     several = forms.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("docs").alias("all")).where((F.col("forms") > 1) & (F.col("all") >= min_docs)).select("leaf", "forms")
     shared = written(with_key_row(forms, several, "leaf", "forms", forms.count()), "line-shared")
-    shared = F.broadcast(shared) if shared.count() <= FEW else shared  # else the texts of all lines would move
-    at = [lines[c].eqNullSafe(shared["born"][c]) for c in ("doc_id", "at", "part")]
-    texts = lines.join(shared, (lines.leaf == shared.leaf) & (lines.form == shared.form) & at[0] & at[1] & at[2])
-    rank = F.struct("docs", (-F.col("born.doc_id")).alias("doc"), (-F.col("born.at")).alias("at"), (-F.col("born.part")).alias("part"), shared.form)
-    shared = written(texts.select(shared.leaf, shared.form, shared.n, "size", "masked", rank.alias("rank")).dropDuplicates(FORM), "line-texts")
+    ids = shared.select(*FORM, "born.doc_id", "born.at", "born.part")
+    ids = F.broadcast(ids) if shared.count() <= FEW else ids  # else the texts of all lines would move
+    is_first = [lines[c].eqNullSafe(ids[c]) for c in (*FORM, "doc_id", "at", "part")]
+    texts = lines.join(ids, is_first, "left_semi").select(*FORM, "masked").dropDuplicates(FORM)
+    rank = F.struct("docs", (-F.col("born.doc_id")).alias("doc"), (-F.col("born.at")).alias("at"), (-F.col("born.part")).alias("part"), "form")
+    shared = written(shared.select(*FORM, "n", "size", rank.alias("rank")).join(texts, FORM), "line-texts")
 
     keys = shared.select(*FORM, "rank", F.explode(_segments(F.col("masked"), F.col("n"), F.col("leaf"))).alias("key"))
     total = shared.agg(F.sum(F.floor(F.col("n") * (100 - SIMILAR) / 100) + 1)).first()[0] or 0
