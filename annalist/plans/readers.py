@@ -26,14 +26,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 _STRIPPED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _PROMPT = _STRIPPED.format("prompt")
-_HISTORY_LINE = F.to_json(F.struct(F.col("prompt").alias("display"), F.col("timestamp_ms").alias("timestamp"), F.col("session_id").alias("sessionId"), "project"))
 _READ = ("source", "session_id", "project", "prompt", "prompt_hash", "timestamp_ms")
 _CLAUDE = f"select 'claude' as source, session_id, project, {_PROMPT} as prompt, substr(sha256({_PROMPT}), 1, 16) as prompt_hash, timestamp_ms from history_v where {_PROMPT} <> ''"
 
 
 def _written_lines(history: DataFrame, name: str) -> str:
     path = scratch(history.sparkSession, name)
-    history.select(_HISTORY_LINE.alias("value")).write.text(path)
+    line = F.to_json(F.struct(F.col("prompt").alias("display"), F.col("timestamp_ms").alias("timestamp"), F.col("session_id").alias("sessionId"), "project"))
+    history.select(line.alias("value")).write.text(path)
     return path
 
 
