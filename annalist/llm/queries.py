@@ -18,6 +18,7 @@ from annalist.llm.token_files import tokenise_to_orc
 from annalist.llm.toxicity import toxicity
 from annalist.llm.warc import ORACLE as WARC_SQL
 from annalist.llm.warc import archived
+from annalist.llm.whitening import whitened
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -60,6 +61,10 @@ def op10_byte_bpe(spark, sf_dir):
     return encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark, sf_dir):
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash": op2_minhash,
@@ -71,6 +76,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_licenses": op9_licenses,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op3_line_templates": TEMPLATES_SQL, "op6_warc": WARC_SQL}
