@@ -7,6 +7,7 @@ import public_tokenizers
 from annalist.llm.bpe import encode_and_decode
 from annalist.llm.common import documents
 from annalist.llm.decontaminate import contaminated
+from annalist.llm.dialogues import repaired
 from annalist.llm.licenses import scan_licenses
 from annalist.llm.minhash import near_duplicates
 from annalist.llm.quality import ORACLE as QUALITY_SQL
@@ -65,6 +66,10 @@ def op11_whitening(spark, sf_dir):
     return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_dialogues(spark, sf_dir):
+    return repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash": op2_minhash,
@@ -77,6 +82,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_whitening": op11_whitening,
+    "op13_dialogues": op13_dialogues,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op3_line_templates": TEMPLATES_SQL, "op6_warc": WARC_SQL}
