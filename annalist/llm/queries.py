@@ -13,6 +13,7 @@ from annalist.llm.minhash import near_duplicates
 from annalist.llm.quality import ORACLE as QUALITY_SQL
 from annalist.llm.quality import quality_digest
 from annalist.llm.sharding import shard_by_bytes
+from annalist.llm.substrings import repeated_passages
 from annalist.llm.templates import ORACLE as TEMPLATES_SQL
 from annalist.llm.templates import dropped_lines
 from annalist.llm.token_files import tokenise_to_orc
@@ -66,6 +67,10 @@ def op11_whitening(spark, sf_dir):
     return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_substrings(spark, sf_dir):
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op13_dialogues(spark, sf_dir):
     return repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_whitening": op11_whitening,
+    "op12_substrings": op12_substrings,
     "op13_dialogues": op13_dialogues,
 }
 
