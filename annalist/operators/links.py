@@ -1,21 +1,32 @@
-"""Commits linked to the sessions that may have made them: equi-joins on folder or branch and time, then scores.
-
-A session counts only if it was active around the commit and shares its folder or its branch. So sessions are joined
-by (branch, time bucket), and by (each folder above and including their own, time bucket); a commit looks at the buckets
-that its window touches, and exact bounds are checked after. Pairs made are close to pairs kept.
+"""Commits linked to the sessions that may have made them, without making the pairs.
+
+A session counts only if it was active around the commit and shares its folder or its branch; the surest wins, of equals
+the one that was active last. Sessions get dense numbers in order of last activity, so the last active of any set is its
+greatest number. For a key (branch, folder, or both) three sets can hold the best: all sessions of the time window, those
+within two hours of the commit, and those that were active at it. Each greatest number is a running maximum over the key's
+sessions in order of time, in which commits stand among them:
+- the last session up to the window's end;
+- for sessions of at most four hours (six), the last of those that had begun by two hours after the commit (by the commit):
+  they can't outlast the window's end; for longer ones, the last up to the window's end: they had begun in time.
+A key's time is cut into slices that get the greatest numbers of the slices before them, so a busy key is spread over
+tasks. A commit meets at most fifteen sessions, mostly three or four, and is scored with these exactly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import scalars as S
+from annalist.operators.store import numbered
+from annalist.work import written
 
-BEFORE_MS, AFTER_MS = 36 * 3_600_000, 6 * 3_600_000
-
-
-BUCKET_MS = 6 * 3_600_000
+HOUR_MS = 3_600_000
+BEFORE_MS, AFTER_MS, NEAR_MS = 36 * HOUR_MS, 6 * HOUR_MS, 2 * HOUR_MS
+#: Events of a key are dealt by slices of time; those of a commit's window lie in its slice and SLICES before it.
+SLICE_MS = 6 * HOUR_MS
+SLICES = -(-(BEFORE_MS + AFTER_MS) // SLICE_MS)
+_BEST = ("latest", "near_short", "near_long", "at_short", "at_long")
 
 
 def folders(cwd: Column) -> Column:
@@ -24,54 +35,112 @@ def folders(cwd: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def near_sessions(sessions: DataFrame, commits: DataFrame, before_ms: int = BEFORE_MS, after_ms: int = AFTER_MS) -> DataFrame:
-    """Pairs of a commit (commit_sha, commit_ms, repo, branch, ...) and a session of its folder or branch whose last activity lies around it."""
-    own = sessions.withColumn("at_ms", F.coalesce("last_activity_ms", "first_activity_ms", F.lit(0))).withColumn("bucket", F.floor(F.col("at_ms") / BUCKET_MS))
-    touched = F.sequence(F.floor((F.col("commit_ms") - before_ms) / BUCKET_MS), F.floor((F.col("commit_ms") + after_ms) / BUCKET_MS))
-    wide = commits.withColumn("bucket", F.explode(touched))
-    around = F.col("at_ms").between(F.col("commit_ms") - before_ms, F.col("commit_ms") + after_ms)
-    same = wide.join(own.withColumn("branch", F.col("git_branch")), ["branch", "bucket"]).where(around)
-    inside = wide.join(own.withColumn("repo", F.explode(F.array_distinct(folders(F.col("cwd"))))), ["repo", "bucket"]).where(around & ~F.coalesce(F.col("git_branch") == F.col("branch"), F.lit(False)))
-    return same.unionByName(inside).drop("bucket")
+def numbered_sessions(sessions: DataFrame) -> DataFrame:
+    """sessions with at_ms, begin, and no: dense numbers in order of (at_ms, source, session_id); a written table."""
+    at = F.coalesce("last_activity_ms", "first_activity_ms", F.lit(0))
+    rows = sessions.withColumns({"at_ms": at, "begin": F.coalesce("first_activity_ms", at), "seq": F.struct(at.alias("at"), "source", "session_id")})
+    return written(numbered(rows, 0).withColumnRenamed("id", "no").drop("seq"), "numbered-sessions")
+
+
+def _keys(branch: Column, places: Column) -> Column:
+    """Keys of a branch and of some folders, alone and together; what is null has none."""
+    own = F.when(branch.isNotNull(), F.array(F.struct(F.lit("b").alias("kind"), branch.alias("branch"), F.lit("").alias("place"))))
+    alone = F.transform(places, lambda p: F.struct(F.lit("p").alias("kind"), F.lit("").alias("branch"), p.alias("place")))
+    both = F.transform(F.when(branch.isNotNull(), places), lambda p: F.struct(F.lit("x").alias("kind"), branch.alias("branch"), p.alias("place")))
+    return F.explode(F.concat(*(F.coalesce(x, F.array().cast("array<struct<kind: string, branch: string, place: string>>")) for x in (own, alone, both))))
+
+
+def near_best(sessions: DataFrame, commits: DataFrame) -> DataFrame:
+    """commit_sha, commit_ms, repo, branch, no: for each commit the numbered sessions that can be its best."""
+    length, no, none = F.col("at_ms") - F.col("begin"), F.col("no"), F.lit(None).cast("long")
+
+    def event(time, **best):
+        return F.struct(time.alias("time"), *(best.get(b, none).cast("long").alias(b) for b in _BEST))
+
+    by_end = event(F.col("at_ms") - AFTER_MS, latest=no, near_long=F.when(length > AFTER_MS - NEAR_MS, no), at_long=F.when(length > AFTER_MS, no))
+    by_begin = [event(F.col("begin") - NEAR_MS, near_short=F.when(length <= AFTER_MS - NEAR_MS, no)), event(F.col("begin"), at_short=F.when(length <= AFTER_MS, no))]
+    keyed = sessions.select("at_ms", "begin", "no", _keys(F.col("git_branch"), F.array_distinct(folders(F.col("cwd")))).alias("key"))
+    events = keyed.select("key", F.explode(F.array(by_end, *by_begin)).alias("e")).select("key.*", "e.*").withColumn("slice", F.floor(F.col("time") / SLICE_MS))
+    key = ["kind", "branch", "place", "slice"]
+    before = events.groupBy(*key).agg(*(F.max(b).alias(b) for b in _BEST))
+    before = before.withColumn("slice", F.explode(F.sequence(F.col("slice") + 1, F.col("slice") + SLICES))).withColumn("time", F.col("slice") * SLICE_MS)
+    own = commits.select(F.struct("commit_sha", "commit_ms", "repo", "branch").alias("commit"), _keys(F.col("branch"), F.when(F.col("repo").isNotNull(), F.array("repo"))).alias("key"))
+    asked = own.select("key.*", F.col("commit.commit_ms").alias("time"), F.floor(F.col("commit.commit_ms") / SLICE_MS).alias("slice"), "commit")
+    line = events.unionByName(before).unionByName(asked, allowMissingColumns=True)
+    so_far = Window.partitionBy(*key).orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = line.withColumns({b: F.max(b).over(so_far) for b in _BEST}).where("commit is not null")
+    best = F.filter(F.array_distinct(F.array(*_BEST)), lambda x: x.isNotNull())
+    return met.select("commit.*", F.explode(best).alias("no"))
 
 
 def overlaps(commit_files: DataFrame, session_files: DataFrame) -> DataFrame:
     """commit_sha, session_id, source, overlap: how many files of the commit a session has edited, by path endings.
 
-    Paths that overlap have the same last part, so the join is on that.
+    Of two paths that overlap the shorter is an ending of the longer. So distinct paths meet by the hash of a whole path
+    and of all endings of the other side's, and files join the few pairs of paths that remain; a name alone joins nothing
+    that it doesn't overlap with.
     """
-    left = commit_files.select("commit_sha", F.col("file_path").alias("a"), S.base_name(F.col("file_path")).alias("name"))
-    right = session_files.select("session_id", "source", F.col("file_path").alias("b"), S.base_name(F.col("file_path")).alias("name")).distinct()
-    return left.join(right, "name").where(S.paths_overlap(F.col("a"), F.col("b"))).groupBy("commit_sha", "session_id", "source").agg(F.countDistinct("a").alias("overlap"))
 
+    def paths(files: DataFrame) -> DataFrame:
+        whole = F.trim(F.replace("file_path", F.lit("\\"), F.lit("/")), F.lit("/"))
+        return written(files.select("file_path").distinct().select("file_path", whole.alias("path")).where("path <> ''"), "paths")
+
+    def endings(rows: DataFrame, name: str) -> DataFrame:
+        parts = F.split("path", "/")
+        ending = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.xxhash64(F.array_join(F.slice(parts, n, F.size(parts)), "/")))
+        return rows.select(F.col("file_path").alias(name), F.explode(ending).alias("key"))
+
+    mine, theirs = paths(commit_files), paths(session_files)
+
+    def whole(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col("file_path").alias(name), F.xxhash64("path").alias("key"))
 
-def scored(pairs: DataFrame, overlap: DataFrame | None = None) -> DataFrame:
-    """pairs with time_distance_ms and confidence; those of another folder and branch go."""
+    pairs = whole(mine, "a").join(endings(theirs, "b"), "key").unionByName(endings(mine, "a").join(whole(theirs, "b"), "key"))
+    pairs = pairs.where(S.paths_overlap(F.col("a"), F.col("b"))).select("a", "b").distinct()
+    left = commit_files.select("commit_sha", F.col("file_path").alias("a")).distinct()
+    right = session_files.select("session_id", "source", F.col("file_path").alias("b")).distinct()
+    return left.join(pairs, "a").join(right, "b").groupBy("commit_sha", "session_id", "source").agg(F.count_distinct("a").alias("overlap"))
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """pairs of a commit and a session (with overlap) with time_distance_ms and confidence; those of another time, or of another folder and branch, go."""
     cwd = F.coalesce((F.col("cwd") == F.col("repo")) | F.startswith("cwd", F.concat("repo", F.lit("/"))), F.lit(False))
     branch = F.coalesce(F.col("git_branch") == F.col("branch"), F.lit(False))
-    first, last = F.coalesce("first_activity_ms", "at_ms"), F.coalesce("last_activity_ms", "at_ms")
-    distance = F.greatest(first - F.col("commit_ms"), F.col("commit_ms") - last, F.lit(0).cast("long"))
-    out = pairs.withColumns({"cwd_match": cwd, "branch_match": branch, "time_distance_ms": distance}).where("cwd_match or branch_match")
-    out = out.withColumn("overlap", F.lit(0).cast("long")) if overlap is None else out.join(overlap, ["commit_sha", "session_id", "source"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    distance = F.greatest(F.col("begin") - F.col("commit_ms"), F.col("commit_ms") - F.col("at_ms"), F.lit(0).cast("long"))
+    around = F.col("at_ms").between(F.col("commit_ms") - BEFORE_MS, F.col("commit_ms") + AFTER_MS)
+    out = pairs.where(around).withColumns({"cwd_match": cwd, "branch_match": branch, "time_distance_ms": distance}).where("cwd_match or branch_match")
     sure = F.lit(0.45) + F.when(F.col("cwd_match"), 0.20).otherwise(0.0) + F.when(F.col("branch_match"), 0.20).otherwise(0.0)
-    sure = sure + F.when(F.col("time_distance_ms") == 0, 0.10).when(F.col("time_distance_ms") <= 7_200_000, 0.05).otherwise(0.0) + F.when(F.col("overlap") > 0, 0.05).otherwise(0.0)
+    sure = sure + F.when(F.col("time_distance_ms") == 0, 0.10).when(F.col("time_distance_ms") <= NEAR_MS, 0.05).otherwise(0.0) + F.when(F.col("overlap") > 0, 0.05).otherwise(0.0)
     return out.withColumn("confidence", F.round(F.least(F.lit(0.98), sure), 6))
 
 
 _EVIDENCE = ("cwd", "git_branch", "first_activity_ms", "last_activity_ms", "cwd_match", "branch_match", "time_distance_ms")
+_COMMIT = ("commit_sha", "commit_ms", "repo", "branch")
 
 
-def best_candidates(candidates: DataFrame) -> DataFrame:
-    """A row per commit: the surest session, of equals the one that was active last, with what speaks for it."""
-    keys = ["confidence", "at_ms", "source", "session_id"]
-    evidence = F.struct(*_EVIDENCE, F.col("overlap").alias("file_overlap"))
-    out = candidates.groupBy("commit_sha").agg(F.max(F.struct(*keys, evidence.alias("evidence"))).alias("b"))
-    return out.select("commit_sha", *(F.col(f"b.{c}").alias(c) for c in ("source", "session_id", "confidence", "evidence")))
+def best_candidates(sessions: DataFrame, commits: DataFrame, overlap: DataFrame | None = None) -> DataFrame:
+    """A row per commit that has one: the surest session, of equals the one that was active last, with what speaks for it.
 
-
-def best_links(candidates: DataFrame) -> DataFrame:
+    overlap: commit_sha, session_id, source, overlap; its pairs are looked at besides, since a shared file makes surer.
+    Confidence and number are one long, of which the greatest is kept; evidence joins the one session that is left.
+    """
+    known = numbered_sessions(sessions)
+    met = near_best(known, commits).distinct().join(known, "no")
+    if overlap is None:
+        met = met.withColumn("overlap", F.lit(0).cast("long"))
+    else:
+        more = overlap.join(commits.select(*_COMMIT), "commit_sha").join(known, ["session_id", "source"]).select(*_COMMIT, "no", "overlap", *(c for c in known.columns if c != "no"))
+        met = met.join(overlap, ["commit_sha", "session_id", "source"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0))).unionByName(more, allowMissingColumns=True)
+    packed = F.shiftleft(F.round(F.col("confidence") * 1_000_000).cast("long"), 40).bitwiseOR(F.col("no"))
+    best = scored(met).groupBy("commit_sha").agg(F.max(packed).alias("packed"))
+    rows = best.select("commit_sha", F.col("packed").bitwiseAND((1 << 40) - 1).alias("no")).join(commits.select(*_COMMIT), "commit_sha").join(known, "no")
+    rows = rows.withColumn("overlap", F.lit(0).cast("long")) if overlap is None else rows.join(overlap, ["commit_sha", "session_id", "source"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    return scored(rows).select("commit_sha", "source", "session_id", "confidence", F.struct(*_EVIDENCE, F.col("overlap").alias("file_overlap")).alias("evidence"))
+
+
+def best_links(best: DataFrame) -> DataFrame:
     e = F.col("evidence")
-    return best_candidates(candidates).select("commit_sha", "source", "session_id", "confidence", e["file_overlap"].alias("overlap"), e["time_distance_ms"].alias("time_distance_ms"))
+    return best.select("commit_sha", "source", "session_id", "confidence", e["file_overlap"].alias("overlap"), e["time_distance_ms"].alias("time_distance_ms"))
 
 
 def link_rows(best: DataFrame, commits: DataFrame, changes: DataFrame, method: str, now_ms: int) -> DataFrame:

@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 
 from annalist.functions import scalars as S
 from annalist.functions.fts import with_tokens
+from annalist.operators.index import POSTINGS, files_of, postings, write_postings
+from annalist.operators.search import search
 from annalist.schemas import HISTORY, KEYS, SESSIONS
+from annalist.work import written
 
-STORED_HISTORY = f"{HISTORY}, prompt_tokens string, project_tokens string, day string"
+STORED_HISTORY = f"{HISTORY}, prompt_tokens string, project_tokens string, day string, batch long"
+BATCHES = "batch long, state string"
+SEARCHED = ("prompt", "project")
 
 
 def last_value(c: str) -> Column:
@@ -54,17 +59,26 @@ def _complete(keys) -> Column:
     return out
 
 
-def numbered(rows: DataFrame, after: int) -> DataFrame:
-    """rows with ids that follow `after` in order of seq.
+def placed(rows: DataFrame) -> DataFrame:
+    """rows in order of seq as a written table, with _place: the number of a row's range and its place in it.
 
-    Ids are dense, so the row counts of ordered ranges are summed; no range is gathered in one task.
+    The table is written before its ranges are counted: ranges that are computed twice need not be cut alike.
     """
-    ranged = rows.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("_part", F.spark_partition_id())
-    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    return written(rows.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("_place", F.monotonically_increasing_id()), "numbered")
+
+
+def with_ids(table: DataFrame, after: int) -> DataFrame:
+    """The rows of a placed table with dense ids that follow `after`; only the ranges' counts are gathered."""
+    parts = table.groupBy(F.shiftright("_place", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     starts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy("seq"))
-    return ranged.withColumn("_nth", nth).join(F.broadcast(starts), "_part").withColumn("id", F.lit(after) + F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
+    nth = F.col("_place").bitwiseAND((1 << 33) - 1) + 1
+    return table.withColumn("_part", F.shiftright("_place", 33)).join(F.broadcast(starts), "_part").withColumn("id", F.lit(after) + F.col("_before") + nth).drop("_part", "_place", "_before")
+
+
+def numbered(rows: DataFrame, after: int) -> DataFrame:
+    """rows with dense ids that follow `after` in order of seq."""
+    return with_ids(placed(rows), after)
 
 
 def fold_events(rows: DataFrame) -> DataFrame:
@@ -135,7 +149,8 @@ def with_codex_map(history: DataFrame, rollouts: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Parquet tables below a folder. History is laid out by day and keeps the tokens of its texts beside them."""
+    """Parquet tables below a folder. History is laid out by day and batch, keeps the tokens of its texts beside them, and has
+    postings that tell which of its files may hold a token."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -161,16 +176,56 @@ class Store:
     def add_history(self, rows: DataFrame) -> int:
         """Adds prompts whose key the store doesn't have; the first of a key wins. Returns their number.
 
-        Only the days that the rows touch are read, and only the new rows are written.
+        Only the days that the rows touch are read, and only the new rows are written. Ids are taken before rows are
+        written: a run that breaks off leaves a gap and no id twice.
         """
         rows = rows.withColumn("day", S.day(F.col("timestamp_ms")))
-        stored = self.history()
-        touched = stored.join(F.broadcast(rows.select("day").distinct()), "day", "left_semi")  # days: few
-        last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        fresh = numbered(new_rows(rows, touched, KEYS["history"]), last)
-        columns = [c.split()[0] for c in HISTORY.split(", ")]
-        self.append("history", with_tokens(fresh.select(*columns, "day"), "prompt", "project"), "day")
-        return self.history().where(F.col("id") > last).count()
+        touched = self.history().join(F.broadcast(rows.select("day").distinct()), "day", "left_semi")  # days: few
+        fresh = placed(new_rows(rows, touched, KEYS["history"]))
+        n = fresh.count()
+        if n:
+            last = self.cursors().get("history_id", 0)
+            self.save_cursors({"history_id": last + n})
+            columns = [c.split()[0] for c in HISTORY.split(", ")]
+            added = with_ids(fresh, last).select(*columns, "day", F.lit(last + 1).cast("long").alias("batch"))
+            self._mark(last + 1, "begun")
+            self.append("history", with_tokens(added, "prompt", "project"), "day", "batch")
+            self.index(last + 1)
+        return n
+
+    def _mark(self, batch: int, state: str) -> None:
+        self.append("batches", self.spark.createDataFrame([(batch, state)], BATCHES).coalesce(1))
+
+    def _batches(self) -> tuple[list[int], list[int]]:
+        """Batches whose files the postings have, and those that they lack."""
+        rows = self.read("batches", BATCHES).groupBy("batch").agg(F.max(F.col("state") == "indexed").alias("indexed")).collect()  # a row per batch
+        return [r.batch for r in rows if r.indexed], [r.batch for r in rows if not r.indexed]
+
+    def index(self, *batches: int) -> None:
+        """Writes the postings of batches that lack them (all such, if none is named); their files alone are read."""
+        for batch in batches or self._batches()[1]:
+            below = F.regexp_extract("_metadata.file_path", r"day=[^/]*/batch=[^/]*/[^/]+$", 0)
+            rows = self.history().where(F.col("batch") == batch).select("*", below.alias("file"))
+            write_postings(postings(rows, *SEARCHED), self.path("postings"))
+            self._mark(batch, "indexed")
+
+    def matching(self, query) -> DataFrame:
+        """The history without the files that the postings rule out for a query (terms, or a condition as for search).
+
+        The names of files that stay go through the driver, which lists a table's files for any scan.
+        """
+        terms = query if callable(query) else [t for t in (query.split() if isinstance(query, str) else query) if t.strip()]
+        found = None if not terms else files_of(self.read("postings", POSTINGS), terms, SEARCHED)
+        if found is None:
+            return self.history()
+        known, unknown = self._batches()
+        paths = [f"{self.path('history')}/{r.file}" for r in found.where(F.col("batch").isin(known)).collect()] if known else []
+        out = self.spark.read.schema(STORED_HISTORY).option("basePath", self.path("history")).parquet(*paths) if paths else self.spark.createDataFrame([], STORED_HISTORY)
+        return out.unionByName(self.history().where(F.col("batch").isin(unknown))) if unknown else out
+
+    def search(self, query, limit: int = 20, **filters) -> DataFrame:
+        """As search.search over the history, reading only files that may hold a match."""
+        return search(self.matching(query), query, limit, **filters)
 
     def sessions(self) -> DataFrame:
         """Every session's summary, folded from all that was added."""

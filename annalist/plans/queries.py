@@ -315,7 +315,7 @@ def _commits(spark, sf_dir) -> DataFrame:
 s as (select *, round(least(0.98, 0.45 + case when cm then 0.2 else 0 end + case when bm then 0.2 else 0 end + case when d = 0 then 0.1 when d <= 7200000 then 0.05 else 0 end), 6) as confidence from p where cm or bm)
 select commit_sha, source, session_id, cast(confidence as double) as confidence, cast(0 as bigint) as overlap, d as time_distance_ms from s qualify row_number() over (partition by commit_sha order by confidence desc, at_ms desc, source desc, session_id desc) = 1""")
 def commit_link_score(spark, sf_dir):
-    return links.best_links(links.scored(links.near_sessions(view(spark, sf_dir, "sessions_v"), _commits(spark, sf_dir))))
+    return links.best_links(links.best_candidates(view(spark, sf_dir, "sessions_v"), _commits(spark, sf_dir)))
 
 
 @query(r"""with p as (select page_id, regexp_replace(url, '^https?://[^/]*/|[?#].*$', '', 'g') as f from pages), a as (select distinct f, page_id as commit_sha from p where f <> ''), b as (select distinct case when page_id % 2 = 0 then f else 'src/' || f end as g, cast(page_id % 7 as varchar) as session_id from p where f <> '')

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +9,7 @@ from annalist.operators import links, sessions
 from annalist.plans.queries import _COMMITS, _commits, _on, query
 from annalist.plans.views import view
 from annalist.sources import growing, logs
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset, on one machine only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="annalist-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from annalist.work import scratch
 
 
 _STRIPPED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -124,6 +112,6 @@ select commit_sha, source, session_id, repo, branch, cast(confidence as double)
 def commit_link_rows(spark, sf_dir):
     commits = _commits(spark, sf_dir)
     changes = commits.select("commit_sha", F.concat(F.lit("f"), F.col("commit_sha").cast("string")).alias("file_path"), F.lit(1).cast("long").alias("lines_added"), F.lit(None).cast("long").alias("lines_removed"))
-    rows = links.link_rows(links.best_candidates(links.scored(links.near_sessions(view(spark, sf_dir, "sessions_v"), commits))), commits, changes, "time", 5)
+    rows = links.link_rows(links.best_candidates(view(spark, sf_dir, "sessions_v"), commits), commits, changes, "time", 5)
     told = {n: F.get_json_object("evidence_json", f"$.candidate.{k}").cast(t).alias(n) for n, k, t in (("cwd_match", "cwd_match", "boolean"), ("branch_match", "branch_match", "boolean"), ("distance", "time_distance_ms", "long"))}
     return rows.select("commit_sha", "source", "session_id", "repo", "branch", "confidence", "match_method", "files_json", *told.values())

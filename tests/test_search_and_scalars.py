@@ -149,12 +149,12 @@ def test_commit_links(spark):
     s = spark.createDataFrame([("s", "claude", "/r", "main", 1_000_000, 1_060_000), ("far", "claude", "/r", "main", 0, 10**9)], "session_id string, source string, cwd string, git_branch string, first_activity_ms long, last_activity_ms long")
     c = spark.createDataFrame([("c1", 1_030_000, "/r", "main")], "commit_sha string, commit_ms long, repo string, branch string")
     files = links.overlaps(spark.createDataFrame([("c1", "src/a.py"), ("c1", "b.py")], "commit_sha string, file_path string"), spark.createDataFrame([("s", "claude", "/r/src/a.py")], "session_id string, source string, file_path string"))
-    best = links.best_links(links.scored(links.near_sessions(s, c), files)).first()
+    best = links.best_links(links.best_candidates(s, c, files)).first()
     assert (best.session_id, best.overlap, best.time_distance_ms) == ("s", 1, 0) and best.confidence == pytest.approx(0.98)
     elsewhere = spark.createDataFrame([("b", "codex", "/x", "main", 1_000_000, 1_060_000), ("in", "codex", "/r/deep/er", "other", 1_000_000, 1_060_000), ("no", "codex", "/rr", "dev", 1_000_000, 1_060_000), ("un", "codex", None, None, 1_000_000, 1_060_000)], s.schema)
-    assert sorted(r.session_id for r in links.near_sessions(s.unionByName(elsewhere), c).collect()) == ["b", "in", "s"]
+    assert links.best_candidates(s.unionByName(elsewhere), c, files).first().session_id == "s" and links.best_candidates(elsewhere.where("session_id in ('no', 'un')"), c).count() == 0
     changes = spark.createDataFrame([("c1", "src/a.py", 3, 1), ("c1", "bin", None, None)], "commit_sha string, file_path string, lines_added long, lines_removed long")
-    rows = links.link_rows(links.best_candidates(links.scored(links.near_sessions(s, c), files)), c, changes, "auto", 77)
+    rows = links.link_rows(links.best_candidates(s, c, files), c, changes, "auto", 77)
     r = rows.first()
     told = json.loads(r.evidence_json)
     assert json.loads(r.files_json) == ["bin", "src/a.py"] and told["candidate"]["file_overlap"] == 1 and told["candidate"]["cwd_match"] and told["commit_time_ms"] == 1_030_000
