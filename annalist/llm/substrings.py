@@ -6,13 +6,14 @@ A passage is LEAST consecutive words; a suffix is a document's words from some p
 2. A suffix below no deep node isn't worth sending. The least of the SAMPLE-word hashes in a passage is the same wherever
    the passage stands; one pass sends these anchors, each document's once and sorted into blobs, and those of several
    documents come back. Suffixes without such an anchor are leaves of no repeat.
-3. The other suffixes are cut to LEAST words and split by prefixes of variable length: by their first 2 words, and where more than
-   GROUP suffixes share these, by 5, 9 or all words. Equal suffixes of a task are sent once, with their least doc_id.
-4. Each group is a subtree that fits into memory: sorted suffixes and their common prefixes give its internal nodes. Those
-   of depth LEAST are repeats; their least doc_id is the first, and all other documents below them are told.
+3. Of the other suffixes a path is kept: hashes of their first 2, 5, 9 and LEAST words, so edges of the tree are compressed.
+   They are split by prefixes of variable length: by their first 2 words, and where more than GROUP suffixes share these, by
+   5, 9 or all words. Equal suffixes of a task are sent once, with their least doc_id.
+4. Each group is a subtree that fits into memory: sorted paths and what they have in common with the one before give its
+   nodes. Those of depth LEAST are repeats; their least doc_id is the first, and all other documents below them are told.
 5. A document's words that repeats of an earlier one cover are removed.
 
-Words are compared by 64-bit hashes of passages and 32-bit hashes of each word. Rows of a common anchor or passage meet in
+Passages are compared by a 64-bit hash and three 32-bit hashes of their beginnings. Rows of a common anchor or passage meet in
 their tasks first; documents of a large class stay where they are. Memory holds a blob of PART entries, a group, and one text.
 
 Defined cases: a null or empty text has no words; passages that a document repeats itself don't count; rows with the same
@@ -185,7 +186,7 @@ def shared_anchors(docs: DataFrame, slots: int) -> DataFrame:
                 ids = batch.column(0).slice(at, end - at).to_numpy(zero_copy_only=False)
                 kept.append((anchors[new], ids[text[new]].astype(np.int64)))
                 n += len(kept[-1][0])
-            if n >= 4 * PART:
+            if n >= 2 * PART:
                 yield blobs()
                 kept, n = [], 0
         if kept:
@@ -225,127 +226,136 @@ def _by_slot(batches, keys):
         yield now, rows
 
 
-def _slot(words: np.ndarray, n: int, slots: int) -> np.ndarray:
-    """The slot of each suffix (a row of words) by its first n words."""
-    out = np.zeros(len(words), np.uint64)
-    for k in range(n):
-        out = _mixed(out * _BASE + words[:, k])
-    return (out % np.uint64(slots)).astype(np.int64)
+def _paths(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first words by all PREFIXES but the last (a column each), and of all LEAST words, of suffixes at starts."""
+    out, columns = np.zeros(len(starts), np.uint64), []
+    for k in range(LEAST):
+        if k in PREFIXES:
+            columns.append((out >> np.uint64(32)).astype(np.uint32))
+        out = _mixed(out * _BASE + words[starts + k])
+    return np.column_stack(columns), out
 
 
-_SUFFIXES = "prefix int, slot long, n long, words binary, passages binary, docs binary"
+_SUFFIXES = "prefix int, slot long, n long, marks binary, passages binary, docs binary"
+_NAMES = [c.split()[0] for c in _SUFFIXES.split(", ")]
+_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
 
-def _split(words: np.ndarray, passages: np.ndarray, docs: np.ndarray, prefix: int, slots: int) -> pa.RecordBatch:
-    """A row for each slot of these suffixes."""
-    slot = _slot(words, prefix, slots)
+def _split(marks: np.ndarray, passages: np.ndarray, docs: np.ndarray, level: int, slots: int) -> list[tuple]:
+    """A row of _SUFFIXES for each slot of these suffixes, by their first PREFIXES[level] words."""
+    first = passages if PREFIXES[level] == LEAST else _mixed(marks[:, level].astype(np.uint64))
+    slot = (first % np.uint64(slots)).astype(np.int64)
     order = np.argsort(slot, kind="stable")
-    words, passages, docs, slot = words[order], passages[order], docs[order], slot[order]
-    cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])), [len(slot)]]) if len(slot) else [0]
-    rows = [(prefix, int(slot[a]), int(b - a), words[a:b].T.tobytes(), passages[a:b].tobytes(), docs[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["prefix", "slot", "n", "words", "passages", "docs"])
+    marks, passages, docs, slot = marks[order], passages[order], docs[order], slot[order]
+    cuts = np.append(np.flatnonzero(np.append(True, slot[1:] != slot[:-1])), len(slot))
+    return [(PREFIXES[level], int(slot[a]), int(b - a), marks[a:b].tobytes(), passages[a:b].tobytes(), docs[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _joined(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words = [np.frombuffer(r["words"], np.uint32).reshape(LEAST, r["n"]).T for r in rows]
-    return np.concatenate(words), np.concatenate([np.frombuffer(r["passages"], np.uint64) for r in rows]), np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
+    width = len(PREFIXES) - 1
+    parts = [(np.frombuffer(r["marks"], np.uint32).reshape(-1, width), np.frombuffer(r["passages"], np.uint64), np.frombuffer(r["docs"], np.int64)) for r in rows]
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
 
 
 def suffixes(docs: DataFrame, slots: int) -> DataFrame:
-    """Suffixes at shared anchors (doc_id, text, anchors) in rows of a slot; rows with slot -1 are repeats that a task has found itself."""
+    """Suffixes at shared anchors (doc_id, text, anchors) in rows of a slot; those of prefix 0 are repeats that a task has found itself."""
 
     def run(batches):
         hasher, kept, n = Words(), [], 0
 
         def rows():
-            words, passages, ids = (np.concatenate([x[k] for x in kept]) for k in (0, 1, 2))
+            marks, passages, ids = (np.concatenate([x[k] for x in kept]) for k in (0, 1, 2))
             order = np.lexsort((ids, passages))
             passages, ids = passages[order], ids[order]
-            head = np.concatenate([[True], passages[1:] != passages[:-1]])
+            head = np.append(True, passages[1:] != passages[:-1])
             first = ids[np.flatnonzero(head)][np.cumsum(head) - 1]
-            new = np.concatenate([[True], ~((passages[1:] == passages[:-1]) & (ids[1:] == ids[:-1]))])
-            later = new & (ids > first)
-            yield _split(words[order][head], passages[head], ids[head], PREFIXES[0], slots)
-            columns = [pa.array([v], t) for v, t in ((0, pa.int32()), (-1, pa.int64()), (int(later.sum()), pa.int64()), (b"", pa.binary()), (passages[later].tobytes(), pa.binary()), (ids[later].tobytes(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["prefix", "slot", "n", "words", "passages", "docs"])
+            later = np.append(True, (passages[1:] != passages[:-1]) | (ids[1:] != ids[:-1])) & (ids > first)
+            told = _split(marks[order][head], passages[head], ids[head], 0, slots)
+            own, of = passages[later], ids[later]
+            told += [(0, int(own[k] % np.uint64(slots)), len(own[k : k + 4096]), b"", own[k : k + 4096].tobytes(), of[k : k + 4096].tobytes()) for k in range(0, len(own), 4096)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in told], t) for k, t in enumerate(_KINDS)], _NAMES)
 
         for batch, at, end, data, bounds in _chunks(batches, 1):
             h, text = hasher(data, bounds)
             starts = _passages(h, text)
-            lists = batch.column(2).slice(at, end - at)
-            of = np.repeat(np.arange(end - at), np.diff(np.asarray(lists.offsets)))
-            wanted = np.unique(_mixed(lists.flatten().to_numpy().view(np.uint64) + _BASE * of.astype(np.uint64)))
-            starts = starts[np.isin(_mixed(_anchors(h)[starts] + _BASE * text[starts].astype(np.uint64)), wanted)] if len(starts) else starts
             if len(starts):
-                short, ids = (h >> np.uint64(32)).astype(np.uint32), batch.column(0).slice(at, end - at).to_numpy(zero_copy_only=False)
-                kept.append((short[starts[:, None] + np.arange(LEAST)], _chained(h, LEAST)[starts], ids[text[starts]].astype(np.int64)))
+                lists = batch.column(2).slice(at, end - at)
+                of = np.repeat(np.arange(end - at), np.diff(np.asarray(lists.offsets)))
+                wanted = _mixed(lists.flatten().to_numpy().view(np.uint64) + _BASE * of.astype(np.uint64))
+                starts = starts[np.isin(_mixed(_anchors(h)[starts] + _BASE * text[starts].astype(np.uint64)), wanted)]
+            if len(starts):
+                ids = batch.column(0).slice(at, end - at).to_numpy(zero_copy_only=False)
+                kept.append((*_paths(h, starts), ids[text[starts]].astype(np.int64)))
                 n += len(starts)
             if n >= PART:
-                yield from rows()
+                yield rows()
                 kept, n = [], 0
         if kept:
-            yield from rows()
+            yield rows()
 
     return docs.select("doc_id", "text", "anchors").mapInArrow(run, _SUFFIXES)
 
 
-def grouped(rows: DataFrame, slots: int, group: int = GROUP) -> DataFrame:
-    """The same suffixes, in which slots of more than `group` are split by longer prefixes, again and again up to all words."""
-    done = []
-    for prefix in PREFIXES[1:]:
-        large = rows.groupBy("slot").agg(F.sum("n").alias("all")).where(F.col("all") > group).select("slot")
-        few = large.count()  # at most all suffixes / group
-        if not few:
-            break
-
-        def longer(batches, prefix=prefix):
-            for batch in batches:
-                for r in batch.to_pylist():
-                    yield _split(*_joined([r]), prefix, slots)
-
-        large = F.broadcast(large) if few <= FEW else large
-        done.append(rows.join(large, "slot", "left_anti"))
-        rows = written(rows.join(large, "slot", "left_semi").select(*(c.split()[0] for c in _SUFFIXES.split(", "))).mapInArrow(longer, _SUFFIXES), "suffix-groups")
-    for x in done:
-        rows = rows.unionByName(x)
-    return rows
-
-
-def deep_nodes(words: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def deep_nodes(marks: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, starts): suffixes in the tree's order, and where in it each node of depth LEAST begins (leaves among them)."""
-    order = np.lexsort((passages, *words.T[::-1]))
-    words, passages = words[order], passages[order]
-    same = np.concatenate([words[1:] == words[:-1], (passages[1:] == passages[:-1])[:, None]], axis=1) if len(words) > 1 else np.zeros((0, LEAST + 1), bool)
-    common = np.where(same.all(axis=1), LEAST + 1, same.argmin(axis=1))  # length of the common prefix with the suffix before
-    return order, np.flatnonzero(np.concatenate([[True], common <= LEAST]))
+    order = np.lexsort((passages, *marks.T[::-1]))
+    paths = np.column_stack([marks.astype(np.uint64), passages])[order]
+    same = paths[1:] == paths[:-1]
+    common = np.where(same.all(axis=1), len(PREFIXES), same.argmin(axis=1))  # edges from the root shared with the suffix before
+    return order, np.flatnonzero(np.append(True, common < len(PREFIXES)))
 
 
-def repeats(groups: DataFrame) -> DataFrame:
-    """doc_id, hash: passages that a document with a smaller id has too, by the subtree of each group."""
+def _subtrees(rows: DataFrame, level: int, slots: int, group: int) -> DataFrame:
+    """doc_id, hash: repeats by the subtree of each slot; or rows of _SUFFIXES of slots of over `group`, split by the next prefix."""
+    last = level + 1 == len(PREFIXES)
 
-    def run(batches):
-        for _, rows in _by_slot(batches, ("prefix", "slot")):
-            words, passages, docs = _joined(rows)
-            order, starts = deep_nodes(words, passages)
-            passages, docs = passages[order], docs[order]
-            first = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.append(starts, len(docs))))
-            later = docs > first
-            if later.any():
-                yield _pairs(docs[later], passages[later])
-
-    return groups.repartition("prefix", "slot").sortWithinPartitions("prefix", "slot").mapInArrow(run, "doc_id long, hash long")
+    def found(docs, hashes):
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hashes.view(np.int64)), *(pa.nulls(len(docs), t) for t in _KINDS)], ["doc_id", "hash", *_NAMES])
 
+    def longer(rows):
+        told = _split(*_joined(rows), level + 1, slots)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(told), pa.int64())] * 2 + [pa.array([r[k] for r in told], t) for k, t in enumerate(_KINDS)], ["doc_id", "hash", *_NAMES])
 
-def _own_repeats(rows: DataFrame) -> DataFrame:
-    """doc_id, hash of the repeats that tasks have found themselves."""
+    def repeats(rows):
+        marks, passages, docs = _joined(rows)
+        order, starts = deep_nodes(marks, passages)
+        passages, docs = passages[order], docs[order]
+        later = docs > np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.append(starts, len(docs))))
+        return found(docs[later], passages[later])
 
     def run(batches):
+        slot, kept, n = None, [], 0
         for batch in batches:
             for r in batch.to_pylist():
-                yield _pairs(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["passages"], np.uint64))
+                if r["prefix"] == 0:
+                    yield found(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["passages"], np.uint64))
+                    continue
+                if r["slot"] != slot:
+                    if kept:
+                        yield repeats(kept) if last or n <= group else longer(kept)
+                    slot, kept, n = r["slot"], [], 0
+                kept.append(r)
+                n += r["n"]
+                if n > group and not last:  # n stays above: what follows of this slot is split as it comes
+                    yield longer(kept)
+                    kept = []
+        if kept:
+            yield repeats(kept) if last or n <= group else longer(kept)
+
+    return rows.select(*_NAMES).repartition("slot").sortWithinPartitions("slot").mapInArrow(run, f"doc_id long, hash long, {_SUFFIXES}")
 
-    return rows.mapInArrow(run, "doc_id long, hash long")
+
+def repeats(rows: DataFrame, slots: int, group: int) -> DataFrame:
+    """doc_id, hash: passages that a document with a smaller id has too."""
+    out = None
+    for level in range(len(PREFIXES)):
+        told = written(_subtrees(rows, level, slots, group), "subtrees")
+        own = told.where("doc_id is not null").select("doc_id", "hash")
+        out = own if out is None else out.unionByName(own)
+        rows = told.where("prefix is not null")
+        if rows.isEmpty():
+            break
+    return out
 
 
 def _with_texts(docs: DataFrame, hashes: DataFrame, name: str) -> DataFrame:
@@ -390,14 +400,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     size = long.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
     slots = max(4_096, size.words // (4 * GROUP))
     classes = long.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1")
-    copies = with_key_row(long, written(classes, "substring-classes"), "digest", "size", size.n, few=FEW).where("doc_id > first").select("doc_id", "key").distinct()
+    copies = with_key_row(long, classes, "digest", "size", size.n, few=FEW).where("doc_id > first").select("doc_id", "key").distinct()
     copies = written(copies, "substring-copies")
     one_of_each = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * LEAST - 1))
     one_of_each = one_of_each.join(F.broadcast(copies) if copies.count() <= FEW else copies, ["doc_id", "key"], "left_anti")
 
     anchored = _with_texts(one_of_each, shared_anchors(one_of_each.select("doc_id", "text"), slots), "anchors")
-    found = written(suffixes(anchored, slots), "suffixes")
-    gone = repeats(grouped(found.where("slot >= 0"), slots, group)).unionByName(_own_repeats(found.where("slot < 0")))
+    gone = repeats(suffixes(anchored, slots), slots, group)
     cut = written(_without(_with_texts(one_of_each, gone, "gone")).dropDuplicates(["doc_id", "key"]), "substring-cuts")
 
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length")))

@@ -73,10 +73,10 @@ def test_words_of_several_texts():
 
 
 def test_nodes_of_a_small_tree():
-    words = np.array([[1] * LEAST, [2] * LEAST, [1] * (LEAST - 1) + [3], [1] * LEAST], np.uint32)
-    order, starts = deep_nodes(words, np.array([5, 6, 7, 5], np.uint64))
-    assert sorted(order[:2].tolist()) == [0, 3] and starts.tolist() == [0, 2, 3]
-    assert len(deep_nodes(words, np.array([5, 6, 7, 8], np.uint64))[1]) == 4
+    marks = np.array([[1, 1, 1], [2, 1, 1], [1, 1, 3], [1, 1, 1], [1, 1, 1]], np.uint32)
+    order, starts = deep_nodes(marks, np.array([5, 6, 7, 5, 9], np.uint64))
+    assert sorted(order[:2].tolist()) == [0, 3] and order[2:].tolist() == [4, 2, 1] and starts.tolist() == [0, 2, 3, 4]
+    assert deep_nodes(marks[:1], np.array([5], np.uint64))[1].tolist() == [0] and LEAST == 13
 
 
 def test_empty_table(spark):
