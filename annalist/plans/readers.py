@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.operators import links, sessions
-from annalist.plans.queries import _COMMITS, _commits, _on, query
+from annalist.operators import links, sessions, store
+from annalist.plans.queries import _COMMITS, NEWEST, TOKENS, _commits, _has, _on, _runs, query
 from annalist.plans.views import view
 from annalist.sources import growing, logs
 from annalist.work import scratch
@@ -115,3 +115,42 @@ def commit_link_rows(spark, sf_dir):
     rows = links.link_rows(links.best_candidates(view(spark, sf_dir, "sessions_v"), commits), commits, changes, "time", 5)
     told = {n: F.get_json_object("evidence_json", f"$.candidate.{k}").cast(t).alias(n) for n, k, t in (("cwd_match", "cwd_match", "boolean"), ("branch_match", "branch_match", "boolean"), ("distance", "time_distance_ms", "long"))}
     return rows.select("commit_sha", "source", "session_id", "repo", "branch", "confidence", "match_method", "files_json", *told.values())
+
+
+# the store, written anew from a whole table
+_ROWS = "select row_number() over (order by id) as id, source, session_id, project, prompt, timestamp_ms from document_history_v where prompt is not null"
+
+
+def _store_of(history: DataFrame) -> store.Store:
+    """A new store to which a history was added, and added again."""
+    kept = store.Store(history.sparkSession, scratch(history.sparkSession, "store"))
+    none = F.lit(None).cast("string")
+    rows = history.where("prompt is not null").withColumns({"seq": F.struct("id"), "prompt_hash": none, "git_branch": none})
+    for _ in range(2):
+        kept.add_history(rows)
+    return kept
+
+
+_on("store_twice", _ROWS, lambda h: _store_of(h).history().select("id", "source", "session_id", "project", "prompt", "timestamp_ms"), "document_history_v")
+
+
+def _indexed(name: str, terms, condition: str) -> None:
+    sql = f"with n as ({_ROWS}), t as (select *, {TOKENS.format(c='prompt')} as tok, {TOKENS.format(c='coalesce(project, chr(32))')} as ptok from n) select id, source, session_id, project, prompt, timestamp_ms from t where {condition} {NEWEST} limit 1000"
+    _on(name, sql, lambda h: _store_of(h).search(terms, 1000), "document_history_v")
+
+
+_indexed("search_store_terms", ["license", "version"], f"{_has(' license ')} and {_has(' version ')}")
+_indexed("search_store_rare", lambda f: (f.has("clown") | f.has("moron")) & ~f.has("trash"), f"({_has(' clown ')} or {_has(' moron ')}) and not {_has(' trash ')}")
+_indexed("search_store_prefix", lambda f: f.has("licen", prefix=True) & f.only("project").has("docs en"), f"{_has(' licen')} and {_has(' docs en ', 'ptok')}")
+_RUN_ROWS = "select 't' || cast(doc_id as varchar) as t, lang as project, 's' || cast(doc_id as varchar) as prompt, 1704067200000 + doc_id as ms from documents"
+
+
+@query(f"""with r as ({_RUN_ROWS}), h as (select id, source, case when source = 'trajectory' then 't' || cast(id % 100 as varchar) else session_id end as session_id, project, prompt, timestamp_ms from history_v)
+select * from h where not (source = 'trajectory' and coalesce(session_id, '') in (select t from r)) union all select 5000000 + row_number() over (order by ms, t) as id, 'trajectory', t, project, prompt, ms from r""")
+def mirrored_trajectories(spark, sf_dir):
+    """Trajectories' own rows of the history are replaced by new ones with new ids."""
+    none = F.lit(None).cast("string")
+    old = F.when(F.col("source") == "trajectory", F.concat(F.lit("t"), (F.col("id") % 100).cast("string"))).otherwise(F.col("session_id"))
+    history = view(spark, sf_dir, "history_v").withColumns({"session_id": old, "prompt_hash": none, "git_branch": none})
+    runs = _runs(spark, sf_dir).withColumn("search_text", F.get_json_object("retrospective_json", "$.summary"))
+    return store.mirrored_trajectories(history, runs, 5_000_000).select("id", "source", "session_id", "project", "prompt", "timestamp_ms")
