@@ -87,9 +87,10 @@ def postings(rows: DataFrame, *names: str) -> DataFrame:
     """A row for each token of each file (batch, file) and field, from token columns; files meet in their tasks first."""
 
     def of(name):
-        return F.transform(F.split(F.trim(F.col(name + TOKENS)), " "), lambda t: F.struct(F.lit(name).alias("field"), t.alias("token")))
+        tokens = F.array_distinct(F.split(F.trim(F.col(name + TOKENS)), " "))  # of texts: of structs it would compare all pairs
+        return F.transform(tokens, lambda t: F.struct(F.lit(name).alias("field"), t.alias("token")))
 
-    each = rows.select("batch", "file", F.explode(F.array_distinct(F.concat(*map(of, names)))).alias("x")).select("batch", "file", "x.*").where("token <> ''")
+    each = rows.select("batch", "file", F.explode(F.concat(*map(of, names))).alias("x")).select("batch", "file", "x.*").where("token <> ''")
     return each.groupBy("field", "token", "batch", "file").agg(F.count("*").alias("rows"))
 
 
