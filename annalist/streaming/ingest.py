@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.operators.store import Store
+from annalist.schemas import KEYS, SESSIONS
 from annalist.sources import growing, logs
+from annalist.streaming import folds
 
 MANIFEST = "source string, path string, bytes long, stamp string"
 
@@ -102,6 +104,40 @@ def watch_folder(spark: SparkSession, folder: str, add: Callable[[DataFrame], ob
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def watch_lines(store: Store, source: str, folder: str, parse: Callable[[DataFrame], DataFrame], checkpoint: str, glob: str = "*.jsonl", every: str | None = None, within: str = "1 hour", range_bytes: int = growing.RANGE_BYTES):
+    """A stream over files that grow: each line's prompt is added to the store once, also after a restart.
+
+    The checkpoint keeps the bytes of each file. Keys that came within the last hour are dropped by the stream's state, so that
+    the store is asked about new ones; a batch that is run again finds its rows there. A null part of a key makes a row new.
+    """
+    rows = parse(growing.stream_lines(store.spark, folder, glob, range_bytes).where("value <> ''")).where(F.col("source") == source)
+    whole = rows.where(" and ".join(f"{k} is not null" for k in KEYS["history"]))
+    writer = folds.first_seen(whole, KEYS["history"], within).writeStream.foreachBatch(lambda batch, _: store.add_history(batch) and None)
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def watch_sessions(store: Store, rows: DataFrame, checkpoint: str, idle_ms: int = 6 * 3_600_000, every: str | None = None):
+    """A stream of session rows folded with state; each batch adds the sessions that it touched as parts to the store."""
+    writer = folds.session_parts(rows, idle_ms).writeStream.outputMode("update").foreachBatch(lambda batch, _: store.append("session_parts", batch))
+    writer = writer.option("checkpointLocation", checkpoint)
+    if every:
+        return writer.trigger(processingTime=every).start()
+    # State that may run out asks for batches without data for ever; a query that takes what is there doesn't need them.
+    conf, name = store.spark.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    old = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return writer.trigger(availableNow=True).start()  # it keeps the settings that it starts with
+    finally:
+        conf.set(name, old)
+
+
+def streamed_sessions(store: Store) -> DataFrame:
+    """Every session's summary, folded from the parts that streams have added."""
+    return folds.fold_parts(store.read("session_parts", folds.PARTS)).select(*(c.split()[0] for c in SESSIONS.split(", ")))
+
+
 def beats(spark: SparkSession, folder: str, schema: str, watermark: str = "1 day", window: str = "1 hour"):
     """Last record and number of records of each machine and window over a stream of event files (ts timestamp, machine_id).
 
