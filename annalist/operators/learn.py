@@ -9,10 +9,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import scalars as S
-from annalist.operators.convergence import _array, _string
+from annalist.operators.convergence import _array, _get, _kind_of, _string
 
 BUDGET = 60_000
 MOST_OF_A_PART = 4_000
+#: The keys of an object under which texts are looked for, in this order, and how far.
+TEXT_KEYS = ("message", "content", "text", "display", "result", "stdout", "stderr", "command", "input", "summary", "toolUseResult")
+TEXT_DEPTH, MOST_TEXTS = 8, 201
+
+
+def text_fields(v: Column, depth: int = TEXT_DEPTH) -> Column:
+    """The texts of over two bytes inside a variant, in order: of arrays all entries, of objects TEXT_KEYS, `depth` levels down."""
+    return F.slice(_texts_inside(v, depth), 1, MOST_TEXTS)
+
+
+def _texts_inside(v: Column, depth: int) -> Column:
+    kind, none = _kind_of(v), F.array().cast("array<string>")
+    text = S.strip(F.try_variant_get(v, "$", "string"))
+    own = F.when(kind == "STRING", F.when(F.octet_length(text) > 2, F.array(F.substring(text, 1, MOST_OF_A_PART))).otherwise(none))
+    if depth == 0:
+        return F.coalesce(own, none)
+    inside = F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>")).when(F.startswith(kind, F.lit("OBJECT")), F.filter(F.array(*(_get(v, k) for k in TEXT_KEYS)), lambda x: x.isNotNull()))
+    return F.coalesce(own, F.flatten(F.transform(inside, lambda x: _texts_inside(x, depth - 1))), none)
+
+
+def raw_transcripts(lines: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """path, transcript: the texts of raw transcripts' lines (path, line, v) under `### role time`, until the budget is reached.
+
+    The line that reaches the budget is the last. Lines that aren't JSON, or hold no text, count for nothing.
+    """
+    v = F.col("v")
+    named = F.coalesce(_get(v, "type"), _get(v, "role"))
+    role = F.coalesce(F.when(_kind_of(named) == "STRING", F.try_variant_get(named, "$", "string")), F.lit("event"))
+    at, kind = _get(v, "timestamp"), _kind_of(_get(v, "timestamp"))
+    time = F.coalesce(F.when(kind == "STRING", F.try_variant_get(at, "$", "string")).when(F.startswith(kind, F.lit("BIGINT")), S.iso_offset_time(F.try_variant_get(at, "$", "long"))), F.lit(""))
+    text = S.strip(F.array_join(text_fields(v), "\n"))
+    part = F.concat(F.lit("### "), role, F.lit(" "), time, F.lit("\n"), S.home_as_tilde(text))
+    rows = lines.where("v is not null").where(text != "").select("path", "line", part.alias("part"))
+    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0))).where(F.col("before") < budget)
+    return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part"))), lambda x: x["part"]), "\n\n").alias("transcript"))
 
 
 def transcripts(events: DataFrame, budget: int = BUDGET) -> DataFrame:

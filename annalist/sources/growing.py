@@ -89,6 +89,29 @@ def new_lines(spark: SparkSession, folder: str, seen: DataFrame, glob: str = "*.
     return spark.createDataFrame(ranges, rows.schema).repartitionByRange(n, "path", "start").mapInArrow(read, LINES).withColumn("v", F.try_parse_json("value"))
 
 
+def first_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl", most: int = 16 << 20) -> DataFrame:
+    """path, value: the first line of each file that isn't empty. Tasks read a file up to its first line end and no further.
+
+    Of a first line over `most` bytes only these are read.
+    """
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                system, name = _opened(path)
+                with system.open_input_file(name) as f:
+                    line, piece = b"", b"."
+                    while piece and len(line) < most and b"\n" not in line:
+                        piece = f.read(8192)
+                        line += piece
+                if line:
+                    rows.append((path, line.partition(b"\n")[0].decode("utf-8", "replace").rstrip("\r")))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["path", "value"])
+
+    return files(spark, folder, glob).where("length > 0").select("path").mapInArrow(read, "path string, value string")
+
+
 def progress(lines: DataFrame) -> DataFrame:
     """path, bytes: how far each file was read."""
     return lines.groupBy("path").agg(F.max("end").alias("bytes"))

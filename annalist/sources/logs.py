@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annalist.functions import scalars as S
 from annalist.operators.convergence import _array, _get, _kind_of, _string
 from annalist.operators.search import scoped
+from annalist.sources.growing import first_lines
 
 MOST_ANSWER = 4096
 
@@ -21,8 +22,8 @@ def _json(v: Column) -> Column:
     return F.to_json(v)
 
 
-def json_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """path, modified, line (from 0), value, v: every line of every file below a folder; v is null for bad JSON.
+def json_lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
+    """path, modified, line (from 0), value, v: every line of every file below a folder, or of files; v is null for bad JSON.
 
     Files are read whole, since Spark's lines have no numbers; histories are many files of moderate size.
     """
@@ -53,8 +54,7 @@ def claude_prompts(lines: DataFrame) -> DataFrame:
 
 def codex_rollouts(spark: SparkSession, path: str) -> DataFrame:
     """session_id, cwd, git_branch from the first line of each rollout file; both id and folder are needed."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="rollout-*.jsonl")
-    first = files.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json(F.substring_index("value", "\n", 1)).alias("v"))
+    first = first_lines(spark, path, "rollout-*.jsonl").select("path", F.try_parse_json("value").alias("v"))
     v = F.col("v")
     rows = first.where(_text(v, "$.type") == "session_meta").select("path", _text(v, "$.payload.id").alias("session_id"), _text(v, "$.payload.cwd").alias("cwd"), _text(v, "$.payload.git.branch").alias("git_branch"))
     rows = rows.where("session_id is not null and cwd is not null")
@@ -143,21 +143,28 @@ def claude_tool_calls(blocks: DataFrame) -> DataFrame:
     return rows.select(F.lit("claude").alias("source"), "session_id", "message_id", tool.alias("tool_use_id"), name.alias("name"), target.alias("target"), args.alias("args_json"), F.lit(None).cast("int").alias("is_error"), "ts_ms", "git_branch", "cwd", "seq")
 
 
-PATCH_DEPTH = 6
+#: Levels of arrays and objects that are followed inside a patch.
+PATCH_DEPTH = 12
+#: Where a patch's text may stand in an object, in this order.
+PATCH_KEYS = ("patch", "diff", "text", "content", "structuredPatch")
 
 
-def _lines_changed(patch: Column) -> Column:
-    """Counts of a patch's lines: of a text itself, or of all texts inside arrays and objects, PATCH_DEPTH levels deep."""
+def lines_changed(patch: Column, depth: int = PATCH_DEPTH) -> Column:
+    """struct(added, removed) of a patch: of a text its lines, of an array the sum of its entries, of an object the first
+    of PATCH_KEYS that counts anything. One expression: nothing is exploded or shuffled."""
+    kind, nothing = _kind_of(patch), S.patch_counts(F.lit(""))
+    own = F.when(kind == "STRING", S.patch_counts(F.try_variant_get(patch, "$", "string")))
+    if depth == 0:
+        return F.coalesce(own, nothing)
+    is_array = F.startswith(kind, F.lit("ARRAY"))
+    inside = F.when(is_array, F.try_variant_get(patch, "$", "array<variant>")).when(F.startswith(kind, F.lit("OBJECT")), F.filter(F.array(*(_get(patch, k) for k in PATCH_KEYS)), lambda x: x.isNotNull()))
 
-    def texts(v, depth):
-        kind, none = _kind_of(v), F.array().cast("array<string>")
-        own = F.when(kind == "STRING", F.array(F.try_variant_get(v, "$", "string")))
-        if depth == 0:
-            return F.coalesce(own, none)
-        inside = F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>")).when(F.startswith(kind, F.lit("OBJECT")), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")))
-        return F.coalesce(own, F.flatten(F.transform(inside, lambda x: texts(x, depth - 1))), none)
+    def of(children):
+        total = F.aggregate(children, nothing, lambda s, c: F.struct((s["added"] + c["added"]).alias("added"), (s["removed"] + c["removed"]).alias("removed")))
+        return F.when(is_array, total).otherwise(F.get(F.filter(children, lambda c: c["added"] + c["removed"] > 0), F.lit(0)))
 
-    return S.patch_counts(F.array_join(texts(patch, PATCH_DEPTH), "\n"))
+    counted = F.element_at(F.transform(F.array(F.transform(inside, lambda x: lines_changed(x, depth - 1))), of), 1)
+    return F.coalesce(own, counted, nothing)
 
 
 def claude_results(blocks: DataFrame) -> DataFrame:
@@ -166,7 +173,7 @@ def claude_results(blocks: DataFrame) -> DataFrame:
     tool = F.coalesce(_text(b, "$.tool_use_id"), _text(b, "$.toolUseId"), F.lit(""))
     result = F.coalesce(*(_get(b, k) for k in ("toolUseResult", "tool_use_result", "content.toolUseResult", "content.tool_use_result")))
     patch = _get(result, "structuredPatch")
-    counts = _lines_changed(F.coalesce(patch, result))
+    counts = lines_changed(F.coalesce(patch, result))
     flag = F.when(_kind_of(_get(result, "userModified")) == "BOOLEAN", F.try_variant_get(result, "$.userModified", "boolean").cast("int"))
     error = F.when(_kind_of(_get(b, "is_error")) == "BOOLEAN", F.try_variant_get(b, "$.is_error", "boolean").cast("int"))
     rows = blocks.where(F.col("type") == "tool_result").where(tool != "")

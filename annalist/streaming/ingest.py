@@ -67,8 +67,8 @@ def sync_sessions(store: Store, folder: str, events: DataFrame, now_ms: int, sou
     todo = changed_files(files, known).unionByName(files.join(lacking, "path", "left_semi")).distinct().persist()
     n = todo.count()
     if n:
-        lines = logs.json_lines(store.spark, folder).join(F.broadcast(todo.select("path")) if n < 10_000 else todo.select("path"), "path", "left_semi")
-        store.add_sessions(logs.claude_sessions(lines), now_ms)
+        paths = [r.path for r in todo.select("path").collect()]  # names of the changed files: they alone are opened
+        store.add_sessions(logs.claude_sessions(logs.json_lines(store.spark, paths)), now_ms)
         store.append("manifest", todo.select(F.lit(f"{source}-sessions").alias("source"), "path", F.lit(None).cast("long").alias("bytes"), "stamp"))
     todo.unpersist()
     return n
