@@ -14,6 +14,8 @@ a row each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,12 +76,12 @@ class Notices:
 
     def spans(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """(label, start, end, edits, length) of the notices in a text of words, the best of overlapping places."""
-        starts: dict[int, set] = {}
+        seen: dict[int, set] = {}
         for end, owners in self.seeds.iter(text):
             for n, offset, size in owners:
-                starts.setdefault(n, set()).add(end + 1 - size - offset)
+                seen.setdefault(n, set()).add(end + 1 - size - offset)
         found = []
-        for n, places in starts.items():
+        for n, places in seen.items():
             label, masks, k = self.notices[n]
             past = -1
             for s in sorted(places):
@@ -92,21 +94,34 @@ class Notices:
                         found.append((label, hit.start(), hit.end(), sum(hit.fuzzy_counts), masks.m))
                         past = hit.end()
                         break
-        best: list = []
+        starts, best = [], []  # both in order of place; what is kept doesn't overlap, so only neighbours can be in the way
         for x in sorted(found, key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])):
-            if all(x[2] <= y[1] or y[2] <= x[1] for y in best):
-                best.append(x)
-        return sorted(best, key=lambda x: (x[1], x[2], x[0]))
+            k = bisect.bisect_left(starts, x[1])
+            if (k == 0 or best[k - 1][2] <= x[1]) and (k == len(best) or x[2] <= best[k][1]):
+                starts.insert(k, x[1])
+                best.insert(k, x)
+        return best
 
 
 def base_places(text: str) -> list[tuple[int, str]]:
     """(word, label) of every place of a phrase."""
     framed, out = f" {text} ", []
     for phrase, label in PHRASES:
-        at = framed.find(f" {phrase} ")
+        at, last, word = framed.find(f" {phrase} "), 0, 0
         while at >= 0:
-            out.append((framed.count(" ", 0, at), label))
-            at = framed.find(f" {phrase} ", at + 1)
+            word += framed.count(" ", last, at)  # words since the place before
+            out.append((word, label))
+            last, at = at, framed.find(f" {phrase} ", at + 1)
+    return out
+
+
+def in_words(text: str, spans) -> list[dict]:
+    """Spans (label, start, end, edits, length), in order and apart, with the numbers of their first and last words."""
+    out, last, word = [], 0, 0
+    for label, start, end, edits, _ in spans:
+        word += text.count(" ", last, start)
+        out.append({"label": label, "first_word": word, "last_word": word + text.count(" ", start, end - 1), "edits": edits})
+        last = start
     return out
 
 
@@ -125,7 +140,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 labels = sorted({*base, *(x[0] for x in spans)})
                 score = 1.0 if places else max((1 - x[3] / x[4] for x in spans), default=0.0)
                 at = [x[0] for x in places]
-                told = [{"label": x[0], "first_word": text.count(" ", 0, x[1]), "last_word": text.count(" ", 0, x[2] - 1), "edits": x[3]} for x in spans]
+                told = in_words(text, spans)
                 rows.append((doc_id, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(base), ",".join(labels), score, told))
             span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())]))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), span)

@@ -1,6 +1,7 @@
 """Contiguous shards of nearly equal bytes.
 
-Rows are put in doc_id order by a range exchange that carries three numbers a row and no text. Each range
+Rows are put in doc_id order by a range exchange that carries three numbers a row and no text, and cuts by all of them,
+so that one id of many rows is spread too. Each range
 partition's total of bytes is summed; the running sum of these few totals gives the bytes before a partition,
 a window inside the partition gives the bytes before a row, and the row goes to the shard in whose equal part
 of all bytes it starts. Shards are runs of the order, so no shard is over or under the target by more than
@@ -23,7 +24,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = ["id", "text_crc32", "size"]
     sized = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    ranged = written(sized.repartitionByRange("id").sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "shard-sizes")
+    ranged = written(sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "shard-sizes")
 
     # A row per range partition: their number depends on the cluster's settings and not on the documents.
     parts = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))

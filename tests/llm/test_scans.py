@@ -218,3 +218,24 @@ def test_filters_lose_no_match():
         assert (best <= p.k) == bool(got), (seed, best, p.k)
         if got:
             assert got[0][0] == best
+
+
+def test_many_places_take_linear_time():
+    """40 times the places take no more than some 40 times as long: word numbers run along, spans look at their neighbours."""
+    import time
+
+    from annalist.llm.licenses import NOTICES, Notices, base_places, in_words
+
+    notices = Notices()
+
+    def took(n):
+        text = " ".join(["x under the mit license y"] * n)
+        began = time.perf_counter()
+        places, spans = base_places(text), notices.spans(" ".join([f"q {NOTICES[1][0]} r"] * (n // 10)))
+        told = in_words(" ".join([f"q {NOTICES[1][0]} r"] * (n // 10)), spans)
+        assert [p for p, _ in places] == [6 * k + 1 for k in range(n)] and [t["first_word"] for t in told] == [7 * k + 1 for k in range(n // 10)] and told[-1]["last_word"] == 7 * (n // 10) - 2
+        return time.perf_counter() - began
+
+    took(100)
+    few, many = took(2_500), took(100_000)
+    assert many < 160 * few + 1

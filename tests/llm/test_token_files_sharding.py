@@ -133,3 +133,14 @@ def test_added_tokens_equal_the_library(spark, tmp_path):
     assert t.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op5_token_files"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_shards_of_one_id_in_most_rows(spark):
+    """Rows of one id are cut by the other numbers of the order, and land in several range partitions."""
+    rows = [(7, f"text {k} " + "x" * (k % 50)) for k in range(4000)] + [(k, "y" * 40) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = shard_by_bytes(docs, 8).collect()
+    size = {s: sum(r.size for r in got if r.shard == s) for s in range(8)}
+    assert len(got) == 4500 and max(size.values()) - min(size.values()) < 200 and len({r.shard for r in got if r.doc_id == 7}) > 5
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
