@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.operators import links, sessions, store
-from annalist.plans.queries import _COMMITS, NEWEST, TOKENS, _commits, _has, _on, _runs, query
+from annalist.operators import learn, links, sessions, store
+from annalist.plans.queries import _COMMITS, NEWEST, ORACLE_SQL, QUERIES, TOKENS, _commits, _has, _on, _runs, query
 from annalist.plans.views import view
 from annalist.sources import growing, logs
+from annalist.streaming import ingest
 from annalist.work import scratch
 
 
@@ -154,3 +157,109 @@ def mirrored_trajectories(spark, sf_dir):
     history = view(spark, sf_dir, "history_v").withColumns({"session_id": old, "prompt_hash": none, "git_branch": none})
     runs = _runs(spark, sf_dir).withColumn("search_text", F.get_json_object("retrospective_json", "$.summary"))
     return store.mirrored_trajectories(history, runs, 5_000_000).select("id", "source", "session_id", "project", "prompt", "timestamp_ms")
+
+
+# streams: the query runs until it has taken what is there, and its sink is read back
+def _settings(spark: SparkSession, **values: str):
+    """Session settings for the time of a block."""
+
+    @contextlib.contextmanager
+    def held():
+        old = {k: spark.conf.get(k, None) for k in values}
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    return held()
+
+
+def _growing_stream(history: DataFrame) -> DataFrame:
+    """The same lines as a stream over growing files, in byte ranges."""
+    spark, out = history.sparkSession, scratch(history.sparkSession, "growing-stream")
+    lines = growing.stream_lines(spark, _written_lines(history, "growing-in"), "*.txt", 1 << 20)
+    logs.claude_prompts(lines).select(*_READ).writeStream.option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.parquet(out)
+
+
+_on("read_growing_stream", _CLAUDE, _growing_stream, "history_v")
+_ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _session_stream(events: DataFrame) -> DataFrame:
+    """Session rows as a stream, folded with state, and the parts folded when they are read."""
+    spark, folder = events.sparkSession, scratch(events.sparkSession, "session-stream")
+    none = F.lit(None).cast("string")
+    rows = events.select("session_id", "source", F.col("project").alias("cwd"), F.col("role").alias("git_branch"), F.when(F.col("role") == "assistant", F.col("text")).alias("last_assistant_text"), none.alias("raw_path"), F.lit(1).alias("parser_version"), F.col("ts_ms").alias("first_activity_ms"), F.col("ts_ms").alias("last_activity_ms"), F.col("id").alias("seq"))
+    rows.write.parquet(f"{folder}/in")
+    kept = store.Store(spark, f"{folder}/store")
+    with _settings(spark, **_ROCKS):
+        ingest.watch_sessions(kept, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in"), f"{folder}/checkpoint").awaitTermination()
+    return ingest.streamed_sessions(kept)
+
+
+QUERIES["stream_session_fold"] = lambda spark, sf_dir: _session_stream(view(spark, sf_dir, "session_events_v"))
+ORACLE_SQL["stream_session_fold"] = ORACLE_SQL["session_fold"]
+
+# nested JSON
+@query(r"""with l as (select id, ts_ms, role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as t from session_events_v)
+select id, '### ' || role || ' ' || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S+00:00') || chr(10) || regexp_replace(case when strlen(t) > 2 then substr(t, 1, 4000) || chr(10) || 'out ' || cast(id as varchar) else 'out ' || cast(id as varchar) end, '(/users/|/home/)[^/]+', '\1~', 'gi') as transcript from l""")
+def harvest_texts(spark, sf_dir):
+    """Texts of raw transcript lines, eight levels down; what lies deeper or under other keys isn't taken."""
+    e = view(spark, sf_dir, "session_events_v")
+    deep = F.col("text")
+    for _ in range(5):
+        deep = F.array(deep)
+    out = F.concat(F.lit("out "), F.col("id").cast("string"))
+    line = F.struct(F.col("role").alias("type"), F.col("ts_ms").alias("timestamp"), F.struct(F.struct(deep.alias("content"), F.lit("no").alias("other")).alias("message"), out.alias("stdout")).alias("message"), F.lit("unseen").alias("note"))
+    lines = e.select(F.col("id").cast("string").alias("path"), F.lit(0).alias("line"), F.parse_json(F.to_json(line)).alias("v"))
+    return learn.raw_transcripts(lines).select(F.col("path").cast("long").alias("id"), "transcript")
+
+
+@query(r"""with p as (select doc_id, string_split('+++ b' || chr(10) || regexp_replace(regexp_replace(text, '(^|\n)T', '\1+', 'g'), '(^|\n)A', '\1-', 'g'), chr(10)) as l from documents),
+c as (select doc_id, len(list_filter(l, lambda x: starts_with(x, '+') and not starts_with(x, '+++'))) as a, len(list_filter(l, lambda x: starts_with(x, '-') and not starts_with(x, '---'))) as r from p)
+select doc_id, 2 * a as added, 2 * r as removed from c""")
+def patch_counts_nested(spark, sf_dir):
+    """A patch ten levels down, twice in an array, beside keys that count nothing."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    patch = F.concat(F.lit("+++ b\n"), F.regexp_replace(F.regexp_replace("text", r"(^|\n)T", "$1+"), r"(^|\n)A", "$1-"))
+    v = F.array(patch, patch)
+    for _ in range(4):
+        v = F.struct(F.lit("plain").alias("diff"), F.array(v).alias("content"))
+    return docs.select("doc_id", logs.lines_changed(F.parse_json(F.to_json(v))).alias("c")).select("doc_id", "c.added", "c.removed")
+
+
+# folds of tool calls and file edits
+_CALL = "select source, session_id, 't' || cast(id % 5 as varchar) as tool_use_id, id as seq, 'm' || cast(id as varchar) as message_id, text, ts_ms, case when id % 3 = 0 then cast(id % 2 as integer) end as flag, project, id from session_events_v"
+_BY_TOOL = ("source", "session_id", "tool_use_id")
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    e = view(spark, sf_dir, "session_events_v")
+    text = lambda c: c.cast("string")
+    return e.select("source", "session_id", F.concat(F.lit("t"), text(F.col("id") % 5)).alias("tool_use_id"), F.col("id").alias("seq"), F.concat(F.lit("m"), text(F.col("id"))).alias("message_id"), "text", "ts_ms", F.when(F.col("id") % 3 == 0, (F.col("id") % 2).cast("int")).alias("flag"), "project", "id")
+
+
+@query(f"with c as ({_CALL}) select source, session_id, tool_use_id, max(seq) as seq, arg_max(message_id, seq) as message_id, arg_max(coalesce(text, ''), seq) as args_json, arg_max(ts_ms, seq) as ts_ms, arg_max(flag, seq) filter (flag is not null) as is_error from c group by all")
+def fold_tool_calls(spark, sf_dir):
+    rows = _calls(spark, sf_dir).select(*_BY_TOOL, "seq", "message_id", F.coalesce("text", F.lit("")).alias("args_json"), "ts_ms", F.col("flag").alias("is_error"))
+    return store.fold_tool_calls(rows)
+
+
+@query(f"with c as ({_CALL}), r as (select source, session_id, tool_use_id, arg_max(flag, seq) as e from c where id % 2 = 1 and flag is not null group by all) select c.source, c.session_id, c.tool_use_id, c.seq, coalesce(r.e, c.flag) as is_error from c left join r using (source, session_id, tool_use_id) where c.id % 2 = 0")
+def tool_calls_with_results(spark, sf_dir):
+    rows = _calls(spark, sf_dir).select(*_BY_TOOL, "seq", "id", F.col("flag").alias("is_error"))
+    return store.with_results(rows.where("id % 2 = 0"), rows.where("id % 2 = 1")).drop("id")
+
+
+@query(f"""with c as ({_CALL}), e as (select source, session_id, tool_use_id, arg_max(message_id, seq) as message_id, arg_max('/f' || cast(id as varchar), seq) as file_path, arg_max('Edit', seq) as tool_name, arg_max(ts_ms, seq) as ts_ms, arg_max('b' || cast(id as varchar), seq) filter (id % 3 = 0) as git_branch, arg_max(project, seq) filter (project is not null) as cwd from c where id % 2 = 0 group by all),
+r as (select source, session_id, tool_use_id, arg_max(id, seq) as la, arg_max(id + 1, seq) as lr, arg_max('/r' || cast(id as varchar), seq) filter (id % 5 < 2) as file_path, arg_max('p' || cast(id as varchar), seq) filter (id % 3 = 1) as patch, arg_max(flag, seq) filter (flag is not null) as um from c where id % 2 = 1 group by all)
+select e.source, e.session_id, e.tool_use_id, tool_name, coalesce(r.file_path, e.file_path) as file_path, git_branch, cwd, e.message_id, e.ts_ms, la as lines_added, lr as lines_removed, patch as structured_patch_json, um as user_modified from e left join r using (source, session_id, tool_use_id)""")
+def fold_file_edits(spark, sf_dir):
+    rows, n, none = _calls(spark, sf_dir), F.col("id").cast("string"), F.lit(None).cast("string")
+    calls = rows.where("id % 2 = 0").select(*_BY_TOOL, "seq", "message_id", F.concat(F.lit("/f"), n).alias("file_path"), F.lit("Edit").alias("tool_name"), "ts_ms", F.when(F.col("id") % 3 == 0, F.concat(F.lit("b"), n)).alias("git_branch"), F.col("project").alias("cwd"))
+    results = rows.where("id % 2 = 1").select(*_BY_TOOL, "seq", "message_id", F.when(F.col("id") % 5 < 2, F.concat(F.lit("/r"), n)).alias("file_path"), F.col("id").alias("lines_added"), (F.col("id") + 1).alias("lines_removed"), F.when(F.col("id") % 3 == 1, F.concat(F.lit("p"), n)).alias("structured_patch_json"), F.col("flag").alias("user_modified"), "ts_ms", none.alias("git_branch"), none.alias("cwd"))
+    return store.fold_file_edits(calls, results)
