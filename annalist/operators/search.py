@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annalist.functions import fts
 from annalist.functions import scalars as S
 from annalist.schemas import check_source
+from annalist.work import written
 
 ENTRY = ("id", "source", "session_id", "project", "prompt", "timestamp_ms")
 
@@ -147,13 +148,31 @@ def context(history: DataFrame, entry_id: int, minutes: int = 30) -> DataFrame:
     return out.orderBy("relation", "timestamp_ms", "id")
 
 
-def context_pairs(history: DataFrame, minutes: int = 5) -> DataFrame:
-    """All pairs of prompts of different sessions within the minutes: an equi-join on time buckets, checked exactly."""
+#: Candidate pairs that one task of context_pairs looks at, about.
+PAIRS = 1 << 20
+
+
+def context_pairs(history: DataFrame, minutes: int = 5, pairs: int = PAIRS) -> DataFrame:
+    """All pairs of prompts of different sessions within the minutes: a band join over ranges of time.
+
+    Prompts are cut into ranges of equal numbers. A range meets copies of its neighbours' prompts that lie near enough, and a
+    range that has many of them around it, as in a busy hour, is dealt out in pieces. Pairs are as many as are asked for.
+    """
     span = minutes * 60_000
-    left = history.select(F.col("id").alias("a"), F.col("session_id").alias("sa"), F.col("timestamp_ms").alias("ta")).withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("ta") / span) + d)))
-    right = history.select(F.col("id").alias("b"), F.col("session_id").alias("sb"), F.col("timestamp_ms").alias("tb")).withColumn("bucket", F.floor(F.col("tb") / span))
-    other = F.col("sb").isNull() | F.col("sa").isNull() | (F.col("sa") != F.col("sb"))
-    return left.join(right, "bucket").where((F.col("a") != F.col("b")) & other & (F.abs(F.col("ta") - F.col("tb")) <= span)).select("a", "b", (F.col("tb") - F.col("ta")).alias("gap_ms"))
+    ranged = history.select("id", "session_id", "timestamp_ms").repartitionByRange("timestamp_ms", "id")
+    rows = written(ranged.withColumn("part", F.spark_partition_id()), "context-ranges")
+    parts = rows.groupBy("part").agg(F.min("timestamp_ms").alias("lo"), F.max("timestamp_ms").alias("hi"), F.count("*").alias("n"))  # a row per range
+    other = parts.select(F.col("part").alias("near"), F.col("lo").alias("near_lo"), F.col("hi").alias("near_hi"), F.col("n").alias("near_n"))
+    meets = parts.join(F.broadcast(other), (F.col("near_hi") >= F.col("lo") - span) & (F.col("near_lo") <= F.col("hi") + span))
+    # A prompt has about as many around it as its span's share of the ranges that it touches.
+    share = F.col("near_n") * F.least(F.lit(1.0), F.lit(2.0 * span + 1) / (F.col("near_hi") - F.col("near_lo") + 1))
+    pieces = meets.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.max("n") * F.sum(share) / pairs).cast("int")).alias("pieces"))
+    left = rows.join(F.broadcast(pieces), "part").select("part", F.pmod(F.xxhash64("id", "timestamp_ms"), "pieces").cast("int").alias("piece"), F.col("id").alias("a"), F.col("session_id").alias("sa"), F.col("timestamp_ms").alias("ta"))
+    to = meets.join(pieces, "part").select("part", "near", "lo", "hi", "pieces")
+    right = rows.withColumnRenamed("part", "near").join(F.broadcast(to), "near").where(F.col("timestamp_ms").between(F.col("lo") - span, F.col("hi") + span))
+    right = right.select("part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("id").alias("b"), F.col("session_id").alias("sb"), F.col("timestamp_ms").alias("tb"))
+    apart = F.col("sb").isNull() | F.col("sa").isNull() | (F.col("sa") != F.col("sb"))
+    return left.join(right, ["part", "piece"]).where((F.col("a") != F.col("b")) & apart & (F.abs(F.col("ta") - F.col("tb")) <= span)).select("a", "b", (F.col("tb") - F.col("ta")).alias("gap_ms"))
 
 
 def resume(history: DataFrame, query: Query) -> DataFrame:
