@@ -10,8 +10,8 @@ from annalist.sources import logs, sqlite
 
 def test_sqlite_round_trip_and_opencode(spark, tmp_path):
     history = spark.createDataFrame([(2, "claude", "s", "/p", "b", 20), (1, "codex", None, None, "a", 10)], "id long, source string, session_id string, project string, prompt string, timestamp_ms long")
-    path = str(tmp_path / "out.db")
-    assert sqlite.export_history(history, path) == 2
+    path = str(tmp_path / "out")
+    sqlite.export_history(history, path)
     got = sqlite.imported_history(spark, path).orderBy("timestamp_ms").collect()
     assert [(r.prompt, r.source, r.project) for r in got] == [("a", "codex", None), ("b", "claude", "/p")] and all(len(r.prompt_hash) == 16 for r in got)
     db = sqlite3.connect(tmp_path / "old.db")
@@ -30,6 +30,23 @@ def test_sqlite_round_trip_and_opencode(spark, tmp_path):
     assert [(r.prompt, r.timestamp_ms) for r in logs.opencode_prompts(*sqlite.opencode(spark, str(tmp_path / "oc.db"))).collect()] == [("hi", 3)]
 
 
+def test_export_writes_a_file_a_task(spark, tmp_path):
+    rows = spark.range(5000).select("id", F.lit("claude").alias("source"), F.lit(None).cast("string").alias("session_id"), F.lit("/p").alias("project"), F.concat(F.lit("p"), "id").alias("prompt"), (F.col("id") * 7).alias("timestamp_ms"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sqlite.export_history(rows, str(tmp_path / "out"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert len(names) == 4 and all(n.startswith("part-") and n.endswith(".db") for n in names)
+    times = [sqlite3.connect(tmp_path / "out" / n).execute("select min(timestamp_ms), max(timestamp_ms) from history").fetchone() for n in names]
+    assert all(a[1] < b[0] for a, b in zip(times, times[1:]))
+    assert sqlite.imported_history(spark, str(tmp_path / "out")).select("prompt", "timestamp_ms").exceptAll(rows.select("prompt", "timestamp_ms")).count() == 0
+    assert sqlite.imported_history(spark, str(tmp_path / "out")).count() == 5000
+    bad = rows.withColumn("source", F.when(F.col("id") < 4000, "claude").otherwise(F.raise_error(F.lit("lost"))))
+    with __import__("pytest").raises(Exception, match="lost"):
+        sqlite.export_history(bad, str(tmp_path / "bad"))
+    assert [p for p in (tmp_path / "bad").iterdir() if p.name.endswith(".db")] == []
+
+
 def test_learn(spark):
     events = spark.createDataFrame([(i, "claude", "s", 1000 * i, "user", "word " * 5) for i in range(10)], "id long, source string, session_id string, ts_ms long, role string, text string")
     text = learn.transcripts(events, budget=100).first().transcript
