@@ -7,10 +7,11 @@ import contextlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.operators import learn, links, sessions, store
+from annalist.functions import scalars as S
+from annalist.operators import convergence, learn, links, sessions, store
 from annalist.plans.queries import _COMMITS, NEWEST, ORACLE_SQL, QUERIES, TOKENS, _commits, _has, _on, _runs, query
 from annalist.plans.views import view
-from annalist.sources import growing, logs
+from annalist.sources import growing, logs, sqlite
 from annalist.streaming import ingest
 from annalist.work import scratch
 
@@ -263,3 +264,103 @@ def fold_file_edits(spark, sf_dir):
     calls = rows.where("id % 2 = 0").select(*_BY_TOOL, "seq", "message_id", F.concat(F.lit("/f"), n).alias("file_path"), F.lit("Edit").alias("tool_name"), "ts_ms", F.when(F.col("id") % 3 == 0, F.concat(F.lit("b"), n)).alias("git_branch"), F.col("project").alias("cwd"))
     results = rows.where("id % 2 = 1").select(*_BY_TOOL, "seq", "message_id", F.when(F.col("id") % 5 < 2, F.concat(F.lit("/r"), n)).alias("file_path"), F.col("id").alias("lines_added"), (F.col("id") + 1).alias("lines_removed"), F.when(F.col("id") % 3 == 1, F.concat(F.lit("p"), n)).alias("structured_patch_json"), F.col("flag").alias("user_modified"), "ts_ms", none.alias("git_branch"), none.alias("cwd"))
     return store.fold_file_edits(calls, results)
+
+# files of whole documents
+_T = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""with l as (select *, {_T} as t, row_number() over (partition by session_id, source order by id) as k from session_events_v),
+p as (select session_id, source, id, t, ts_ms, row_number() over (partition by session_id, source order by id) - 1 as n from l where role = 'user' and id % 4 <> 3 and t <> '')
+select 'grok' as source, session_id || '-' || source as session_id, '/g/' || session_id as project, t as prompt, 1704067200000 + n as timestamp_ms from p""")
+def read_grok_prompts(spark, sf_dir):
+    """Chat lines and their folder's summary; a prompt's time is the start plus its number, of those that weren't made up."""
+    e = view(spark, sf_dir, "session_events_v")
+    name = F.concat("session_id", F.lit("-"), "source")
+    said = F.when(F.col("id") % 2 == 0, F.to_json(F.struct(F.col("role").alias("type"), F.col("text").alias("content"), F.when(F.col("id") % 4 == 3, "x").alias("synthetic_reason"))))
+    parts = F.to_json(F.struct(F.col("role").alias("type"), F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"), F.when(F.col("id") % 4 == 3, "x").alias("synthetic_reason")))
+    lines = e.select(F.concat(F.lit("/c/"), name, F.lit("/chat_history.jsonl")).alias("path"), F.col("id").alias("line"), F.parse_json(F.coalesce(said, parts)).alias("v"))
+    info = F.struct(F.struct(name.alias("id"), F.concat(F.lit("/g/"), "session_id").alias("cwd")).alias("info"), F.lit("2024-01-01T00:00:00Z").alias("created_at"))
+    notes = e.select("session_id", "source").distinct().select(F.concat(F.lit("/c/"), name).alias("folder"), F.parse_json(F.to_json(info)).alias("s"))
+    return logs.grok_rows(lines, notes)[0].select("source", "session_id", "project", "prompt", "timestamp_ms")
+
+
+_RUNS = "select doc_id, 'run-' || cast(doc_id as varchar) as id, source, lang, strftime(make_timestamp((1704067200000 + doc_id * 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as moment, 'why ' || cast(doc_id as varchar) as q, 'pick ' || cast(doc_id % 9 as varchar) as c from documents"
+
+
+def _run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n, at = F.col("doc_id").cast("string"), F.date_format(F.timestamp_millis(F.lit(1704067200000) + F.col("doc_id") * 1000), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    choice = F.to_json(F.struct(F.concat(F.lit("why "), n).alias("question"), F.concat(F.lit("pick "), (F.col("doc_id") % 9).cast("string")).alias("chosen"), F.array(F.lit("other")).alias("alternatives")))
+    head = F.concat(F.lit('{"id":"run-'), n, F.lit('","personaId":"'), "source", F.lit('","projectId":"'), "lang", F.lit('","'), F.when(F.col("doc_id") % 2 == 0, "completedAt").otherwise("startedAt"), F.lit('":"'), at, F.lit('",'))
+    run = F.concat(head, F.lit('"decisions":['), choice, F.lit(',7],"retrospective":{"summary":"done","confidence":0.5}}'))
+    roll = F.concat(head, F.lit('"type":"compacted","sourceTrajectories":["r"],"narrative":"told '), n, F.lit('","keyFindings":["found",""],"lessons":[{"lesson":"learn","context":"con"}],"decisions":['), choice, F.lit("]}"))
+    doc = F.when(F.col("doc_id") % 3 == 0, roll).when(F.col("doc_id") % 10 == 1, "not json").otherwise(run)
+    return d.select(F.concat(F.lit("/t/"), n, F.lit(".json")).alias("path"), F.lit(0).cast("long").alias("updated_ms"), F.try_parse_json(doc).alias("v")).where("v is not null")
+
+
+@query(f"""with r as ({_RUNS}) select id, source as persona_id, lang as project_id, case when doc_id % 2 = 1 then moment end as started_at, case when doc_id % 2 = 0 then moment end as completed_at, 1704067200000 + doc_id * 1000 as timestamp_ms,
+array_to_string(list_concat([id, source, lang, q, c, 'other'], case when doc_id % 3 = 0 then ['told ' || cast(doc_id as varchar), 'found', 'con', 'learn'] else ['done', '0.5'] end), chr(10)) as search_text from r where doc_id % 3 = 0 or doc_id % 10 <> 1""")
+def read_trajectories(spark, sf_dir):
+    return logs.trajectory_rows(_run_files(spark, sf_dir)).select("id", "persona_id", "project_id", "started_at", "completed_at", "timestamp_ms", "search_text")
+
+
+@query(f"""with r as ({_RUNS}), e as (
+select id, 0 as ord, 'decision' as kind, 'decision:' || id || ':0' as event_id, 'Question: ' || q || chr(10) || 'Chose: ' || c || chr(10) || 'Alternatives: other' as content from r where doc_id % 3 <> 0 and doc_id % 10 <> 1
+union all select id, 1, 'reflection', 'reflection:' || id || ':summary', 'done' from r where doc_id % 3 <> 0 and doc_id % 10 <> 1
+union all select id, 0, 'decision', 'decision:' || id || ':0', 'Question: ' || q || chr(10) || 'Chose: ' || c from r where doc_id % 3 = 0
+union all select id, 1, 'reflection', 'reflection:' || id || ':lesson:0', 'Context: con' || chr(10) || 'Lesson: learn' from r where doc_id % 3 = 0
+union all select id, 2, 'finding', 'finding:' || id || ':keyfinding:0', 'found' from r where doc_id % 3 = 0
+union all select id, 3, 'reflection', 'reflection:' || id || ':summary', 'told ' || cast(doc_id as varchar) from r where doc_id % 3 = 0)
+select id as session_id, kind, event_id, content from e""")
+def convergence_decisions(spark, sf_dir):
+    """Events of trajectories and of roll-ups with their decisions."""
+    runs = logs.trajectory_rows(_run_files(spark, sf_dir)).withColumn("rowid", F.substring("id", 5, 20).cast("long"))
+    return convergence.trajectory_events(runs).select("session_id", "kind", "event_id", "content")
+
+
+def _through_sqlite(history: DataFrame) -> DataFrame:
+    """Exported as SQLite files by tasks, and read back in ranges of rows."""
+    folder = scratch(history.sparkSession, "sqlite").removeprefix("file://")
+    sqlite.export_history(history, folder)
+    return sqlite.imported_history(history.sparkSession, folder)
+
+
+_on("sqlite_round_trip", "select source, session_id, project, prompt, substr(sha256(prompt), 1, 16) as prompt_hash, timestamp_ms from history_v where prompt <> ''", _through_sqlite, "history_v")
+
+
+@query(f"""with l as (select * from ({ORACLE_SQL["commit_link_rows"]}))
+select cast(commit_sha as varchar) as commit_sha, source, session_id, repo, confidence, 'f' || cast(commit_sha as varchar) as first_file, distance from l""")
+def exported_commit_links(spark, sf_dir):
+    """Links as lines of JSON, with nested values where the table keeps texts."""
+    commits = _commits(spark, sf_dir)
+    changes = commits.select("commit_sha", F.concat(F.lit("f"), F.col("commit_sha").cast("string")).alias("file_path"), F.lit(1).cast("long").alias("lines_added"), F.lit(None).cast("long").alias("lines_removed"))
+    lines = links.exported_links(links.link_rows(links.best_candidates(view(spark, sf_dir, "sessions_v"), commits), commits, changes, "time", 5))
+    told = {"commit_sha": ("$.commit_sha", "string"), "source": ("$.source", "string"), "session_id": ("$.session_id", "string"), "repo": ("$.repo", "string"), "confidence": ("$.confidence", "double"), "first_file": ("$.files_json[0]", "string"), "distance": ("$.evidence_json.candidate.time_distance_ms", "long")}
+    return lines.select(*(F.get_json_object("value", p).cast(t).alias(c) for c, (p, t) in told.items()))
+
+
+@query(f"""with h as (select id, source, coalesce(session_id, 'none') as session_id, project, prompt, timestamp_ms from history_v), a as (select source, session_id, min(project) as project, cast(count(*) as varchar) as n from h group by all)
+select 'learn_' || substr(sha256(source || ':' || session_id), 1, 16) as id, project as project_id, 'title ' || n as task_title, 'told ' || n as search_text, cast(4 as bigint) as events from a""")
+def learn_roll_ups(spark, sf_dir):
+    """Roll-ups from a model's fenced answers, one a session, and how many events each will make."""
+    h = view(spark, sf_dir, "history_v").withColumn("session_id", F.coalesce("session_id", F.lit("none")))
+    n = F.count("*").cast("string")
+    answer = F.concat(F.lit('```json\n{"title":"title '), n, F.lit('","narrative":"told '), n, F.lit('","decisions":[{"question":"q","chosen":"c"}],"lessons":[{"lesson":"l"}],"keyFindings":["f"," "],"keyLearnings":["k"]}\n```'))
+    rolls = learn.roll_ups(h.groupBy("source", "session_id").agg(F.min("project").alias("project"), answer.alias("answer")), 5)
+    return rolls.join(learn.event_estimate(rolls), "id").select("id", "project_id", "task_title", "search_text", F.col("events").cast("long").alias("events"))
+
+
+@query(r"""select doc_id, 'b_' || substr(sha256('m:' || cast(doc_id as varchar) || ':9:0:' || cast(doc_id % 7 as varchar) || ':3'), 1, 16) as batch, strftime(make_timestamp((1704067200000 + doc_id * 1000) * 1000), '%Y-%m-%dT%H:%M:%S+00:00') as learned, strftime(make_timestamp((1704067200000 + doc_id * 60000) * 1000), '%Y-%m-%d %H:%M') as minute,
+'/' || replace('a-b-' || cast(doc_id as varchar), '-', '/') as cursor_project, 'x ' || cast(doc_id as varchar) || 'é%zz' as decoded, 'hi ' || cast(doc_id as varchar) as untagged, case doc_id % 3 when 0 then '/f' || cast(doc_id as varchar) when 1 then 'ls ' || cast(doc_id as varchar) else 'pat' end as target,
+case doc_id % 3 when 0 then 'Edit' when 1 then 'Bash' else 'Grep' end = 'Edit' as is_edit, regexp_replace(source, '[[:cntrl:]]', '', 'g') || '…' as cell from (select * from documents)""")
+def name_scalars(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    tool = F.when(k == 0, "Edit").when(k == 1, "Bash").otherwise("Grep")
+    args = F.to_json(F.struct(F.when(k == 0, F.concat(F.lit("/f"), n)).alias("file_path"), F.when(k == 1, F.concat(F.lit("ls "), n)).alias("command"), F.when(k == 2, "pat").alias("pattern")))
+    zero = F.lit(0).cast("long")
+    return d.select(
+        "doc_id", S.batch_id(F.lit("m"), F.col("doc_id"), F.lit(9), zero, F.col("doc_id") % 7, F.lit(3)).alias("batch"), S.iso_offset_time(F.lit(1704067200000) + F.col("doc_id") * 1000).alias("learned"), S.minute(F.lit(1704067200000) + F.col("doc_id") * 60000).alias("minute"),
+        S.cursor_project(F.concat(F.lit("a-b-"), n)).alias("cursor_project"), S.percent_decoded(F.concat(F.lit("x%20"), n, F.lit("%c3%a9%zz"))).alias("decoded"), S.without_query_tag(F.concat(F.lit(" <user_query>\nhi "), n, F.lit("\n</user_query> "))).alias("untagged"),
+        S.tool_target(tool, args).alias("target"), S.is_edit_tool(tool).alias("is_edit"), F.concat(S.safe_cell(F.concat("source", F.lit("\x07"))), F.lit("…")).alias("cell"),
+    )

@@ -207,16 +207,20 @@ def grok_text(content: Column) -> Column:
 
 def grok_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(prompts, sessions): chat histories beside their summary.json; a prompt's time is the start plus its number."""
-    v = F.col("v")
-    folder = F.regexp_replace("path", r"/[^/]*$", "")
     notes = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="summary.json").select(F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "").alias("folder"), F.try_parse_json("value").alias("s"))
-    s = F.col("s")
+    return grok_rows(json_lines(spark, path, "chat_history*.jsonl"), notes)
+
+
+def grok_rows(lines: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of lines (path, line, v) and summaries (folder, s)."""
+    v, s = F.col("v"), F.col("s")
+    folder = F.regexp_replace("path", r"/[^/]*$", "")
 
     def moment(key):
         return F.coalesce(S.millis_of_iso(_text(s, f"$.{key}")), F.when(F.startswith(_kind_of(_get(s, key)), F.lit("BIGINT")), F.try_variant_get(s, f"$.{key}", "long")))
 
     notes = notes.select("folder", _text(s, "$.info.id").alias("session_id"), _text(s, "$.info.cwd").alias("cwd"), _text(s, "$.head_branch").alias("git_branch"), F.coalesce(moment("created_at"), F.lit(0)).alias("first"), moment("updated_at").alias("last"))
-    lines = json_lines(spark, path, "chat_history*.jsonl").withColumn("folder", folder).withColumn("said", grok_text(_get(v, "content"))).where("said is not null")
+    lines = lines.withColumn("folder", folder).withColumn("said", grok_text(_get(v, "content"))).where("said is not null")
     mine = lines.where((_text(v, "$.type") == "user") & _get(v, "synthetic_reason").isNull())
     mine = mine.groupBy("folder", "path").agg(F.array_sort(F.collect_list(F.struct("line", "said"))).alias("all")).select("folder", "path", F.posexplode("all").alias("n", "x"))
     prompts = mine.join(notes, "folder").where("session_id is not null").withColumn("line", F.col("n"))
@@ -255,7 +259,11 @@ def trajectories(spark: SparkSession, path: str, roll_ups: bool = True) -> DataF
     """Trajectory files below a folder; indexes, state and traces are left out, files without an id are none."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     files = files.select(F.col("_metadata.file_path").alias("path"), F.unix_millis(F.col("_metadata.file_modification_time")).alias("updated_ms"), F.try_parse_json("value").alias("v"))
-    files = files.where(~F.col("path").rlike(r"/(index|\.sync-state)\.json$|\.trace\.json$"))
+    return trajectory_rows(files.where(~F.col("path").rlike(r"/(index|\.sync-state)\.json$|\.trace\.json$")), roll_ups)
+
+
+def trajectory_rows(files: DataFrame, roll_ups: bool = True) -> DataFrame:
+    """Rows of trajectories of documents (path, updated_ms, v)."""
     v = F.col("v")
     rolled = F.coalesce((_text(v, "$.type") == "compacted") & F.startswith(_kind_of(_get(v, "sourceTrajectories")), F.lit("ARRAY")), F.lit(False))
     times = [F.when(S.millis_of_iso(_text(v, f"$.{k}")) > 0, S.millis_of_iso(_text(v, f"$.{k}"))) for k in ("completedAt", "startedAt", "compactedAt")]
