@@ -5,9 +5,9 @@ over the array joins the leftmost pair of least rank until no pair has a rank. R
 small maps, chosen by the checksum of a pair, since a look-up in a Spark map walks along its keys.
 
 Whole documents hold few distinct words, so each distinct word of all documents is folded once:
-1. every partition of the documents gives its distinct words;
-2. words are brought together, with the numbers of the partitions that have them, and folded;
-3. the encoded words go back to their partitions, as a table of the shared folder with a folder for each;
+1. every partition of the documents gives its distinct words; partitions are dealt to a bounded number of blocks;
+2. words are brought together, with the numbers of the blocks that have them, and folded;
+3. the encoded words go back to their blocks, as a table of the shared folder with a folder for each;
 4. every partition is read again and its texts are put together from its own words. No text is shuffled, nothing is
    broadcast but the vocabulary, and a task holds the distinct words of its own input. Should a partition
    hold other rows the second time, the words that it lacks are looked up in the whole table.
@@ -37,6 +37,8 @@ from annalist.llm.pieces import Recent, cut, matcher, slices
 #: Up to so many bytes a word's pairs are joined one by one; of longer words, all places of a pair together where that gives the same.
 SHORT = 64
 PARTS = 4
+#: Partitions of the documents share so many folders of encoded words at most, and pieces are concatenated by so many.
+BLOCKS, CONCAT = 4_096, 256
 _BUCKETS = 1 << 14
 _NONE = 2**31 - 1
 
@@ -116,7 +118,7 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
 
     def run(batches):
         words_of, first, rest, told, known = matcher(pattern), set(), set(), set(), set()
-        block = TaskContext.get().partitionId()
+        block = TaskContext.get().partitionId() % BLOCKS
 
         def new():
             words, other = {w for x in first for w in words_of(x)}, []
@@ -151,21 +153,29 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def decode_words(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """binary: the pieces of the ids, one after another."""
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    """binary: the pieces of the ids, concatenated one after another, a long word's by CONCAT and then those."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")
-    text = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.element_at(text, i + 1)), ""), "ISO-8859-1")
+        pieces[rank] = piece
+    table = F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in pieces])), "array<binary>")
+
+    def joined(parts):
+        return F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x))
+
+    def whole(parts):
+        some = F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(CONCAT)), lambda k: joined(F.slice(parts, k + 1, CONCAT)))
+        return F.when(F.size(parts) <= CONCAT, joined(parts)).otherwise(joined(some))
+
+    return F.element_at(F.transform(F.array(F.transform(ids, lambda i: F.element_at(table, i + 1))), whole), 1)
 
 
 def write_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> str:
     """Encodes each distinct word once and decodes its ids; returns the folder of the table (word, ids as a line of numbers,
-    bytes: what the ids decode to, null where that is the word itself) by block."""
+    bytes: what the ids decode to) by block."""
     spark, path = docs.sparkSession, work_path(docs.sparkSession, "bpe-words")
     words = distinct_words(docs, pattern).groupBy("word").agg(F.collect_set("block").alias("blocks"))
     encoded = words.select("blocks", "word", encode_words(F.col("word"), rank_literal(ranks)).alias("ids"))
-    text, data = F.array_join(F.col("ids").cast("array<string>"), ","), F.nullif(decode_words(F.col("ids"), ranks), F.encode("word", "UTF-8"))
+    text, data = F.array_join(F.col("ids").cast("array<string>"), ","), decode_words(F.col("ids"), ranks)
     told = encoded.select("blocks", "word", text.alias("ids"), data.alias("bytes"))  # once a word, before its blocks are told apart
     decoded = told.select(F.explode("blocks").alias("block"), "word", "ids", "bytes")
     # A number of partitions that is given, else adaptive execution merges them; a block's words come from PARTS tasks.
@@ -194,12 +204,7 @@ class BlockWords:
         table = data.to_table(filter=None if words is None else ds.field("word").isin(words))
         found = table.column("word").to_pylist()
         self.ids.update(zip(found, table.column("ids").cast(pa.binary()).to_pylist(), strict=True))
-        other = table.filter(ds.field("bytes").is_valid())
-        self.bytes.update(zip(other.column("word").to_pylist(), other.column("bytes").to_pylist(), strict=True))
-
-    def decoded(self, word: str) -> bytes:
-        """What Spark decoded from the word's ids."""
-        return self.bytes[word] if word in self.bytes else word.encode()
+        self.bytes.update(zip(found, table.column("bytes").to_pylist(), strict=True))
 
     def lack(self, words: list[str]) -> None:
         """Fetches words that the partition didn't have."""
@@ -220,13 +225,13 @@ def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str
         def both(text: str) -> tuple[bytes, bytes]:
             """A piece's ids and the bytes that they decode to."""
             if (ids := table.ids.get(text)) is not None:  # the whole piece is one word
-                return ids, table.decoded(text)
+                return ids, table.bytes[text]
             words = words_of(text)
             table.lack(words)
-            return b",".join(map(table.ids.__getitem__, words)), b"".join(map(table.decoded, words))
+            return b",".join(map(table.ids.__getitem__, words)), b"".join(map(table.bytes.__getitem__, words))
 
         for batch in batches:
-            table = table or BlockWords(path, TaskContext.get().partitionId())
+            table = table or BlockWords(path, TaskContext.get().partitionId() % BLOCKS)
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for i, j in slices([len(x or "") for x in texts]):
                 parts = [cut(x or "") for x in texts[i:j]]
