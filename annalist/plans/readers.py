@@ -125,17 +125,17 @@ def commit_link_rows(spark, sf_dir):
 _ROWS = "select row_number() over (order by id) as id, source, session_id, project, prompt, timestamp_ms from document_history_v where prompt is not null"
 
 
-def _store_of(history: DataFrame) -> store.Store:
-    """A new store to which a history was added, and added again."""
+def _store_of(history: DataFrame, times: int = 1) -> store.Store:
+    """A new store to which a history was added so many times."""
     kept = store.Store(history.sparkSession, scratch(history.sparkSession, "store"))
     none = F.lit(None).cast("string")
     rows = history.where("prompt is not null").withColumns({"seq": F.struct("id"), "prompt_hash": none, "git_branch": none})
-    for _ in range(2):
+    for _ in range(times):
         kept.add_history(rows)
     return kept
 
 
-_on("store_twice", _ROWS, lambda h: _store_of(h).history().select("id", "source", "session_id", "project", "prompt", "timestamp_ms"), "document_history_v")
+_on("store_twice", _ROWS, lambda h: _store_of(h, 2).history().select("id", "source", "session_id", "project", "prompt", "timestamp_ms"), "document_history_v")
 
 
 def _indexed(name: str, terms, condition: str) -> None:
