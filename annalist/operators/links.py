@@ -173,3 +173,22 @@ def numstat(lines: DataFrame) -> DataFrame:
     """commit_sha, file_path, lines_added, lines_removed from lines of `added <tab> removed <tab> path`; - is null."""
     part = F.split("value", "\t")
     return lines.select("commit_sha", F.get(part, F.lit(2)).alias("file_path"), F.get(part, F.lit(0)).try_cast("long").alias("lines_added"), F.get(part, F.lit(1)).try_cast("long").alias("lines_removed")).where("file_path is not null")
+
+
+def commit_scan(outputs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(commits, names, changes) of what git printed for each commit; running git is left to the caller.
+
+    outputs: commit_sha, root, time (seconds), branch, remote, names (a path a line), numstat (added, removed and path by
+    tabs). A detached head has no branch; the remote loses its user and password; a time that isn't a number is an error.
+    """
+
+    def printed(c):
+        return S.strip(F.coalesce(c, F.lit("")))
+
+    seconds = printed("time").try_cast("long")
+    at = F.when(seconds.isNull(), F.raise_error(F.concat(F.lit("no commit time of "), "commit_sha"))).otherwise(seconds * 1000)
+    branch = F.nullif(F.nullif(printed("branch"), F.lit("HEAD")), F.lit(""))
+    remote = S.without_credentials(F.nullif(printed("remote"), F.lit("")))
+    commits = outputs.select("commit_sha", at.alias("commit_ms"), F.nullif(printed("root"), F.lit("")).alias("repo"), branch.alias("branch"), remote.alias("repo_remote"))
+    names = outputs.select("commit_sha", F.explode(F.split("names", "\r?\n")).alias("file_path")).withColumn("file_path", S.strip(F.col("file_path"))).where("file_path <> ''")
+    return commits, names, numstat(outputs.select("commit_sha", F.explode(F.split("numstat", "\r?\n")).alias("value")))

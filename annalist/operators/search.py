@@ -42,6 +42,11 @@ def entry(history: DataFrame, entry_id: int) -> DataFrame:
     return history.where(F.col("id") == entry_id)
 
 
+def after_cursor(rows: DataFrame, cursor: int, limit: int, key: str = "id") -> DataFrame:
+    """The next rows of a table after a cursor, in order of their key: both the filter and the limit reach the scan's tasks."""
+    return rows.where(F.col(key) > cursor).orderBy(key).limit(max(1, limit))
+
+
 def known_entry(history: DataFrame, entry_id: int) -> DataFrame:
     """The entry, or an error if there is none."""
     found = entry(history, entry_id).limit(1)

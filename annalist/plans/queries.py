@@ -47,7 +47,7 @@ _on("time_window", f"select {ENTRY} from history_v where timestamp_ms between 17
 _on("project_like", f"select {ENTRY} from history_v where lower(project) like '%p_/PKG%' or lower(project) like '%p_/pkg%' {NEWEST} limit 40", lambda h: search.recent(h, 40, project="P_/PKG"), "history_v")
 _on("project_exact", f"select {ENTRY} from history_v where project = '/work/p1' {NEWEST} limit 40", lambda h: search.recent(h, 40, project="/work/p1", mode="exact"), "history_v")
 _on("project_scope", f"select {ENTRY} from history_v where project = '/work/p2' or lower(project) like '/work/p2/%' {NEWEST} limit 40", lambda h: search.recent(h, 40, project="/work/p2/", mode="scope"), "history_v")
-_on("cursor_scan", "select id, source, prompt from history_v where id > 20000 order by id limit 100", lambda h: h.where("id > 20000").select("id", "source", "prompt").orderBy("id").limit(100), "history_v")
+_on("cursor_scan", "select id, source, prompt from history_v where id > 20000 order by id limit 100", lambda h: search.after_cursor(h, 20000, 100).select("id", "source", "prompt"), "history_v")
 
 _RESUME = """case source when 'claude' then {cd} || 'claude --resume ' || {s} when 'codex' then 'codex resume ' || {s} when 'cursor' then {cd} || 'cursor-agent --resume=' || {s} when 'grok' then {cd} || 'grok resume ' || {s} end"""
 
@@ -245,6 +245,13 @@ _on(
     "history_v", "sessions_v",
 )
 
+_on(
+    "codex_map_applied",
+    "with m as (select session_id, '/map' || substr(session_id, 6) as cwd, case when length(session_id) % 2 = 0 then 'main' end as branch from sessions_v where source = 'codex') select id, source, h.session_id, coalesce(project, case when source = 'codex' then m.cwd end) as project, case when source = 'codex' then m.branch end as git_branch from history_v h left join m on m.session_id = h.session_id",
+    lambda h, s: store.with_codex_map(h.withColumn("git_branch", F.lit(None).cast("string")), s.where("source = 'codex'").select("session_id", F.concat(F.lit("/map"), F.substring("session_id", 6, 99)).alias("cwd"), F.when(F.length("session_id") % 2 == 0, "main").alias("git_branch"))).select("id", "source", "session_id", "project", "git_branch"),
+    "history_v", "sessions_v",
+)
+
 
 # scalars
 @query(r"""select doc_id, substr(sha256(text), 1, 16) as hash, lower(trim(regexp_replace(lang || '  ' || source, '\s+', ' ', 'g'))) as tag,

@@ -364,3 +364,19 @@ def name_scalars(spark, sf_dir):
         S.cursor_project(F.concat(F.lit("a-b-"), n)).alias("cursor_project"), S.percent_decoded(F.concat(F.lit("x%20"), n, F.lit("%c3%a9%zz"))).alias("decoded"), S.without_query_tag(F.concat(F.lit(" <user_query>\nhi "), n, F.lit("\n</user_query> "))).alias("untagged"),
         S.tool_target(tool, args).alias("target"), S.is_edit_tool(tool).alias("is_edit"), F.concat(S.safe_cell(F.concat("source", F.lit("\x07"))), F.lit("…")).alias("cell"),
     )
+
+
+@query("""with p as (select page_id as commit_sha, regexp_replace(url, '^https?://[^/]*/|[?#].*$', '', 'g') as f, url from pages)
+select commit_sha, commit_sha * 1000 as commit_ms, case when commit_sha % 3 > 0 then 'b' || cast(commit_sha % 3 as varchar) end as branch, url as repo_remote, f as name, commit_sha % 50 as added, case when commit_sha % 5 > 0 then commit_sha % 7 end as removed from p where regexp_replace(f, '^\\s+|\\s+$', '', 'g') <> '' and not contains(f, chr(9))""")
+def commit_scan(spark, sf_dir):
+    """What git prints for each commit, as commits, names and changed lines."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.regexp_replace("url", r"^https?://[^/]*/|[?#].*$", "").alias("f")).where(~F.contains("f", F.lit("\t")))
+    n = F.col("page_id").cast("string")
+    removed = F.when(F.col("page_id") % 5 > 0, (F.col("page_id") % 7).cast("string")).otherwise("-")
+    outputs = p.select(
+        F.col("page_id").alias("commit_sha"), F.lit("/r\n").alias("root"), F.concat(n, F.lit("\n")).alias("time"), F.when(F.col("page_id") % 3 == 0, "HEAD\n").otherwise(F.concat(F.lit("b"), (F.col("page_id") % 3).cast("string"))).alias("branch"),
+        F.concat(F.regexp_replace("url", "^(https?://)", "$1me:pw@"), F.lit("\n")).alias("remote"), F.concat("f", F.lit("\r\n\n")).alias("names"), F.concat((F.col("page_id") % 50).cast("string"), F.lit("\t"), removed, F.lit("\t"), "f", F.lit("\n")).alias("numstat"),
+    )
+    commits, names, changes = links.commit_scan(outputs)
+    rows = commits.join(names, "commit_sha").join(changes.select("commit_sha", "lines_added", "lines_removed"), "commit_sha")
+    return rows.select("commit_sha", "commit_ms", "branch", "repo_remote", F.col("file_path").alias("name"), F.col("lines_added").alias("added"), F.col("lines_removed").alias("removed"))
