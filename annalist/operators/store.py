@@ -20,7 +20,7 @@ from annalist.schemas import HISTORY, KEYS, SESSIONS
 from annalist.work import written
 
 STORED_HISTORY = f"{HISTORY}, prompt_tokens string, project_tokens string, day string, batch long"
-BATCHES = "batch long, state string"
+BATCHES = "batch long, last long, state string"
 SEARCHED = ("prompt", "project")
 
 
@@ -184,17 +184,17 @@ class Store:
         fresh = placed(new_rows(rows, touched, KEYS["history"]))
         n = fresh.count()
         if n:
-            last = self.cursors().get("history_id", 0)
-            self.save_cursors({"history_id": last + n})
+            last = self.read("batches", BATCHES).agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]  # two rows per batch
             columns = [c.split()[0] for c in HISTORY.split(", ")]
             added = with_ids(fresh, last).select(*columns, "day", F.lit(last + 1).cast("long").alias("batch"))
-            self._mark(last + 1, "begun")
+            self._mark(last + 1, last + n, "begun")
             self.append("history", with_tokens(added, "prompt", "project"), "day", "batch")
             self.index(last + 1)
         return n
 
-    def _mark(self, batch: int, state: str) -> None:
-        self.append("batches", self.spark.createDataFrame([(batch, state)], BATCHES).coalesce(1))
+    def _mark(self, batch: int, last: int | None, state: str) -> None:
+        """Notes that a batch has taken the ids from its own number to last, or that its postings are written."""
+        self.append("batches", self.spark.range(1).select(F.lit(batch).cast("long").alias("batch"), F.lit(last).cast("long").alias("last"), F.lit(state).alias("state")).coalesce(1))
 
     def _batches(self) -> tuple[list[int], list[int]]:
         """Batches whose files the postings have, and those that they lack."""
@@ -207,7 +207,7 @@ class Store:
             below = F.regexp_extract("_metadata.file_path", r"day=[^/]*/batch=[^/]*/[^/]+$", 0)
             rows = self.history().where(F.col("batch") == batch).select("*", below.alias("file"))
             write_postings(postings(rows, *SEARCHED), self.path("postings"))
-            self._mark(batch, "indexed")
+            self._mark(batch, None, "indexed")
 
     def matching(self, query) -> DataFrame:
         """The history without the files that the postings rule out for a query (terms, or a condition as for search).
