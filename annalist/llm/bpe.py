@@ -171,11 +171,11 @@ def decode_words(ids: Column, ranks: dict[bytes, int]) -> Column:
 
 def write_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> str:
     """Encodes each distinct word once and decodes its ids; returns the folder of the table (word, ids as a line of numbers,
-    bytes: what the ids decode to) by block."""
+    bytes: what the ids decode to, null where that is the word itself, which then isn't stored twice) by block."""
     spark, path = docs.sparkSession, work_path(docs.sparkSession, "bpe-words")
     words = distinct_words(docs, pattern).groupBy("word").agg(F.collect_set("block").alias("blocks"))
     encoded = words.select("blocks", "word", encode_words(F.col("word"), rank_literal(ranks)).alias("ids"))
-    text, data = F.array_join(F.col("ids").cast("array<string>"), ","), decode_words(F.col("ids"), ranks)
+    text, data = F.array_join(F.col("ids").cast("array<string>"), ","), F.nullif(decode_words(F.col("ids"), ranks), F.encode("word", "UTF-8"))
     told = encoded.select("blocks", "word", text.alias("ids"), data.alias("bytes"))  # once a word, before its blocks are told apart
     decoded = told.select(F.explode("blocks").alias("block"), "word", "ids", "bytes")
     # A number of partitions that is given, else adaptive execution merges them; a block's words come from PARTS tasks.
@@ -204,7 +204,12 @@ class BlockWords:
         table = data.to_table(filter=None if words is None else ds.field("word").isin(words))
         found = table.column("word").to_pylist()
         self.ids.update(zip(found, table.column("ids").cast(pa.binary()).to_pylist(), strict=True))
-        self.bytes.update(zip(found, table.column("bytes").to_pylist(), strict=True))
+        other = table.filter(ds.field("bytes").is_valid())
+        self.bytes.update(zip(other.column("word").to_pylist(), other.column("bytes").to_pylist(), strict=True))
+
+    def decoded(self, word: str) -> bytes:
+        """What Spark decoded from the word's ids."""
+        return self.bytes[word] if word in self.bytes else word.encode()
 
     def lack(self, words: list[str]) -> None:
         """Fetches words that the partition didn't have."""
@@ -225,10 +230,10 @@ def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str
         def both(text: str) -> tuple[bytes, bytes]:
             """A piece's ids and the bytes that they decode to."""
             if (ids := table.ids.get(text)) is not None:  # the whole piece is one word
-                return ids, table.bytes[text]
+                return ids, table.decoded(text)
             words = words_of(text)
             table.lack(words)
-            return b",".join(map(table.ids.__getitem__, words)), b"".join(map(table.bytes.__getitem__, words))
+            return b",".join(map(table.ids.__getitem__, words)), b"".join(map(table.decoded, words))
 
         for batch in batches:
             table = table or BlockWords(path, TaskContext.get().partitionId() % BLOCKS)
