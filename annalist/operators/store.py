@@ -198,7 +198,7 @@ class Store:
 
     def _batches(self) -> tuple[list[int], list[int]]:
         """Batches whose files the postings have, and those that they lack."""
-        rows = self.read("batches", BATCHES).groupBy("batch").agg(F.max(F.col("state") == "indexed").alias("indexed")).collect()  # a row per batch
+        rows = self.read("batches", BATCHES).groupBy("batch").agg(F.max(F.col("state") == "indexed").alias("indexed")).orderBy("batch").collect()  # a row per batch
         return [r.batch for r in rows if r.indexed], [r.batch for r in rows if not r.indexed]
 
     def index(self, *batches: int) -> None:
