@@ -13,6 +13,7 @@ from annalist.llm.minhash import near_duplicates
 from annalist.llm.quality import ORACLE as QUALITY_SQL
 from annalist.llm.quality import quality_digest
 from annalist.llm.sharding import shard_by_bytes
+from annalist.llm.substrings import ORACLE as PASSAGES_SQL
 from annalist.llm.substrings import repeated_passages
 from annalist.llm.templates import ORACLE as TEMPLATES_SQL
 from annalist.llm.templates import dropped_lines
@@ -68,7 +69,7 @@ def op11_whitening(spark, sf_dir):
 
 
 def op12_substrings(spark, sf_dir):
-    return repeated_passages(documents(spark, sf_dir))
+    return repeated_passages(documents(spark, sf_dir)).drop("spans")
 
 
 def op13_dialogues(spark, sf_dir):
@@ -91,4 +92,4 @@ QUERIES = {
     "op13_dialogues": op13_dialogues,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op3_line_templates": TEMPLATES_SQL, "op6_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op3_line_templates": TEMPLATES_SQL, "op6_warc": WARC_SQL, "op12_substrings": PASSAGES_SQL}

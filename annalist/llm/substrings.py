@@ -417,3 +417,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("doc_id").alias(id_col), "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), _EMPTY).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"), F.when(F.col("copy"), whole).otherwise(F.coalesce("spans", nothing)).alias("spans"),
     )
+
+
+ORACLE = r"""
+with words as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+passage as (select doc_id, s, array_to_string(w[s:s + 12], ' ') as p from (select doc_id, w, unnest(range(1, len(w) - 11)) as s from words where len(w) >= 13)),
+first as (select p, min(doc_id) as d from passage group by p),
+gone as (select distinct doc_id, s + unnest(range(13)) as k from passage join first using (p) where d < doc_id),
+each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from words),
+kept as (select e.doc_id, string_agg(word, ' ' order by e.k) as text from each e left join gone g on g.doc_id = e.doc_id and g.k = e.k where g.k is null group by e.doc_id),
+lost as (select doc_id, count(*) as n from gone group by doc_id)
+select w.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from words w left join lost using (doc_id) left join kept on kept.doc_id = w.doc_id
+"""
