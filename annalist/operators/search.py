@@ -153,31 +153,36 @@ def context(history: DataFrame, entry_id: int, minutes: int = 30) -> DataFrame:
     return out.orderBy("relation", "timestamp_ms", "id")
 
 
-#: Candidate pairs that one task of context_pairs looks at, about.
+#: Candidate pairs that one group of context_pairs looks at, about.
 PAIRS = 1 << 20
 
 
 def context_pairs(history: DataFrame, minutes: int = 5, pairs: int = PAIRS) -> DataFrame:
-    """All pairs of prompts of different sessions within the minutes: a band join over ranges of time.
+    """All pairs of prompts of different sessions within the minutes: a band join over slots of time.
 
-    Prompts are cut into ranges of equal numbers. A range meets copies of its neighbours' prompts that lie near enough, and a
-    range that has many of them around it, as in a busy hour, is dealt out in pieces. Pairs are as many as are asked for.
+    Slots are as long as the minutes, so a slot's prompts meet those of three slots, of which about two thirds are near enough. A
+    slot that has many prompts around it, as in a busy hour, is dealt out: each side is cut in as many pieces, and pieces
+    meet all of the other side's. Pairs are as many as are asked for.
     """
     span = minutes * 60_000
-    ranged = history.select("id", "session_id", "timestamp_ms").repartitionByRange("timestamp_ms", "id")
-    rows = written(ranged.withColumn("part", F.spark_partition_id()), "context-ranges")
-    parts = rows.groupBy("part").agg(F.min("timestamp_ms").alias("lo"), F.max("timestamp_ms").alias("hi"), F.count("*").alias("n"))  # a row per range
-    other = parts.select(F.col("part").alias("near"), F.col("lo").alias("near_lo"), F.col("hi").alias("near_hi"), F.col("n").alias("near_n"))
-    meets = parts.join(F.broadcast(other), (F.col("near_hi") >= F.col("lo") - span) & (F.col("near_lo") <= F.col("hi") + span))
-    # A prompt has about as many around it as its span's share of the ranges that it touches.
-    share = F.col("near_n") * F.least(F.lit(1.0), F.lit(2.0 * span + 1) / (F.col("near_hi") - F.col("near_lo") + 1))
-    pieces = meets.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.max("n") * F.sum(share) / pairs).cast("int")).alias("pieces"))
-    left = rows.join(F.broadcast(pieces), "part").select("part", F.pmod(F.xxhash64("id", "timestamp_ms"), "pieces").cast("int").alias("piece"), F.col("id").alias("a"), F.col("session_id").alias("sa"), F.col("timestamp_ms").alias("ta"))
-    to = meets.join(pieces, "part").select("part", "near", "lo", "hi", "pieces")
-    right = rows.withColumnRenamed("part", "near").join(F.broadcast(to), "near").where(F.col("timestamp_ms").between(F.col("lo") - span, F.col("hi") + span))
-    right = right.select("part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("id").alias("b"), F.col("session_id").alias("sb"), F.col("timestamp_ms").alias("tb"))
+    slot = F.expr(f"timestamp_ms div {max(1, span)}").alias("slot")
+    rows = written(history.select("id", "session_id", "timestamp_ms", slot).where("timestamp_ms is not null"), "context-slots")
+    own = F.coalesce(F.sum(F.when(F.col("step") == 0, F.col("n"))), F.lit(0))
+    steps = F.explode(F.array(*(F.lit(k).cast("long") for k in (-1, 0, 1)))).alias("step")
+    counts = rows.groupBy("slot").agg(F.count("*").alias("n")).select("n", "slot", steps).groupBy((F.col("slot") + F.col("step")).alias("slot"))
+    # A slot is dealt out only if it and its neighbours have sqrt(pairs) prompts at least: a row of these for many prompts.
+    busy = counts.agg(F.ceil(F.sqrt(own * F.sum("n") / F.lit(float(pairs)))).cast("int").alias("pieces")).where("pieces > 1")
+    hash_of, pieces = F.xxhash64("id", "timestamp_ms"), F.coalesce("pieces", F.lit(1))
+
+    def dealt(side: DataFrame, mine: str, other: str) -> DataFrame:
+        found = side.join(F.broadcast(busy), "slot", "left")
+        return found.withColumn(mine, F.pmod(hash_of, pieces).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), pieces - 1)))
+
+    left = dealt(rows, "piece", "other_piece").select("slot", "piece", "other_piece", F.col("id").alias("a"), F.col("session_id").alias("sa"), F.col("timestamp_ms").alias("ta"))
+    near = rows.select("id", "session_id", "timestamp_ms", F.col("slot").alias("at"), steps).withColumn("slot", F.col("at") + F.col("step"))
+    right = dealt(near, "other_piece", "piece").select("slot", "piece", "other_piece", F.col("id").alias("b"), F.col("session_id").alias("sb"), F.col("timestamp_ms").alias("tb"))
     apart = F.col("sb").isNull() | F.col("sa").isNull() | (F.col("sa") != F.col("sb"))
-    return left.join(right, ["part", "piece"]).where((F.col("a") != F.col("b")) & apart & (F.abs(F.col("ta") - F.col("tb")) <= span)).select("a", "b", (F.col("tb") - F.col("ta")).alias("gap_ms"))
+    return left.join(right, ["slot", "piece", "other_piece"]).where((F.col("a") != F.col("b")) & apart & (F.abs(F.col("ta") - F.col("tb")) <= span)).select("a", "b", (F.col("tb") - F.col("ta")).alias("gap_ms"))
 
 
 def resume(history: DataFrame, query: Query) -> DataFrame:

@@ -61,3 +61,14 @@ def test_pages_go_on_after_a_restart(spark, tmp_path):
     reader = paged.PageReader(["a"], newest, page)
     got = list(reader.read(reader.partitions({"a": "000030"}, {"a": "000035"})[0]))
     assert [m["id"] for _, v in got for m in json.loads(v)["data"]] == [f"{n:06}" for n in range(31, 36)] and reader.partitions({"a": "5"}, {"a": "5"}) == []
+
+
+def test_pairs_over_a_long_time_look_at_few_candidates(spark):
+    """Prompts a minute apart over years, in one small table: the join's rows grow with the prompts, whatever ranges would be cut."""
+    rows = spark.range(40_000).select("id", F.col("id").cast("string").alias("session_id"), (F.col("id") * 60_000).alias("timestamp_ms"))
+    out = search.context_pairs(rows, 5)
+    join = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot" in join and out.count() == 40_000 * 10 - 30
+    early = [(k, "ab"[k % 2], t) for k, t in enumerate([-600_001, -300_001, -300_000, -1, 0, 1, 299_999, 300_000, 300_001, None])]
+    df = spark.createDataFrame(early, "id long, session_id string, timestamp_ms long")
+    assert sorted(map(tuple, search.context_pairs(df, 5).collect())) == pairs([r for r in early if r[2] is not None], 300_000)
