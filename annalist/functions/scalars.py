@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,14 +140,18 @@ def is_edit_tool(name: Column) -> Column:
     return name.isin("Edit", "Write", "NotebookEdit")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row; in an expression that names it often Spark may compute it each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def patch_counts(patch: Column) -> Column:
     """struct(added, removed) of a unified diff's lines; file headers don't count."""
-    lines = F.split(F.coalesce(patch, F.lit("")), "\n")
 
-    def count(sign):
+    def count(lines, sign):
         return F.size(F.filter(lines, lambda x: F.startswith(x, F.lit(sign)) & ~F.startswith(x, F.lit(sign * 3)))).cast("long")
 
-    return F.struct(count("+").alias("added"), count("-").alias("removed"))
+    return bound(F.split(F.coalesce(patch, F.lit("")), "\n"), lambda lines: F.struct(count(lines, "+").alias("added"), count(lines, "-").alias("removed")))
 
 
 def joined_fields(*labelled: tuple[str, Column]) -> Column:

@@ -227,7 +227,7 @@ def patch_counts_nested(spark, sf_dir):
     """A patch ten levels down, twice in an array, beside keys that count nothing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     patch = F.concat(F.lit("+++ b\n"), F.regexp_replace(F.regexp_replace("text", r"(^|\n)T", "$1+"), r"(^|\n)A", "$1-"))
-    v = F.array(patch, patch)
+    v = F.array_repeat(patch, 2)
     for _ in range(4):
         v = F.struct(F.lit("plain").alias("diff"), F.array(v).alias("content"))
     return docs.select("doc_id", logs.lines_changed(F.parse_json(F.to_json(v))).alias("c")).select("doc_id", "c.added", "c.removed")

@@ -151,7 +151,11 @@ PATCH_KEYS = ("patch", "diff", "text", "content", "structuredPatch")
 
 def lines_changed(patch: Column, depth: int = PATCH_DEPTH) -> Column:
     """struct(added, removed) of a patch: of a text its lines, of an array the sum of its entries, of an object the first
-    of PATCH_KEYS that counts anything. One expression: nothing is exploded or shuffled."""
+    of PATCH_KEYS that counts anything. One expression: nothing is exploded or shuffled, and the patch is computed once."""
+    return S.bound(patch, lambda p: _lines_changed(p, depth))
+
+
+def _lines_changed(patch: Column, depth: int) -> Column:
     kind, nothing = _kind_of(patch), S.patch_counts(F.lit(""))
     own = F.when(kind == "STRING", S.patch_counts(F.try_variant_get(patch, "$", "string")))
     if depth == 0:
@@ -163,7 +167,7 @@ def lines_changed(patch: Column, depth: int = PATCH_DEPTH) -> Column:
         total = F.aggregate(children, nothing, lambda s, c: F.struct((s["added"] + c["added"]).alias("added"), (s["removed"] + c["removed"]).alias("removed")))
         return F.when(is_array, total).otherwise(F.get(F.filter(children, lambda c: c["added"] + c["removed"] > 0), F.lit(0)))
 
-    counted = F.element_at(F.transform(F.array(F.transform(inside, lambda x: lines_changed(x, depth - 1))), of), 1)
+    counted = S.bound(F.transform(inside, lambda x: _lines_changed(x, depth - 1)), of)
     return F.coalesce(own, counted, nothing)
 
 

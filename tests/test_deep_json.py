@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from annalist.functions import scalars as S
 from annalist.operators import learn
 from annalist.sources import growing, logs
 
@@ -84,3 +85,13 @@ def test_first_lines_read_no_further(spark, tmp_path):
     (tmp_path / "d.jsonl").write_bytes(b"y" * 20_000 + b"\nz")
     got = {r.path.rsplit("/", 1)[1]: r.value for r in growing.first_lines(spark, str(tmp_path)).collect()}
     assert got == {"a.jsonl": "one", "b.jsonl": "é no end", "d.jsonl": "y" * 20_000}
+
+
+def test_a_patch_is_computed_once_a_row(spark):
+    """The counters name their patch once, however often they look at it."""
+    patch = F.concat(F.lit("+++ b\n+a\n-b\n+c"), F.regexp_replace(F.col("id").cast("string"), "9", "\n-"))
+    nested = F.parse_json(F.to_json(F.struct(F.array(patch).alias("content"))))
+    for counts in (S.patch_counts(patch), logs.lines_changed(nested)):
+        out = spark.range(10).select("id", counts.alias("c"))
+        assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+        assert [tuple(r.c) for r in out.orderBy("id").collect()] == [(2, 1)] * 9 + [(2, 2)]
