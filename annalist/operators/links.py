@@ -8,8 +8,9 @@ sessions in order of time, in which commits stand among them:
 - the last session up to the window's end;
 - for sessions of at most four hours (six), the last of those that had begun by two hours after the commit (by the commit):
   they can't outlast the window's end; for longer ones, the last up to the window's end: they had begun in time.
-A key's time is cut into slices that get the greatest numbers of the slices before them, so a busy key is spread over
-tasks. A commit meets at most fifteen sessions, mostly three or four, and is scored with these exactly.
+A key's time is cut into slices that get the greatest numbers of the slices before them, and a slice into slots that get
+those of the slots before them, so a busy key is spread over tasks, and a task holds the commits and sessions of a key's
+minute at once. A commit meets at most fifteen sessions, mostly three or four, and is scored with these exactly.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ BEFORE_MS, AFTER_MS, NEAR_MS = 36 * HOUR_MS, 6 * HOUR_MS, 2 * HOUR_MS
 #: Events of a key are dealt by slices of time; those of a commit's window lie in its slice and SLICES before it.
 SLICE_MS = 6 * HOUR_MS
 SLICES = -(-(BEFORE_MS + AFTER_MS) // SLICE_MS)
+#: Slices are cut into slots of this length, in which commits stand among sessions.
+SLOT_MS = 60_000
+#: Rows that one task sorts, about.
+ROWS = 1 << 18
 _BEST = ("latest", "near_short", "near_long", "at_short", "at_long")
 
 
@@ -60,17 +65,27 @@ def near_best(sessions: DataFrame, commits: DataFrame) -> DataFrame:
     by_end = event(F.col("at_ms") - AFTER_MS, latest=no, near_long=F.when(length > AFTER_MS - NEAR_MS, no), at_long=F.when(length > AFTER_MS, no))
     by_begin = [event(F.col("begin") - NEAR_MS, near_short=F.when(length <= AFTER_MS - NEAR_MS, no)), event(F.col("begin"), at_short=F.when(length <= AFTER_MS, no))]
     keyed = sessions.select("at_ms", "begin", "no", _keys(F.col("git_branch"), F.array_distinct(folders(F.col("cwd")))).alias("key"))
-    events = keyed.select("key", F.explode(F.array(by_end, *by_begin)).alias("e")).select("key.*", "e.*").withColumn("slice", F.floor(F.col("time") / SLICE_MS))
-    key = ["kind", "branch", "place", "slice"]
-    before = events.groupBy(*key).agg(*(F.max(b).alias(b) for b in _BEST))
-    before = before.withColumn("slice", F.explode(F.sequence(F.col("slice") + 1, F.col("slice") + SLICES))).withColumn("time", F.col("slice") * SLICE_MS)
+    slots = {"slice": F.floor(F.col("time") / SLICE_MS), "slot": F.floor(F.col("time") / SLOT_MS)}
+    events = keyed.select("key", F.explode(F.array(by_end, *by_begin)).alias("e")).select("key.*", "e.*").withColumns(slots)
     own = commits.select(F.struct("commit_sha", "commit_ms", "repo", "branch").alias("commit"), _keys(F.col("branch"), F.when(F.col("repo").isNotNull(), F.array("repo"))).alias("key"))
-    asked = own.select("key.*", F.col("commit.commit_ms").alias("time"), F.floor(F.col("commit.commit_ms") / SLICE_MS).alias("slice"), "commit")
-    line = events.unionByName(before).unionByName(asked, allowMissingColumns=True)
-    so_far = Window.partitionBy(*key).orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = own.select("key.*", F.col("commit.commit_ms").alias("time"), "commit").withColumns(slots)
+    place = ["kind", "branch", "place"]
+    by_slot = events.groupBy(*place, "slice", "slot").agg(*(F.max(b).alias(b) for b in _BEST))
+    before = by_slot.groupBy(*place, "slice").agg(*(F.max(b).alias(b) for b in _BEST))
+    before = before.withColumn("slice", F.explode(F.sequence(F.col("slice") + 1, F.col("slice") + SLICES))).withColumn("slot", F.col("slice") * (SLICE_MS // SLOT_MS) - 1)
+    wanted = asked.select(*place, "slice", "slot").distinct().withColumn("wanted", F.lit(True))
+    # A window holds a row per slot of a slice for sessions, one for commits, and SLICES.
+    earlier = Window.partitionBy(*place, "slice").orderBy("slot").rangeBetween(Window.unboundedPreceding, -1)
+    starts = by_slot.unionByName(before).unionByName(wanted, allowMissingColumns=True).withColumns({b: F.max(b).over(earlier) for b in _BEST})
+    starts = starts.where("wanted").drop("wanted", "slice").withColumn("time", F.col("slot") * SLOT_MS)
+    # Dealt by number, so that what a task holds doesn't grow with the tables; a commit has up to three rows, a key of a session three.
+    tasks = -(-3 * (commits.count() + keyed.count()) // ROWS) or 1
+    line = events.drop("slice").unionByName(starts).unionByName(asked.drop("slice"), allowMissingColumns=True).repartition(tasks, *place, "slot")
+    so_far = Window.partitionBy(*place, "slot").orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     met = line.withColumns({b: F.max(b).over(so_far) for b in _BEST}).where("commit is not null")
     best = F.filter(F.array_distinct(F.array(*_BEST)), lambda x: x.isNotNull())
-    return met.select("commit.*", F.explode(best).alias("no"))
+    found = met.select("commit.*", best.alias("nos")).repartition(tasks, "commit_sha")  # a commit's keys meet, also for distinct rows
+    return found.select("commit_sha", "commit_ms", "repo", "branch", F.explode("nos").alias("no"))
 
 
 def overlaps(commit_files: DataFrame, session_files: DataFrame) -> DataFrame:

@@ -81,3 +81,15 @@ def test_overlapping_paths_equal_all_pairs(spark):
     all_pairs = a.crossJoin(b.withColumnRenamed("file_path", "other")).where(S.paths_overlap(F.col("file_path"), F.col("other")))
     want = {(r.commit_sha, r.session_id): r.n for r in all_pairs.groupBy("commit_sha", "session_id").agg(F.count_distinct("file_path").alias("n")).collect()}
     assert {(r.commit_sha, r.session_id): r.overlap for r in links.overlaps(a, b).collect()} == want and len(want) > 50
+
+
+def test_a_busy_day_is_dealt_by_minutes(spark):
+    """All commits on one branch and day: no group of the window, and no task, holds a share of them that grows with them."""
+    s = spark.range(300).select(F.concat(F.lit("s"), "id").alias("session_id"), F.lit("claude").alias("source"), F.lit("/r").alias("cwd"), F.lit("main").alias("git_branch"), (F.col("id") * 280_000).alias("first_activity_ms"), (F.col("id") * 280_000 + 60_000).alias("last_activity_ms"))
+    c = spark.range(200_000).select(F.concat(F.lit("c"), "id").alias("commit_sha"), (F.col("id") * 432).alias("commit_ms"), F.lit("/r").alias("repo"), F.lit("main").alias("branch"))
+    met = links.near_best(links.numbered_sessions(s), c)
+    sizes = [r["count"] for r in met.select("commit_sha").distinct().groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) * 3 <= 1.2 * links.ROWS
+    assert links.best_candidates(s, c).count() == 200_000
+    plan = met._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(kind" in plan and ", slot" in plan.split("windowspecdefinition(kind")[1].split(" ASC")[0]
