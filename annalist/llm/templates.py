@@ -15,7 +15,7 @@ whatever their number or length.
 A template of MIN_DOCS documents or more is recurring: its lines are dropped from all documents but the first (the
 smallest doc_id), and so are its sentences from the lines that stay.
 
-All steps are sums and joins on segment, form, template or document. Rows of a common key are summed in tasks first and
+Units are cut from texts in Arrow batches. All other steps are sums and joins on segment, form, template or document. Rows of a common key are summed in tasks first and
 stay where they are in joins; those of a common candidate are split by adaptive execution.
 Defined cases: null and empty texts have no lines; a line that a document repeats counts once for it; rows with the same
 doc_id are the same document; a null doc_id loses no lines; an empty table gives no rows; other columns are left alone.
@@ -23,10 +23,15 @@ doc_id are the same document; a null doc_id loses no lines; an empty table gives
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.common import FEW, with_key_row, written
+from annalist.llm.pieces import slices
 
 LEAST_TOKENS = 4
 LEAST_SENTENCE = 8
@@ -35,10 +40,9 @@ DEPTH = 3
 SHORTEST = 6
 SIMILAR = 70
 MIN_DOCS = 3
-BLANKS = r"[\x20\x09-\x0D]+"
 SENTENCE = r"(?s).*?[.!?][\x20\x09-\x0D]+|.+"
-BETWEEN = r"(?<=[.!?])[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
+BETWEEN = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+").split
+FIELD = re.compile(rb"[0-9@]").search
 NO_WORD = r"[^\x20\x09-\x0D]"
 FORM = ["leaf", "form"]
 
@@ -47,15 +51,10 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def tokens(line: Column) -> Column:
-    """A line's tokens; a line without any has one empty token."""
-    return F.split(F.btrim(line, F.lit(SPACES)), BLANKS)
-
-
-def masked(t: Column) -> Column:
+def masked(t: list[bytes]) -> list[bytes]:
     """Tokens that hold a digit or an @ become <*>, unless most do."""
-    fields = F.transform(t, lambda x: F.when(x.rlike("[0-9@]"), "<*>").otherwise(x))
-    return F.when(F.size(F.filter(t, lambda x: x.rlike("[0-9@]"))) * 2 <= F.size(t), fields).otherwise(t)
+    fields = [b"<*>" if FIELD(x) else x for x in t]
+    return fields if 2 * sum(1 for x in t if FIELD(x)) <= len(t) else t
 
 
 def sentences(line: Column) -> Column:
@@ -63,34 +62,46 @@ def sentences(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0))
 
 
-def line_forms(docs: DataFrame) -> DataFrame:
-    """doc_id, at (line number from 0), part (sentence from 0, or -1), n, leaf, form, masked (if it can be generalised)."""
+def line_units(text: bytes):
+    """at (line number from 0), part (sentence from 0, or -1), n, head (n and the leading tokens), form: the units of a text."""
+    for at, line in enumerate(text.split(b"\n")):
+        t = line.split()
+        size = len(t)
+        if size < LEAST_TOKENS:
+            continue
+        fields = FIELD(line)
+        m = masked(t) if fields else t
+        yield at, -1, size, b"%d %b" % (size, b" ".join(m[:DEPTH])), b" ".join(m)
+        if size > LONG_LINE:
+            for part, sentence in enumerate(BETWEEN(line)):
+                t = sentence.split()
+                n = len(t)
+                if n >= LEAST_SENTENCE:
+                    m = masked(t) if fields else t
+                    yield at, part, n, b"%d %b" % (n, b" ".join(m[:DEPTH])), b" ".join(m)
 
-    def unit(t, at, part):
-        return F.struct(
-            at.alias("at"), part.alias("part"), F.size(t).alias("n"), F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"), F.xxhash64(t).alias("form"),
-            F.when(F.size(t) >= SHORTEST, F.array_join(t, " ")).alias("masked"),
-        )
 
-    def units(line, at):
-        fields = line.rlike("[0-9@]")
-
-        def told(t, part):
-            return F.when(fields, _let(masked(t), lambda m: unit(m, at, part))).otherwise(unit(t, at, part))
-
-        def part(sentence, k):
-            long = F.length(sentence) >= 2 * LEAST_SENTENCE - 1
-            return F.when(long, _let(tokens(sentence), lambda u: F.when(F.size(u) >= LEAST_SENTENCE, told(u, k))))
+def line_forms(docs: DataFrame) -> DataFrame:
+    """doc_id, at (line number from 0), part (sentence from 0, or -1), n, leaf, form, masked (if it can be generalised)."""
 
-        def of(t):
-            own = F.array(told(t, F.lit(-1)))
-            inside = F.filter(F.transform(F.split(line, BETWEEN), part), lambda u: u.isNotNull())
-            return F.when(F.size(t) > LONG_LINE, F.concat(own, inside)).when(F.size(t) >= LEAST_TOKENS, own)
+    def run(batches):
+        import xxhash
 
-        return _let(tokens(line), of)
+        hashed = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+            for i, j in slices([len(x or b"") for x in texts], 4 << 20):
+                found = [(k, *unit) for k in range(i, j) if texts[k] for unit in line_units(texts[k])]
+                if not found:
+                    continue
+                row, at, part, n, head, form = zip(*found, strict=True)
+                keys = [pa.array(np.fromiter(map(hashed, x), np.uint64, len(x)).view(np.int64)) for x in (head, form)]
+                shown = pa.array([x if k >= SHORTEST else None for x, k in zip(form, n, strict=True)], pa.binary()).view(pa.string())
+                columns = [ids.take(pa.array(row, pa.int64())), *(pa.array(x, pa.int32()) for x in (at, part, n)), *keys, shown]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "part", "n", "leaf", "form", "masked"])
 
-    lines = F.flatten(F.filter(F.transform(F.split("text", "\n"), units), lambda x: x.isNotNull()))
-    return docs.select("doc_id", F.explode(lines).alias("l")).select("doc_id", "l.*")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, at int, part int, n int, leaf long, form long, masked string")
 
 
 def _segments(masked: Column, n: Column, leaf: Column) -> Column:
@@ -108,19 +119,19 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     Leaves of fewer than min_docs documents hold nothing that recurs and are left out.
     """
-    first = F.struct("at", "part")
-    of_docs = lines.where("masked is not null").groupBy(*FORM, "n", "doc_id").agg(F.count("*").alias("units"), F.min(first).alias("first"))
-    born = F.min(F.struct("doc_id", "first.at", "first.part"))
-    forms = of_docs.groupBy(*FORM, "n").agg(F.count("doc_id").alias("docs"), F.sum("units").alias("size"), born.alias("born"))
+    # Sums of plain numbers only, so that they are hashed and not sorted; where a form first stands is looked up for shared ones.
+    of_docs = lines.where("masked is not null").groupBy(*FORM, "n", "doc_id").agg(F.count("*").alias("units"))
+    born = F.when(~F.bool_or(F.col("doc_id").isNull()), F.min("doc_id")).alias("born")  # of null ids first, as in a struct's order
+    forms = of_docs.groupBy(*FORM, "n").agg(F.count("doc_id").alias("docs"), F.sum("units").alias("size"), born)
     forms = written(forms, "line-forms")
     several = forms.groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("docs").alias("all")).where((F.col("forms") > 1) & (F.col("all") >= min_docs)).select("leaf", "forms")
     shared = written(with_key_row(forms, several, "leaf", "forms", forms.count()), "line-shared")
-    ids = shared.select(*FORM, "born.doc_id", "born.at", "born.part")
+    ids = shared.select(*FORM, F.col("born").alias("doc_id"))
     ids = F.broadcast(ids) if shared.count() <= FEW else ids  # else the texts of all lines would move
-    is_first = [lines[c].eqNullSafe(ids[c]) for c in (*FORM, "doc_id", "at", "part")]
-    texts = lines.join(ids, is_first, "left_semi").select(*FORM, "masked").dropDuplicates(FORM)
-    rank = F.struct("docs", (-F.col("born.doc_id")).alias("doc"), (-F.col("born.at")).alias("at"), (-F.col("born.part")).alias("part"), "form")
-    shared = written(shared.select(*FORM, "n", "size", rank.alias("rank")).join(texts, FORM), "line-texts")
+    is_first = [lines[c].eqNullSafe(ids[c]) for c in (*FORM, "doc_id")]
+    texts = lines.join(ids, is_first, "left_semi").groupBy(*FORM).agg(F.min(F.struct("at", "part", "masked")).alias("m"))
+    rank = F.struct("docs", (-F.col("born")).alias("doc"), (-F.col("m.at")).alias("at"), (-F.col("m.part")).alias("part"), "form")
+    shared = written(shared.join(texts, FORM).select(*FORM, "n", "size", rank.alias("rank"), "m.masked"), "line-texts")
 
     keys = shared.select(*FORM, "rank", F.explode(_segments(F.col("masked"), F.col("n"), F.col("leaf"))).alias("key"))
     total = shared.agg(F.sum(F.floor(F.col("n") * (100 - SIMILAR) / 100) + 1)).first()[0] or 0

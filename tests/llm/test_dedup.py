@@ -225,3 +225,14 @@ def test_all_templates_of_a_leaf(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string").repartition(3)
     rows = {x.doc_id: list(x.dropped) for x in dropped_lines(docs).collect()}
     assert rows == {0: [], None: []} | {i: [0, 1, 2, 3, 4] for i in range(1, 7)}
+
+
+def test_units_of_odd_texts():
+    from annalist.llm.templates import line_units
+
+    text = "a1 b c d\x0be\n\n1 2 3 d\nx\x1cy z w\nshort @ one here now é\n" + "Seven words of a sentence end here. " * 8
+    units = [(at, part, n, head.decode(), form.decode()) for at, part, n, head, form in line_units(text.encode())]
+    assert units[0] == (0, -1, 5, "5 <*> b c", "<*> b c d e") and units[1] == (2, -1, 4, "4 1 2 3", "1 2 3 d")
+    assert units[2] == (4, -1, 6, "6 short <*> one", "short <*> one here now é") and units[3][:3] == (5, -1, 56) and len(units) == 4
+    long = " ".join(["w"] * 43) + ". " + "An eighth word makes it a unit 7.\t" + "This ends it"
+    assert [(at, part, n) for at, part, n, _, _ in line_units(long.encode())] == [(0, -1, 54), (0, 0, 43), (0, 1, 8)]
