@@ -47,6 +47,10 @@ def slices(sizes, most: int = 1 << 20):
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Marks after letters are one match, up to the end of a piece.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def matcher(pattern: str = BYTE_LEVEL):
     """A function that gives the pattern's matches of a piece; most pieces are letters and maybe marks after them."""
     import regex
@@ -59,7 +63,7 @@ def matcher(pattern: str = BYTE_LEVEL):
         word = piece[1:] if piece[:1] == " " else piece
         if word.isalpha():
             return [piece]
-        bare = word.rstrip(".,;:!?")
+        bare = word.rstrip(MARKS)
         if bare.isalpha():
             n = len(word) - len(bare)
             return [piece[:-n], piece[-n:]]
@@ -94,3 +98,23 @@ class Recent(dict):
                 else:
                     out.append(k)
         return out
+
+
+class Kept(dict):
+    """A cache that computes what it lacks. trim() bounds it: what wasn't used since it was half full last goes first."""
+
+    def __init__(self, most: int, new):
+        super().__init__()
+        self.half, self.old, self.new = most // 2, {}, new
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.new(key)
+        self[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()

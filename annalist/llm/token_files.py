@@ -19,6 +19,7 @@ import json
 import re
 import zlib
 from array import array
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.llm.common import work_path, written
-from annalist.llm.pieces import Recent, cut, matcher, slices
+from annalist.llm.pieces import MARKS, Kept, cut, matcher, slices
 
 ROW_INDEX_STRIDE = 2_000
 STRIPE_BYTES = 16 << 20
@@ -43,7 +44,7 @@ class PieceEncoder:
     the file asks for anything but plain byte-level BPE.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -54,7 +55,7 @@ class PieceEncoder:
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.shown = {"": "", " ": self.alphabet[32]}
-        self.rest, self.first, self.marks = Recent(most), Recent(most // 4), {}
+        self.rest, self.first, self.marks = Kept(most, partial(self._new, " ")), Kept(most // 4, partial(self._new, "")), {}
 
     def _shown(self, match: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(match)]).tobytes()
@@ -70,31 +71,18 @@ class PieceEncoder:
             self.marks[marks] = found = self._ids(marks)
         return found
 
-    def _piece(self, cache: Recent, prefix: str, piece: str) -> bytes:
-        """The ids of a piece that is kept, or new and kept then."""
-        found = cache.get(piece)
-        if found is None:
-            found = cache.old.get(piece)
-            cache[piece] = found = self._new(cache, prefix, piece) if found is None else found
-        return found
-
-    def _new(self, cache: Recent, prefix: str, piece: str) -> bytes:
+    def _new(self, prefix: str, piece: str) -> bytes:
         """Most pieces are letters, or letters and marks after them; lines inside a piece are pieces of their own."""
         if piece.isalpha():
             return self._shown(self.shown[prefix] + piece) if piece.isascii() else self._ids(prefix + piece)
-        word = piece.rstrip(".,;:!?")
+        kept, word = self.rest if prefix else self.first, piece.rstrip(MARKS)
         if word.isalpha():
-            return self._piece(cache, prefix, word) + self._mark(piece[len(word) :])
+            return kept[word] + self._mark(piece[len(word) :])
         lines = piece.split("\n")
         if len(lines) > 1 and all(lines) and not any(map(_BLANK, lines)):
-            return self._mark("\n").join([self._piece(cache, prefix, lines[0]), *(self._piece(self.first, "", x) for x in lines[1:])])
+            return self._mark("\n").join([kept[lines[0]], *(self.first[x] for x in lines[1:])])
         return b"".join(map(self._ids, self.words(prefix + piece)))
 
-    def _learn(self, cache: Recent, prefix: str, pieces: set) -> None:
-        new = self._new
-        for piece in cache.absent(pieces):
-            cache[piece] = new(cache, prefix, piece)
-
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -104,15 +92,13 @@ class PieceEncoder:
         return [whole[i] if i in whole else next(found) for i in range(len(texts))]
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
-        parts = [cut(x) for x in texts]
-        rest, first = set(), set()
-        for x in parts:
-            first.add(x[0])
-            rest.update(x[1:])
-        self._learn(self.first, "", first)
-        self._learn(self.rest, " ", rest)
-        get = self.rest.__getitem__
-        return [self.first[x[0]] + b"".join(map(get, x[1:])) for x in parts]
+        self.first.trim()
+        self.rest.trim()
+        first, rest, out = self.first, self.rest.__getitem__, []
+        for x in texts:
+            head, *others = cut(x)
+            out.append(first[head] + b"".join(map(rest, others)))
+        return out
 
 
 def byte_level(file: dict) -> bool:

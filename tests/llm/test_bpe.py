@@ -88,3 +88,20 @@ def test_odd_rows_equal_the_library(spark):
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, block int").repartition(2)
     got = sorted((r.doc_id or 0, r.n_tokens, r.decoded_sha256) for r in encode_and_decode(docs, PATH, public_tokenizers.PATTERN).collect())
     assert got == sorted((i or 0, len(e.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+
+
+def test_pieces_are_cut_as_by_the_pattern_and_kept_within_bounds():
+    import regex
+
+    from annalist.llm.pieces import MARKS, Kept, matcher
+
+    own, find = matcher(), regex.compile(public_tokenizers.PATTERN).findall
+    for m in [*MARKS, "***", "'s", ".'", "'re", "$%&", "’", "_\nthe'll", "'\nx_"]:
+        for piece in ("word" + m, " ñandú" + m, " " + m, m + "x", "it" + m + m):
+            assert own(piece) == find(piece), piece
+    asked = []
+    kept = Kept(4, lambda x: asked.append(x) or x * 2)
+    for x in ("a", "b", "c", "a", "d"):
+        kept.trim()
+        assert kept[x] == x * 2
+    assert asked == ["a", "b", "c", "d"] and len(kept) + len(kept.old) <= 6
