@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.common import work_path
-from annalist.llm.pieces import Recent, cut, matcher, slices
+from annalist.llm.pieces import Kept, cut, matcher, slices
 
 #: Up to so many bytes a word's pairs are joined one by one; of longer words, all places of a pair together where that gives the same.
 SHORT = 64
@@ -76,8 +76,10 @@ def _encoded(word: Column, ranks: Column) -> Column:
 
     def merge_one(s, _):
         def at(i):
+            return _let(F.concat(F.element_at(s["p"], i), F.element_at(s["p"], i + 1)), lambda new: joined(i, new))
+
+        def joined(i, new):
             p, r = s["p"], s["r"]
-            new = F.concat(F.element_at(p, i), F.element_at(p, i + 1))
             none = F.array().cast("array<int>")
             left = F.when(i > 1, F.array(rank(F.concat(F.element_at(p, i - 1), new)))).otherwise(none)
             right = F.when(i < F.size(r), F.array(rank(F.concat(new, F.element_at(p, i + 2))))).otherwise(none)
@@ -224,33 +226,41 @@ def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, id_col: str
     path = write_words(docs, pattern, ranks)
 
     def whole(batches):
-        words_of, table = matcher(pattern), None
-        numbers, binary = Recent(300_000), Recent(300_000)
+        words_of, table, odd = matcher(pattern), None, {}
 
-        def both(text: str) -> tuple[bytes, bytes]:
-            """A piece's ids and the bytes that they decode to."""
+        def both(text: str) -> tuple[bytes, bytes | None]:
+            """A piece's ids and the bytes that they decode to; none if those are the piece."""
             if (ids := table.ids.get(text)) is not None:  # the whole piece is one word
-                return ids, table.decoded(text)
+                return ids, table.bytes.get(text)
             words = words_of(text)
             table.lack(words)
-            return b",".join(map(table.ids.__getitem__, words)), b"".join(map(table.decoded, words))
+            data = b"".join(map(table.decoded, words))
+            return b",".join(map(table.ids.__getitem__, words)), None if data == text.encode() else data
+
+        def new(piece: str) -> bytes:
+            ids, data = both(" " + piece)
+            if data is not None:
+                odd[piece] = data
+            return ids
 
+        numbers = Kept(300_000, new)
         for batch in batches:
             table = table or BlockWords(path, TaskContext.get().partitionId() % BLOCKS)
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for i, j in slices([len(x or "") for x in texts]):
-                parts = [cut(x or "") for x in texts[i:j]]
-                rest = set()
-                for x in parts:
-                    rest.update(x[1:])
-                binary.absent(rest)  # both caches keep the same pieces
-                for piece in numbers.absent(rest):
-                    numbers[piece], binary[piece] = both(" " + piece)
+                numbers.trim()
+                if len(odd) > 100_000:
+                    for known in (odd, numbers, numbers.old):
+                        known.clear()
                 out = []
-                for first, *others in parts:
-                    ids, data = both(first) if first else (b"", b"")
-                    data += b"".join(map(binary.__getitem__, others))
+                for text in texts[i:j]:
+                    first, *others = cut(text or "")
+                    ids, data = both(first) if first else (b"", None)
                     ids = b",".join([ids, *map(numbers.__getitem__, others)] if ids else map(numbers.__getitem__, others))
+                    if data is None and not (odd and any(x in odd for x in others)):  # every piece decodes to itself
+                        data = (text or "").encode()
+                    else:
+                        data = b"".join([first.encode() if data is None else data, *(odd[x] if x in odd else (" " + x).encode() for x in others)])
                     out.append((ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest(), ids if keep_ids else None))
                 columns = [doc_ids.slice(i, j - i), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out]), pa.array([x[2] for x in out])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
