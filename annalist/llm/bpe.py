@@ -1,8 +1,9 @@
 """Byte-level BPE by a rank file, with Spark's higher-order functions doing the merges.
 
 encode_words folds the ranked merges of one word: its bytes, one character each, are an array; an aggregate
-over the array joins the leftmost pair of least rank until no pair has a rank. Ranks are a literal: an array of
-small maps, chosen by the checksum of a pair, since a look-up in a Spark map walks along its keys.
+over the array joins the leftmost pair of least rank until no pair has a rank. Ranks are an array of
+small maps, chosen by the checksum of a pair, since a look-up in a Spark map walks along its keys. Tables of words get
+them as scalar subqueries: a literal would stand in every text of a plan that the driver keeps and logs.
 
 Whole documents hold few distinct words, so each distinct word of all documents is folded once:
 1. every partition of the documents gives its distinct words; partitions are dealt to a bounded number of blocks;
@@ -28,7 +29,7 @@ import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.common import work_path
@@ -41,6 +42,7 @@ PARTS = 4
 BLOCKS, CONCAT = 4_096, 256
 _BUCKETS = 1 << 14
 _NONE = 2**31 - 1
+RANKS, PIECES = "array<map<string,int>>", "array<binary>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,13 +50,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<string,int>>: a byte is the character of the same number, a token lies at the checksum of its string."""
+def _rank_maps(ranks: dict[bytes, int]) -> str:
+    """JSON of RANKS: a byte is the character of the same number, a token lies at the checksum of its string."""
     maps: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
     for token, rank in ranks.items():
         key = token.decode("latin-1")
         maps[zlib.crc32(key.encode()) % _BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    return json.dumps(maps)
+
+
+def _piece_list(ranks: dict[bytes, int]) -> str:
+    """JSON of PIECES: the bytes of each id."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return json.dumps([base64.b64encode(x).decode() for x in pieces])
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """RANKS as a literal, for plans that nobody keeps."""
+    return F.from_json(F.lit(_rank_maps(ranks)), RANKS)
+
+
+def _looked_up(spark: SparkSession, data: str, kind: str) -> Column:
+    """JSON data as a scalar subquery of the type; the data are a row of a table, not part of the plan."""
+    return spark.createDataFrame([(data,)], "data string").select(F.from_json("data", kind)).scalar()
 
 
 def _let(value: Column, body) -> Column:
@@ -154,12 +174,9 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "block int, word string")
 
 
-def decode_words(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """binary: the pieces of the ids, concatenated one after another, a long word's by CONCAT and then those."""
-    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    table = F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in pieces])), "array<binary>")
+def decode_words(ids: Column, ranks: dict[bytes, int] | Column) -> Column:
+    """binary: the pieces of the ids, concatenated one after another, a long word's by CONCAT and then those. ranks: also a column of PIECES."""
+    table = ranks if isinstance(ranks, Column) else F.from_json(F.lit(_piece_list(ranks)), PIECES)
 
     def joined(parts):
         return F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x))
@@ -171,14 +188,25 @@ def decode_words(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.element_at(F.transform(F.array(F.transform(ids, lambda i: F.element_at(table, i + 1))), whole), 1)
 
 
+def folded(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """words (a column word, and others) with ids, a line of numbers, and bytes, what they decode to, null where that is the word.
+
+    Spark allows no subquery inside higher-order functions, but a column of it, which the optimizer puts in its place where it
+    is used once. `pieces` is added where `numbers` is used twice, so that this step isn't merged with the fold before it, but with the
+    one after it: else each row would carry a copy of the vocabulary.
+    """
+    spark, kept = words.sparkSession, words.columns
+    numbers = words.select(*kept, _looked_up(spark, _rank_maps(ranks), RANKS).alias("ranks")).select(*kept, encode_words(F.col("word"), F.col("ranks")).alias("numbers"))
+    told = numbers.select(*kept, "numbers", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("ids"), _looked_up(spark, _piece_list(ranks), PIECES).alias("pieces"))
+    return told.select(*kept, "ids", F.nullif(decode_words(F.col("numbers"), F.col("pieces")), F.encode("word", "UTF-8")).alias("bytes"))
+
+
 def write_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> str:
     """Encodes each distinct word once and decodes its ids; returns the folder of the table (word, ids as a line of numbers,
     bytes: what the ids decode to, null where that is the word itself, which then isn't stored twice) by block."""
     spark, path = docs.sparkSession, work_path(docs.sparkSession, "bpe-words")
     words = distinct_words(docs, pattern).groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    encoded = words.select("blocks", "word", encode_words(F.col("word"), rank_literal(ranks)).alias("ids"))
-    text, data = F.array_join(F.col("ids").cast("array<string>"), ","), F.nullif(decode_words(F.col("ids"), ranks), F.encode("word", "UTF-8"))
-    told = encoded.select("blocks", "word", text.alias("ids"), data.alias("bytes"))  # once a word, before its blocks are told apart
+    told = folded(words, ranks)  # once a word, before its blocks are told apart
     decoded = told.select(F.explode("blocks").alias("block"), "word", "ids", "bytes")
     # A number of partitions that is given, else adaptive execution merges them; a block's words come from PARTS tasks.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -81,6 +81,31 @@ def test_fold_and_decoding_with_any_ranks(spark, monkeypatch):
             assert bytes(x.d) == x.w.encode()
 
 
+def test_vocabulary_is_neither_in_the_plan_nor_in_its_rows(spark, monkeypatch):
+    """With the vocabulary as literals the texts of the plan took megabytes of the driver, again with each change of the plan."""
+    from annalist.llm import bpe
+
+    plans, outputs, kind = [], [], type(spark.range(0))
+
+    def walk(node):
+        outputs.append([node.output().apply(i).name() for i in range(node.output().size())])
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    def seen(frame, *args, of=kind.repartition):
+        plans.append(of(frame, *args))
+        return plans[-1]
+
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    monkeypatch.setattr(kind, "repartition", seen)
+    bpe.write_words(docs, public_tokenizers.PATTERN, read_ranks(PATH))
+    words = plans[-1]._jdf.queryExecution()
+    assert len(words.toString()) < 200_000
+    walk(words.optimizedPlan())
+    walk(words.executedPlan().inputPlan())
+    assert outputs and not any(x in ("ranks", "pieces") for names in outputs for x in names)
+
+
 def test_odd_rows_equal_the_library(spark):
     e = encoding()
     long = "word " * 300_000 + "é" * 200
